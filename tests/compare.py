@@ -55,7 +55,7 @@ if __name__ == "__main__":
     from treeweave.session import build_session
 
     sf_dir, chosen = sys.argv[1], sys.argv[2:]
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g")
+    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = check_engine(sf_dir)
     sqls = entry.oracle_sql()

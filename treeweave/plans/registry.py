@@ -49,10 +49,13 @@ def include_sql(pattern: str, path: str) -> str:
     )
 
 
-WORDS_SQL = "len(regexp_extract_all({0}, '[^" + WHITE_SPACE + "]+'))"
-LINES_SQL = (
-    "(length({0}) - length(replace({0}, chr(10), '')) + CASE WHEN {0} <> '' AND NOT ends_with({0}, chr(10)) THEN 1 ELSE 0 END)"
-)
+def words_sql(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '[^" + WHITE_SPACE + "]+'))"
+
+
+def lines_sql(text: str) -> str:
+    open_end = f"CASE WHEN {text} <> '' AND NOT ends_with({text}, chr(10)) THEN 1 ELSE 0 END"
+    return f"(length({text}) - length(replace({text}, chr(10), '')) + {open_end})"
 
 
 def tokens_sql(n_bytes: str, words: str, lines: str) -> str:
@@ -63,4 +66,4 @@ def tokens_sql(n_bytes: str, words: str, lines: str) -> str:
 
 
 def text_tokens_sql(text: str) -> str:
-    return tokens_sql(f"strlen({text})", WORDS_SQL.format(text), LINES_SQL.format(text))
+    return tokens_sql(f"strlen({text})", words_sql(text), lines_sql(text))
