@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from treeweave.functions import text as T
 from treeweave.functions.keys import blob_id
@@ -49,7 +50,7 @@ def _is_binary_change() -> Column:
     return _nul_inside(F.col("old_content")) | _nul_inside(F.col("new_content"))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _shared_lines(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series(
         [None if a is None or b is None else common_count(split_lines(a), split_lines(b)) for a, b in zip(old, new)],
