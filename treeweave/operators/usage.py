@@ -6,21 +6,22 @@ An ingestion is a request that was neither a cache hit nor an error.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from treeweave.operators.ordering import with_running
 
-INGESTED = ~F.col("cache_hit") & ~F.col("is_error")
+def ingested() -> Column:
+    return ~F.col("cache_hit") & ~F.col("is_error")
 
 
 def usage_totals(requests: DataFrame) -> DataFrame:
     return requests.agg(
         F.count(F.lit(1)).alias("total_requests"),
-        F.count_if(INGESTED).alias("total_ingestions"),
+        F.count_if(ingested()).alias("total_ingestions"),
         F.count_if("cache_hit").alias("cache_hits"),
         F.count_if(~F.col("cache_hit")).alias("cache_misses"),
-        F.coalesce(F.sum(F.when(INGESTED, F.col("bytes_out"))), F.lit(0)).alias("total_bytes_processed"),
-        F.coalesce(F.sum(F.when(INGESTED, F.col("files_out"))), F.lit(0)).alias("total_files_processed"),
+        F.coalesce(F.sum(F.when(ingested(), F.col("bytes_out"))), F.lit(0)).alias("total_bytes_processed"),
+        F.coalesce(F.sum(F.when(ingested(), F.col("files_out"))), F.lit(0)).alias("total_files_processed"),
         F.count_if("is_error").alias("errors"),
     )
 
@@ -29,7 +30,7 @@ def repo_usage(requests: DataFrame) -> DataFrame:
     """Ingestions per repository with the size and file count of the latest one."""
     latest = F.max_by(F.struct("bytes_out", "files_out"), F.struct("ts_sec", "request_id"))
     return (
-        requests.where(INGESTED)
+        requests.where(ingested())
         .groupBy("url")
         .agg(F.count(F.lit(1)).alias("request_count"), F.max("ts_sec").alias("last_accessed"), latest.alias("l"))
         .select(
@@ -46,9 +47,9 @@ def hourly_usage(requests: DataFrame, now: int, hours: int = 24) -> DataFrame:
         requests.where(F.col("ts_sec") >= (now // 3600 - hours + 1) * 3600)
         .groupBy(hour.alias("hour"))
         .agg(
-            F.count_if(INGESTED).alias("requests"),
+            F.count_if(ingested()).alias("requests"),
             F.count_if("cache_hit").alias("cache_hits"),
-            F.coalesce(F.sum(F.when(INGESTED, F.col("bytes_out"))), F.lit(0)).alias("bytes"),
+            F.coalesce(F.sum(F.when(ingested(), F.col("bytes_out"))), F.lit(0)).alias("bytes"),
         )
     )
 

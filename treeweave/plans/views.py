@@ -244,7 +244,7 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | tuple[Dat
 def with_views(sql: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """The check text with the views it reads put in front."""
     extra = extra or {}
-    used = [n for text in [*extra.values(), sql] for n in NAMES.findall(text)]
+    used = [n for text in [*extra.values(), sql] for n in NAMES.findall(text) if n not in extra]
     parts = []
     for name in needed(used):
         text = re.sub(r"\{secs\}\((\w+)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", VIEWS[name])

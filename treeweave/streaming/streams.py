@@ -13,7 +13,7 @@ from treeweave.functions import text as T
 from treeweave.operators.catalog import EXPIRE_SECONDS, FRESH_SECONDS
 from treeweave.operators.filters import IngestOptions, should_include
 from treeweave.operators.render import block_of, texts_of
-from treeweave.operators.usage import INGESTED
+from treeweave.operators.usage import ingested
 
 
 def ingest_files(files: DataFrame, options: IngestOptions) -> DataFrame:
@@ -62,9 +62,9 @@ def stream_hourly(requests: DataFrame, lateness: str = "24 hours") -> DataFrame:
         .withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 hour").alias("w"))
         .agg(
-            F.count_if(INGESTED).alias("requests"),
+            F.count_if(ingested()).alias("requests"),
             F.count_if("cache_hit").alias("cache_hits"),
-            F.coalesce(F.sum(F.when(INGESTED, F.col("bytes_out"))), F.lit(0)).alias("bytes"),
+            F.coalesce(F.sum(F.when(ingested(), F.col("bytes_out"))), F.lit(0)).alias("bytes"),
         )
     )
     return hours.select(
@@ -76,7 +76,7 @@ def stream_repo_usage(requests: DataFrame) -> DataFrame:
     """Running figures per repository, for update or complete mode."""
     latest = F.max_by(F.struct("bytes_out", "files_out"), F.struct("ts_sec", "request_id"))
     return (
-        requests.where(INGESTED)
+        requests.where(ingested())
         .groupBy("url")
         .agg(F.count(F.lit(1)).alias("request_count"), F.max("ts_sec").alias("last_accessed"), latest.alias("l"))
         .select(
