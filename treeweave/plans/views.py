@@ -228,10 +228,15 @@ def needed(names: list[str]) -> list[str]:
     return found
 
 
-def load(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | tuple[DataFrame, ...]:
-    """The named views as DataFrames over the given tables."""
+def load(spark: SparkSession, sf_dir: str, *names: str, stream: bool = False) -> DataFrame | tuple[DataFrame, ...]:
+    """The named views as DataFrames over the given tables, read as streams if asked for."""
     for table in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        path = f"{sf_dir}/{table}.parquet"
+        given = spark.read.parquet(path)
+        if stream:
+            # A pattern, as a stream source takes a plain path for a folder and the table may be one file.
+            given = spark.readStream.schema(given.schema).parquet(path[:-1] + "[t]")
+        given.createOrReplaceTempView(table)
     frames = {}
     for name in needed(list(names)):
         text = re.sub(r"\{secs\}\((\w+)\)", r"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', \1)", VIEWS[name])
