@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Address prefixes that count as remote, folder names that end a branch name in a
-# `tree` or `blob` address, and the names of the address kinds.
+# Address prefixes that count as remote, and folder names that end a branch name in a
+# `tree` or `blob` address.
 REMOTE_PREFIXES = [
     "https://github.com/", "http://github.com/",
     "https://gitlab.com/", "http://gitlab.com/",
@@ -20,118 +20,130 @@ PATH_ROOTS = [
     "src", "lib", "test", "tests", "docs", "bin", "pkg", "cmd",
     "internal", "api", "web", "client", "server", "assets", "public",
 ]
-URL_KINDS = [
-    "Repository", "Tree", "Blob", "Raw", "Commit", "Gist", "Compare",
-    "GitLabRepository", "GitLabTree", "GitLabBlob", "GitLabMergeRequest",
-]
+# Characters that count as white space at the ends of an address.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
-SOURCE_TYPE = (
-    "struct<owner:string,repo:string,branch:string,path:string,url_type:string,canonical_url:string>"
-)
+HOST_PREFIXES = {
+    "gist": ["https://gist.github.com/", "http://gist.github.com/"],
+    "raw": ["https://raw.githubusercontent.com/", "http://raw.githubusercontent.com/"],
+    "hub": ["https://github.com/", "http://github.com/", "github.com/"],
+    "lab": ["https://gitlab.com/", "http://gitlab.com/", "gitlab.com/"],
+}
 
 
 def trimmed(source: Column) -> Column:
-    return F.regexp_replace(source, r"^\s+|\s+$|/+\s*$", "")
+    return F.rtrim(F.btrim(source, F.lit(SPACES)), F.lit("/"))
 
 
 def is_remote_url(url: Column) -> Column:
     return reduce(or_, [url.startswith(prefix) for prefix in REMOTE_PREFIXES])
 
 
-def _join(parts: Column, start: int | Column, count: Column) -> Column:
-    start = F.lit(start) if isinstance(start, int) else start
-    return F.array_join(F.slice(parts, start, F.greatest(count, F.lit(0))), "/")
-
-
-def _from(parts: Column, start: int) -> Column:
-    """The parts from `start` (1-based) on as one path, NULL if there are none."""
-    return F.when(F.size(parts) >= start, _join(parts, start, F.size(parts) - (start - 1)))
+def _path_of(url: Column, host: str) -> Column:
+    """What follows the host, NULL for another host."""
+    path = F
+    for prefix in HOST_PREFIXES[host]:
+        path = path.when(url.startswith(prefix), F.substring(url, len(prefix) + 1, 1 << 30))
+    return path
 
 
-def _source(kind: str, owner: Column, repo: Column, branch: Column, path: Column, canonical: Column) -> Column:
-    return F.struct(
-        owner.alias("owner"), repo.alias("repo"), branch.cast("string").alias("branch"),
-        path.cast("string").alias("path"), F.lit(kind).alias("url_type"), canonical.alias("canonical_url"),
+def _joined(parts: Column, start: int | Column, count: Column | None = None) -> Column:
+    """Parts from `start` (1-based) on as a path, NULL if `start` is behind the last one."""
+    start = F.lit(start) if isinstance(start, int) else start
+    count = F.size(parts) if count is None else count
+    sliced = F.slice(parts, F.greatest(start, F.lit(1)), F.greatest(count, F.lit(0)))
+    return F.when(start <= F.size(parts), F.array_join(sliced, "/"))
+
+
+def with_parsed(df: DataFrame, gitlab: bool = True) -> DataFrame:
+    """Add `parsed`, a struct of the address in `source`, NULL where it is none we know.
+
+    The steps are projections of their own, so that each part of the address is worked out once per row.
+    """
+    c = F.col
+    part = lambda n: F.get("_parts", n if isinstance(n, Column) else F.lit(n))
+    url = c("_url")
+    host_path = (
+        F.when(url.contains("gist.github.com"), _path_of(url, "gist"))
+        .when(url.contains("raw.githubusercontent.com"), _path_of(url, "raw"))
     )
-
-
-def _tail(url: Column, pattern: str) -> Column:
-    """What follows a host, NULL for another host."""
-    return F.when(url.rlike(pattern), F.regexp_replace(url, pattern, ""))
-
-
-def github_source(source: Column) -> Column:
-    """Struct of a GitHub, gist or raw address, NULL if it is none of them."""
-    url, none = trimmed(source), F.lit(None)
-
-    gist = F.split(_tail(url, r"^https?://gist\.github\.com/"), "/")
-    gist_of = lambda n: F.concat_ws("/", F.lit("https://gist.github.com"), F.slice(gist, 1, n))
-    gist_source = F.when(
-        F.size(gist) == 1, _source("Gist", F.lit("anonymous"), gist[0], none, none, gist_of(1))
-    ).when(F.size(gist) >= 2, _source("Gist", gist[0], F.get(gist, F.lit(1)), none, none, gist_of(2)))
-
-    raw = F.split(_tail(url, r"^https?://raw\.githubusercontent\.com/"), "/")
-    repo_url = lambda parts: F.concat_ws(
-        "/", F.lit("https://github.com"), F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    plain = _path_of(url, "hub")
+    host = (
+        F.when(url.contains("gist.github.com"), "gist")
+        .when(url.contains("raw.githubusercontent.com"), "raw")
+        .when(plain.isNotNull(), "hub")
     )
-    raw_source = F.when(
-        F.size(raw) >= 3,
-        _source("Raw", raw[0], F.get(raw, F.lit(1)), F.get(raw, F.lit(2)), _from(raw, 4), repo_url(raw)),
+    path = F.when(host.isin("gist", "raw"), host_path).otherwise(plain)
+    # An address of a gist or raw host that does not start with it can still be a GitLab address, as can any other.
+    lab_path = _path_of(url, "lab")
+
+    parts = F.split(F.coalesce(c("_path"), c("_lab")) if gitlab else c("_path"), "/")
+    size = F.size("_parts")
+    roots = F.transform(
+        F.slice("_parts", 4, 1 << 20), lambda p: (p.contains(".") & ~p.endswith(".git")) | p.isin(PATH_ROOTS)
     )
-
-    parts = F.split(_tail(url, r"^(https?://)?github\.com/"), "/")
-    owner, repo = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    action, target = F.get(parts, F.lit(2)), F.get(parts, F.lit(3))
-    rest = F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0)))
-    starts_path = F.transform(
-        rest, lambda p: (p.contains(".") & ~p.endswith(".git")) | p.isin(PATH_ROOTS)
-    )
-    first = F.array_position(starts_path, F.lit(True)).cast("int")
-    branch = F.when(first > 0, _join(rest, 1, first - 1)).otherwise(F.array_join(rest, "/"))
-    path = F.when(first > 0, _join(rest, F.greatest(first, F.lit(1)), F.size(rest) - first + 1))
-    deep = F.size(parts) >= 4
-    hub_source = (
-        F.when(F.size(parts) == 2, _source("Repository", owner, repo, none, none, repo_url(parts)))
-        .when(deep & (action == "tree"), _source("Tree", owner, repo, branch, path, repo_url(parts)))
-        .when(deep & (action == "blob"), _source("Blob", owner, repo, branch, path, repo_url(parts)))
-        .when(deep & (action == "commit"), _source("Commit", owner, repo, target, none, repo_url(parts)))
+    is_lab = c("_path").isNull() & c("_lab").isNotNull()
+    kind = (
+        F.when(is_lab, F.lit(None))
+        .when(c("_host") == "gist", "Gist")
+        .when((c("_host") == "raw") & (size >= 3), "Raw")
+        .when((c("_host") == "hub") & (size == 2), "Repository")
         .when(
-            deep & (action == "compare"),
-            _source("Compare", owner, repo, F.array_join(rest, "/"), none, repo_url(parts)),
+            (c("_host") == "hub") & (size >= 4) & part(2).isin("tree", "blob", "commit", "compare"), F.initcap(part(2))
         )
     )
-    return (
-        F.when(url.contains("gist.github.com"), gist_source)
-        .when(url.contains("raw.githubusercontent.com"), raw_source)
-        .otherwise(hub_source)
+    mark = c("_mark")
+    acts = mark > 1
+    lab_kind = F.when(size >= 2, F.when(mark == 0, "GitLabRepository")
+        .when(acts & (part(mark) == "tree") & (size >= mark + 2), "GitLabTree")
+        .when(acts & (part(mark) == "blob") & (size >= mark + 3), "GitLabBlob")
+        .when(acts & (part(mark) == "merge_requests") & (size >= mark + 2), "GitLabMergeRequest"))
+    if gitlab:
+        kind = F.when(is_lab, lab_kind).otherwise(kind)
+
+    k, lab_deep = c("_kind"), c("_kind").isin("GitLabTree", "GitLabBlob", "GitLabMergeRequest")
+    branchy = k.isin("Tree", "Blob")
+    owner = F.when((k == "Gist") & (size == 1), "anonymous").otherwise(part(0))
+    repo = (
+        F.when(k == "Gist", F.when(size == 1, part(0)).otherwise(part(1)))
+        .when(k == "GitLabRepository", part(size - 1))
+        .when(lab_deep, part(mark - 2))
+        .otherwise(part(1))
     )
-
-
-def gitlab_source(source: Column) -> Column:
-    """Struct of a GitLab address; a `-` part ends the project path."""
-    parts = F.split(_tail(trimmed(source), r"^(https?://)?gitlab\.com/"), "/")
-    mark = F.array_position(parts, "-").cast("int")
-    project_size = F.when(mark > 0, mark - 1).otherwise(F.size(parts))
-    project = F.slice(parts, F.lit(1), F.greatest(project_size, F.lit(0)))
-    action = F.slice(
-        parts, F.greatest(mark + 1, F.lit(1)), F.greatest(F.size(parts) - mark, F.lit(0))
+    cut = c("_cut")
+    branch = (
+        F.when(branchy, F.when(cut == 1, F.lit("")).when(cut > 1, _joined(c("_parts"), 4, cut - 1)).otherwise(_joined(c("_parts"), 4)))
+        .when(k == "Raw", part(2))
+        .when(k == "Commit", part(3))
+        .when(k == "Compare", _joined(c("_parts"), 4))
+        .when(lab_deep, part(mark + 1))
     )
-    owner, repo = F.get(project, F.lit(0)), F.get(project, F.size(project) - 1)
-    canonical = F.concat_ws("/", F.lit("https://gitlab.com"), F.array_join(project, "/"))
-    kind, target, none = F.get(action, F.lit(0)), F.get(action, F.lit(1)), F.lit(None)
-    acts = (mark > 1) & (F.size(action) >= 2)
-    return F.when(
-        F.size(parts) >= 2,
-        F.when(mark == 0, _source("GitLabRepository", owner, repo, none, none, canonical))
-        .when(acts & (kind == "tree"), _source("GitLabTree", owner, repo, target, _from(action, 3), canonical))
-        .when(
-            acts & (kind == "blob") & (F.size(action) >= 3),
-            _source("GitLabBlob", owner, repo, target, _from(action, 3), canonical),
-        )
-        .when(
-            acts & (kind == "merge_requests"),
-            _source("GitLabMergeRequest", owner, repo, target, none, canonical),
-        ),
+    inner = (
+        F.when(branchy & (cut > 0), _joined(c("_parts"), cut + 3))
+        .when(k == "Raw", _joined(c("_parts"), 4))
+        .when(k.isin("GitLabTree", "GitLabBlob"), _joined(c("_parts"), mark + 3))
+    )
+    canonical = (
+        F.when(k == "Gist", F.concat(F.lit("https://gist.github.com/"), _joined(c("_parts"), 1, F.lit(2))))
+        .when(k == "GitLabRepository", F.concat(F.lit("https://gitlab.com/"), _joined(c("_parts"), 1)))
+        .when(lab_deep, F.concat(F.lit("https://gitlab.com/"), _joined(c("_parts"), 1, mark - 1)))
+        .otherwise(F.concat(F.lit("https://github.com/"), _joined(c("_parts"), 1, F.lit(2))))
+    )
+    fields = F.struct(
+        owner.alias("owner"), repo.alias("repo"), branch.alias("branch"), inner.alias("path"),
+        k.alias("url_type"), canonical.alias("canonical_url"),
+    )
+    return (
+        df.withColumn("_url", trimmed(c("source")))
+        .withColumns({"_host": host, "_path": path, "_lab": lab_path})
+        .withColumn("_parts", parts)
+        .withColumns({
+            "_mark": F.array_position("_parts", "-").cast("int"),
+            "_cut": F.when(part(2).isin("tree", "blob"), F.array_position(roots, F.lit(True)).cast("int")),
+        })
+        .withColumn("_kind", kind)
+        .withColumn("parsed", F.when(k.isNotNull(), fields))
+        .drop("_url", "_host", "_path", "_lab", "_parts", "_mark", "_cut", "_kind")
     )
 
 

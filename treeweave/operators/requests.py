@@ -10,8 +10,7 @@ from treeweave.functions.keys import diff_key, request_key
 
 def classify_sources(requests: DataFrame) -> DataFrame:
     """Add `parsed`, a struct of the address, NULL where it is none we know."""
-    source = F.col("source")
-    return requests.withColumn("parsed", F.coalesce(U.github_source(source), U.gitlab_source(source)))
+    return U.with_parsed(requests)
 
 
 def normalize_sources(requests: DataFrame, explicit_wins: bool = True) -> DataFrame:
@@ -158,14 +157,13 @@ def route_requests(requests: DataFrame) -> DataFrame:
 def dispatch_sources(requests: DataFrame) -> DataFrame:
     """Where a command-line source goes: `github` (with its kind), `git_url` or `local`."""
     source = F.col("source")
-    hub = U.github_source(source)
     parts = U.shorthand_parts(source)
     compare = F.split(source, "/", 4)
     is_compare = (
         ~source.contains("://") & (F.size(compare) == 4) & (F.get(compare, F.lit(2)) == "compare")
     )
-    known = requests.withColumn("_hub", hub)
-    found = F.col("_hub").isNotNull()
+    known = U.with_parsed(requests, gitlab=False)
+    found = F.col("parsed").isNotNull()
     target = (
         F.when(found | parts.isNotNull() | is_compare, "github")
         .when(U.is_remote_url(source), "git_url")
@@ -173,11 +171,11 @@ def dispatch_sources(requests: DataFrame) -> DataFrame:
     )
     return known.select(
         *requests.columns, target.alias("target"),
-        F.when(found, F.col("_hub.url_type")).when(parts.isNotNull(), "Repository").when(is_compare, "Compare").alias("url_type"),
-        F.when(found, F.col("_hub.owner")).when(target == "github", F.get(compare, F.lit(0))).alias("owner"),
-        F.when(found, F.col("_hub.repo")).when(target == "github", F.get(compare, F.lit(1))).alias("repo"),
-        F.when(found, F.col("_hub.branch")).when(parts.isNull() & is_compare, F.get(compare, F.lit(3))).alias("branch"),
-        F.col("_hub.path").alias("path"),
+        F.when(found, F.col("parsed.url_type")).when(parts.isNotNull(), "Repository").when(is_compare, "Compare").alias("url_type"),
+        F.when(found, F.col("parsed.owner")).when(target == "github", F.get(compare, F.lit(0))).alias("owner"),
+        F.when(found, F.col("parsed.repo")).when(target == "github", F.get(compare, F.lit(1))).alias("repo"),
+        F.when(found, F.col("parsed.branch")).when(parts.isNull() & is_compare, F.get(compare, F.lit(3))).alias("branch"),
+        F.col("parsed.path").alias("path"),
     )
 
 
