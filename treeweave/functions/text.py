@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The Unicode White_Space class and the weights of the token estimate.
-WHITE_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# The weights of the token estimate.
 BYTES_PER_TOKEN = 3.3
 TOKENS_PER_WORD = 0.75
 TOKENS_PER_LINE = 0.1
@@ -16,7 +15,8 @@ def byte_count(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{WHITE_SPACE}]+")).cast("bigint")
+    """Runs of anything but Unicode white space."""
+    return F.regexp_count(text, F.lit(r"(?U)\S+")).cast("bigint")
 
 
 def line_count(text: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treeweave.operators.snapshots import changed_files, file_diff_stats, file_patches
+from treeweave.operators.snapshots import changed_files, file_patches
 from treeweave.session import pin
 
 # Where a reference name is looked up, in this order; then the base branches.
@@ -73,14 +73,16 @@ def branch_heads(wanted: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def _jumps(parents: DataFrame, rounds: int) -> list[DataFrame]:
-    """First-parent steps of 1, 2, 4, ... commits, each table joined from the one before."""
-    step = pin(
-        parents.where(F.col("parent_ord") == 0).select("repo_url", "sha", F.col("parent_sha").alias("to_sha"))
-    )
+    """First-parent steps of 1, 2, 4, ... commits, each table joined from the one before.
+
+    Every second one is written, so that plans stay small however long the history.
+    """
+    step = parents.where(F.col("parent_ord") == 0).select("repo_url", "sha", F.col("parent_sha").alias("to_sha"))
     steps = [step]
-    for _ in range(rounds - 1):
+    for level in range(1, rounds):
         onward = step.select("repo_url", F.col("sha").alias("to_sha"), F.col("to_sha").alias("_next"))
-        step = pin(step.join(onward, ["repo_url", "to_sha"]).select("repo_url", "sha", F.col("_next").alias("to_sha")))
+        step = step.join(onward, ["repo_url", "to_sha"]).select("repo_url", "sha", F.col("_next").alias("to_sha"))
+        step = pin(step) if level % 2 == 0 else step
         steps.append(step)
     return steps
 
@@ -97,12 +99,13 @@ def reachable(
     keys: list[str],
     steps: list[DataFrame],
     known: DataFrame | None = None,
+    single_start: bool = False,
 ) -> DataFrame:
     """Commits reachable from `starts` (keys, sha), themselves included.
 
     First-parent chains are followed by doubling, so rounds grow with the logarithm of the history, plus one outer
     round per level of merges within merges. `known` is a set closed under parents (keys of its own, joined by the
-    columns it shares with `starts`) that the walk does not enter.
+    columns it shares with `starts`) that the walk does not enter. `single_start` tells that each key has one start.
     """
 
     def outside(df: DataFrame) -> DataFrame:
@@ -111,22 +114,22 @@ def reachable(
         return df.join(known, [c for c in known.columns if c in df.columns], "left_anti")
 
     columns = [*keys, "sha"]
-    sides = pin(
-        parents.where(F.col("parent_ord") > 0).select("repo_url", "sha", F.col("parent_sha").alias("to_sha"))
-    )
+    sides = parents.where(F.col("parent_ord") > 0).select("repo_url", "sha", F.col("parent_sha").alias("to_sha"))
     frontier = outside(starts.select(*columns).distinct())
     seen = None
     while True:
         layer = frontier
         for step in steps:
             both = F.explode(F.array_compact(F.array("sha", "to_sha"))).alias("sha")
-            layer = outside(layer.join(step, ["repo_url", "sha"], "left").select(*keys, both).distinct())
+            layer = outside(layer.join(step, ["repo_url", "sha"], "left").select(*keys, both))
+            if seen is not None or not single_start:
+                # Two starts on one chain reach the same commits; a single start reaches each distance once.
+                layer = layer.distinct()
         fresh = pin(layer if seen is None else layer.join(seen, columns, "left_anti"))
         seen = fresh if seen is None else seen.unionByName(fresh)
         frontier = outside(
             fresh.join(sides, ["repo_url", "sha"]).select(*keys, F.col("to_sha").alias("sha")).distinct()
         ).join(seen, columns, "left_anti")
-        frontier = pin(frontier)
         if frontier.isEmpty():
             return seen
 
@@ -144,10 +147,10 @@ def merge_bases(pairs: DataFrame, commits: DataFrame, parents: DataFrame) -> Dat
     steps = _jumps(edges, jump_tables(times))
 
     bases = asked.select("repo_url", "base_sha").distinct()
-    old = reachable(bases.withColumn("sha", F.col("base_sha")), edges, ["repo_url", "base_sha"], steps)
+    old = reachable(bases.withColumn("sha", F.col("base_sha")), edges, ["repo_url", "base_sha"], steps, single_start=True)
     pair = ["repo_url", "base_sha", "head_sha"]
     starts = asked.withColumn("sha", F.col("head_sha"))
-    own = reachable(starts, edges, pair, steps, known=old)
+    own = reachable(starts, edges, pair, steps, known=old, single_start=True)
 
     touched = own.join(edges, ["repo_url", "sha"]).select(*pair, F.col("parent_sha").alias("sha"))
     met = pin(
@@ -156,7 +159,7 @@ def merge_bases(pairs: DataFrame, commits: DataFrame, parents: DataFrame) -> Dat
         .join(old, ["repo_url", "base_sha", "sha"], "left_semi")
     )
     several = met.groupBy(*pair).count().where(F.col("count") > 1).select(*pair)
-    doubtful = pin(met.join(several, pair, "left_semi"))
+    doubtful = met.join(several, pair, "left_semi")
     best = met
     if not doubtful.isEmpty():
         above = doubtful.join(edges, ["repo_url", "sha"]).select(*pair, F.col("parent_sha").alias("sha"))
@@ -208,17 +211,6 @@ def pair_changes(pairs: DataFrame, trees: DataFrame) -> DataFrame:
     return changed_files(side("base_sha"), side("head_sha"), PAIR)
 
 
-def pair_stats(pairs: DataFrame, trees: DataFrame) -> DataFrame:
-    """Files changed, insertions and deletions for every pair, zero where nothing differs."""
-    counted = file_diff_stats(pair_changes(pairs, trees)).groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("files_changed"),
-        F.sum("insertions").alias("insertions"),
-        F.sum("deletions").alias("deletions"),
-    )
-    asked = pairs.withColumn("base_sha", F.coalesce("base_sha", F.lit("")))
-    return asked.join(counted, PAIR, "left").fillna(0, ["files_changed", "insertions", "deletions"])
-
-
 def _count_lines() -> list[Column]:
     return [
         F.lit("Files changed: "), F.col("files_changed").cast("string"),
@@ -230,16 +222,23 @@ def _count_lines() -> list[Column]:
 def _report(pairs: DataFrame, trees: DataFrame, title: list[Column], keys: list[str], context: int) -> DataFrame:
     """Report rows (keys, section, path, text): the title with its counts, then one patch per file.
 
-    Ordered by section and path the texts are the report.
+    Ordered by section and path the texts are the report. Patches are worked out once and written, then both counted
+    and reported.
     """
-    titles = pair_stats(pairs, trees).select(
+    rooted = pairs.withColumn("base_sha", F.coalesce("base_sha", F.lit("")))
+    patches = pin(file_patches(pair_changes(pairs, trees), context).select(*PAIR, "path", "patch", "insertions", "deletions"))
+    counts = patches.groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("files_changed"),
+        F.sum("insertions").alias("insertions"),
+        F.sum("deletions").alias("deletions"),
+    )
+    titles = rooted.join(counts, PAIR, "left").fillna(0, ["files_changed", "insertions", "deletions"]).select(
         *keys, F.lit(0).alias("section"), F.lit("").alias("path"), F.concat(*title, *_count_lines()).alias("text")
     )
-    asked = pairs.withColumn("base_sha", F.coalesce("base_sha", F.lit(""))).select(*{*keys, *PAIR})
-    patches = file_patches(pair_changes(pairs, trees), context).join(asked, PAIR).select(
+    texts = patches.join(rooted.select(*{*keys, *PAIR}), PAIR).select(
         *keys, F.lit(1).alias("section"), "path", F.col("patch").alias("text")
     )
-    return titles.unionByName(patches)
+    return titles.unionByName(texts)
 
 
 def compare_report(pairs: DataFrame, trees: DataFrame, context: int = 3) -> DataFrame:

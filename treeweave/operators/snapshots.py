@@ -106,14 +106,14 @@ def _whole_file(text: Column, mark: str) -> Column:
 
 
 def file_patches(changes: DataFrame, context: int = 3) -> DataFrame:
-    """Patch text per changed file. Whole-file hunks and headers are column expressions."""
+    """Patch text and line counts per changed file. Whole-file hunks and headers are column expressions."""
 
-    @F.pandas_udf("string")
-    def line_hunks(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if a is None and b is None else hunks(a or b"", b or b"", context) for a, b in zip(old, new)],
-            dtype=object,
-        )
+    @F.pandas_udf("hunks string, shared bigint")
+    def line_hunks(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        rows = [
+            (None, 0) if a is None and b is None else hunks(a or b"", b or b"", context) for a, b in zip(old, new)
+        ]
+        return pd.DataFrame(rows, columns=["hunks", "shared"])
 
     path, status = F.col("path"), F.col("status")
     old, new = F.col("old_content"), F.col("new_content")
@@ -122,7 +122,7 @@ def file_patches(changes: DataFrame, context: int = 3) -> DataFrame:
     in_python = ~binary & ((status == "modified") | ~F.is_valid_utf8(side))
     hunk_text = line_hunks(F.when(in_python, old), F.when(in_python, new))
     body = (
-        F.when(in_python, F.col("_hunks"))
+        F.when(in_python, F.col("_lines.hunks"))
         .when(status == "added", _whole_file(side, "+"))
         .otherwise(_whole_file(side, "-"))
     )
@@ -147,8 +147,12 @@ def file_patches(changes: DataFrame, context: int = 3) -> DataFrame:
             ),
         )
     )
-    return changes.withColumn("_hunks", hunk_text).select(
-        *[c for c in changes.columns if c not in ("old_content", "new_content")], patch.alias("patch")
+    shared = F.coalesce("_lines.shared", F.lit(0))
+    return changes.withColumn("_lines", hunk_text).select(
+        *[c for c in changes.columns if c not in ("old_content", "new_content")],
+        patch.alias("patch"),
+        F.when(binary, 0).otherwise(_lines(new) - shared).alias("insertions"),
+        F.when(binary, 0).otherwise(_lines(old) - shared).alias("deletions"),
     )
 
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeweave.session import ship_package
+
 NOW = 1706659200
 BASE_TABLES = ("documents", "events")
 
@@ -230,6 +232,7 @@ def needed(names: list[str]) -> list[str]:
 
 def load(spark: SparkSession, sf_dir: str, *names: str, stream: bool = False) -> DataFrame | tuple[DataFrame, ...]:
     """The named views as DataFrames over the given tables, read as streams if asked for."""
+    ship_package(spark)
     for table in BASE_TABLES:
         path = f"{sf_dir}/{table}.parquet"
         given = spark.read.parquet(path)

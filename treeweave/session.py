@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folder: str | None = None
+
+
 def build_session(app: str = "treeweave", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -25,28 +30,42 @@ def build_session(app: str = "treeweave", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for clusters where it is not installed."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='treeweave-package-')}/{package.name}", "zip", package.parent, package.name
+    )
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`, or a temporary one in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rsplit("/", 1)[0]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="treeweave-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    global _local_folder
+    _local_folder = _local_folder or tempfile.mkdtemp(prefix="treeweave-")
+    return _local_folder
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one; all folders of an application lie side by side."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder, so that later steps see the same rows even if executors are lost."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    """Checkpoint `df` in the shared folder: later steps see the same rows even if executors are lost."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
