@@ -37,7 +37,8 @@ def token_estimate(n_bytes: Column, n_words: Column, n_lines: Column) -> Column:
         column = value if isinstance(value, Column) else F.lit(value)
         return column.cast("float")
 
-    by_bytes = single(single(n_bytes) / single(BYTES_PER_TOKEN))
+    # A division widens to double, and the optimizer then skips a bare cast to single; the product by one keeps it.
+    by_bytes = single(single(n_bytes) * single(1.0) / single(BYTES_PER_TOKEN))
     mean = single((by_bytes + single(n_words) * single(TOKENS_PER_WORD)) / single(2.0))
     return (mean + single(n_lines) * single(TOKENS_PER_LINE)).cast("bigint")
 
