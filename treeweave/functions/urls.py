@@ -85,7 +85,7 @@ def with_parsed(df: DataFrame, gitlab: bool = True) -> DataFrame:
     is_lab = c("_path").isNull() & c("_lab").isNotNull()
     kind = (
         F.when(is_lab, F.lit(None))
-        .when(c("_host") == "gist", "Gist")
+        .when((c("_host") == "gist") & (size >= 1), "Gist")
         .when((c("_host") == "raw") & (size >= 3), "Raw")
         .when((c("_host") == "hub") & (size == 2), "Repository")
         .when(
