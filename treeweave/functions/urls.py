@@ -7,6 +7,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from treeweave.functions.steps import once
+
 # Address prefixes that count as remote, and folder names that end a branch name in a
 # `tree` or `blob` address.
 REMOTE_PREFIXES = [
@@ -133,7 +135,7 @@ def with_parsed(df: DataFrame, gitlab: bool = True) -> DataFrame:
         owner.alias("owner"), repo.alias("repo"), branch.alias("branch"), inner.alias("path"),
         k.alias("url_type"), canonical.alias("canonical_url"),
     )
-    return (
+    stepwise = (
         df.withColumn("_url", trimmed(c("source")))
         .withColumns({"_host": host, "_path": path, "_lab": lab_path})
         .withColumn("_parts", parts)
@@ -142,9 +144,8 @@ def with_parsed(df: DataFrame, gitlab: bool = True) -> DataFrame:
             "_cut": F.when(part(2).isin("tree", "blob"), F.array_position(roots, F.lit(True)).cast("int")),
         })
         .withColumn("_kind", kind)
-        .withColumn("parsed", F.when(k.isNotNull(), fields))
-        .drop("_url", "_host", "_path", "_lab", "_parts", "_mark", "_cut", "_kind")
     )
+    return once(stepwise, df.columns, parsed=F.when(k.isNotNull(), fields))
 
 
 def valid_name(name: Column) -> Column:
@@ -178,11 +179,5 @@ def valid_sha(sha: Column) -> Column:
 
 
 def valid_number(text: Column) -> Column:
-    """Decimal text that fits 32 unsigned bits."""
-    digits = F.regexp_replace(text, r"^\+?0*", "")
-    return (
-        text.isNotNull()
-        & text.rlike(r"^\+?[0-9]+$")
-        & (F.length(digits) <= 10)
-        & (F.coalesce(F.expr("0L") + F.when(F.length(digits) <= 10, digits).try_cast("bigint"), F.lit(0)) <= 4294967295)
-    )
+    """Decimal text, with or without a plus sign, that fits 32 unsigned bits."""
+    return text.isNotNull() & text.rlike(r"^\+?0*[0-9]{1,10}$") & F.coalesce(text.try_cast("bigint") <= 4294967295, F.lit(False))

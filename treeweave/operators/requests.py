@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from treeweave.functions import urls as U
 from treeweave.functions.keys import diff_key, request_key
+from treeweave.functions.steps import once
 
 
 def classify_sources(requests: DataFrame) -> DataFrame:
@@ -28,52 +29,50 @@ def normalize_sources(requests: DataFrame, explicit_wins: bool = True) -> DataFr
     pick = (lambda name: F.coalesce(name, f"parsed.{name}")) if explicit_wins else (
         lambda name: F.coalesce(f"parsed.{name}", name)
     )
-    return classify_sources(requests).select(
-        *[c for c in requests.columns if c not in ("branch", "path")],
-        F.coalesce(parsed.canonical_url, short, source).alias("url"),
-        pick("branch").alias("branch"),
-        pick("path").alias("path"),
+    return once(
+        classify_sources(requests),
+        [c for c in requests.columns if c not in ("branch", "path")],
+        url=F.coalesce(parsed.canonical_url, short, source),
+        branch=pick("branch"),
+        path=pick("path"),
     )
 
 
-def request_problem(strict: bool = True) -> Column:
-    """Why a request is refused, NULL if it is good. Needs `source`, `operation`, `argument`, `url` and `parsed`."""
-    source, url = F.col("source"), F.col("url")
-    operation, argument = F.col("operation"), F.col("argument")
+def validate_requests(requests: DataFrame, strict: bool = True) -> DataFrame:
+    """Add `reason`, why a request is refused, NULL if it is good. Needs `source`, `operation` and `argument`.
+
+    `strict=False` is the rule of the web form: it takes `source` only and allows longer names.
+    """
     if not strict:
-        text = U.trimmed(source)
-        path = F.regexp_replace(text, r"^(https?://)?github\.com/", "")
-        parts = F.split(path, "/")
-        shaped = F.when(
-            text.rlike(r"^(https?://)?github\.com/"), F.size(parts) >= 2
-        ).otherwise((F.size(parts) == 2) & ~text.contains("://"))
-        return (
+        text = F.col("_text")
+        hub = text.startswith("https://github.com/") | text.startswith("http://github.com/") | text.startswith("github.com/")
+        parts = F.col("_parts")
+        shaped = F.when(hub, F.size(parts) >= 2).otherwise((F.size(parts) == 2) & ~text.contains("://"))
+        named = U.valid_display_name(F.get(parts, F.lit(0))) & U.valid_display_name(F.get(parts, F.lit(1)))
+        prepared = requests.withColumn("_text", F.btrim("source", F.lit(U.SPACES))).withColumn(
+            "_parts", F.split(F.when(hub, F.regexp_replace(text, r"^(https?://)?github\.com/", "")).otherwise(text), "/")
+        )
+        reason = (
             F.when(text.contains("..") | text.contains("//") | text.contains("\\"), "unsafe")
             .when(~shaped, "not_a_repository")
-            .when(
-                ~(U.valid_display_name(parts[0]) & U.valid_display_name(F.get(parts, F.lit(1)))), "invalid_name"
-            )
+            .when(~named, "invalid_name")
         )
-    address = F.split(F.regexp_replace(url, r"^https?://[^/]+/", ""), "/")
-    named = U.valid_name(F.get(address, F.lit(0))) & U.valid_name(F.element_at(address, -1))
+        return once(prepared, requests.columns, reason=reason)
+
+    operation, argument, url = F.col("operation"), F.col("argument"), F.col("url")
+    known = normalize_sources(requests)
+    prepared = known.withColumn("_address", F.split(F.regexp_replace(url, r"^https?://[^/]+/", ""), "/"))
+    named = U.valid_name(F.get("_address", F.lit(0))) & U.valid_name(F.element_at("_address", -1))
     hub = url.rlike(r"^https?://(github|gitlab)\.com/")
-    compare = compare_sides(argument)
-    return (
-        F.when(F.coalesce(source, F.lit("")) == "", "empty_url")
+    reason = (
+        F.when(F.coalesce("source", F.lit("")) == "", "empty_url")
         .when(~U.is_remote_url(url), "invalid_url")
         .when(hub & ~named, "invalid_name")
         .when((operation == "commit") & ~U.valid_sha(argument), "invalid_sha")
         .when(operation.isin("pull", "merge_request") & ~U.valid_number(argument), "invalid_number")
-        .when((operation == "compare") & compare.isNull(), "invalid_compare")
+        .when((operation == "compare") & compare_sides(argument).isNull(), "invalid_compare")
     )
-
-
-def validate_requests(requests: DataFrame, strict: bool = True) -> DataFrame:
-    """Add `reason`; good rows have none."""
-    if not strict:
-        return requests.withColumn("reason", request_problem(False))
-    checked = normalize_sources(requests)
-    return checked.withColumn("reason", request_problem())
+    return once(prepared, known.columns, reason=reason)
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
