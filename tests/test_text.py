@@ -171,6 +171,8 @@ def test_worktree_and_documents(spark, tmp_path):
     assert [r.path for r in found.collect()] == ["c d.txt"]
     assert "PartitionFilters: [" in found._jdf.queryExecution().executedPlan().toString()
     assert sources.scan_snapshot(spark, str(tmp_path / "s"), []).count() == 0
+    table = spark.createDataFrame([("r1",)], "repo_url string")
+    assert sorted(r.path for r in sources.scan_snapshot(spark, str(tmp_path / "s"), table).collect()) == ["a.rs", "src/b.rs"]
 
     document = render.repo_document(scanned.where("repo_url = 'r1'"), IngestOptions(preset="standard"))
     sinks.write_documents(document, str(tmp_path / "d"))

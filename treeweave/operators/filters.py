@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from treeweave.functions.globs import (
     any_glob,
     any_include,
-    extension,
-    first_component,
     glob_match,
     included_by_any,
     matches_any,
@@ -19,6 +17,7 @@ from treeweave.functions.globs import (
 from treeweave.operators.rules import dropped_by_preset, effective_patterns, preset_name
 
 MAX_FILE_SIZE = 1024 * 1024
+COMPILED_RULES = 1_000
 
 
 @dataclass(frozen=True)
@@ -47,25 +46,50 @@ def exclude(files: DataFrame, patterns: Iterable[str]) -> DataFrame:
     return files.where(~matches_any(patterns, F.col("path")))
 
 
-def exclude_by_table(files: DataFrame, rules: DataFrame) -> DataFrame:
+def exclude_by_table(files: DataFrame, rules: DataFrame, compiled_limit: int = COMPILED_RULES) -> DataFrame:
     """Drop files that a rule table (`pattern`) matches.
 
-    Suffixes of one extension and literals of one component become hash anti joins; only the other forms
-    are compared one by one.
+    A table of up to `compiled_limit` patterns becomes a filter on the path; at most one row more is read to find out.
+    A larger one is joined by equality: see `matched_paths`.
     """
-    pattern = F.col("pattern")
-    ending = F.substring(pattern, 3, 1 << 30)
-    plain_suffix = pattern.startswith("*.") & ~ending.contains(".") & ~ending.contains("/")
-    plain_literal = ~pattern.contains("*") & ~pattern.contains("/")
     known = rules.select("pattern").distinct()
-    suffixes = known.where(plain_suffix).select(ending.alias("_ending"))
-    literals = known.where(plain_literal).select(pattern.alias("_component"))
-    others = known.where(~plain_suffix & ~plain_literal)
-    path = F.col("path")
+    few = [row.pattern for row in known.limit(compiled_limit + 1).collect()]
+    if len(few) <= compiled_limit:
+        return exclude(files, few)
+    return files.join(matched_paths(files, known), "path", "left_anti")
+
+
+def matched_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct paths that any pattern matches, for rule tables of any size.
+
+    Each pattern is filed under a text its matches must start or end with, each path under all its beginnings and
+    endings; equal texts meet in a hash join and are then compared in full.
+    """
+    pattern, path = F.col("pattern"), F.col("path")
+    star = F.instr(pattern, "*")
+    by_end = pattern.startswith("*.") | ((star == 1) & ~pattern.endswith("/*"))
+    text = (
+        F.when(by_end, F.substring(pattern, 2, 1 << 30))
+        .when(pattern.endswith("/*"), F.substring(pattern, F.lit(1), F.length(pattern) - 2))
+        .when(star > 0, F.substring(pattern, F.lit(1), star - 1))
+        .otherwise(pattern)
+    )
+    several = F.length(pattern) - F.length(F.replace(pattern, F.lit("*"), F.lit(""))) > 1
+    literal = several & ~pattern.startswith("*.") & ~pattern.endswith("/*")
+    filed = rules.select(
+        "pattern", F.when(literal, F.lit(False)).otherwise(by_end).alias("at_end"),
+        F.when(literal, pattern).otherwise(text).alias("text"),
+    )
+    places = F.sequence(F.lit(0), F.length(path))
+    beginnings = F.transform(places, lambda n: F.struct(F.lit(False).alias("at_end"), F.substring(path, F.lit(1), n).alias("text")))
+    endings = F.transform(places, lambda n: F.struct(F.lit(True).alias("at_end"), F.substring(path, n + 1, F.length(path)).alias("text")))
     return (
-        files.join(suffixes, F.when(path.contains("."), extension(path)) == F.col("_ending"), "left_anti")
-        .join(literals, first_component(path) == F.col("_component"), "left_anti")
-        .join(others, glob_match(pattern, path), "left_anti")
+        files.select("path").distinct()
+        .select("path", F.inline(F.concat(beginnings, endings)))
+        .join(filed, ["at_end", "text"])
+        .where(glob_match(pattern, path))
+        .select("path")
+        .distinct()
     )
 
 

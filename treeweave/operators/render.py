@@ -72,7 +72,9 @@ def tree_rows(kept: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """
     path = F.col("path")
     entries = kept.select("repo_url", _folder(path).alias("dir"), file_name(path).alias("name"))
-    counts = entries.groupBy("repo_url").agg(F.count(F.lit(1)).alias("n"))
+    # Grouped once: the folder rows, and through them the file counts, share one shuffle of partial counts.
+    per_folder = entries.groupBy("repo_url", "dir").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_folder.groupBy("repo_url").agg(F.sum("n").alias("n"))
     if repos is not None:
         counts = (
             repos.select("repo_url").distinct().join(counts, "repo_url", "left").fillna({"n": 0})
@@ -97,7 +99,7 @@ def tree_rows(kept: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     body = F.lit(5).alias("part")
     root = F.col("dir") == "."
     folders = (
-        entries.where(~root).select("repo_url", "dir").distinct()
+        per_folder.where(~root)
         .select("repo_url", body, "dir", F.lit("").alias("name"), F.concat(F.lit("  "), "dir", F.lit("/")).alias("line"))
     )
     names = entries.select(

@@ -103,12 +103,18 @@ def preset_name(text: Column, raw: Column | None = None) -> Column:
     return named if raw is None else F.when(F.coalesce(raw, F.lit(False)), F.lit("raw")).otherwise(named)
 
 
+def dropped_under(preset: str, path: Column) -> Column:
+    """Whether one preset drops the path; code-only repeats the test of standard, which is then shared."""
+    if preset == "code-only":
+        return matches_any(DEFAULT_PATTERNS, path) | matches_any(CODE_ONLY_EXTRA, path)
+    return matches_any(PRESET_PATTERNS[preset], path)
+
+
 def dropped_by_preset(preset: Column, path: Column) -> Column:
     """Whether the preset of the row drops the path of the row."""
     dropped = F.lit(False)
-    for name, patterns in PRESET_PATTERNS.items():
-        if patterns:
-            dropped = F.when(preset == name, matches_any(patterns, path)).otherwise(dropped)
+    for name in PRESETS:
+        dropped = F.when(preset == name, dropped_under(name, path)).otherwise(dropped)
     return dropped
 
 
@@ -123,7 +129,7 @@ def preset_filter(files: DataFrame, presets: Iterable[str] = PRESETS) -> DataFra
     """Files kept under each preset, one row per (file, preset) that keeps it; one narrow pass, no shuffle."""
     path = F.col("path")
     keeps = [
-        F.when(~matches_any(PRESET_PATTERNS[name], path), F.lit(name)) for name in presets
+        F.when(~dropped_under(name, path), F.lit(name)) for name in presets
     ]
     return files.withColumn("preset", F.explode(F.array_compact(F.array(*keeps))))
 

@@ -131,11 +131,22 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def exclude_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules as a table, so that the joins of the table form run."""
     known = rules.rule_table(spark).where(F.col("category") != "code_only_extra")
     return filters.exclude_by_table(load(spark, sf_dir, "repo_files"), known).select("repo_url", "path")
 
 
+@query(
+    "exclude_rules_by_join",
+    with_views(
+        f"SELECT repo_url, path FROM repo_files f WHERE NOT {any_of('given')}", patterns(rules.DEFAULT_PATTERNS)
+    ),
+)
+def exclude_rules_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, by the join meant for rule tables too large to compile."""
+    known = rules.rule_table(spark).where(F.col("category") != "code_only_extra")
+    return filters.exclude_by_table(load(spark, sf_dir, "repo_files"), known, compiled_limit=0).select("repo_url", "path")
+
+
 @query(
     "include_rules",
     with_views(f"SELECT repo_url, path FROM repo_files f WHERE {any_of('given', include_sql)}", patterns(INCLUDES)),

@@ -12,6 +12,7 @@ from treeweave.plans.registry import (
     include_sql, lines_sql, query, text_tokens_sql, tokens_sql, values, words_sql,
 )
 from treeweave.plans.views import load, with_views
+from treeweave.sources.files import index_files
 
 STANDARD = IngestOptions(preset="standard")
 
@@ -34,6 +35,16 @@ def binary_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.flag_binary(files).select("repo_url", "path", "is_binary")
 
 
+@query(
+    "file_index",
+    with_views(f"SELECT repo_url, path, CAST(strlen(text) + CASE WHEN doc_id % 7 < 3 THEN 1 ELSE 0 END AS BIGINT) AS size, {HAS_NUL} AS is_binary FROM repo_files"),
+)
+def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = load(spark, sf_dir, "repo_files").withColumn("content", _mixed_content())
+    sized = files.withColumn("size", F.octet_length("content").cast("bigint")).withColumn("commit_sha", F.lit("c"))
+    return index_files(sized)[0].drop("commit_sha")
+
+
 @query(
     "decode_content",
     with_views(

@@ -43,12 +43,14 @@ def repo_bucket(repo_url: Column, buckets: int = BUCKETS) -> Column:
     return F.conv(F.substring(F.md5(repo_url), 1, 6), 16, 10).cast("int") % buckets
 
 
-def write_snapshot(files: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+def write_snapshot(
+    files: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append", partitions: int | None = None
+) -> None:
     """Store file rows by repository bucket, sorted by path so that row groups cover path ranges.
 
     Rows of a bucket are spread by path range as well, so one huge repository is written by many tasks.
     """
-    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         files.withColumn("bucket", repo_bucket(F.col("repo_url"), buckets))
         .repartitionByRange(partitions, "bucket", "repo_url", "path")
@@ -60,11 +62,17 @@ def write_snapshot(files: DataFrame, path: str, buckets: int = BUCKETS, mode: st
 
 
 def scan_snapshot(
-    spark: SparkSession, path: str, repos: Iterable[str] | None = None, buckets: int = BUCKETS
+    spark: SparkSession, path: str, repos: Iterable[str] | DataFrame | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Stored file rows; named repositories prune the buckets read and filter row groups."""
+    """Stored file rows. Named repositories prune the buckets read and filter row groups.
+
+    Repositories given as a table (`repo_url`) are joined, and prune buckets while the query runs.
+    """
     files = spark.read.parquet(path)
-    if repos is not None:
+    if isinstance(repos, DataFrame):
+        wanted = repos.select("repo_url", repo_bucket(F.col("repo_url"), buckets).alias("bucket")).distinct()
+        files = files.join(wanted, ["bucket", "repo_url"], "left_semi")
+    elif repos is not None:
         wanted = sorted(set(repos))
         # One foldable comparison per repository: the optimizer turns each into a constant bucket.
         own_bucket = reduce(

@@ -8,13 +8,16 @@ from treeweave.functions import text as T
 from treeweave.sources.files import BUCKETS, repo_bucket
 
 
-def write_documents(document: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
+def write_documents(
+    document: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "errorifexists", partitions: int | None = None
+) -> None:
     """Write document rows (repo_url, section, seq, text) as text files by bucket, each repository in order.
 
     The range partitioning follows the order of the text, so a repository larger than one task continues in the
-    next file of its bucket, and file names sort in reading order.
+    next file of its bucket, and file names sort in reading order. `partitions` sets the number of tasks, and so the
+    size of files; by default that of shuffles.
     """
-    partitions = int(document.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or int(document.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "repo_url", "section", "seq"]
     # The text writer ends every row with a line break; blocks bring their own.
     line = F.regexp_replace("text", r"\n\z", "")
