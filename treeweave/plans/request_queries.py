@@ -294,7 +294,7 @@ def expired_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.expired_entries(load(spark, sf_dir, "catalog"), NOW).select("cache_key", "created_at")
 
 
-CAPACITY, INCOMING = 300_000_000, 5_000_000
+CAPACITY, INCOMING = 30_000_000, 5_000_000
 
 
 @query(
@@ -315,11 +315,11 @@ def lru_eviction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     "lfu_eviction_plan",
     with_views(
         "SELECT cache_key, access_count, place FROM (SELECT cache_key, access_count, row_number() OVER (ORDER BY access_count, cache_key) AS place, "
-        "count(*) OVER () AS total FROM diff_catalog) t WHERE place <= total - 400 + 1"
+        "count(*) OVER () AS total FROM diff_catalog) t WHERE place <= total - 60 + 1"
     ),
 )
 def lfu_eviction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.lfu_eviction_plan(load(spark, sf_dir, "diff_catalog"), 400)
+    return catalog.lfu_eviction_plan(load(spark, sf_dir, "diff_catalog"), 60)
 
 
 @query(
