@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeweave.llm import sql
+from treeweave.llm.contamination import benchmark_hits
 from treeweave.llm.mixing import mix_plan
 from treeweave.llm.sharding import shard_index
 from treeweave.llm.support import table
@@ -20,7 +21,18 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_index(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "hits.n_words", "hits.n_hit",
+        F.size("hits.item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("hits.n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op3_source_mix, op4_jump_shards)
+    q.__name__: q for q in (op3_source_mix, op4_jump_shards, op5_benchmark_hits)
 }
-ORACLES: dict[str, str] = {"op3_source_mix": sql.SOURCE_MIX, "op4_jump_shards": sql.JUMP_SHARDS}
+ORACLES: dict[str, str] = {"op3_source_mix": sql.SOURCE_MIX, "op4_jump_shards": sql.JUMP_SHARDS, "op5_benchmark_hits": sql.BENCHMARK_HITS}

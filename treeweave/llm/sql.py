@@ -48,3 +48,28 @@ SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size,
   CAST(CASE WHEN j = 40 THEN 40 ELSE b END AS INTEGER) AS grown_shard
 FROM ended, crc_step
 """
+
+BENCHMARK_HITS = r"""
+WITH worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
+item_words AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS length, words[s:s + least(10, len(words)) - 1] AS win
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM item_words WHERE len(words) > 0) t),
+lengths AS (SELECT DISTINCT length FROM windows),
+starts AS (
+  SELECT doc_id, length, s, words[s:s + length - 1] AS win
+  FROM (SELECT doc_id, words, length, unnest(range(1, len(words) - length + 2)) AS s FROM worded, lengths WHERE len(words) >= length) t),
+found AS (SELECT doc_id, s, w.length, item_id FROM starts JOIN windows w USING (win)),
+hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + length)) AS pos FROM found) t GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) t GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
