@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from treeweave.llm import sql
 from treeweave.llm.contamination import benchmark_hits
 from treeweave.llm.mixing import mix_plan
+from treeweave.llm.near_duplicates import near_duplicates
 from treeweave.llm.sharding import shard_index
 from treeweave.llm.support import table
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -33,6 +38,6 @@ def op5_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op3_source_mix, op4_jump_shards, op5_benchmark_hits)
+    q.__name__: q for q in (op2_near_duplicates, op3_source_mix, op4_jump_shards, op5_benchmark_hits)
 }
-ORACLES: dict[str, str] = {"op3_source_mix": sql.SOURCE_MIX, "op4_jump_shards": sql.JUMP_SHARDS, "op5_benchmark_hits": sql.BENCHMARK_HITS}
+ORACLES: dict[str, str] = {"op2_near_duplicates": sql.NEAR_DUPLICATES, "op3_source_mix": sql.SOURCE_MIX, "op4_jump_shards": sql.JUMP_SHARDS, "op5_benchmark_hits": sql.BENCHMARK_HITS}
