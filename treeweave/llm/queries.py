@@ -10,6 +10,7 @@ from treeweave.llm import sql
 from treeweave.llm.contamination import benchmark_hits
 from treeweave.llm.mixing import mix_plan
 from treeweave.llm.near_duplicates import near_duplicates
+from treeweave.llm.passages import repeated_passages
 from treeweave.llm.sharding import shard_index
 from treeweave.llm.support import table
 
@@ -37,7 +38,11 @@ def op5_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_near_duplicates, op3_source_mix, op4_jump_shards, op5_benchmark_hits)
+    q.__name__: q for q in (op2_near_duplicates, op3_source_mix, op4_jump_shards, op5_benchmark_hits, op9_repeated_passages)
 }
-ORACLES: dict[str, str] = {"op2_near_duplicates": sql.NEAR_DUPLICATES, "op3_source_mix": sql.SOURCE_MIX, "op4_jump_shards": sql.JUMP_SHARDS, "op5_benchmark_hits": sql.BENCHMARK_HITS}
+ORACLES: dict[str, str] = {"op2_near_duplicates": sql.NEAR_DUPLICATES, "op3_source_mix": sql.SOURCE_MIX, "op4_jump_shards": sql.JUMP_SHARDS, "op5_benchmark_hits": sql.BENCHMARK_HITS, "op9_repeated_passages": sql.REPEATED_PASSAGES}

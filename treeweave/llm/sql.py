@@ -94,3 +94,21 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM documents LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT id AS doc_id, min(other) AS component_id FROM reach GROUP BY id) c USING (doc_id)
 """
+
+REPEATED_PASSAGES = r"""
+WITH worded AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+wins AS (
+  SELECT n, doc_id, s, hash(words[s:s + 49]) AS win
+  FROM (SELECT n, doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM worded WHERE len(words) >= 50) t),
+firsts AS (SELECT win, min(doc_id) AS first FROM wins GROUP BY win),
+gone AS (
+  SELECT DISTINCT n, unnest(range(s, s + 50)) AS pos FROM wins JOIN firsts USING (win) WHERE first < doc_id),
+each AS (
+  SELECT n, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM worded),
+kept AS (
+  SELECT n, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n_kept FROM each ANTI JOIN gone USING (n, pos) GROUP BY n)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM worded LEFT JOIN kept USING (n)
+"""
