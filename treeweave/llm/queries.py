@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeweave.llm import sql
 from treeweave.llm.contamination import benchmark_hits
+from treeweave.llm.language import predicted_languages
 from treeweave.llm.mixing import mix_plan
 from treeweave.llm.near_duplicates import near_duplicates
 from treeweave.llm.passages import repeated_passages
 from treeweave.llm.sharding import shard_index
 from treeweave.llm.support import table
+from treeweave.llm.toxicity import scored_toxicity
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted_languages(table(spark, sf_dir, "documents"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +44,15 @@ def op5_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_near_duplicates, op3_source_mix, op4_jump_shards, op5_benchmark_hits, op9_repeated_passages)
+    q.__name__: q for q in (op1_language, op2_near_duplicates, op3_source_mix, op4_jump_shards, op5_benchmark_hits, op6_toxicity, op9_repeated_passages)
 }
 ORACLES: dict[str, str] = {"op2_near_duplicates": sql.NEAR_DUPLICATES, "op3_source_mix": sql.SOURCE_MIX, "op4_jump_shards": sql.JUMP_SHARDS, "op5_benchmark_hits": sql.BENCHMARK_HITS, "op9_repeated_passages": sql.REPEATED_PASSAGES}

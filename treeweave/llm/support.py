@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A word is a run of characters other than space and the control characters tab to carriage return.
@@ -36,3 +37,33 @@ def fold(doc_id: Column, folds: int) -> Column:
 def word_count(text: Column) -> Column:
     """Words of a text as long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
+
+
+def bounded_sample(rows: DataFrame, size: int, id_col: str) -> DataFrame:
+    """At most `size` rows, the same in every run: those whose ids have the smallest hashes. Meant for narrow rows."""
+    rank = fresh(rows.columns, "_rank")
+    return rows.withColumn(rank, F.xxhash64(id_col)).orderBy(rank, id_col).limit(size).drop(rank)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, size: int, id_col: str, text_col: str
+) -> DataFrame:
+    """`id`, `bytes`, `label` of at most `size` labelled rows for which `learn`, a condition on the id, holds.
+
+    Rows without id or label are no examples; an id with several labels takes the greatest, so repeated labels count once.
+    Only the sample, bounded by `size` narrow rows, is broadcast.
+    """
+    chosen = (
+        labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    )
+    texts = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("bytes"))
+    return texts.join(F.broadcast(bounded_sample(chosen, size, "id")), "id")
+
+
+def decoded(text: bytes | None) -> str:
+    return text.decode("utf-8", "replace") if text else ""
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
