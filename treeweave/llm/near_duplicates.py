@@ -13,11 +13,11 @@ How it runs on Spark:
   sketch is, and single-document nodes, nearly all, go by counting narrow rows (node, id).
 * All documents of a node are compared with one pivot first. Confirmed links make components, and a node whose documents are
   all of one component is done, whatever its size: thousands of copies are one star and never pairs among themselves.
-* Nodes with several components branch on, and once small are compared exhaustively, but only across components: first
-  the best pair of every two components, then, with the components joined so far, all pairs that are left.
+* Nodes with several components branch on, and once small are compared exhaustively across components: on the sketches
+  first, and where these leave candidates, on the full sets. Only links that join components leave the comparison, never pairs.
   A node still large after `DEPTH` levels is compared in blocks, so nothing is capped.
-* Every candidate is confirmed on the full shingle sets, made again from the texts of the candidates alone. Partners of one
-  document are dealt into parts of bounded size, each with a copy of its text.
+* Full shingle sets are made again from the texts of candidates alone. Partners of one pivot are dealt into parts of bounded
+  size, each with a copy of its text.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ SHINGLE = 5
 PERCENT = 80
 SKETCH = 128
 TREES = 12
-SMALL = 48
-DEPTH = 10
+SMALL = 512
+DEPTH = 14
 # Partners of one document that are confirmed in one group.
 PART = 200
 # A sketch estimate may be this many standard deviations below the threshold before a pair is taken to be no candidate.
@@ -142,7 +142,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
         for other, i in zip(sets, group["id"]):
             for mine in own if i != centre else ():
                 shared = len(np.intersect1d(mine, other, assume_unique=True))
-                if 100 * shared >= percent * (len(mine) + len(other) - shared):
+                if shared and 100 * shared >= percent * (len(mine) + len(other) - shared):
                     linked.add(i)
         return pd.DataFrame({"a": np.full(len(linked), centre, np.int64), "b": np.array(sorted(linked), np.int64)})
 
@@ -173,39 +173,70 @@ def components(links: DataFrame) -> DataFrame:
             )
 
 
-def across_components(rows: DataFrame, least: int, best: bool) -> DataFrame:
-    """Distinct pairs (`a`, `b`) of different components within small groups that the sketches do not rule out.
+def candidate_clusters(rows: DataFrame, least: int) -> DataFrame:
+    """Distinct (`cluster`, `id`): within small groups, the documents that candidates of different components connect.
 
-    `rows`: `group`, `id`, `component`, `side`, `sketch`; rows of one group with sides from 0 on pair across sides only.
-    `best` keeps the pair of most agreement for every two components of a group.
+    `rows`: `group`, `id`, `component`, `side`, `sketch`; rows of one group with sides from 0 on pair across sides only. A cluster is
+    named by its ids, so one that several trees find counts once. Documents without any candidate are in none.
     """
     grouped = rows.groupBy("group").agg(F.collect_list(F.struct("id", "component", "side", "sketch")).alias("members"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column("members")
             offsets = members.offsets.to_numpy()
             flat = members.flatten()
             ids, parts, sides = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "side"))
             tokens = flat.field("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
-            base = offsets[0]
-            first, second = [], []
-            for begin, end in zip(offsets[:-1] - base, offsets[1:] - base):
+            names, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for begin, end in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0]):
                 own, part, side = tokens[begin:end], parts[begin:end], sides[begin:end]
-                agreed = (own[:, None, :] == own[None, :, :]).sum(axis=2)
-                fit = (agreed >= least) & (part[:, None] < part[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] < 0))
-                left, right = np.nonzero(fit)
-                if best and len(left) > 1:
-                    order = np.argsort(-agreed[left, right], kind="stable")
-                    left, right = left[order], right[order]
-                    _, keep = np.unique(np.stack([part[left], part[right]]), axis=1, return_index=True)
-                    left, right = left[keep], right[keep]
-                first.append(ids[begin + left])
-                second.append(ids[begin + right])
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, second))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return grouped.select("members").mapInArrow(compare, "a long, b long").distinct()
+                fit = agreement(own) >= least
+                fit &= (part[:, None] != part[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] < 0))
+                used = np.flatnonzero(fit.any(axis=1))
+                labels = np.arange(len(own))
+                while len(used):
+                    lower = np.where(fit[used], labels[None, :], len(own)).min(axis=1)
+                    lower = np.minimum(lower, labels[used])
+                    if (lower == labels[used]).all():
+                        break
+                    labels[used] = lower
+                for label in np.unique(labels[used]):
+                    cluster = np.unique(ids[begin + used[labels[used] == label]])
+                    names.append(np.full(len(cluster), xxhash.xxh64_intdigest(cluster.tobytes()) >> 1, np.int64))
+                    found.append(cluster)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(found))], ["cluster", "id"])
+
+    return grouped.select("members").mapInArrow(connect, "cluster long, id long").distinct()
+
+
+def agreement(tokens: np.ndarray) -> np.ndarray:
+    """In how many coordinates every two of the sketches agree."""
+    return np.concatenate([(tokens[i:i + 32, None, :] == tokens[None, :, :]).sum(axis=2) for i in range(0, len(tokens), 32)])
+
+
+def compared_clusters(clusters: DataFrame, docs: DataFrame, shingle: int, percent: int, least: int) -> DataFrame:
+    """Links (`a`, `b`) that join components within clusters (`cluster`, `id`, `component`), on the full sets.
+
+    Every two documents of different components are compared unless links found before connect them already.
+    """
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        hashes = WordHashes()
+        ids = group["id"].to_numpy()
+        sets = [shingle_hashes(text, shingle, hashes) for text in group["bytes"]]
+        fit = agreement(np.stack([sketch_of(s) for s in sets]))
+        _, labels = np.unique(group["component"].to_numpy(), return_inverse=True)
+        links = []
+        for i, j in zip(*np.nonzero(np.triu(fit >= least, 1))):
+            if labels[i] != labels[j]:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared and 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                    links.append((ids[i], ids[j]))
+                    labels[labels == labels[j]] = labels[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return clusters.join(docs, "id").groupBy("cluster").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, sketches: DataFrame, shingle: int, percent: int, trees: int) -> DataFrame:
@@ -252,19 +283,13 @@ def near_duplicate_components(docs: DataFrame, sketches: DataFrame, shingle: int
         F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"),
     )
     groups = pin(small.withColumn("side", F.lit(-1)).union(large))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for best in (True, False):
-        renewed = groups.select(F.col("node").alias("group"), "id", "side").join(found, "id", "left").withColumn(
-            "component", F.coalesce("component", "id")
-        )
-        mixed = renewed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        renewed = renewed.join(mixed.select("group"), "group", "left_semi").join(sketches.select("id", "sketch"), "id")
-        pairs = pin(across_components(renewed, least, best).join(tried, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            links = links.union(pin(confirmed(pairs, docs, shingle, percent)))
-            tried = tried.union(pairs)
-            found = components(links)
-    return found
+    # Nodes of several trees that hold the same documents are compared once.
+    once = groups.groupBy("node").agg(F.bit_xor(F.xxhash64("id", "side")).alias("mark"), F.count(F.lit(1)).alias("size"))
+    once = once.groupBy("mark", "size").agg(F.min("node").alias("node")).select("node")
+    groups = groups.join(once, "node", "left_semi").withColumnRenamed("node", "group").join(sketches.select("id", "sketch"), "id")
+    clusters = candidate_clusters(groups, least).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = compared_clusters(clusters, docs, shingle, percent, least)
+    return components(links.union(more))
 
 
 def near_duplicates(
