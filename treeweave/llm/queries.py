@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeweave.llm import sql
 from treeweave.llm.contamination import benchmark_hits
+from treeweave.llm.html_text import main_texts
 from treeweave.llm.language import predicted_languages
 from treeweave.llm.mixing import mix_plan
 from treeweave.llm.near_duplicates import near_duplicates
@@ -66,11 +67,15 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_language, op2_near_duplicates, op3_source_mix, op4_jump_shards, op5_benchmark_hits, op6_toxicity, op7_quality_rules,
-        op8_quality_model, op9_repeated_passages,
+        op8_quality_model, op9_repeated_passages, op10_main_text,
     )
 }
 # No SQL says what a trained model says; tests hold those against brute force and held-out labels.
