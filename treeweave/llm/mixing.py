@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 from treeweave.llm.support import fresh, word_count
 from treeweave.operators.ordering import with_running
@@ -59,6 +60,15 @@ def source_targets(
     return weighted.select("key", "source_size", F.least(F.col("limit"), F.col("weight") * reach).alias("target"))
 
 
+def _row_hashes(docs: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Two hashes that together tell rows apart by `columns`."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    parts = [F.map_entries(F.col(f"`{c}`")) if isinstance(kinds[c], MapType) else F.col(f"`{c}`") for c in columns]
+    # A null leaves a hash as it is, so where the nulls are counts too.
+    nulls = [F.isnull(p) for p in parts]
+    return [F.xxhash64(F.lit(salt), *parts, *nulls) for salt in ("one", "two")]
+
+
 def mix_plan(
     docs: DataFrame,
     share: float = SHARE,
@@ -68,23 +78,28 @@ def mix_plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per input row: `doc_id`, `row_hash`, `source`, `size`, `source_size`, `target`, `copies`, `taken` (words).
+    """One row per input row: `doc_id`, `source`, `size`, `source_size`, `target`, `copies`, `taken` (words), and two hashes.
+
+    `row_hash` and `row_check` tell rows apart by `row_columns`, the three named columns if none are given.
 
     Size is the number of words; null and empty texts have size 0 and count as documents of their source. A null source
     is a source of its own. Equal rows are told apart only by their place in the order, so the multiset of results is
     the same in every run. Other columns are not read, so their names do not matter. An empty table gives no rows.
     """
+    row_hash, row_check = _row_hashes(docs, row_columns or [id_col, text_col, source_col])
     narrow = pin(docs.select(
         F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(source_col).cast("string")).alias("row_hash"),
+        row_hash.alias("row_hash"),
+        row_check.alias("row_check"),
         F.col(source_col).alias("source"),
         _source_key(F.col(source_col)).alias("key"),
         word_count(F.col(text_col)).alias("size"),
     ))
     targets = source_targets(narrow.groupBy("key").agg(F.sum("size").alias("source_size")), share, weights, most_copies)
     placed = with_running(
-        narrow, ["key"], [F.col("size").desc(), F.col("doc_id"), F.col("row_hash")], number="position"
+        narrow, ["key"], [F.col("size").desc(), F.col("doc_id"), F.col("row_hash"), F.col("row_check")], number="position"
     )
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # Fixed rule of the offset, the same in the SQL of the checks: 52 bits of a digest as a fraction.
@@ -99,7 +114,7 @@ def mix_plan(
         .withColumn("offset", offset)
         .withColumn("copies", (crossed(F.col("position")) - crossed(F.col("position") - 1)).cast("int"))
         .select(
-            "doc_id", "row_hash", "source", "size", "source_size", "target", "copies",
+            "doc_id", "row_hash", "row_check", "source", "size", "source_size", "target", "copies",
             (F.col("copies") * F.col("size")).cast("long").alias("taken"),
         )
     )
@@ -108,19 +123,17 @@ def mix_plan(
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of `docs`, all columns, each as often as `mix_plan` says.
 
-    Rows meet their numbers by id, text and source; equal rows by their place among themselves.
+    Rows that are equal in all columns are one row with the copies of all of them, so rows meet their copies in one shuffle.
     """
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    row_hash, nth, copies, copy = (fresh(docs.columns, f"_{c}") for c in ("row_hash", "nth", "copies", "copy"))
-    among = W.partitionBy(row_hash).orderBy(F.lit(0))
-    keyed = docs.withColumn(
-        row_hash, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(source_col).cast("string"))
-    ).withColumn(nth, F.row_number().over(among))
-    wanted = plan.select(F.col("row_hash").alias(row_hash), F.col("copies").alias(copies)).withColumn(
-        nth, F.row_number().over(W.partitionBy(row_hash).orderBy(F.col(copies).desc()))
+    plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, row_columns=docs.columns, **options)
+    row_hash, row_check, copies, copy = (fresh(docs.columns, f"_{c}") for c in ("row_hash", "row_check", "copies", "copy"))
+    first, second = _row_hashes(docs, docs.columns)
+    once = docs.withColumns({row_hash: first, row_check: second}).dropDuplicates([row_hash, row_check])
+    wanted = plan.groupBy(F.col("row_hash").alias(row_hash), F.col("row_check").alias(row_check)).agg(
+        F.sum("copies").cast("int").alias(copies)
     ).where(F.col(copies) > 0)
     return (
-        keyed.join(wanted, [row_hash, nth])
+        once.join(wanted, [row_hash, row_check])
         .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

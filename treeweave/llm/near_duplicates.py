@@ -30,9 +30,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from treeweave.llm.support import utf8
+from treeweave.llm.support import fresh, utf8
 from treeweave.session import pin, ship_package
 
 SHINGLE = 5
@@ -325,3 +325,20 @@ def near_duplicates(
         .select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, with their columns, whose id is the smallest of its component; one row per id.
+
+    Of rows that repeat an id the one whose text has the smallest hash stays. Rows with a null id are in no component: they
+    stay, once per text. Texts without words are linked with nothing and stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    key, text_hash, turn = (fresh(docs.columns, f"_{c}") for c in ("key", "text_hash", "turn"))
+    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    keyed = docs.withColumns({key: F.col(id_col).cast("long"), text_hash: F.xxhash64(F.col(text_col))})
+    among = W.partitionBy(key, F.when(F.col(key).isNull(), F.col(text_hash))).orderBy(text_hash)
+    return (
+        keyed.join(gone, key, "left_anti").withColumn(turn, F.row_number().over(among)).where(F.col(turn) == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )
