@@ -3,12 +3,12 @@
 1. Phrases. Every window of words picks its least phrase (a few words, by hash), so equal windows pick the same one. Phrases
    picked in two documents or more, found by a pre-aggregated grouping, leave few windows that can recur at all.
 2. Passages. These windows are grouped by hash: one that occurs in a later document too is owned by its first document. Owners'
-   passages, pieces of consecutive words that overlap by all but one word of a window, are what the automata look for.
-3. Automata. Documents are dealt into shards of bounded size. A shard gets the pieces that share a window with one of its documents,
-   compiles an Aho-Corasick automaton of the pieces' tiles and streams its documents through it. A tile is half a window, and
-   every window of a piece holds a whole one, so every occurrence is met; words around the tile are then compared one by one.
+   passages, runs of windows they own, are what the automata look for.
+3. Automata. Documents are dealt into shards of bounded size. A shard gets the runs of windows that one of its documents holds,
+   compiles an Aho-Corasick automaton of the runs' tiles and streams its documents through it. A tile is half a window, and
+   every window of a run holds a whole one, so every occurrence is met; words around the tile are then compared one by one.
 
-Pieces of one shard all occur in its documents, so an automaton grows with its shard and not with the corpus, and each document is
+Runs of one shard occur in its documents, so an automaton grows with its shard and not with the corpus, and each document is
 streamed once. Copies of a whole text are one class; only its first document takes part. Nothing is gathered by phrase or passage,
 so one that a third of all documents hold costs a row per task and a piece per shard.
 """
@@ -30,7 +30,7 @@ from treeweave.session import pin, ship_package
 
 WINDOW = 50
 PHRASE = 8
-# Windows that one piece of an owner covers.
+# Windows of an owner that travel in one row.
 PIECE = 200
 # Bytes of text per shard.
 SHARD_BYTES = 4 << 20
@@ -98,7 +98,7 @@ def _phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """`hash`, `id`, `row`, `piece` of the windows whose phrase is among `shared`."""
+    """`hash`, `id`, `row`, `start` of the windows whose phrase is among `shared`."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -113,11 +113,9 @@ def _windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 if len(at):
                     # A window that repeats inside the document counts once.
                     found, first = np.unique(_window_hashes(codes, window)[at], return_index=True)
-                    yield pd.DataFrame({
-                        "hash": found.view(np.int64), "id": doc, "row": row, "piece": (at[first] // PIECE).astype(np.int32),
-                    })
+                    yield pd.DataFrame({"hash": found.view(np.int64), "id": doc, "row": row, "start": at[first].astype(np.int32)})
 
-    return docs.select("id", "row", "bytes", "shared").mapInPandas(find, "hash long, id long, row int, piece int")
+    return docs.select("id", "row", "bytes", "shared").mapInPandas(find, "hash long, id long, row int, start int")
 
 
 def _piece_words(owners: DataFrame, window: int) -> DataFrame:
@@ -136,8 +134,14 @@ def _piece_words(owners: DataFrame, window: int) -> DataFrame:
     return owners.select("id", "row", "bytes", "pieces").mapInPandas(cut, "id long, row int, piece int, codes array<long>")
 
 
+def runs(codes: np.ndarray, starts: np.ndarray, window: int) -> list[np.ndarray]:
+    """The words of a piece that windows at `starts` cover, one part for each run of neighbouring windows."""
+    starts = np.sort(starts)
+    return [codes[part[0]:part[-1] + window] for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)]
+
+
 class PieceAutomaton:
-    """Aho-Corasick automaton of the tiles of pieces; marks the words of a document that lie in a common window."""
+    """Aho-Corasick automaton of the tiles of runs; marks the words of a document that lie in a common window."""
 
     def __init__(self, owners: list[int], pieces: list[np.ndarray], window: int):
         self.owners, self.pieces, self.window, self.tile = owners, pieces, window, window // 2
@@ -212,18 +216,24 @@ def repeated_passages(
     # A window that a later document holds as well: its owner's piece goes to the shards of all documents that hold it.
     owned = (
         _windows(some, window, phrase).withColumn("shard", shard).groupBy("hash")
-        .agg(F.min(F.struct("id", "row", "piece")).alias("first"), F.max("id").alias("last"), F.collect_set("shard").alias("shards"))
+        .agg(F.min(F.struct("id", "row", "start")).alias("first"), F.max("id").alias("last"), F.collect_set("shard").alias("shards"))
         .where("first.id < last")
     )
-    routes = pin(owned.select("first.*", F.explode("shards").alias("shard")).distinct())
+    piece = F.floor(F.col("start") / F.lit(PIECE)).cast("int")
+    routes = pin(
+        owned.select("first.*", F.explode("shards").alias("shard")).withColumn("piece", piece)
+        .groupBy("id", "row", "piece", "shard").agg(F.collect_set(F.col("start") - F.col("piece") * PIECE).alias("starts"))
+    )
     owners = some.join(routes.groupBy("id", "row").agg(F.collect_set("piece").alias("pieces")), ["id", "row"])
-    pieces = routes.join(_piece_words(owners, window), ["id", "row", "piece"]).select("shard", "id", "codes")
+    pieces = routes.join(_piece_words(owners, window), ["id", "row", "piece"]).select("shard", "id", "codes", "starts")
 
     def search(held: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHashes()
-        automaton = PieceAutomaton(
-            sought["id"].tolist(), [np.asarray(c, np.int64).view(np.uint64) for c in sought["codes"]], window
-        )
+        owned_runs = [
+            (owner, run) for owner, codes, starts in zip(sought["id"], sought["codes"], sought["starts"])
+            for run in runs(np.asarray(codes, np.int64).view(np.uint64), np.asarray(starts), window)
+        ]
+        automaton = PieceAutomaton([o for o, _ in owned_runs], [r for _, r in owned_runs], window)
         out = []
         for doc, row, text in zip(held["id"], held["row"], held["bytes"]):
             words = text.split()
