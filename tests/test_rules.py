@@ -53,9 +53,19 @@ def test_compiled_rules_equal_one_by_one(spark, patterns, paths):
     got = [r[0] for r in table.select(matches_any(patterns, F.col("path"))).collect()]
     assert got == [any(python_glob(p, path) for p in patterns) for path in paths]
     known = spark.createDataFrame([(p,) for p in patterns], "pattern string")
-    for limit in (0, 1000):
-        kept = sorted(r.path for r in filters.exclude_by_table(table, known, limit).collect())
-        assert kept == sorted(p for p in paths if not any(python_glob(q, p) for q in patterns))
+    kept = sorted(r.path for r in filters.exclude_by_table(table, known).collect())
+    assert kept == sorted(p for p in paths if not any(python_glob(q, p) for q in patterns))
+
+
+def test_lists_and_tables_agree_on_null_and_odd_paths(spark):
+    patterns = ["*", "/*", "*.md", "src/*", "LICENSE", "a*b", "x/y", "*.tar.gz", "docs"]
+    table = spark.createDataFrame([(p,) for p in [None, "", "a", "a/b", "src", "src/x", "LICENSE/z", "ab", "x/y/z", "k.tar.gz", "docs"]], "path string")
+    for size in range(len(patterns)):
+        chosen = patterns[size:]
+        known = spark.createDataFrame([(p,) for p in chosen], "pattern string")
+        listed = sorted(str(r.path) for r in filters.exclude(table, chosen).collect())
+        assert listed == sorted(str(r.path) for r in filters.exclude_by_table(table, known).collect())
+        assert "None" in listed
 
 
 def test_include_modes(spark):

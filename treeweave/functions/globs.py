@@ -68,7 +68,7 @@ def matches_any(patterns: Iterable[str], path: Column) -> Column:
     """One boolean column for a known rule list.
 
     Rules of like shape become one test each: a set lookup of the last extension, one of the first component, and one
-    anchored alternation of all prefixes. Nothing is joined or shuffled.
+    anchored alternation of all prefixes. Nothing is joined or shuffled. No rule matches a null path.
     """
     endings, components, prefixes, starts = set(), set(), set(), set()
     tests: list[Column] = []
@@ -98,7 +98,7 @@ def matches_any(patterns: Iterable[str], path: Column) -> Column:
     if prefixes or starts:
         longer = [_quoted(p) + "." for p in sorted(prefixes)]
         tests.append(path.rlike("(?s)^(?:" + "|".join(longer + [_quoted(p) for p in sorted(starts)]) + ")"))
-    return reduce(or_, tests) if tests else F.lit(False)
+    return F.coalesce(reduce(or_, tests), F.lit(False)) if tests else F.lit(False)
 
 
 def _quoted(text: str) -> str:

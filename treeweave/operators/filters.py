@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from treeweave.functions.globs import (
     any_glob,
     any_include,
+    extension,
+    first_component,
     glob_match,
     included_by_any,
     matches_any,
@@ -17,7 +19,6 @@ from treeweave.functions.globs import (
 from treeweave.operators.rules import dropped_by_preset, effective_patterns, preset_name
 
 MAX_FILE_SIZE = 1024 * 1024
-COMPILED_RULES = 1_000
 
 
 @dataclass(frozen=True)
@@ -46,51 +47,67 @@ def exclude(files: DataFrame, patterns: Iterable[str]) -> DataFrame:
     return files.where(~matches_any(patterns, F.col("path")))
 
 
-def exclude_by_table(files: DataFrame, rules: DataFrame, compiled_limit: int = COMPILED_RULES) -> DataFrame:
-    """Drop files that a rule table (`pattern`) matches.
+def exclude_by_table(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Drop files that a rule table (`pattern`), of any size, matches: see `matched_paths`.
 
-    A table of up to `compiled_limit` patterns becomes a filter on the path; at most one row more is read to find out.
-    A larger one is joined by equality: see `matched_paths`.
+    As with a list, no rule matches a null path.
     """
-    known = rules.select("pattern").distinct()
-    few = [row.pattern for row in known.limit(compiled_limit + 1).collect()]
-    if len(few) <= compiled_limit:
-        return exclude(files, few)
-    return files.join(matched_paths(files, known), "path", "left_anti")
+    return files.join(matched_paths(files, rules.select("pattern").distinct()), "path", "left_anti")
 
 
 def matched_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct paths that any pattern matches, for rule tables of any size.
 
-    Each pattern is filed under a text its matches must start or end with, each path under all its beginnings and
-    endings; equal texts meet in a hash join and are then compared in full.
+    Each pattern is filed under a text that its matches must have at a certain place, the paths under what they have there, and
+    equal texts meet in a hash join and are then compared in full. A pattern that names an extension or a first part meets paths
+    by their last extension or first part, one text each; the rest meets beginnings and endings of the lengths that such patterns
+    have. What reaches the driver is these lengths, and whether a pattern matches every path.
     """
     pattern, path = F.col("pattern"), F.col("path")
     star = F.instr(pattern, "*")
-    by_end = pattern.startswith("*.") | ((star == 1) & ~pattern.endswith("/*"))
+    several = F.length(pattern) - F.length(F.replace(pattern, F.lit("*"), F.lit(""))) > 1
+    suffix, folder = pattern.startswith("*."), pattern.endswith("/*")
+    literal = ~suffix & ~folder & ((star == 0) | several)
+    at_end = suffix | ((star == 1) & ~folder & ~several)
     text = (
-        F.when(by_end, F.substring(pattern, 2, 1 << 30))
-        .when(pattern.endswith("/*"), F.substring(pattern, F.lit(1), F.length(pattern) - 2))
-        .when(star > 0, F.substring(pattern, F.lit(1), star - 1))
-        .otherwise(pattern)
+        F.when(literal, pattern).when(at_end, F.substring(pattern, 2, 1 << 30))
+        .when(folder, F.substring(pattern, F.lit(1), F.length(pattern) - 2)).otherwise(F.substring(pattern, F.lit(1), star - 1))
     )
-    several = F.length(pattern) - F.length(F.replace(pattern, F.lit("*"), F.lit(""))) > 1
-    literal = several & ~pattern.startswith("*.") & ~pattern.endswith("/*")
-    filed = rules.select(
-        "pattern", F.when(literal, F.lit(False)).otherwise(by_end).alias("at_end"),
-        F.when(literal, pattern).otherwise(text).alias("text"),
+    plain = F.substring(pattern, 3, 1 << 30)
+    filed = rules.select("pattern", literal.alias("literal"), at_end.alias("at_end"), text.alias("text")).withColumn(
+        "place",
+        F.when(suffix & ~plain.contains(".") & ~plain.contains("/"), "extension")
+        .when(F.col("literal") & ~F.col("text").contains("/"), "first").when(F.col("at_end"), "end").otherwise("begin"),
+    ).withColumn("text", F.when(F.col("place") == "extension", plain).otherwise(F.col("text")))
+    length = F.length("text")
+    facts = filed.agg(
+        *[F.sort_array(F.collect_set(F.when(F.col("place") == p, length))).alias(p) for p in ("begin", "end")],
+        F.max(pattern == "*").alias("every"), F.max(pattern == "/*").alias("nonempty"),
+    ).first()
+    paths = files.select("path").where(path.isNotNull()).distinct()
+    if facts["every"]:
+        return paths
+    beginnings, endings = (F.array(*[F.lit(n) for n in facts[p] if n]).cast("array<int>") for p in ("begin", "end"))
+
+    def at(place: str, lengths: Column, cut) -> Column:
+        fitting = F.filter(lengths, lambda n: n <= F.length(path))
+        return F.transform(fitting, lambda n: F.struct(F.lit(place).alias("place"), cut(n).alias("text")))
+
+    named = F.array(
+        F.struct(F.lit("first").alias("place"), first_component(path).alias("text")),
+        F.struct(F.lit("extension").alias("place"), F.when(path.contains("."), extension(path)).alias("text")),
     )
-    places = F.sequence(F.lit(0), F.length(path))
-    beginnings = F.transform(places, lambda n: F.struct(F.lit(False).alias("at_end"), F.substring(path, F.lit(1), n).alias("text")))
-    endings = F.transform(places, lambda n: F.struct(F.lit(True).alias("at_end"), F.substring(path, n + 1, F.length(path)).alias("text")))
-    return (
-        files.select("path").distinct()
-        .select("path", F.inline(F.concat(beginnings, endings)))
-        .join(filed, ["at_end", "text"])
+    looked_up = F.concat(
+        named, at("begin", beginnings, lambda n: F.substring(path, F.lit(1), n)),
+        at("end", endings, lambda n: F.substring(path, F.length(path) - n + 1, n)),
+    )
+    found = (
+        paths.select("path", F.inline(looked_up))
+        .join(filed, ["place", "text"])
         .where(glob_match(pattern, path))
         .select("path")
-        .distinct()
     )
+    return (found.union(paths.where(path != "")) if facts["nonempty"] else found).distinct()
 
 
 def include(files: DataFrame, patterns: Iterable[str]) -> DataFrame:

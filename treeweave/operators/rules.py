@@ -9,71 +9,74 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from treeweave.functions.globs import matches_any
 
 
-def _patterns(text: str) -> list[str]:
-    return [item.strip() for item in text.split(",")]
-
-
-# Exclude patterns by category, separated by commas.
+# Exclude patterns by category.
 CATEGORY_RULES = {
-    "lock_files": _patterns(
-        "*.lock, Cargo.lock, package-lock.json, yarn.lock, pnpm-lock.yaml, bun.lockb, composer.lock, "
-        "Pipfile.lock, poetry.lock, Gemfile.lock, go.sum, mix.lock, pubspec.lock, packages-lock.json, vcpkg.json"
-    ),
-    "dependencies": _patterns(
-        "node_modules/*, vendor/*, target/*, .cargo/*, __pycache__/*, .venv/*, venv/*, env/*, site-packages/*, "
-        "gems/*, bower_components/*, jspm_packages/*, .pub-cache/*, Packages/*, Library/*, obj/*, bin/*, pkg/*, "
-        "_build/*, deps/*"
-    ),
-    "build_artifacts": _patterns(
-        "dist/*, build/*, out/*, .next/*, .nuxt/*, .svelte-kit/*, .output/*, coverage/*, .nyc_output/*, "
-        "*.tsbuildinfo, *.buildlog, cmake-build-*/*, Release/*, Debug/*, x64/*, x86/*, .gradle/*, gradle/*, "
-        "*.class, *.o, *.a, *.obj, *.lib, *.exp, *.pdb, *.ilk"
-    ),
-    "ide_files": _patterns(
-        ".vscode/*, .idea/*, *.swp, *.swo, *~, .DS_Store, Thumbs.db, *.tmp, .vs/*, *.vcxproj.user, *.suo, *.user, "
-        ".vimrc.local, .sublime-*, *.sublime-workspace, .fleet/*, .zed/*"
-    ),
-    "media_files": _patterns(
-        "*.png, *.jpg, *.jpeg, *.gif, *.bmp, *.tiff, *.tga, *.ico, *.svg, *.webp, *.avif, *.heic, *.raw, *.psd, "
-        "*.ai, *.eps, *.mp4, *.avi, *.mov, *.wmv, *.flv, *.webm, *.mkv, *.m4v, *.3gp, *.asf, *.mp3, *.wav, *.flac, "
-        "*.aac, *.ogg, *.wma, *.m4a, *.opus"
-    ),
-    "binary_files": _patterns(
-        "*.zip, *.tar, *.gz, *.bz2, *.xz, *.rar, *.7z, *.dmg, *.iso, *.exe, *.msi, *.app, *.deb, *.rpm, *.pkg, "
-        "*.dll, *.so, *.dylib, *.bin, *.dat, *.img"
-    ),
-    "documents": _patterns(
-        "*.pdf, *.doc, *.docx, *.xls, *.xlsx, *.ppt, *.pptx, *.odt, *.ods, *.odp, *.rtf, *.pages, *.numbers, *.keynote"
-    ),
-    "data_files": _patterns(
-        "*.db, *.sqlite, *.sqlite3, *.db3, *.dump, *.sql, *.bak, *.mdb, *.accdb, *.csv, *.json, *.xml, *.yaml, "
-        "*.yml, *.parquet, *.arrow, *.avro"
-    ),
-    "fonts": _patterns("*.ttf, *.otf, *.woff, *.woff2, *.eot, *.pfb, *.pfm, *.afm, *.fon, *.fnt"),
-    "logs": _patterns("*.log, logs/*, log/*, *.out, *.err, nohup.out, *.trace, *.pid"),
-    "cache": _patterns(
-        ".cache/*, cache/*, .temp/*, temp/*, tmp/*, .tmp/*, *.cache, .parcel-cache/*, .turbo/*, .swc/*, "
-        ".eslintcache, .stylelintcache, .prettiercache, *.tsbuildinfo, .rollup.cache/*"
-    ),
-    "os_files": _patterns(
-        ".DS_Store, .AppleDouble, .LSOverride, ._*, .DocumentRevisions-V100, .fseventsd, .Spotlight-V100, "
-        ".TemporaryItems, .Trashes, .VolumeIcon.icns, .com.apple.timemachine.donotpresent, .AppleDB, .AppleDesktop, "
-        "Network Trash Folder, Temporary Items, .apdisk, Thumbs.db, Thumbs.db:encryptable, ehthumbs.db, "
-        "ehthumbs_vista.db, *.stackdump, [Dd]esktop.ini, $RECYCLE.BIN/*, *.cab, *.lnk"
-    ),
-    "version_control": _patterns(
-        ".git/*, .svn/*, .hg/*, .bzr/*, _darcs/*, .pijul/*, CVS/*, .cvs/*, SCCS/*, RCS/*, .gitignore_global, "
-        ".gitkeep, .gitattributes_global"
-    ),
-    "secrets": _patterns(
-        ".env, .env.local, .env.*.local, .env.production, .env.development, .env.staging, .env.test, *.key, *.pem, "
-        "*.crt, *.cert, *.p12, *.pfx, *.jks, *.keystore, id_rsa, id_dsa, id_ecdsa, id_ed25519, *.ppk, .ssh/*, "
-        "credentials, secrets.json, config.json, .aws/*, .azure/*, .gcloud/*"
-    ),
+    "lock_files": [
+        "*.lock", "Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "composer.lock",
+        "Pipfile.lock", "poetry.lock", "Gemfile.lock", "go.sum", "mix.lock", "pubspec.lock", "packages-lock.json",
+        "vcpkg.json",
+    ],
+    "dependencies": [
+        "node_modules/*", "vendor/*", "target/*", ".cargo/*", "__pycache__/*", ".venv/*", "venv/*", "env/*",
+        "site-packages/*", "gems/*", "bower_components/*", "jspm_packages/*", ".pub-cache/*", "Packages/*", "Library/*",
+        "obj/*", "bin/*", "pkg/*", "_build/*", "deps/*",
+    ],
+    "build_artifacts": [
+        "dist/*", "build/*", "out/*", ".next/*", ".nuxt/*", ".svelte-kit/*", ".output/*", "coverage/*", ".nyc_output/*",
+        "*.tsbuildinfo", "*.buildlog", "cmake-build-*/*", "Release/*", "Debug/*", "x64/*", "x86/*", ".gradle/*",
+        "gradle/*", "*.class", "*.o", "*.a", "*.obj", "*.lib", "*.exp", "*.pdb", "*.ilk",
+    ],
+    "ide_files": [
+        ".vscode/*", ".idea/*", "*.swp", "*.swo", "*~", ".DS_Store", "Thumbs.db", "*.tmp", ".vs/*", "*.vcxproj.user",
+        "*.suo", "*.user", ".vimrc.local", ".sublime-*", "*.sublime-workspace", ".fleet/*", ".zed/*",
+    ],
+    "media_files": [
+        "*.png", "*.jpg", "*.jpeg", "*.gif", "*.bmp", "*.tiff", "*.tga", "*.ico", "*.svg", "*.webp", "*.avif", "*.heic",
+        "*.raw", "*.psd", "*.ai", "*.eps", "*.mp4", "*.avi", "*.mov", "*.wmv", "*.flv", "*.webm", "*.mkv", "*.m4v",
+        "*.3gp", "*.asf", "*.mp3", "*.wav", "*.flac", "*.aac", "*.ogg", "*.wma", "*.m4a", "*.opus",
+    ],
+    "binary_files": [
+        "*.zip", "*.tar", "*.gz", "*.bz2", "*.xz", "*.rar", "*.7z", "*.dmg", "*.iso", "*.exe", "*.msi", "*.app",
+        "*.deb", "*.rpm", "*.pkg", "*.dll", "*.so", "*.dylib", "*.bin", "*.dat", "*.img",
+    ],
+    "documents": [
+        "*.pdf", "*.doc", "*.docx", "*.xls", "*.xlsx", "*.ppt", "*.pptx", "*.odt", "*.ods", "*.odp", "*.rtf", "*.pages",
+        "*.numbers", "*.keynote",
+    ],
+    "data_files": [
+        "*.db", "*.sqlite", "*.sqlite3", "*.db3", "*.dump", "*.sql", "*.bak", "*.mdb", "*.accdb", "*.csv", "*.json",
+        "*.xml", "*.yaml", "*.yml", "*.parquet", "*.arrow", "*.avro",
+    ],
+    "fonts": [
+        "*.ttf", "*.otf", "*.woff", "*.woff2", "*.eot", "*.pfb", "*.pfm", "*.afm", "*.fon", "*.fnt",
+    ],
+    "logs": [
+        "*.log", "logs/*", "log/*", "*.out", "*.err", "nohup.out", "*.trace", "*.pid",
+    ],
+    "cache": [
+        ".cache/*", "cache/*", ".temp/*", "temp/*", "tmp/*", ".tmp/*", "*.cache", ".parcel-cache/*", ".turbo/*",
+        ".swc/*", ".eslintcache", ".stylelintcache", ".prettiercache", "*.tsbuildinfo", ".rollup.cache/*",
+    ],
+    "os_files": [
+        ".DS_Store", ".AppleDouble", ".LSOverride", "._*", ".DocumentRevisions-V100", ".fseventsd", ".Spotlight-V100",
+        ".TemporaryItems", ".Trashes", ".VolumeIcon.icns", ".com.apple.timemachine.donotpresent", ".AppleDB",
+        ".AppleDesktop", "Network Trash Folder", "Temporary Items", ".apdisk", "Thumbs.db", "Thumbs.db:encryptable",
+        "ehthumbs.db", "ehthumbs_vista.db", "*.stackdump", "[Dd]esktop.ini", "$RECYCLE.BIN/*", "*.cab", "*.lnk",
+    ],
+    "version_control": [
+        ".git/*", ".svn/*", ".hg/*", ".bzr/*", "_darcs/*", ".pijul/*", "CVS/*", ".cvs/*", "SCCS/*", "RCS/*",
+        ".gitignore_global", ".gitkeep", ".gitattributes_global",
+    ],
+    "secrets": [
+        ".env", ".env.local", ".env.*.local", ".env.production", ".env.development", ".env.staging", ".env.test",
+        "*.key", "*.pem", "*.crt", "*.cert", "*.p12", "*.pfx", "*.jks", "*.keystore", "id_rsa", "id_dsa", "id_ecdsa",
+        "id_ed25519", "*.ppk", ".ssh/*", "credentials", "secrets.json", "config.json", ".aws/*", ".azure/*", ".gcloud/*",
+    ],
 }
-CODE_ONLY_EXTRA = _patterns(
-    "*.md, *.txt, *.rst, LICENSE*, CHANGELOG*, README*, CONTRIBUTING*, AUTHORS*, CREDITS*, NOTICE*"
-)
+# What code-only excludes besides.
+CODE_ONLY_EXTRA = [
+    "*.md", "*.txt", "*.rst", "LICENSE*", "CHANGELOG*", "README*", "CONTRIBUTING*", "AUTHORS*", "CREDITS*", "NOTICE*",
+]
 MINIMAL_CATEGORIES = ["media_files", "binary_files", "documents", "fonts", "version_control", "secrets"]
 PRESETS = ["raw", "standard", "code-only", "minimal"]
 

@@ -131,8 +131,7 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def exclude_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = rules.rule_table(spark).where(F.col("category") != "code_only_extra")
-    return filters.exclude_by_table(load(spark, sf_dir, "repo_files"), known).select("repo_url", "path")
+    return filters.exclude(load(spark, sf_dir, "repo_files"), rules.DEFAULT_PATTERNS).select("repo_url", "path")
 
 
 @query(
@@ -142,9 +141,9 @@ def exclude_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def exclude_rules_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, by the join meant for rule tables too large to compile."""
+    """The same, with the rules as a table."""
     known = rules.rule_table(spark).where(F.col("category") != "code_only_extra")
-    return filters.exclude_by_table(load(spark, sf_dir, "repo_files"), known, compiled_limit=0).select("repo_url", "path")
+    return filters.exclude_by_table(load(spark, sf_dir, "repo_files"), known).select("repo_url", "path")
 
 
 @query(
