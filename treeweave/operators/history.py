@@ -6,9 +6,12 @@ Tables: `commits(repo_url, sha, author, summary, committed_at)`, `parents(repo_u
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from treeweave.operators.snapshots import changed_files, file_patches
+from treeweave.operators.snapshots import changed_paths, patches_of, with_blob_id
 from treeweave.session import pin
 
 # Where a reference name is looked up, in this order; then the base branches.
@@ -202,14 +205,14 @@ def base_commits(heads: DataFrame, refs: DataFrame, commits: DataFrame, parents:
 PAIR = ["repo_url", "base_sha", "head_sha"]
 
 
-def pair_changes(pairs: DataFrame, trees: DataFrame) -> DataFrame:
-    """Changed files with contents per distinct pair of commits; a NULL base means the empty tree."""
-    asked = pairs.select(*PAIR).distinct().withColumn("base_sha", F.coalesce("base_sha", F.lit("")))
+def pair_changes(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Changed paths with blob ids per distinct pair of commits; the base '' stands for the empty tree."""
+    asked = pairs.select(*PAIR).distinct()
 
     def side(column: str) -> DataFrame:
-        return trees.withColumnRenamed("commit_sha", column).join(asked, ["repo_url", column])
+        return blobs.withColumnRenamed("commit_sha", column).join(asked, ["repo_url", column])
 
-    return changed_files(side("base_sha"), side("head_sha"), PAIR)
+    return changed_paths(side("base_sha"), side("head_sha"), PAIR)
 
 
 def _count_lines() -> list[Column]:
@@ -220,62 +223,107 @@ def _count_lines() -> list[Column]:
     ]
 
 
-def _report(pairs: DataFrame, trees: DataFrame, title: list[Column], keys: list[str], context: int) -> DataFrame:
-    """Report rows (keys, section, path, text): the title with its counts, then one patch per file.
+def _report(
+    pairs: DataFrame, trees: DataFrame, title: list[Column], keys: list[str], context: int, failed: DataFrame | None = None
+) -> DataFrame:
+    """Report rows (keys, section, path, text): the title with its counts, then one patch per file, section -1 for errors.
 
-    Ordered by section and path the texts are the report. Patches are worked out once and written, then both counted
-    and reported.
+    `pairs` have both commits, with the base '' for the empty tree, and may have their own `context`. Ordered by section and
+    path the texts are the report. Trees are compared by blob ids, worked out once per stored file; contents are fetched and lines
+    compared once per distinct change, whatever number of pairs has it.
     """
-    rooted = pairs.withColumn("base_sha", F.coalesce("base_sha", F.lit("")))
-    patches = pin(file_patches(pair_changes(pairs, trees), context).select(*PAIR, "path", "patch", "insertions", "deletions"))
-    counts = patches.groupBy(*PAIR).agg(
+    pairs = pairs if "context" in pairs.columns else pairs.withColumn("context", F.lit(context))
+    pairs = pin(pairs.withColumn("context", F.coalesce("context", F.lit(context))))
+    ends = pairs.select("repo_url", F.explode(F.array("base_sha", "head_sha")).alias("commit_sha")).distinct()
+    blobs = pin(with_blob_id(trees.join(ends, ["repo_url", "commit_sha"], "left_semi")).select("repo_url", "commit_sha", "path", "blob_id"))
+    changed = pair_changes(pairs, blobs).join(pairs.select(*PAIR, "context").distinct(), PAIR)
+    changes = pin(changed)
+    edit = ["repo_url", "path", "status", "old_blob", "new_blob"]
+    # One place per blob is enough to fetch its content from.
+    wanted = changes.select("repo_url", F.explode(F.array_compact(F.array("old_blob", "new_blob"))).alias("blob_id")).distinct()
+    places = blobs.join(wanted, ["repo_url", "blob_id"]).groupBy("repo_url", "blob_id").agg(
+        F.min(F.struct("commit_sha", "path")).alias("at")
+    )
+    stored = trees.select("repo_url", "commit_sha", "path", "content")
+    contents = stored.join(places.select("repo_url", "blob_id", "at.*"), ["repo_url", "commit_sha", "path"]).select("repo_url", "blob_id", "content")
+    patches = pin(patches_of(changes.select(*edit, "context").distinct(), contents))
+    matched = changes.join(
+        patches.select(*[F.col(c).alias(f"_{c}") for c in [*edit, "context"]], "patch", "insertions", "deletions"),
+        reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*edit, "context"]]),
+    ).select(*PAIR, "context", "path", "patch", "insertions", "deletions")
+    pair = [*PAIR, "context"]
+    counts = matched.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("files_changed"),
         F.sum("insertions").alias("insertions"),
         F.sum("deletions").alias("deletions"),
     )
-    titles = rooted.join(counts, PAIR, "left").fillna(0, ["files_changed", "insertions", "deletions"]).select(
+    titles = pairs.join(counts, pair, "left").fillna(0, ["files_changed", "insertions", "deletions"]).select(
         *keys, F.lit(0).alias("section"), F.lit("").alias("path"), F.concat(*title, *_count_lines()).alias("text")
     )
-    texts = patches.join(rooted.select(*{*keys, *PAIR}), PAIR).select(
+    texts = matched.join(pairs.select(*dict.fromkeys([*keys, *pair])), pair).select(
         *keys, F.lit(1).alias("section"), "path", F.col("patch").alias("text")
     )
-    return titles.unionByName(texts)
+    report = titles.unionByName(texts)
+    return report if failed is None else report.unionByName(
+        failed.select(*keys, F.lit(-1).alias("section"), F.lit("").alias("path"), "text")
+    )
 
 
 def compare_report(pairs: DataFrame, trees: DataFrame, context: int = 3) -> DataFrame:
-    """Pairs (repo_url, base, head, base_sha, head_sha), names and resolved commits, to report rows."""
+    """Pairs (repo_url, base, head, base_sha, head_sha[, context]), names and resolved commits, to report rows.
+
+    A name that is not resolved, the base first, gives an error row.
+    """
     title = [F.lit("# Comparing "), F.col("base"), F.lit(" to "), F.col("head"), F.lit("\n\n")]
-    return _report(pairs, trees, title, ["repo_url", "base", "head"], context)
+    missing = F.when(F.col("base_sha").isNull(), F.col("base")).when(F.col("head_sha").isNull(), F.col("head"))
+    failed = pairs.where(missing.isNotNull()).withColumn("text", F.concat(F.lit("Failed to resolve reference: "), missing))
+    return _report(pairs.where(missing.isNull()), trees, title, ["repo_url", "base", "head"], context, failed)
 
 
 def commit_pairs(shas: DataFrame, commits: DataFrame, parents: DataFrame) -> DataFrame:
-    """Commits with their first parent, NULL for a root."""
-    first = parents.where(F.col("parent_ord") == 0).select("repo_url", "sha", F.col("parent_sha").alias("base_sha"))
+    """Commits asked for (repo_url, sha[, context]), by id or by its unique beginning, with `name` as asked.
+
+    `base_sha` is the first parent, '' for a root; `head_sha` is null where no commit is found.
+    """
+    first = parents.where(F.col("parent_ord") == 0).select(
+        "repo_url", F.col("sha").alias("head_sha"), F.col("parent_sha").alias("base_sha")
+    )
+    asked = shas.withColumnRenamed("sha", "name").dropDuplicates()
+    exact = commits.select("repo_url", F.col("sha").alias("name"), F.col("sha").alias("_exact"))
+    short = resolve_short_sha(asked, commits).select("repo_url", "name", F.col("sha").alias("_short"))
+    found = asked.join(exact, ["repo_url", "name"], "left").join(short, ["repo_url", "name"], "left")
+    about = commits.select("repo_url", F.col("sha").alias("head_sha"), "author", "summary")
     return (
-        commits.join(shas.select("repo_url", "sha").distinct(), ["repo_url", "sha"], "left_semi")
-        .join(first, ["repo_url", "sha"], "left")
-        .withColumn("head_sha", F.col("sha"))
+        found.withColumn("head_sha", F.coalesce("_exact", "_short")).drop("_exact", "_short")
+        .join(about, ["repo_url", "head_sha"], "left")
+        .join(first, ["repo_url", "head_sha"], "left")
+        .withColumn("base_sha", F.coalesce("base_sha", F.lit("")))
+        .withColumn("sha", F.coalesce("head_sha", "name"))
     )
 
 
 def commit_report(shas: DataFrame, commits: DataFrame, parents: DataFrame, trees: DataFrame, context: int = 3) -> DataFrame:
+    """Commits (repo_url, sha[, context]) to report rows; `sha` is the full id, or as asked where there is none."""
     title = [
         F.lit("# Commit "), F.col("sha"), F.lit("\n\n"),
         F.coalesce(F.concat(F.lit("Message: "), "summary", F.lit("\n")), F.lit("")),
         F.coalesce(F.concat(F.lit("Author: "), "author", F.lit("\n")), F.lit("")), F.lit("\n"),
     ]
-    return _report(commit_pairs(shas, commits, parents), trees, title, ["repo_url", "sha"], context)
+    pairs = commit_pairs(shas, commits, parents)
+    failed = pairs.where("head_sha IS NULL").withColumn("text", F.concat(F.lit("Failed to find commit: "), "name"))
+    return _report(pairs.where("head_sha IS NOT NULL"), trees, title, ["repo_url", "sha"], context, failed)
 
 
 def _request_report(
     numbers: DataFrame, refs: DataFrame, commits: DataFrame, parents: DataFrame, trees: DataFrame, context: int,
     place: str, name: str, short: str,
 ) -> DataFrame:
+    own = ["context"] if "context" in numbers.columns else []
     wanted = numbers.select(
-        "repo_url", "number", F.concat(F.lit(f"refs/{place}/"), F.col("number").cast("string"), F.lit("/head")).alias("ref_name")
+        "repo_url", "number", *own, F.concat(F.lit(f"refs/{place}/"), F.col("number").cast("string"), F.lit("/head")).alias("ref_name")
     ).distinct()
     heads = pin(
-        wanted.join(refs, ["repo_url", "ref_name"], "left").select("repo_url", "number", F.col("target_sha").alias("head_sha"))
+        wanted.join(refs, ["repo_url", "ref_name"], "left").select("repo_url", "number", *own, F.col("target_sha").alias("head_sha"))
     )
     based = base_commits(heads.where(F.col("head_sha").isNotNull()), refs, commits, parents)
     asked = pin(heads.join(based, ["repo_url", "head_sha"], "left"))
@@ -286,10 +334,10 @@ def _request_report(
     ]
     good = asked.where(F.col("base_sha").isNotNull())
     failed = asked.where(F.col("base_sha").isNull()).select(
-        "repo_url", "number", F.lit(-1).alias("section"), F.lit("").alias("path"),
+        "repo_url", "number",
         F.coalesce("error", F.lit(f"Failed to find {'MR' if short == '!' else 'PR'} ref after fetch")).alias("text"),
     )
-    return _report(good, trees, title, ["repo_url", "number"], context).unionByName(failed)
+    return _report(good, trees, title, ["repo_url", "number"], context, failed)
 
 
 def pull_request_report(

@@ -18,11 +18,10 @@ def with_blob_id(files: DataFrame) -> DataFrame:
     return files if "blob_id" in files.columns else files.withColumn("blob_id", blob_id(F.col("content")))
 
 
-def snapshot_diff(base: DataFrame, head: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Status of each path that differs. Only keys and blob ids are shuffled; renames are not followed."""
-    by = by or ["repo_url"]
-    old = with_blob_id(base).select(*by, "path", F.col("blob_id").alias("old_blob"))
-    new = with_blob_id(head).select(*by, "path", F.col("blob_id").alias("new_blob"))
+def changed_paths(base: DataFrame, head: DataFrame, by: list[str]) -> DataFrame:
+    """Status of each path whose blob ids differ, from trees (by, path, blob_id)."""
+    old = base.select(*by, "path", F.col("blob_id").alias("old_blob"))
+    new = head.select(*by, "path", F.col("blob_id").alias("new_blob"))
     return (
         old.join(new, [*by, "path"], "full_outer")
         .where(~F.col("old_blob").eqNullSafe(F.col("new_blob")))
@@ -33,8 +32,16 @@ def snapshot_diff(base: DataFrame, head: DataFrame, by: list[str] | None = None)
     )
 
 
+def snapshot_diff(base: DataFrame, head: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Status of each path that differs. Only keys and blob ids are shuffled; renames are not followed."""
+    return changed_paths(with_blob_id(base), with_blob_id(head), by or ["repo_url"])
+
+
 def changed_files(base: DataFrame, head: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Differing paths with both contents; contents of equal files never leave the scan's anti-pruned side."""
+    """Differing paths with both contents, which join in by key.
+
+    Where trees come with stored blob ids (see `write_snapshot`), finding the differing paths reads no content.
+    """
     by = by or ["repo_url"]
     changed = snapshot_diff(base, head, by)
     old = base.select(*by, "path", F.col("content").alias("old_content"))
@@ -42,6 +49,13 @@ def changed_files(base: DataFrame, head: DataFrame, by: list[str] | None = None)
     return changed.join(old, [*by, "path"], "left").join(new, [*by, "path"], "left")
 
 
+def patches_of(changes: DataFrame, contents: DataFrame) -> DataFrame:
+    """Patches of distinct changes (repo_url, path, status, old_blob, new_blob, context), from contents by blob id."""
+    old = contents.select("repo_url", F.col("blob_id").alias("old_blob"), F.col("content").alias("old_content"))
+    new = contents.select("repo_url", F.col("blob_id").alias("new_blob"), F.col("content").alias("new_content"))
+    return file_patches(changes.join(old, ["repo_url", "old_blob"], "left").join(new, ["repo_url", "new_blob"], "left"))
+
+
 def _nul_inside(content: Column) -> Column:
     return F.coalesce(F.contains(F.substring(content, 1, 8000), F.lit(bytearray(b"\0"))), F.lit(False))
 
@@ -106,21 +120,26 @@ def _whole_file(text: Column, mark: str) -> Column:
 
 
 def file_patches(changes: DataFrame, context: int = 3) -> DataFrame:
-    """Patch text and line counts per changed file. Whole-file hunks and headers are column expressions."""
+    """Patch text and line counts per changed file. Whole-file hunks and headers are column expressions.
+
+    A column `context` of the changes, where there is one, gives the lines of context per row.
+    """
 
     @F.pandas_udf("hunks string, shared bigint")
-    def line_hunks(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    def line_hunks(old: pd.Series, new: pd.Series, around: pd.Series) -> pd.DataFrame:
         rows = [
-            (None, 0) if a is None and b is None else hunks(a or b"", b or b"", context) for a, b in zip(old, new)
+            (None, 0) if a is None and b is None else hunks(a or b"", b or b"", max(int(n), 0)) for a, b, n in zip(old, new, around)
         ]
         return pd.DataFrame(rows, columns=["hunks", "shared"])
 
+    around = F.col("context").cast("long") if "context" in changes.columns else F.lit(context).cast("long")
+
     path, status = F.col("path"), F.col("status")
     old, new = F.col("old_content"), F.col("new_content")
     binary = _is_binary_change()
     side = F.coalesce(new, old).cast("string")
     in_python = ~binary & ((status == "modified") | ~F.is_valid_utf8(side))
-    hunk_text = line_hunks(F.when(in_python, old), F.when(in_python, new))
+    hunk_text = line_hunks(F.when(in_python, old), F.when(in_python, new), around)
     body = (
         F.when(in_python, F.col("_lines.hunks"))
         .when(status == "added", _whole_file(side, "+"))

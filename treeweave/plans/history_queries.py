@@ -70,11 +70,6 @@ def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.diff_stats(*_base_head(spark, sf_dir))
 
 
-@query("unified_patch")
-def unified_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots.unified_patch(*_base_head(spark, sf_dir)).select("repo_url", "path", "status", "patch")
-
-
 def patch_title_sql() -> str:
     """Everything of a patch before its first hunk."""
     return (
@@ -87,6 +82,44 @@ def patch_title_sql() -> str:
     )
 
 
+def hunk_sql() -> str:
+    """The hunk of a change of the inputs: whole files, or one or two first lines put in or left out.
+
+    One line slides past the lines after it that equal it. The longer side holds all lines shown.
+    """
+    old, new = LINE_LIST.format("old_text"), LINE_LIST.format("new_text")
+    long = f"CASE WHEN len({old}) > len({new}) THEN {old} ELSE {new} END"
+    shown = "list_transform({0}, lambda x: {1} || x || CASE WHEN ends_with(x, chr(10)) THEN '' ELSE chr(10) || '\\ No newline at end of file' || chr(10) END)"
+    whole = "'{0}' || CASE WHEN len({1}) = 1 THEN '1' ELSE '1,' || len({1}) END || '{2} @@' || chr(10) || array_to_string({3}, '')"
+
+    def span(start: str, count: str) -> str:
+        return f"(CASE WHEN {count} = 0 THEN {start} - 1 ELSE {start} END) || CASE WHEN {count} = 1 THEN '' ELSE ',' || {count} END"
+
+    changed = "(CASE WHEN gone THEN '-' ELSE '+' END)"
+    first, after = "(at_line - least(3, at_line - 1))", "least(3, len(lines) - at_line - size + 1)"
+    kept = f"(least(3, at_line - 1) + {after})"
+    hunk = (
+        f"'@@ -' || {span(first, f'({kept} + CASE WHEN gone THEN size ELSE 0 END)')} || ' +' || {span(first, f'({kept} + CASE WHEN gone THEN 0 ELSE size END)')} "
+        f"|| ' @@' || chr(10) || array_to_string({shown.format(f'list_slice(lines, {first}, at_line - 1)', repr(' '))}, '') "
+        f"|| array_to_string({shown.format('list_slice(lines, at_line, at_line + size - 1)', changed)}, '') "
+        f"|| array_to_string({shown.format(f'list_slice(lines, at_line + size, at_line + size + {after} - 1)', repr(' '))}, '')"
+    )
+    slide = "CASE WHEN abs(len({0}) - len({1})) = 1 THEN coalesce(list_position(list_transform({2}, lambda x: x = ({2})[1]), false), len({2}) + 1) - 1 ELSE 1 END"
+    modified = (
+        f"(SELECT {hunk} FROM (SELECT {long} AS lines, len({old}) > len({new}) AS gone, abs(len({old}) - len({new})) AS size, "
+        f"{slide.format(old, new, long)} AS at_line) h)"
+    )
+    return (
+        f"CASE status WHEN 'added' THEN {whole.format('@@ -0,0 +', new, '', shown.format(new, repr('+')))} "
+        f"WHEN 'deleted' THEN {whole.format('@@ -', old, ' +0,0', shown.format(old, repr('-')))} ELSE {modified} END"
+    )
+
+
+@query("unified_patch", with_views(f"SELECT repo_url, path, status, {patch_title_sql()} || {hunk_sql()} AS patch FROM changes", BASE_HEAD))
+def unified_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.unified_patch(*_base_head(spark, sf_dir)).select("repo_url", "path", "status", "patch")
+
+
 @query(
     "unified_patch_lines",
     with_views(
@@ -147,13 +180,12 @@ SELECT w.repo_url, w.branch, coalesce(b.target_sha, e.target_sha, h.target_sha)
 LEFT JOIN refs b ON b.repo_url = w.repo_url AND b.ref_name = 'refs/heads/' || w.branch
 LEFT JOIN refs e ON e.repo_url = w.repo_url AND e.ref_name = w.branch
 LEFT JOIN refs h ON h.repo_url = w.repo_url AND h.ref_name = 'HEAD'""",
-        {"wanted": "SELECT repo_url, CASE k WHEN 1 THEN 'main' WHEN 2 THEN 'feature' ELSE 'refs/tags/v1' END AS branch FROM commits WHERE k <= 3"},
+        {"wanted": "SELECT DISTINCT repo_url, branch FROM wanted_branches"},
     ),
 )
 def branch_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits, refs = load(spark, sf_dir, "commits", "refs")
-    branch = F.when(F.col("k") == 1, "main").when(F.col("k") == 2, "feature").otherwise("refs/tags/v1")
-    return history.branch_heads(commits.where("k <= 3").select("repo_url", branch.alias("branch")), refs)
+    wanted, refs = load(spark, sf_dir, "wanted_branches", "refs")
+    return history.branch_heads(wanted, refs)
 
 
 def merge_base_views(pairs: str) -> dict[str, str]:
@@ -210,7 +242,7 @@ def base_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_sql(pairs: str, keys: list[str], title: str, before: dict[str, str], recursive: bool = False, failed: str = "") -> str:
-    """Report rows of the pairs of a view; patches are compared up to their first hunk."""
+    """Report rows of the pairs of a view, with whole patches."""
     pair = ["repo_url", "base_sha", "head_sha"]
     views = {
         **before,
@@ -229,24 +261,23 @@ def report_sql(pairs: str, keys: list[str], title: str, before: dict[str, str],
     )
     sql = (
         f"SELECT {own}, 0 AS section, '' AS path, {title} || {counts} AS text FROM {pairs} p LEFT JOIN sums s ON {on} "
-        f"UNION ALL SELECT {own}, 1, s.path, {patch_title_sql()} FROM {pairs} p JOIN (SELECT *, path AS _p FROM changes) s ON {on} {failed}"
+        f"UNION ALL SELECT {own}, 1, s.path, {patch_title_sql()} || {hunk_sql()} FROM {pairs} p JOIN (SELECT *, path AS _p FROM changes) s ON {on} {failed}"
     )
     return with_views(sql, views, recursive)
 
 
-def up_to_hunk(report: DataFrame) -> DataFrame:
-    return report.withColumn("text", F.when(F.col("section") == 1, F.substring_index("text", "@@ -", 1)).otherwise(F.col("text")))
-
-
 @query(
     "compare_report",
     report_sql(
-        "compare_pairs", ["repo_url", "base", "head"], "'# Comparing ' || base || ' to ' || head || chr(10) || chr(10)", {}
+        "resolved_pairs", ["repo_url", "base", "head"], "'# Comparing ' || base || ' to ' || head || chr(10) || chr(10)",
+        {"resolved_pairs": "SELECT * FROM named_pairs WHERE base_sha IS NOT NULL AND head_sha IS NOT NULL"},
+        failed="UNION ALL SELECT repo_url, base, head, -1, '', 'Failed to resolve reference: ' || CASE WHEN base_sha IS NULL THEN base ELSE head END "
+        "FROM named_pairs WHERE base_sha IS NULL OR head_sha IS NULL",
     ),
 )
 def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, trees = load(spark, sf_dir, "compare_pairs", "trees")
-    return up_to_hunk(history.compare_report(pairs, with_content(trees)))
+    pairs, trees = load(spark, sf_dir, "named_pairs", "trees")
+    return history.compare_report(pairs, with_content(trees))
 
 
 @query(
@@ -258,11 +289,13 @@ def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             "commit_pairs": "SELECT c.repo_url, c.sha, c.sha AS head_sha, summary, author, parent_sha AS base_sha FROM commits c "
             "LEFT JOIN (SELECT * FROM commit_parents WHERE parent_ord = 0) f ON f.repo_url = c.repo_url AND f.sha = c.sha"
         },
+        failed="UNION ALL SELECT repo_url, name, -1, '', 'Failed to find commit: ' || name FROM asked_shas WHERE starts_with(name, 'zz')",
     ),
 )
 def commit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits, parents, trees = load(spark, sf_dir, "commits", "commit_parents", "trees")
-    return up_to_hunk(history.commit_report(commits, commits, parents, with_content(trees)))
+    asked, commits, parents, trees = load(spark, sf_dir, "asked_shas", "commits", "commit_parents", "trees")
+    asked = asked.withColumnRenamed("name", "sha")
+    return history.commit_report(asked, commits, parents, with_content(trees))
 
 
 def request_report_sql(place: str, name: str, short: str, tag: str, step: int) -> str:
@@ -289,11 +322,11 @@ def request_report_sql(place: str, name: str, short: str, tag: str, step: int) -
 def pull_request_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, commits, parents, trees = load(spark, sf_dir, "refs", "commits", "commit_parents", "trees")
     numbers = commits.where("k % 3 = 0").select("repo_url", F.col("k").alias("number"))
-    return up_to_hunk(history.pull_request_report(numbers, refs, commits, parents, with_content(trees)))
+    return history.pull_request_report(numbers, refs, commits, parents, with_content(trees))
 
 
 @query("merge_request_report", request_report_sql("merge-requests", "Merge Request", "!", "MR", 2))
 def merge_request_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, commits, parents, trees = load(spark, sf_dir, "refs", "commits", "commit_parents", "trees")
     numbers = commits.where("k % 2 = 0").select("repo_url", F.col("k").alias("number"))
-    return up_to_hunk(history.merge_request_report(numbers, refs, commits, parents, with_content(trees)))
+    return history.merge_request_report(numbers, refs, commits, parents, with_content(trees))

@@ -210,6 +210,16 @@ UNION ALL SELECT repo_url, substr(sha, 1, 6 + k % 4) AS name FROM commits""",
     "compare_pairs": """
 SELECT repo_url, base, head, sha1(repo_url || ':' || base) AS base_sha, sha1(repo_url || ':' || head) AS head_sha
 FROM (SELECT repo_url, CAST(k AS STRING) AS head, CAST(k - 1 - k % 3 AS STRING) AS base FROM commits WHERE k > 3) t""",
+    "named_pairs": """
+SELECT repo_url, base, head, CASE WHEN (r + CAST(head AS INT)) % 11 = 0 THEN NULL ELSE base_sha END AS base_sha,
+  CASE WHEN (r + CAST(head AS INT)) % 7 = 0 THEN NULL ELSE head_sha END AS head_sha
+FROM (SELECT p.*, c.r FROM compare_pairs p JOIN commits c ON c.repo_url = p.repo_url AND c.sha = p.head_sha) t""",
+    "asked_shas": """
+SELECT repo_url, CASE WHEN k % 3 = 0 THEN substr(sha, 1, 12) ELSE sha END AS name FROM commits
+UNION ALL
+SELECT repo_url, 'zz' || substr(sha, 1, 8) AS name FROM commits WHERE k = 1""",
+    "wanted_branches": """
+SELECT repo_url, CASE k % 4 WHEN 1 THEN 'main' WHEN 2 THEN 'feature' WHEN 3 THEN 'refs/tags/v1' ELSE 'gone' END AS branch FROM commits""",
 }
 
 NAMES = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)")
