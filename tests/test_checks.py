@@ -6,12 +6,13 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import check_engine, differences
+from treeweave.plans import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF_DIR).exists(), reason="tables not present")
 
 # No SQL can express these; other tests cover them.
-WITHOUT_CHECK = {"scan_worktree", "unified_patch", "stream_freshness"}
+WITHOUT_CHECK = {"stream_freshness"}
 
 
 @pytest.fixture(scope="module")
@@ -20,13 +21,13 @@ def engine():
 
 
 def test_only_known_queries_have_no_check():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_CHECK
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_CHECK
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, engine, name):
-    rows, problem = differences(spark, engine, SF_DIR, entry.queries()[name], entry.oracle_sql().get(name))
+    rows, problem = differences(spark, engine, SF_DIR, QUERIES[name], ORACLES.get(name))
     assert not problem
     assert rows > 0
 

@@ -114,15 +114,17 @@ def include(files: DataFrame, patterns: Iterable[str]) -> DataFrame:
     return files.where(included_by_any(patterns, F.col("path")))
 
 
-def under_prefix(files: DataFrame, prefix: str | None) -> DataFrame:
+def below(prefix: str | None) -> Column:
     """Tracked files below a directory; untracked ones by bare text prefix."""
     if not prefix:
-        return files
+        return F.lit(True)
     folder = prefix if prefix.endswith("/") else prefix + "/"
     path = F.col("path")
-    return files.where(
-        F.when(F.col("git_status") == "untracked", path.startswith(prefix)).otherwise(path.startswith(folder))
-    )
+    return F.when(F.col("git_status") == "untracked", path.startswith(prefix)).otherwise(path.startswith(folder))
+
+
+def under_prefix(files: DataFrame, prefix: str | None) -> DataFrame:
+    return files.where(below(prefix))
 
 
 def by_status(files: DataFrame, include_untracked: bool, commits: DataFrame | None = None) -> DataFrame:
@@ -165,11 +167,20 @@ def should_include(options: IngestOptions) -> Column:
     )
 
 
+def taken(options: IngestOptions) -> Column:
+    """Whether a file row enters a document, by status, prefix and rules; what batches and streams share."""
+    take_untracked = options.include_untracked and not options.indexed
+    listed = F.lit(True) if take_untracked else F.col("git_status") == "tracked"
+    return listed & below(options.path_prefix) & should_include(options)
+
+
 def ingestable(files: DataFrame, options: IngestOptions, commits: DataFrame | None = None) -> DataFrame:
     """Files that enter a document, without the size limit."""
     take_untracked = options.include_untracked and not options.indexed
-    listed = under_prefix(by_status(files, take_untracked, commits), options.path_prefix)
-    kept = listed.where(should_include(options))
+    if commits is None:
+        kept = files.where(taken(options))
+    else:
+        kept = by_status(files, take_untracked, commits).where(below(options.path_prefix) & should_include(options))
     # A path is listed twice only where untracked files join the tracked ones.
     return distinct_paths(kept) if take_untracked or commits is not None else kept
 

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeweave.operators import filters, rules
 from treeweave.operators.filters import IngestOptions
-from treeweave.operators.render import render_blocks, repo_document
 from treeweave.operators.requests import pattern_list, pattern_rows
-from treeweave.operators.stats import filter_stats
 from treeweave.plans.registry import glob_sql, include_sql, query, values
 from treeweave.plans.views import load, with_views
 from treeweave.session import new_folder
-from treeweave.sources import files as sources, sinks
+from treeweave.sources import files as sources
 
 GLOBS = ["*.rs", "build/*", "bin/*", "f*.md", "docs", "src/core"]
 INCLUDES = ["src/", "f1*", "docs/*.md"]
@@ -38,10 +36,13 @@ def with_content(files: DataFrame) -> DataFrame:
     return files.withColumn("content", F.col("text").cast("binary")).drop("text")
 
 
-@query("scan_worktree")
+@query("scan_worktree", with_views("SELECT source AS repo_url, path, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS digest FROM worktree"))
 def scan_worktree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sources.scan_worktree(spark, sf_dir, repo_depth=0)
-    return found.select("path", "size")
+    """The files written as a tree, with hidden, underscored and spaced names, and scanned."""
+    files = with_content(load(spark, sf_dir, "worktree").withColumnRenamed("source", "repo_url"))
+    root = new_folder(spark, "tree")
+    sources.write_worktree(files, root)
+    return sources.scan_worktree(spark, root).select("repo_url", "path", "size", F.md5("content").alias("digest"))
 
 
 @query(
@@ -70,55 +71,6 @@ def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.index_files(trees)[1]
 
 
-@query(
-    "write_documents",
-    with_views(
-        "SELECT CAST(('0x' || substr(md5(repo_url), 1, 6)) AS BIGINT) % 64 AS bucket, "
-        "CAST(sum(length(text) - length(replace(text, chr(10), '')) + 3) AS BIGINT) AS lines, "
-        "CAST(sum(strlen(text) + strlen(path) + 11) AS BIGINT) AS bytes FROM kept GROUP BY 1",
-        {
-            **RULES,
-            "kept": "SELECT * FROM tracked f WHERE NOT EXISTS (SELECT 1 FROM rules g WHERE g.category <> 'code_only_extra' "
-            f"AND {glob_sql('g.pattern', 'f.path')}) AND f.doc_id % 13 <> 11",
-        },
-    ),
-)
-def write_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks written as text and read back, counted per bucket."""
-    files = with_content(load(spark, sf_dir, "tracked").where("doc_id % 13 <> 11"))
-    kept = filters.ingestable(files, IngestOptions(preset="standard"))
-    rows = render_blocks(kept).select("repo_url", F.lit(2).alias("section"), "seq", F.col("block").alias("text"))
-    folder = new_folder(spark, "documents")
-    sinks.write_documents(rows, folder)
-    written = spark.read.text(folder)
-    return written.groupBy(F.col("bucket").cast("bigint").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes")
-    )
-
-
-@query(
-    "export_messages",
-    with_views(
-        """
-SELECT repo_url, 2 AS stage, count(*) AS messages, CAST(sum(strlen(path)) AS BIGINT) AS path_bytes FROM kept GROUP BY repo_url
-UNION ALL SELECT repo_url, 0 AS stage, 2 AS messages, 0 AS path_bytes FROM (SELECT DISTINCT repo_url FROM tracked) t
-UNION ALL SELECT repo_url, 1 AS stage, 1 AS messages, 0 AS path_bytes FROM (SELECT DISTINCT repo_url FROM tracked) t
-UNION ALL SELECT repo_url, 3 AS stage, 1 AS messages, 0 AS path_bytes FROM (SELECT DISTINCT repo_url FROM tracked) t""",
-        {**RULES, "kept": f"SELECT * FROM tracked f WHERE NOT EXISTS (SELECT 1 FROM rules g WHERE g.category <> 'code_only_extra' AND {glob_sql('g.pattern', 'f.path')})"},
-    ),
-)
-def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages, counted per repository and stage, with the bytes of the paths read back from them."""
-    options = IngestOptions(preset="standard")
-    files = with_content(load(spark, sf_dir, "tracked"))
-    messages = sinks.export_messages(render_blocks(filters.ingestable(files, options)), filter_stats(files, options))
-    path = F.get_json_object("message", "$.path")
-    return messages.groupBy("repo_url", "stage").agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.coalesce(F.sum(F.octet_length(path)), F.lit(0)).alias("path_bytes"),
-    )
-
-
 @query("glob_filter", with_views(f"SELECT repo_url, path FROM repo_files f WHERE {any_of('given')}", patterns(GLOBS)))
 def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.glob_filter(load(spark, sf_dir, "repo_files"), GLOBS).select("repo_url", "path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeweave.plans.registry import query
@@ -10,6 +12,7 @@ from treeweave.plans.text_queries import STANDARD, kept_sql
 from treeweave.plans.file_queries import with_content
 from treeweave.plans.views import load, with_views
 from treeweave.session import new_folder
+from treeweave.sources.files import write_worktree
 from treeweave.streaming import streams
 
 
@@ -58,8 +61,8 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.ingest_files(with_content(load(spark, sf_dir, "sized_files", stream=True)), STANDARD)
 
 
-KEPT = kept_sql(STANDARD, "listed")
-KEPT = {"listed": "SELECT * FROM sized_files WHERE git_status <> 'ignored'", **{k: v for k, v in KEPT.items() if k in ("given", "kept", "blocks")}}
+KEPT = {k: v for k, v in kept_sql(STANDARD).items() if k in ("given", "kept", "blocks")}
+BELOW = {"tracked": "SELECT * FROM sized_files WHERE git_status = 'tracked' AND starts_with(path, 'src/')", **KEPT}
 
 
 @query("stream_ingest", with_views("SELECT repo_url, path, block FROM blocks", KEPT))
@@ -67,14 +70,30 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appended(_blocks(spark, sf_dir), "stream-ingest")
 
 
-@query("stream_messages", with_views("SELECT repo_url, 'File' AS type, path, CAST(strlen(block) AS BIGINT) AS bytes FROM blocks", KEPT))
+@query("stream_ingest_below", with_views("SELECT repo_url, path, block FROM blocks", BELOW))
+def stream_ingest_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = with_content(load(spark, sf_dir, "sized_files", stream=True))
+    return appended(streams.ingest_files(files, replace(STANDARD, path_prefix="src")), "stream-ingest")
+
+
+@query("stream_paths", with_views("SELECT repo_url, path, block FROM blocks", KEPT))
+def stream_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracked files written as a tree, and read again from a stream of their names."""
+    files = with_content(load(spark, sf_dir, "tracked"))
+    root = new_folder(spark, "tree")
+    short = F.regexp_replace("repo_url", "^https://", "")
+    write_worktree(files.withColumn("repo_url", short), root)
+    names = load(spark, sf_dir, "tracked", stream=True).select(F.lit(root).alias("root"), short.alias("repo_url"), "path")
+    blocks = appended(streams.stream_paths(names, STANDARD), "stream-paths")
+    return blocks.withColumn("repo_url", F.concat(F.lit("https://"), "repo_url"))
+
+
+@query("stream_messages", with_views("SELECT repo_url, 'File' AS type, path, block AS content FROM blocks", KEPT))
 def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages, read back."""
     sent = appended(streams.stream_messages(_blocks(spark, sf_dir)), "stream-messages")
     body = F.from_json("message", "type string, path string, content string").alias("m")
-    return sent.select("repo_url", body).select(
-        "repo_url", "m.type", "m.path", F.octet_length("m.content").cast("bigint").alias("bytes")
-    )
+    return sent.select("repo_url", body).select("repo_url", "m.type", "m.path", "m.content")
 
 
 @query(

@@ -12,6 +12,8 @@ from treeweave.plans.registry import (
     include_sql, lines_sql, query, text_tokens_sql, tokens_sql, values, words_sql,
 )
 from treeweave.plans.views import load, with_views
+from treeweave.session import new_folder
+from treeweave.sources import sinks
 from treeweave.sources.files import index_files
 
 STANDARD = IngestOptions(preset="standard")
@@ -164,6 +166,62 @@ def render_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render_blocks(render.selected_files(files, STANDARD)[0])
 
 
+@query(
+    "write_documents",
+    with_views(
+        "SELECT CAST(('0x' || substr(md5(repo_url), 1, 6)) AS BIGINT) % 64 AS bucket, "
+        "CAST(sum(length(block) - length(replace(block, chr(10), ''))) AS BIGINT) AS lines, CAST(sum(strlen(block)) AS BIGINT) AS bytes "
+        "FROM blocks GROUP BY 1",
+        kept_sql(STANDARD),
+    ),
+)
+def write_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks written as text and read back, counted per bucket."""
+    files = with_content(load(spark, sf_dir, "sized_files"))
+    rows = render.render_blocks(render.selected_files(files, STANDARD)[0]).select(
+        "repo_url", F.lit(2).alias("section"), "seq", F.col("block").alias("text")
+    )
+    folder = new_folder(spark, "documents")
+    sinks.write_documents(rows, folder)
+    written = spark.read.text(folder)
+    return written.groupBy(F.col("bucket").cast("bigint").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes")
+    )
+
+
+STAGE = "SELECT repo_url, {0} AS stage, CAST({1} AS BIGINT) AS seq, '{2}' AS type, {3} AS path, {4} AS content, {5} AS files FROM {6}"
+
+
+@query(
+    "export_messages",
+    with_views(
+        " UNION ALL ".join([
+            STAGE.format(0, 1, "Progress", "NULL", "'Processing ' || repo_url", "NULL", "all_repos"),
+            STAGE.format(0, 2, "Progress", "NULL", "'Processing files...'", "NULL", "all_repos"),
+            STAGE.format(1, 1, "FilterStats", "NULL", "NULL", "n_kept", "counted"),
+            STAGE.format(2, "row_number() OVER (PARTITION BY repo_url ORDER BY path)", "File", "path", "block", "NULL", "blocks"),
+            STAGE.format(3, 1, "Complete", "NULL", "NULL", "n_kept", "counted"),
+        ]),
+        {
+            **kept_sql(STANDARD), "all_repos": "SELECT DISTINCT repo_url FROM tracked",
+            "counted": "SELECT repo_url, count(path) AS n_kept FROM all_repos LEFT JOIN kept USING (repo_url) GROUP BY repo_url",
+        },
+    ),
+)
+def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages with what they hold, read back from their text."""
+    files = with_content(load(spark, sf_dir, "sized_files"))
+    rendered = render.render_blocks(render.selected_files(files, STANDARD)[0])
+    messages = sinks.export_messages(rendered, stats.filter_stats(files, STANDARD))
+    body = F.from_json(
+        "message", "type string, path string, message string, content string, files long, stats struct<included_files:long>"
+    ).alias("m")
+    return messages.select("repo_url", "stage", "seq", body).select(
+        "repo_url", "stage", "seq", "m.type", "m.path", F.coalesce("m.content", "m.message").alias("content"),
+        F.coalesce("m.files", "m.stats.included_files").alias("files"),
+    )
+
+
 @query(
     "path_order",
     with_views(

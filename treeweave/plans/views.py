@@ -36,6 +36,10 @@ SELECT doc_id, 'https://github.com/' || source || '/' || lang AS repo_url,
   CASE WHEN doc_id % 29 = 0 THEN 'ignored' WHEN doc_id % 31 = 0 THEN 'untracked' ELSE 'tracked' END AS git_status
 FROM documents""",
     "sized_files": "SELECT *, CAST({bytes}(text) AS BIGINT) AS size FROM repo_files",
+    "worktree": """
+SELECT f.doc_id, d.source, CASE f.doc_id % 6 WHEN 0 THEN '_x/' WHEN 1 THEN '.cfg/' WHEN 2 THEN 'a b/%41/' WHEN 3 THEN '__pycache__/.d/' ELSE '' END
+  || f.path AS path, f.text
+FROM repo_files f JOIN documents d ON d.doc_id = f.doc_id""",
     "tracked": "SELECT * FROM sized_files WHERE git_status = 'tracked'",
     "files_base": "SELECT repo_url, path, text FROM repo_files WHERE git_status = 'tracked' AND doc_id % 19 <> 4",
     "files_head": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
 import shutil
 import tempfile
@@ -27,7 +28,9 @@ def build_session(app: str = "treeweave", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 _shipped: set[str] = set()
@@ -39,9 +42,10 @@ def ship_package(spark: SparkSession) -> None:
     if application in _shipped:
         return
     package = pathlib.Path(__file__).resolve().parent
-    archive = shutil.make_archive(
-        f"{tempfile.mkdtemp(prefix='treeweave-package-')}/{package.name}", "zip", package.parent, package.name
-    )
+    folder = tempfile.mkdtemp(prefix="treeweave-package-")
+    archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+    # Executors fetch the archive from the driver for as long as it runs.
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.addPyFile(archive)
     _shipped.add(application)
 

@@ -2,42 +2,105 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import or_
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType
 
 from treeweave.operators.content import is_binary
+from treeweave.session import pin, ship_package
 
 # Fixed value: version tag of index rows.
 INDEX_VERSION = "2.0.0"
 BUCKETS = 64
 
 
+def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address and the path in it; addresses without a scheme are local paths."""
+    if "://" not in uri and uri.startswith("file:"):
+        uri = "file://" + uri[5:]
+    # A local path may hold characters that an address would have to escape.
+    if uri.startswith("file://"):
+        uri = uri[7:]
+    return (fs.LocalFileSystem(), uri) if "://" not in uri else fs.FileSystem.from_uri(uri)
+
+
+def _listed(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of folders (`root`, `folder`): (`root`, `folder`, `size`), the size null for a folder."""
+    for page in pages:
+        for root, folder in zip(page["root"], page["folder"]):
+            system, base = _file_system(root)
+            top = base.rstrip("/")
+            entries = system.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/") or "/"))
+            rows = [
+                (root, e.path[len(top):].lstrip("/"), None if e.type == fs.FileType.Directory else e.size)
+                for e in entries if e.type in (fs.FileType.Directory, fs.FileType.File)
+            ]
+            yield pd.DataFrame(rows, columns=["root", "folder", "size"]).astype({"size": "Int64"})
+
+
+@F.pandas_udf(BinaryType())
+def read_file(root: pd.Series, path: pd.Series) -> pd.Series:
+    """Contents of files below their roots."""
+    out = []
+    for base, name in zip(root, path):
+        system, top = _file_system(base)
+        with system.open_input_stream(f"{top.rstrip('/')}/{name}") as stream:
+            out.append(stream.read())
+    return pd.Series(out, dtype=object)
+
+
 def scan_worktree(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
-    """Regular files below `root` with sizes and paths relative to their repository.
+    """Regular files below `root` with sizes and paths relative to their repository, whatever their names begin with.
 
-    The first `repo_depth` folders below `root` name the repository. `content` is read only where it is used.
+    The first `repo_depth` folders below `root` name the repository; files above that depth belong to the repository of the folders
+    there are. Folders are listed by tasks, one round per level of the tree. `content` is read only where it is used, and
+    filters on the other columns come before the reading.
     """
-    base = root.rstrip("/")
-    scanned = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    # Listed paths carry a scheme (`file:/data/x`), the given root may not.
-    plain = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
-    bare_root = base.split("://", 1)[1] if "://" in base else base.split(":", 1)[-1]
-    if "://" in base:
-        bare_root = bare_root[bare_root.find("/"):]
-    parts = F.split(F.substring(plain, len(bare_root) + 2, 1 << 30), "/")
-    repo = F.array_join(F.slice(parts, 1, repo_depth), "/") if repo_depth else F.lit("")
-    return scanned.select(
-        repo.alias("repo_url"),
-        F.array_join(F.slice(parts, repo_depth + 1, 1 << 20), "/").alias("path"),
-        F.col("length").alias("size"),
+    ship_package(spark)
+    listing = "root string, folder string, size long"
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = spark.createDataFrame([(root, "")], "root string, folder string")
+    found = None
+    while True:
+        entries = pin(folders.repartition(slices).mapInPandas(_listed, listing))
+        files = entries.where("size IS NOT NULL")
+        found = files if found is None else found.union(files)
+        folders = entries.where("size IS NULL").select("root", "folder")
+        if folders.isEmpty():
+            break
+    parts = F.split("folder", "/")
+    depth = F.least(F.lit(repo_depth), F.size(parts) - 1)
+    return found.select(
+        F.array_join(F.slice(parts, F.lit(1), depth), "/").alias("repo_url"),
+        F.array_join(F.slice(parts, depth + 1, F.size(parts)), "/").alias("path"),
+        "size",
         F.lit("tracked").alias("git_status"),
-        "content",
+        read_file("root", "folder").alias("content"),
     )
 
 
+def write_worktree(files: DataFrame, root: str) -> int:
+    """Write file rows (repo_url, path, content) as a tree below `root`, by tasks; returns how many."""
+
+    def write(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for page in pages:
+            system, top = _file_system(root)
+            for repo, path, content in zip(page["repo_url"], page["path"], page["content"]):
+                name = "/".join(x for x in (top.rstrip("/"), repo, path) if x)
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(name) as stream:
+                    stream.write(content or b"")
+            yield pd.DataFrame({"files": [len(page)]})
+
+    written = files.select("repo_url", "path", "content").mapInPandas(write, "files long")
+    return written.agg(F.sum("files")).first()[0] or 0
+
+
 def repo_bucket(repo_url: Column, buckets: int = BUCKETS) -> Column:
     """Stable bucket of a repository, the same in every engine that has md5."""
     return F.conv(F.substring(F.md5(repo_url), 1, 6), 16, 10).cast("int") % buckets

@@ -11,14 +11,15 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from treeweave.functions import text as T
 from treeweave.operators.catalog import EXPIRE_SECONDS, FRESH_SECONDS
-from treeweave.operators.filters import IngestOptions, should_include
+from treeweave.operators.filters import IngestOptions, taken
 from treeweave.operators.render import block_of, texts_of
 from treeweave.operators.usage import ingested
+from treeweave.sources.files import read_file
 
 
 def ingest_files(files: DataFrame, options: IngestOptions) -> DataFrame:
-    """Arriving file rows to rendered blocks; no state, no shuffle."""
-    kept = files.where(should_include(options) & (F.col("size") <= options.max_file_size))
+    """Arriving file rows to rendered blocks, the same as in a batch; no state, no shuffle."""
+    kept = files.where(taken(options) & (F.col("size") <= options.max_file_size))
     return texts_of(kept, options.indexed).select(
         "repo_url", "path", block_of(F.col("path"), F.col("text")).alias("block")
     )
@@ -29,6 +30,17 @@ def stream_ingest(spark: SparkSession, folder: str, schema: str, options: Ingest
     return ingest_files(spark.readStream.schema(schema).parquet(folder), options)
 
 
+def stream_paths(paths: DataFrame, options: IngestOptions) -> DataFrame:
+    """Blocks of files named by arriving rows (root, repo_url, path): each is read by the task that holds its row.
+
+    Unlike a file source on the tree itself, this takes names that begin with a dot or an underscore.
+    """
+    name = F.concat_ws("/", F.when(F.col("repo_url") != "", F.col("repo_url")), "path")
+    known = paths.withColumn("git_status", F.lit("tracked")).where(taken(options))
+    read = known.withColumn("content", read_file("root", name)).withColumn("size", F.octet_length("content").cast("long"))
+    return ingest_files(read, options)
+
+
 def stream_messages(blocks: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Tagged JSON message per block, and per error row."""
     files = blocks.select(
@@ -198,16 +210,21 @@ def run_with_callbacks(blocks: DataFrame, hooks: Hooks, checkpoint: str, **trigg
     """Start a stream of blocks that reports to `hooks` before, during and after each batch."""
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        on_file: Callable[[str, str], None] = hooks.on_file
+        on_file: Callable[[str, str], None] | None = None if type(hooks).on_file is Hooks.on_file else hooks.on_file
 
-        def each_partition(rows) -> None:
-            for row in rows:
-                on_file(row.path, row.block)
+        def report(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for page in pages:
+                for path, block in zip(page["path"], page["block"]):
+                    on_file(path, block)
+                yield pd.DataFrame({"files": [len(page)], "size": [sum(len(b.encode()) for b in page["block"])]})
 
         hooks.on_progress("ingesting", f"batch {batch_id}")
         try:
-            batch.foreachPartition(each_partition)
-            totals = batch.agg(F.count(F.lit(1)), F.coalesce(F.sum(T.byte_count(F.col("block"))), F.lit(0))).first()
+            # One pass: with a hook it counts as it goes, without one nothing reaches Python.
+            counted = batch.select(F.lit(1).alias("files"), T.byte_count(F.col("block")).alias("size"))
+            if on_file:
+                counted = batch.select("path", "block").mapInPandas(report, "files long, size long")
+            totals = counted.agg(F.coalesce(F.sum("files"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
         except Exception as error:
             hooks.on_error(str(error))
             raise
