@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from treeweave.llm.near_duplicates import WordHashes, _mixed
-from treeweave.llm.support import utf8
+from treeweave.llm.support import stored, utf8
 from treeweave.session import pin, ship_package
 
 WINDOW = 50
@@ -98,7 +98,7 @@ def _phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """`hash`, `id`, `row`, `start` of the windows whose phrase is among `shared`."""
+    """`hash`, `id`, `place` of the windows whose phrase is among `shared`; the place is the row's hash, then the first word."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -113,9 +113,9 @@ def _windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 if len(at):
                     # A window that repeats inside the document counts once.
                     found, first = np.unique(_window_hashes(codes, window)[at], return_index=True)
-                    yield pd.DataFrame({"hash": found.view(np.int64), "id": doc, "row": row, "start": at[first].astype(np.int32)})
+                    yield pd.DataFrame({"hash": found.view(np.int64), "id": doc, "place": (int(row) << 32) + at[first]})
 
-    return docs.select("id", "row", "bytes", "shared").mapInPandas(find, "hash long, id long, row int, start int")
+    return docs.select("id", "row", "bytes", "shared").mapInPandas(find, "hash long, id long, place long")
 
 
 def _piece_words(owners: DataFrame, window: int) -> DataFrame:
@@ -202,26 +202,28 @@ def repeated_passages(
     ship_package(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("bytes"))
     texts = texts.withColumn("row", F.hash("bytes"))
-    every = pin(_phrases(texts, window, phrase))
+    every = stored(_phrases(texts, window, phrase), "phrases")
     classes = every.where("id IS NOT NULL").groupBy("sha").agg(F.min("id").alias("rep"))
     members = every.join(classes, "sha", "left")
 
     picked = members.where((F.col("id") == F.col("rep")) & (F.col("n_words") >= window)).select("id", F.explode("phrases").alias("phrase"))
     recurring = picked.groupBy("phrase").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     shared = picked.join(recurring.select("phrase"), "phrase").groupBy("id").agg(F.collect_set("phrase").alias("shared"))
-    some = pin(texts.join(shared, "id"))
+    some = stored(texts.join(shared, "id"), "candidates")
     size = some.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("id"), F.lit(size // shard_bytes + 1)).cast("int")
 
     # A window that a later document holds as well: its owner's piece goes to the shards of all documents that hold it.
     owned = (
         _windows(some, window, phrase).withColumn("shard", shard).groupBy("hash")
-        .agg(F.min(F.struct("id", "row", "start")).alias("first"), F.max("id").alias("last"), F.collect_set("shard").alias("shards"))
+        .agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last"), F.collect_set("shard").alias("shards"))
         .where("first.id < last")
     )
-    piece = F.floor(F.col("start") / F.lit(PIECE)).cast("int")
+    start = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
     routes = pin(
-        owned.select("first.*", F.explode("shards").alias("shard")).withColumn("piece", piece)
+        owned.select("first.*", F.explode("shards").alias("shard"))
+        .withColumns({"row": F.shiftright("place", 32).cast("int"), "start": start.cast("int")})
+        .withColumn("piece", F.floor(F.col("start") / F.lit(PIECE)).cast("int"))
         .groupBy("id", "row", "piece", "shard").agg(F.collect_set(F.col("start") - F.col("piece") * PIECE).alias("starts"))
     )
     owners = some.join(routes.groupBy("id", "row").agg(F.collect_set("piece").alias("pieces")), ["id", "row"])

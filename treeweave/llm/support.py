@@ -7,6 +7,8 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from treeweave.session import new_folder
+
 # A word is a run of characters other than space and the control characters tab to carriage return.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -39,6 +41,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """`df` written compressed to the shared folder and read again: later steps see the same rows if executors are lost."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def bounded_sample(rows: DataFrame, size: int, id_col: str) -> DataFrame:
     """At most `size` rows, the same in every run: those whose ids have the smallest hashes. Meant for narrow rows."""
     rank = fresh(rows.columns, "_rank")
