@@ -11,18 +11,13 @@ from treeweave.plans import ORACLES, QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF_DIR).exists(), reason="tables not present")
 
-# No SQL can express these; other tests cover them.
-WITHOUT_CHECK = {"stream_freshness"}
-
-
 @pytest.fixture(scope="module")
 def engine():
     return check_engine(SF_DIR)
 
 
-def test_only_known_queries_have_no_check():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_CHECK
-    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+def test_every_query_has_a_check():
+    assert set(ORACLES) == set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

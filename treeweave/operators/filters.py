@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,9 +17,11 @@ from treeweave.functions.globs import (
     included_by_any,
     matches_any,
 )
-from treeweave.operators.rules import dropped_by_preset, effective_patterns, preset_name
+from treeweave.operators.rules import PRESETS, dropped_under, effective_patterns, preset_name
 
 MAX_FILE_SIZE = 1024 * 1024
+# Default limit of a request.
+MAX_REQUEST_SIZE = 10 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -186,31 +189,45 @@ def ingestable(files: DataFrame, options: IngestOptions, commits: DataFrame | No
 
 
 def work_specs(requests: DataFrame) -> DataFrame:
-    """Requests with a `spec_key`, equal where repository, preset and pattern lists are equal."""
+    """Requests with a `spec_key`, equal where repository and all options are equal.
+
+    Options that have no column take their defaults: no `branch` (that of the checkout), no `path_prefix`, not `raw`, and
+    `MAX_REQUEST_SIZE` for `max_size`. A raw request has the raw preset, whatever it names.
+    """
+    defaults = {"branch": F.lit(None).cast("string"), "path_prefix": F.lit(None).cast("string"), "max_size": F.lit(MAX_REQUEST_SIZE)}
+    for name, value in defaults.items():
+        requests = requests.withColumn(name, F.coalesce(name, value) if name in requests.columns else value)
+    raw = F.col("raw") if "raw" in requests.columns else None
+    requests = requests.withColumn("preset", preset_name(F.col("preset"), raw))
     spec = F.struct(
-        "repo_url", preset_name(F.col("preset")).alias("preset"), F.array_sort("include").alias("include"),
-        F.array_sort("exclude").alias("exclude"),
-    )
-    return requests.withColumn("preset", preset_name(F.col("preset"))).withColumn(
-        "spec_key", F.sha2(F.to_json(spec), 256)
+        "repo_url", "preset", *defaults, F.array_sort("include").alias("include"), F.array_sort("exclude").alias("exclude"),
     )
+    return requests.withColumn("spec_key", F.sha2(F.to_json(spec), 256))
 
 
 def filter_for_requests(files: DataFrame, requests: DataFrame) -> DataFrame:
     """Files kept for each distinct specification: (spec_key, repo_url, path, size).
 
-    Equal requests are merged first, so work grows with distinct specifications and not with requests.
+    Equal requests are merged first, so work grows with distinct specifications and not with requests. What the presets drop is
+    found once per file, before files meet specifications. Files with a `branch` meet requests for that branch, null with null.
     """
-    specs = work_specs(requests).select("spec_key", "repo_url", "preset", "include", "exclude").dropDuplicates(
-        ["spec_key"]
-    )
+    specs = work_specs(requests).select(
+        "spec_key", F.col("repo_url").alias("_repo"), F.col("branch").alias("_branch"), "preset", "path_prefix", "max_size", "include", "exclude"
+    ).dropDuplicates(["spec_key"])
     path = F.col("path")
+    dropped = F.struct(*[dropped_under(name, path).alias(name) for name in PRESETS])
+    branch = F.col("branch") if "branch" in files.columns else F.lit(None).cast("string")
+    listed = files.where((F.col("git_status") == "tracked") & ~in_git_dir(path)).select(
+        "repo_url", branch.alias("branch"), "path", "size", dropped.alias("dropped")
+    )
+    under_preset = reduce(lambda rest, name: F.when(F.col("preset") == name, F.col("dropped")[name]).otherwise(rest), PRESETS, F.lit(False))
+    folder = F.when(F.col("path_prefix").endswith("/"), F.col("path_prefix")).otherwise(F.concat("path_prefix", F.lit("/")))
     wanted = F.coalesce(F.size("include"), F.lit(0)) == 0
+    same_branch = F.col("branch").eqNullSafe(F.col("_branch")) if "branch" in files.columns else F.lit(True)
     return (
-        files.where((F.col("git_status") == "tracked") & ~in_git_dir(path))
-        .select("repo_url", "path", "size")
-        .join(specs, "repo_url")
-        .where(~dropped_by_preset(F.col("preset"), path))
+        listed.join(specs, (F.col("repo_url") == F.col("_repo")) & same_branch)
+        .where(~under_preset & (F.col("size") <= F.col("max_size")))
+        .where(F.coalesce(path.startswith(folder), F.lit(True)))
         .where(~F.coalesce(any_glob(F.col("exclude"), path), F.lit(False)))
         .where(wanted | F.coalesce(any_include(F.col("include"), path), F.lit(False)))
         .select("spec_key", "repo_url", "path", "size")

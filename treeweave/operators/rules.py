@@ -113,14 +113,6 @@ def dropped_under(preset: str, path: Column) -> Column:
     return matches_any(PRESET_PATTERNS[preset], path)
 
 
-def dropped_by_preset(preset: Column, path: Column) -> Column:
-    """Whether the preset of the row drops the path of the row."""
-    dropped = F.lit(False)
-    for name in PRESETS:
-        dropped = F.when(preset == name, dropped_under(name, path)).otherwise(dropped)
-    return dropped
-
-
 def rule_table(spark: SparkSession) -> DataFrame:
     """The rules as a table (category, pattern), for joins with tables of patterns."""
     rows = [(c, p) for c, patterns in CATEGORY_RULES.items() for p in patterns]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeweave.operators import filters, rules
 from treeweave.operators.filters import IngestOptions
-from treeweave.operators.requests import pattern_list, pattern_rows
+from treeweave.operators.requests import pattern_list, pattern_rows, safe_path_prefix
 from treeweave.plans.registry import glob_sql, include_sql, query, values
 from treeweave.plans.views import load, with_views
 from treeweave.session import new_folder
@@ -186,10 +186,13 @@ LIST_SQL = "list_filter(list_transform(string_split(coalesce({0}, ''), ','), lam
         "FROM asked q LEFT JOIN hits h USING (request_id) GROUP BY request_id, q.repo_url, q.preset",
         {
             **PRESET_RULES,
-            "asked": f"SELECT request_id, repo_url, {_preset_sql('preset')} AS preset, {LIST_SQL.format('include_csv')} AS inc, "
-            f"{LIST_SQL.format('exclude_csv')} AS exc FROM ingest_requests",
+            "asked": f"SELECT request_id, repo_url, CASE WHEN raw THEN 'raw' ELSE {_preset_sql('preset')} END AS preset, {LIST_SQL.format('include_csv')} AS inc, "
+            f"{LIST_SQL.format('exclude_csv')} AS exc, branch, coalesce(max_size, 10485760) AS max_size, "
+            "CASE WHEN NOT contains(coalesce(path, subpath), '..') AND NOT starts_with(coalesce(path, subpath), '/') "
+            "THEN rtrim(coalesce(path, subpath), '/') || '/' ELSE '' END AS prefix FROM ingest_requests",
             "dropped": f"SELECT DISTINCT g.preset, f.doc_id FROM tracked f JOIN preset_rules g ON {glob_sql('g.pattern', 'f.path')}",
-            "hits": "SELECT q.request_id, f.size FROM asked q JOIN tracked f ON q.repo_url = f.repo_url "
+            "hits": "SELECT q.request_id, f.size FROM asked q JOIN branch_files f ON q.repo_url = f.repo_url "
+            "AND q.branch IS NOT DISTINCT FROM f.branch AND f.git_status = 'tracked' AND f.size <= q.max_size AND starts_with(f.path, q.prefix) "
             "WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.preset = q.preset AND d.doc_id = f.doc_id) "
             f"AND NOT len(list_filter(q.exc, lambda p: {glob_sql('p', 'f.path')})) > 0 "
             f"AND (len(q.inc) = 0 OR len(list_filter(q.inc, lambda p: {include_sql('p', 'f.path')})) > 0)",
@@ -197,7 +200,8 @@ LIST_SQL = "list_filter(list_transform(string_split(coalesce({0}, ''), ','), lam
     ),
 )
 def per_request_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, files = load(spark, sf_dir, "ingest_requests", "sized_files")
+    asked, files = load(spark, sf_dir, "ingest_requests", "branch_files")
+    asked = safe_path_prefix(asked).withColumnRenamed("prefix", "path_prefix")
     asked = asked.withColumn("include", pattern_list(F.col("include_csv"))).withColumn(
         "exclude", pattern_list(F.col("exclude_csv"))
     )

@@ -142,7 +142,23 @@ def stream_recent_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updated(means, "stream-latency", ["instance"])
 
 
-@query("stream_freshness")
+@query(
+    "stream_freshness",
+    with_views(
+        "SELECT cache_key, first_seen, last_validated, access_count FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY n DESC) AS back "
+        "FROM walk) t WHERE back = 1",
+        {
+            "used": "SELECT cache_key, ts_sec, count(*) AS uses, row_number() OVER (PARTITION BY cache_key ORDER BY ts_sec) AS n FROM access_log "
+            "GROUP BY cache_key, ts_sec",
+            "walk": "SELECT cache_key, n, ts_sec AS first_seen, ts_sec AS last_validated, CAST(uses AS BIGINT) AS access_count FROM used WHERE n = 1 "
+            "UNION ALL SELECT u.cache_key, u.n, CASE WHEN u.ts_sec - first_seen > 604800 THEN u.ts_sec ELSE first_seen END, "
+            "CASE WHEN u.ts_sec - first_seen > 604800 OR u.ts_sec - last_validated >= 300 THEN u.ts_sec ELSE last_validated END, "
+            "CASE WHEN u.ts_sec - first_seen > 604800 THEN 0 ELSE access_count END + u.uses "
+            "FROM walk w JOIN used u ON u.cache_key = w.cache_key AND u.n = w.n + 1",
+        },
+        recursive=True,
+    ),
+)
 def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = streams.key_freshness(load(spark, sf_dir, "access_log", stream=True))
     return updated(states, "stream-freshness", ["cache_key"])

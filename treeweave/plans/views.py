@@ -170,8 +170,16 @@ FROM events""",
 SELECT doc_id AS request_id, repo_url,
   CASE doc_id % 5 WHEN 0 THEN 'raw' WHEN 1 THEN 'standard' WHEN 2 THEN 'code_only' WHEN 3 THEN 'Minimal' ELSE NULL END AS preset,
   CASE WHEN doc_id % 4 = 0 THEN 'src/, *.rs ,,docs/*' WHEN doc_id % 4 = 1 THEN 'f1*,*.md' ELSE NULL END AS include_csv,
-  CASE WHEN doc_id % 3 = 0 THEN 'src/core, *.ts' ELSE NULL END AS exclude_csv
+  CASE WHEN doc_id % 3 = 0 THEN 'src/core, *.ts' ELSE NULL END AS exclude_csv,
+  doc_id % 14 = 5 AS raw, CAST(CASE WHEN doc_id % 9 = 2 THEN 1500 ELSE NULL END AS BIGINT) AS max_size,
+  CASE WHEN doc_id % 10 = 7 THEN 'dev' ELSE NULL END AS branch,
+  CASE doc_id % 8 WHEN 1 THEN 'src' WHEN 2 THEN '../etc' WHEN 3 THEN '/abs' ELSE NULL END AS path,
+  CASE WHEN doc_id % 7 = 4 THEN 'docs/' ELSE NULL END AS subpath
 FROM repo_files""",
+    "branch_files": """
+SELECT CAST(NULL AS STRING) AS branch, * FROM sized_files
+UNION ALL
+SELECT 'dev' AS branch, * FROM sized_files WHERE doc_id % 3 = 0""",
     "catalog": """
 SELECT cache_key, url, branch, commit_hash, size_bytes, created_at, last_accessed,
   CASE WHEN user_id % 3 = 0 THEN 1706659200 - 100 ELSE created_at END AS last_validated, access_count

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -146,12 +147,13 @@ def latest_responses(requests: DataFrame, n: int = 1000) -> DataFrame:
     )
 
 
-def key_freshness(accesses: DataFrame, lateness: str = "1 hour") -> DataFrame:
+def key_freshness(accesses: DataFrame, lateness: str = f"{EXPIRE_SECONDS} seconds") -> DataFrame:
     """First access, last validation and access count per key, for update mode.
 
-    A validation older than the fresh period is renewed by the next access; state expires with the entry.
-    Accesses of one key within a second are merged before the shuffle, so a busy key sends at most one row per second
-    and batch.
+    A validation older than the fresh period is renewed by the next access; state expires with the entry. Accesses that come
+    later than `lateness`, by default the life of an entry, are dropped; `late_rows` tells how many a query has lost.
+    Accesses of one key within a second are merged before the shuffle and once more page by page, so a key takes two numbers
+    per second in which it is used, whatever number of accesses these hold.
     """
 
     def per_second(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,16 +164,28 @@ def key_freshness(accesses: DataFrame, lateness: str = "1 hour") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        seconds = pd.concat(list(pages)).groupby("ts_sec")["uses"].sum().sort_index()
-        earliest = int(seconds.index[0])
-        first, validated, count = state.get if state.exists else (earliest, earliest, 0)
-        for at, uses in seconds.items():
-            at, uses = int(at), int(uses)
-            if at - first > EXPIRE_SECONDS:
-                first, validated, count = at, at, 0
-            elif at - validated >= FRESH_SECONDS:
-                validated = at
-            count += uses
+        seconds, uses = np.empty(0, np.int64), np.empty(0, np.int64)
+        for page in pages:
+            both = np.concatenate([seconds, page["ts_sec"].to_numpy()])
+            weights = np.concatenate([uses, page["uses"].to_numpy()])
+            seconds, place = np.unique(both, return_inverse=True)
+            uses = np.bincount(place, weights, minlength=len(seconds)).astype(np.int64)
+        first, validated, count = state.get if state.exists else (int(seconds[0]), int(seconds[0]), 0)
+        at = 0
+        while at < len(seconds):
+            # Up to the next second that renews or restarts the entry, accesses only count.
+            due = min(validated + FRESH_SECONDS, first + EXPIRE_SECONDS + 1)
+            until = max(int(np.searchsorted(seconds, due)), at)
+            count += int(uses[at:until].sum())
+            if until == len(seconds):
+                break
+            now = int(seconds[until])
+            if now - first > EXPIRE_SECONDS:
+                first, validated, count = now, now, 0
+            else:
+                validated = now
+            count += int(uses[until])
+            at = until + 1
         state.update((first, validated, count))
         state.setTimeoutTimestamp(max((first + EXPIRE_SECONDS + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
@@ -194,6 +208,13 @@ def key_freshness(accesses: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the stateful steps of a query have dropped as too late, over the progress it still holds."""
+    return sum(
+        int(step.get("numRowsDroppedByWatermark", 0)) for progress in query.recentProgress for step in progress["stateOperators"]
+    )
+
+
 class Hooks:
     """User hooks of a run; override what is needed. `on_file` runs on the executors and must be picklable."""
 
