@@ -89,7 +89,8 @@ def test_toxicity_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = toxicity.fit_toxicity(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), ~toxicity.held_out(F.col("doc_id")))
     plain = "the quiet house stands by the river and the old man reads his book there every evening"
-    cases = [(i, f"{plain} {word} {plain}") for i, word in enumerate(["idiot", "scum", "worthless", "moron"])] + [(9, plain)]
+    words = ["idiot and moron", "scum or loser", "worthless", "stupid trash"]
+    cases = [(i, f"{plain} {word} {plain}") for i, word in enumerate(words)] + [(9, plain)]
     scores = {r["doc_id"]: r["toxicity"] for r in toxicity.with_toxicity(spark.createDataFrame(cases, "doc_id long, text string"), model).collect()}
     assert scores.pop(9) < 0.3 and all(s >= 0.3 for s in scores.values())
 

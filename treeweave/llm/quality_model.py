@@ -172,8 +172,8 @@ def fit_quality(
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["id", "bytes"])
         truth = group["label"].to_numpy(np.float64)
-        if truth.min() == truth.max():
-            return pd.DataFrame({"flat": []})
+        if len(truth) == 0 or truth.min() == truth.max():
+            return pd.DataFrame({"flat": pd.Series([], dtype=object)})
         bags = []
         for text in group["bytes"]:
             bag = passage_statistics(decoded(text))
