@@ -40,6 +40,8 @@ PERCENT = 80
 SKETCH = 128
 TREES = 12
 SMALL = 512
+# A larger node, up to this size, counts as small too if it has no more pairs across components than a small one.
+LARGEST = 4_096
 DEPTH = 14
 # Partners of one document that are confirmed in one group.
 PART = 200
@@ -191,16 +193,15 @@ def candidate_clusters(rows: DataFrame, least: int) -> DataFrame:
             names, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for begin, end in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0]):
                 own, part, side = tokens[begin:end], parts[begin:end], sides[begin:end]
-                fit = agreement(own) >= least
-                fit &= (part[:, None] != part[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] < 0))
-                used = np.flatnonzero(fit.any(axis=1))
+                left, right = candidates(own, part, side, least)
                 labels = np.arange(len(own))
-                while len(used):
-                    lower = np.where(fit[used], labels[None, :], len(own)).min(axis=1)
-                    lower = np.minimum(lower, labels[used])
-                    if (lower == labels[used]).all():
+                while True:
+                    lower = np.minimum(labels[left], labels[right])
+                    if (labels[left] == labels[right]).all():
                         break
-                    labels[used] = lower
+                    np.minimum.at(labels, left, lower)
+                    np.minimum.at(labels, right, lower)
+                used = np.union1d(left, right)
                 for label in np.unique(labels[used]):
                     cluster = np.unique(ids[begin + used[labels[used] == label]])
                     names.append(np.full(len(cluster), xxhash.xxh64_intdigest(cluster.tobytes()) >> 1, np.int64))
@@ -210,9 +211,22 @@ def candidate_clusters(rows: DataFrame, least: int) -> DataFrame:
     return grouped.select("members").mapInArrow(connect, "cluster long, id long").distinct()
 
 
-def agreement(tokens: np.ndarray) -> np.ndarray:
-    """In how many coordinates every two of the sketches agree."""
-    return np.concatenate([(tokens[i:i + 32, None, :] == tokens[None, :, :]).sum(axis=2) for i in range(0, len(tokens), 32)])
+def candidates(tokens: np.ndarray, parts: np.ndarray, sides: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different components whose sketches agree enough; sides from 0 on pair across sides only.
+
+    Two documents of the largest component are never compared, so the work follows the pairs across components.
+    """
+    names, counts = np.unique(parts, return_counts=True)
+    rest = np.flatnonzero(parts != names[counts.argmax()])
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for begin in range(0, len(rest), 32):
+        own = rest[begin:begin + 32]
+        fit = (tokens[own, None, :] == tokens[None, :, :]).sum(axis=2) >= least
+        fit &= (parts[own, None] != parts[None, :]) & ((sides[own, None] != sides[None, :]) | (sides[own, None] < 0))
+        i, k = np.nonzero(fit)
+        left.append(own[i])
+        right.append(k)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def compared_clusters(clusters: DataFrame, docs: DataFrame, shingle: int, percent: int, least: int) -> DataFrame:
@@ -225,10 +239,9 @@ def compared_clusters(clusters: DataFrame, docs: DataFrame, shingle: int, percen
         hashes = WordHashes()
         ids = group["id"].to_numpy()
         sets = [shingle_hashes(text, shingle, hashes) for text in group["bytes"]]
-        fit = agreement(np.stack([sketch_of(s) for s in sets]))
         _, labels = np.unique(group["component"].to_numpy(), return_inverse=True)
         links = []
-        for i, j in zip(*np.nonzero(np.triu(fit >= least, 1))):
+        for i, j in zip(*candidates(np.stack([sketch_of(s) for s in sets]), labels, np.full(len(ids), -1), least)):
             if labels[i] != labels[j]:
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if shared and 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
@@ -264,16 +277,18 @@ def near_duplicate_components(docs: DataFrame, sketches: DataFrame, shingle: int
     rows = rows.select("node", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     small = None
     for depth in range(2, DEPTH + 1):
-        sizes = rows.groupBy("node").agg(
-            F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low <> high").select("node", "size")
+        # Pairs across components, from the sizes of a node's components; a node without any is done.
+        own = rows.groupBy("node", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        sizes = own.groupBy("node").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+        sizes = sizes.select("node", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("across")).where("across > 0")
         rows = pin(rows.join(sizes, "node"))
-        here = rows.where(F.col("size") <= SMALL).select("node", "id", "component")
+        fits = (F.col("size") <= SMALL) | ((F.col("size") <= LARGEST) & (F.col("across") <= SMALL * SMALL / 2))
+        here = rows.where(fits).select("node", "id", "component")
         small = here if small is None else small.union(here)
-        rows = rows.where(F.col("size") > SMALL)
+        rows = rows.where(~fits)
         if depth == DEPTH or rows.isEmpty():
             break
-        rows = branches(rows.drop("size").join(sketches.select("id", "sketch"), "id"), percent).drop("sketch")
+        rows = branches(rows.drop("size", "across").join(sketches.select("id", "sketch"), "id"), percent).drop("sketch")
 
     # What is still large: blocks of about half as many documents, every block with itself and with every other.
     blocks = F.ceil(F.col("size") / F.lit(SMALL / 2)).cast("int")
