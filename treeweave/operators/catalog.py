@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from treeweave.operators.filters import IngestOptions
 from treeweave.operators.ordering import numbered, with_running
+from treeweave.operators.render import repo_document
+from treeweave.session import pin
 
 # Seconds a checked entry is served unasked, and seconds until any entry expires.
 FRESH_SECONDS = 300
@@ -29,6 +32,28 @@ def refresh_plan(catalog: DataFrame, heads: DataFrame) -> DataFrame:
     return heads.join(stored, ["cache_key", "head_sha"], "left_anti")
 
 
+def refreshed_documents(
+    files: DataFrame, catalog: DataFrame, heads: DataFrame, options: IngestOptions, now: int
+) -> tuple[DataFrame, DataFrame]:
+    """Documents of the repositories whose head has no stored snapshot, and their new catalogue entries.
+
+    `heads` has (cache_key, head_sha, repo_url). Files of all other repositories are dropped before anything is decoded or ordered.
+    """
+    plan = pin(refresh_plan(catalog, heads).select("cache_key", "head_sha", "repo_url"))
+    changed = files.join(plan.select("repo_url").distinct(), "repo_url", "left_semi")
+    document = repo_document(changed, options)
+    # Header and tree rows are lines, blocks bring their line ends.
+    size = F.octet_length("text") + F.when(F.col("section") < 2, 1).otherwise(0)
+    sizes = document.groupBy("repo_url").agg(F.sum(size.cast("long")).alias("size_bytes"))
+    at = F.lit(now).cast("long")
+    entries = plan.join(sizes, "repo_url", "left").select(
+        "cache_key", F.col("repo_url").alias("url"), F.lit(options.branch).cast("string").alias("branch"),
+        F.col("head_sha").alias("commit_hash"), F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes"),
+        at.alias("created_at"), at.alias("last_accessed"), at.alias("last_validated"), F.lit(1).cast("long").alias("access_count"),
+    )
+    return document, entries
+
+
 def _state(created: Column, validated: Column, now: Column) -> Column:
     return (
         F.when(created.isNull(), "Miss")

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treeweave.functions.licenses import LICENSE_PATH_WORDS, LICENSES
 from treeweave.operators import content, render, stats
+from treeweave.operators.catalog import refreshed_documents
 from treeweave.operators.filters import IngestOptions, ingestable
 from treeweave.plans.file_queries import OPTIONS, any_of, patterns, with_content
 from treeweave.plans.registry import (
     include_sql, lines_sql, query, text_tokens_sql, tokens_sql, values, words_sql,
 )
-from treeweave.plans.views import load, with_views
+from treeweave.plans.views import NOW, load, with_views
 from treeweave.session import new_folder
 from treeweave.sources import sinks
 from treeweave.sources.files import index_files
@@ -242,16 +243,19 @@ def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.directory_tree(ingestable(files, OPTIONS), files)
 
 
-@query(
-    "repo_document",
-    with_views(
-        f"""
+DOCUMENT_SQL = f"""
 SELECT repo_url, 0 AS section, 1 AS seq, '# Repository: ' || repo_url AS text FROM repo_counts
 UNION ALL SELECT repo_url, 0, 2, '# Generated by treeweave' FROM repo_counts
 UNION ALL SELECT repo_url, 0, 3, '# Filter preset: standard (smart filtering)' FROM repo_counts
 UNION ALL SELECT repo_url, 0, 4, '' FROM repo_counts
 UNION ALL SELECT repo_url, 1, {TREE_NO}, line FROM tree
-UNION ALL SELECT repo_url, 2, row_number() OVER (PARTITION BY repo_url ORDER BY path), block FROM blocks""",
+UNION ALL SELECT repo_url, 2, row_number() OVER (PARTITION BY repo_url ORDER BY path), block FROM blocks"""
+
+
+@query(
+    "repo_document",
+    with_views(
+        DOCUMENT_SQL,
         kept_sql(OPTIONS),
     ),
 )
@@ -259,6 +263,38 @@ def repo_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.repo_document(with_content(load(spark, sf_dir, "sized_files")), OPTIONS)
 
 
+CHANGED = {
+    "stale": "SELECT h.* FROM file_heads h LEFT JOIN file_catalog c ON c.cache_key = h.cache_key AND c.commit_hash = h.head_sha WHERE c.cache_key IS NULL",
+    "changed_sized_files": "SELECT * FROM sized_files WHERE repo_url IN (SELECT repo_url FROM stale)",
+    "changed_tracked": "SELECT * FROM changed_sized_files WHERE git_status = 'tracked'",
+    **kept_sql(OPTIONS, "changed_tracked"),
+}
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files, stored, heads = load(spark, sf_dir, "sized_files", "file_catalog", "file_heads")
+    return refreshed_documents(with_content(files), stored, heads, OPTIONS, NOW)
+
+
+@query("refresh_documents", with_views(DOCUMENT_SQL, CHANGED))
+def refresh_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the repositories that have moved on, and of no other."""
+    return _refreshed(spark, sf_dir)[0]
+
+
+@query(
+    "refresh_entries",
+    with_views(
+        f"SELECT s.cache_key, s.repo_url AS url, s.head_sha AS commit_hash, CAST(sum(strlen(text) + CASE WHEN section < 2 THEN 1 ELSE 0 END) AS BIGINT) "
+        f"AS size_bytes, CAST({NOW} AS BIGINT) AS created_at FROM stale s JOIN document d ON d.repo_url = s.repo_url GROUP BY ALL",
+        {**CHANGED, "document": DOCUMENT_SQL},
+    ),
+)
+def refresh_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue entries that go with them."""
+    return _refreshed(spark, sf_dir)[1].select("cache_key", "url", "commit_hash", "size_bytes", "created_at")
+
+
 EXTENDED = (
     "SELECT doc_id, '=== ' || path || ' ===' || chr(10) || text || chr(10) || '=== extra/' || path || ' ===' || chr(10) "
     "|| 'body a === b' || chr(10) || '=== ===' || chr(10) AS text FROM repo_files"

@@ -197,6 +197,11 @@ SELECT cache_key, CASE WHEN substr(cache_key, 1, 1) IN ('0', '4', '8', 'c') THEN
 FROM catalog WHERE substr(cache_key, 2, 1) <> '7'
 UNION ALL
 SELECT sha1('key-new') AS cache_key, sha1('c-new') AS head_sha""",
+    "file_heads": """
+SELECT DISTINCT repo_url, sha1(repo_url) AS cache_key, sha1('head' || repo_url) AS head_sha FROM repo_files""",
+    "file_catalog": """
+SELECT cache_key, CASE WHEN substr(cache_key, 1, 1) < '6' THEN head_sha ELSE sha1('old' || repo_url) END AS commit_hash FROM file_heads
+WHERE substr(cache_key, 2, 1) <> '3'""",
     "access_log": """
 SELECT event_id AS request_id, {secs}(ts) AS ts_sec,
   sha1(CASE WHEN event_id % 11 = 0 THEN 'key-miss' ELSE 'key' END || CAST(user_id AS STRING)) AS cache_key
