@@ -156,15 +156,22 @@ def test_messages(spark):
 
 
 def test_worktree_and_documents(spark, tmp_path):
-    for name, body in {"r1/a.rs": b"1", "r1/src/b.rs": b"22", "r2/c d.txt": b"333"}.items():
+    tree = {
+        "r1/a.rs": b"1", "r1/src/b.rs": b"22", "r2/c d.txt": b"333", "r3/.github/ci.yml": b"4444", "r3/.gitignore": b"5", "r3/src/__init__.py": b"",
+        "r3/_build/x": b"6", "r3/__pycache__/.d/y%20z": b"7", "top": b"8",
+    }
+    for name, body in tree.items():
         (tmp_path / "w" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "w" / name).write_bytes(body)
     scanned = sources.scan_worktree(spark, str(tmp_path / "w"))
     assert sorted((r.repo_url, r.path, r.size, bytes(r.content)) for r in scanned.collect()) == [
-        ("r1", "a.rs", 1, b"1"), ("r1", "src/b.rs", 2, b"22"), ("r2", "c d.txt", 3, b"333")
+        (*(("", n) if "/" not in n else n.split("/", 1)), len(b), b) for n, b in sorted(tree.items(), key=lambda x: ("" if "/" not in x[0] else x[0].split("/")[0], x[0]))
     ]
-    plan = scanned.where("size <= 2").select("path", "size")._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,2)" in plan and "content" not in plan.split("ReadSchema")[1]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan(scanned.where("size <= 2").select("path", "size"))
+    # Files above a limit are not opened: the filter stands below the reading.
+    limited = plan(scanned.where("size <= 2"))
+    assert limited.index("EvalPython") < limited.index("<= 2")
 
     sources.write_snapshot(scanned, str(tmp_path / "s"))
     found = sources.scan_snapshot(spark, str(tmp_path / "s"), ["r2"])

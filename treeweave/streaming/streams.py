@@ -231,7 +231,7 @@ def run_with_callbacks(blocks: DataFrame, hooks: Hooks, checkpoint: str, **trigg
     """Start a stream of blocks that reports to `hooks` before, during and after each batch."""
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        on_file: Callable[[str, str], None] | None = None if type(hooks).on_file is Hooks.on_file else hooks.on_file
+        on_file: Callable[[str, str], None] | None = None if getattr(hooks.on_file, "__func__", None) is Hooks.on_file else hooks.on_file
 
         def report(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for page in pages:
