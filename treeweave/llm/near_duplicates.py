@@ -9,7 +9,7 @@ share of links is reached.
 How it runs on Spark:
 
 * Documents with equal shingle sets are one class with one representative, found by a pre-aggregated grouping.
-* Which children a document goes to depends on its own sketch only, so the first two levels of all trees are made where the
+* Which children a document goes to depends on its own sketch only, so the first levels of all trees are made where the
   sketch is, and single-document nodes, nearly all, go by counting narrow rows (node, id).
 * All documents of a node are compared with one pivot first. Confirmed links make components, and a node whose documents are
   all of one component is done, whatever its size: thousands of copies are one star and never pairs among themselves.
@@ -39,6 +39,8 @@ SHINGLE = 5
 PERCENT = 80
 SKETCH = 128
 TREES = 12
+# Levels made at once: enough that a line or passage which many documents share does not bring them together.
+FIRST_LEVELS = 3
 SMALL = 512
 # A larger node, up to this size, counts as small too if it has no more pairs across components than a small one.
 LARGEST = 4_096
@@ -257,7 +259,7 @@ def near_duplicate_components(docs: DataFrame, sketches: DataFrame, shingle: int
     least = least_agreement(percent)
     rows = sketches.select("id", "sketch", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
     rows = rows.select(F.xxhash64(F.lit("tree"), "tree").alias("node"), "id", "sketch")
-    for _ in range(2):
+    for _ in range(FIRST_LEVELS):
         rows = branches(rows, percent)
     rows = rows.select("node", "id")
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
@@ -276,7 +278,7 @@ def near_duplicate_components(docs: DataFrame, sketches: DataFrame, shingle: int
 
     rows = rows.select("node", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     small = None
-    for depth in range(2, DEPTH + 1):
+    for depth in range(FIRST_LEVELS, DEPTH + 1):
         # Pairs across components, from the sizes of a node's components; a node without any is done.
         own = rows.groupBy("node", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
         sizes = own.groupBy("node").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"))
