@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from treeweave.llm.near_duplicates import WordHashes, _mixed
 from treeweave.llm.support import stored, utf8
-from treeweave.session import pin, ship_package
+from treeweave.session import ship_package
 
 WINDOW = 50
 PHRASE = 8
-# Windows of an owner that travel in one row.
-PIECE = 200
+# Windows of a run that travel in one row; the next row overlaps by all but one word of a window.
+RUN = 400
 # Bytes of text per shard.
 SHARD_BYTES = 4 << 20
 
@@ -98,12 +98,12 @@ def _phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """`hash`, `id`, `place` of the windows whose phrase is among `shared`; the place is the row's hash, then the first word."""
+    """`hash`, `id` of the windows whose phrase is among `shared`, once per document."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            for doc, row, text, shared in zip(batch["id"], batch["row"], batch["bytes"], batch["shared"]):
+            for doc, text, shared in zip(batch["id"], batch["bytes"], batch["shared"]):
                 words = text.split()
                 if len(words) < window:
                     continue
@@ -111,33 +111,42 @@ def _windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 least = _least(_chained(codes, phrase), window - phrase + 1)
                 at = np.flatnonzero(np.isin(least, np.asarray(shared, np.int64).view(np.uint64)))
                 if len(at):
-                    # A window that repeats inside the document counts once.
-                    found, first = np.unique(_window_hashes(codes, window)[at], return_index=True)
-                    yield pd.DataFrame({"hash": found.view(np.int64), "id": doc, "place": (int(row) << 32) + at[first]})
+                    yield pd.DataFrame({"hash": np.unique(_window_hashes(codes, window)[at]).view(np.int64), "id": doc})
 
-    return docs.select("id", "row", "bytes", "shared").mapInPandas(find, "hash long, id long, place long")
+    return docs.select("id", "bytes", "shared").mapInPandas(find, "hash long, id long")
 
 
-def _piece_words(owners: DataFrame, window: int) -> DataFrame:
-    """`id`, `row`, `piece`, `codes`: words of the owners' pieces, as hashes."""
+def _owned_runs(owners: DataFrame, window: int) -> DataFrame:
+    """`shard`, `id`, `codes`: the runs of owned windows of documents (`id`, `bytes`, `shards`), words as hashes.
+
+    `shards` has for every shard the hashes of the windows that it needs of the document.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            for doc, row, text, pieces in zip(batch["id"], batch["row"], batch["bytes"], batch["pieces"]):
-                codes = _codes(text.split(), hashes).view(np.int64)
-                yield pd.DataFrame({
-                    "id": doc, "row": row, "piece": pieces,
-                    "codes": [codes[p * PIECE:(p + 1) * PIECE + window - 1] for p in pieces],
-                })
+            for doc, text, shards in zip(batch["id"], batch["bytes"], batch["shards"]):
+                codes = _codes(text.split(), hashes)
+                if len(codes) < window:
+                    continue
+                found = _window_hashes(codes, window).view(np.int64)
+                for part in shards:
+                    # Of a window that repeats in the document its first place will do.
+                    at = np.flatnonzero(np.isin(found, np.asarray(part["hashes"], np.int64)))
+                    at = at[np.sort(np.unique(found[at], return_index=True)[1])]
+                    # None in a row that shares its id with the one that holds them.
+                    if len(at):
+                        found_runs = [r.view(np.int64) for r in runs(codes, at, window)]
+                        yield pd.DataFrame({"shard": part["shard"], "id": doc, "codes": found_runs})
 
-    return owners.select("id", "row", "bytes", "pieces").mapInPandas(cut, "id long, row int, piece int, codes array<long>")
+    return owners.select("id", "bytes", "shards").mapInPandas(cut, "shard int, id long, codes array<long>")
 
 
 def runs(codes: np.ndarray, starts: np.ndarray, window: int) -> list[np.ndarray]:
-    """The words of a piece that windows at `starts` cover, one part for each run of neighbouring windows."""
+    """The words that windows at `starts` cover, one part for each run of at most `RUN` neighbouring windows."""
     starts = np.sort(starts)
-    return [codes[part[0]:part[-1] + window] for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)]
+    parts = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
+    return [codes[p[0]:p[-1] + window] for whole in parts for p in np.split(whole, range(RUN, len(whole), RUN))]
 
 
 class PieceAutomaton:
@@ -213,29 +222,18 @@ def repeated_passages(
     size = some.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("id"), F.lit(size // shard_bytes + 1)).cast("int")
 
-    # A window that a later document holds as well: its owner's piece goes to the shards of all documents that hold it.
+    # A window that a later document holds as well: its owner's run goes to the shards of all documents that hold it.
     owned = (
         _windows(some, window, phrase).withColumn("shard", shard).groupBy("hash")
-        .agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last"), F.collect_set("shard").alias("shards"))
-        .where("first.id < last")
-    )
-    start = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
-    routes = pin(
-        owned.select("first.*", F.explode("shards").alias("shard"))
-        .withColumns({"row": F.shiftright("place", 32).cast("int"), "start": start.cast("int")})
-        .withColumn("piece", F.floor(F.col("start") / F.lit(PIECE)).cast("int"))
-        .groupBy("id", "row", "piece", "shard").agg(F.collect_set(F.col("start") - F.col("piece") * PIECE).alias("starts"))
+        .agg(F.min("id").alias("id"), F.max("id").alias("last"), F.collect_set("shard").alias("shards")).where("id < last")
     )
-    owners = some.join(routes.groupBy("id", "row").agg(F.collect_set("piece").alias("pieces")), ["id", "row"])
-    pieces = routes.join(_piece_words(owners, window), ["id", "row", "piece"]).select("shard", "id", "codes", "starts")
+    needed = owned.select("id", "hash", F.explode("shards").alias("shard")).groupBy("id", "shard").agg(F.collect_list("hash").alias("hashes"))
+    owners = some.join(needed.groupBy("id").agg(F.collect_list(F.struct("shard", "hashes")).alias("shards")), "id")
+    pieces = _owned_runs(owners, window)
 
     def search(held: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHashes()
-        owned_runs = [
-            (owner, run) for owner, codes, starts in zip(sought["id"], sought["codes"], sought["starts"])
-            for run in runs(np.asarray(codes, np.int64).view(np.uint64), np.asarray(starts), window)
-        ]
-        automaton = PieceAutomaton([o for o, _ in owned_runs], [r for _, r in owned_runs], window)
+        automaton = PieceAutomaton(sought["id"].tolist(), [np.asarray(c, np.int64).view(np.uint64) for c in sought["codes"]], window)
         out = []
         for doc, row, text in zip(held["id"], held["row"], held["bytes"]):
             words = text.split()
