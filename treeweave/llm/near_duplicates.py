@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from treeweave.llm.support import fresh, utf8
+from treeweave.llm.support import fresh, stored, utf8
 from treeweave.session import pin, ship_package
 
 SHINGLE = 5
@@ -264,6 +264,8 @@ def near_duplicate_components(docs: DataFrame, sketches: DataFrame, shingle: int
     rows = rows.select("node", "id")
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
     rows = pin(rows.join(sizes, "node").select("node", "id", "pivot"))
+    # Only texts that share a node can be needed from here on.
+    docs = stored(docs.join(rows.select("id").distinct(), "id", "left_semi"), "candidates")
 
     # Every document with one pivot: the smallest that looks similar enough, or else the one that looks most similar.
     stars = rows.where("id <> pivot").select("id", "pivot").distinct()
@@ -327,12 +329,11 @@ def near_duplicates(
     """
     ship_package(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("bytes"))
-    every = pin(shingle_sketches(narrow, shingle))
+    every = stored(shingle_sketches(narrow, shingle), "sketches")
     members = every.select("id", "n_shingles", "set_key")
     # Equal sets have equal sketches, so any of a class will do.
-    classes = pin(
-        every.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
-    )
+    known = every.where("set_key IS NOT NULL AND id IS NOT NULL")
+    classes = stored(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     found = near_duplicate_components(narrow, classes.select(F.col("rep").alias("id"), "sketch"), shingle, percent, trees)
     # Ids that are one document with several sets join the classes of these sets.
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
