@@ -12,6 +12,7 @@ from odd import base_rows, empty_docs, lower_ascii, odd_docs, ranked, spaced
 
 from pyspark.sql import functions as F
 
+import treeweave.llm.near_duplicates as near_duplicate_module
 from treeweave.llm.contamination import PatternTables, benchmark_hits, without_benchmark
 from treeweave.llm.near_duplicates import components, near_duplicates, without_near_duplicates
 from treeweave.llm.passages import PieceAutomaton, repeated_passages
@@ -66,6 +67,28 @@ def test_large_groups_of_near_copies(spark):
     assert ranked(near_duplicates(docs, percent=85).collect()) == brute_near(rows, 85)
 
 
+def test_chance_missed_at_every_depth():
+    assert near_duplicate_module.chance_missed(80, 12, 3) == pytest.approx(2.1e-5, rel=0.05)
+    assert all(near_duplicate_module.chance_missed(p, near_duplicate_module.TREES, d) < 5e-5 for p in (80, 85) for d in range(1, near_duplicate_module.DEPTH + 1))
+
+
+def test_pairs_at_the_threshold_stay_together_to_the_last_level(spark):
+    """Isolated pairs of similarity 0.8 followed down as those of large nodes are: all but about 1 in 20,000 share a node of the last level."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for pair in range(1000):
+        words = draw.integers(0, 1 << 63, 450, dtype=np.uint64)
+        for own in (words[:450], words[50:]):
+            rows.append((pair, near_duplicate_module.sketch_of(np.concatenate([own, draw.integers(0, 1 << 63, 450 - len(own), dtype=np.uint64)])).tolist()))
+    docs = spark.createDataFrame(rows, "pair long, sketch array<int>").repartition(8)
+    trees = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(near_duplicate_module.TREES).cast("long")))
+    nodes = docs.withColumn("node", trees)
+    for level in range(near_duplicate_module.DEPTH):
+        nodes = near_duplicate_module.branches(nodes, 80, *[1] * (level >= near_duplicate_module.FIRST_LEVELS))
+    together = nodes.groupBy("node", "pair").count().where("count > 1").select("pair").distinct().count()
+    assert together >= 999
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = [r[:2] for r in base_rows()]
     got = near_duplicates(odd_docs(spark), percent=80)

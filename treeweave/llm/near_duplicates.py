@@ -13,9 +13,10 @@ How it runs on Spark:
   sketch is, and single-document nodes, nearly all, go by counting narrow rows (node, id).
 * All documents of a node are compared with one pivot first. Confirmed links make components, and a node whose documents are
   all of one component is done, whatever its size: thousands of copies are one star and never pairs among themselves.
-* Nodes with several components branch on, and once small are compared exhaustively across components: on the sketches
-  first, and where these leave candidates, on the full sets. Only links that join components leave the comparison, never pairs.
-  A node still large after `DEPTH` levels is compared in blocks, so nothing is capped.
+* Small nodes with several components are compared exhaustively across components: on the sketches first, and where these leave
+  candidates, on the full sets. Only links that join components leave the comparison, never pairs.
+* Large nodes branch on with one coordinate more, so a pair at the threshold multiplies on the way down and is found as surely as
+  at the first levels (`chance_missed`). A node still large after `DEPTH` levels is compared in blocks, so nothing is capped.
 * Full shingle sets are made again from the texts of candidates alone. Partners of one pivot are dealt into parts of bounded
   size, each with a copy of its text.
 """
@@ -41,10 +42,9 @@ SKETCH = 128
 TREES = 12
 # Levels made at once: enough that a line or passage which many documents share does not bring them together.
 FIRST_LEVELS = 3
-SMALL = 512
-# A larger node, up to this size, counts as small too if it has no more pairs across components than a small one.
-LARGEST = 4_096
-DEPTH = 14
+# Documents of a node that is compared whole, and of two blocks of a larger one.
+SMALL = 4_096
+DEPTH = 6
 # Partners of one document that are confirmed in one group.
 PART = 200
 # A sketch estimate may be this many standard deviations below the threshold before a pair is taken to be no candidate.
@@ -112,10 +112,10 @@ def shingle_sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("id", sketch("bytes").alias("made")).select("id", "made.*")
 
 
-def branches(rows: DataFrame, percent: int) -> DataFrame:
-    """Children (`node`, other columns) of rows (`node`, `sketch`, ...): 100 / percent selected coordinates on average."""
-    sure = 100 // percent
-    extra = F.pmod(F.xxhash64("node", F.lit("extra")), F.lit(1_000_000)) < int(1_000_000 * (100 / percent - sure))
+def branches(rows: DataFrame, percent: int, more: int = 0) -> DataFrame:
+    """Children (`node`, other columns) of rows (`node`, `sketch`, ...): 100 / percent + `more` selected coordinates on average."""
+    sure = 100 // percent + more
+    extra = F.pmod(F.xxhash64("node", F.lit("extra")), F.lit(1_000_000)) < int(1_000_000 * (100 / percent - 100 // percent))
 
     def children(count: int) -> Column:
         picked = [F.pmod(F.xxhash64("node", F.lit(f"pick {i}")), F.lit(SKETCH)).cast("int") for i in range(count)]
@@ -125,6 +125,19 @@ def branches(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.explode(F.when(extra, children(sure + 1)).otherwise(children(sure))).alias("node"), *others)
 
 
+def chance_missed(percent: int, trees: int, depth: int) -> float:
+    """How likely no tree keeps a pair of exactly the threshold together down to `depth`, over all sketches the pair may have."""
+    share, sure, total = percent / 100, 100 // percent, 0.0
+    for agreed in range(SKETCH + 1):
+        lost = 0.0
+        for level in range(depth, 0, -1):
+            one = 1 - agreed / SKETCH * (1 - lost)
+            picks = sure + (level > FIRST_LEVELS)
+            lost = one ** picks * (1 - (100 / percent - sure) * (1 - one))
+        total += math.comb(SKETCH, agreed) * share ** agreed * (1 - share) ** (SKETCH - agreed) * lost ** trees
+    return total
+
+
 def least_agreement(percent: int) -> int:
     share = percent / 100
     return max(1, math.floor(SKETCH * share - SIGMAS * math.sqrt(SKETCH * share * (1 - share))))
@@ -221,9 +234,13 @@ def candidates(tokens: np.ndarray, parts: np.ndarray, sides: np.ndarray, least:
     names, counts = np.unique(parts, return_counts=True)
     rest = np.flatnonzero(parts != names[counts.argmax()])
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    columns = np.ascontiguousarray(tokens.T)
     for begin in range(0, len(rest), 32):
         own = rest[begin:begin + 32]
-        fit = (tokens[own, None, :] == tokens[None, :, :]).sum(axis=2) >= least
+        agreed = np.zeros((len(own), len(tokens)), np.uint8)
+        for column in columns:
+            agreed += column[own, None] == column[None, :]
+        fit = agreed >= least
         fit &= (parts[own, None] != parts[None, :]) & ((sides[own, None] != sides[None, :]) | (sides[own, None] < 0))
         i, k = np.nonzero(fit)
         left.append(own[i])
@@ -286,13 +303,13 @@ def near_duplicate_components(docs: DataFrame, sketches: DataFrame, shingle: int
         sizes = own.groupBy("node").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         sizes = sizes.select("node", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("across")).where("across > 0")
         rows = pin(rows.join(sizes, "node"))
-        fits = (F.col("size") <= SMALL) | ((F.col("size") <= LARGEST) & (F.col("across") <= SMALL * SMALL / 2))
+        fits = F.col("size") <= SMALL
         here = rows.where(fits).select("node", "id", "component")
         small = here if small is None else small.union(here)
         rows = rows.where(~fits)
         if depth == DEPTH or rows.isEmpty():
             break
-        rows = branches(rows.drop("size", "across").join(sketches.select("id", "sketch"), "id"), percent).drop("sketch")
+        rows = branches(rows.drop("size", "across").join(sketches.select("id", "sketch"), "id"), percent, 1).drop("sketch")
 
     # What is still large: blocks of about half as many documents, every block with itself and with every other.
     blocks = F.ceil(F.col("size") / F.lit(SMALL / 2)).cast("int")
