@@ -95,6 +95,21 @@ def test_toxicity_of_held_out_documents(spark):
     assert scores.pop(9) < 0.3 and all(s >= 0.3 for s in scores.values())
 
 
+def test_toxic_words_of_a_rare_label_count():
+    """1 % toxic of a full sample, each toxic word in a quarter of these: 20 examples of 8,000."""
+    draw = np.random.default_rng(6)
+    labels = np.arange(8_000) % 100 == 0
+    rows = [np.unique(draw.integers(100, 5_000, 60)) for _ in labels]
+    for number in np.flatnonzero(labels):
+        rows[number] = np.append(rows[number], 5_000 + number // 100 % 4)
+    used, weights, bias = toxicity.fit_scaled_logistic(rows, labels.astype(float))
+    full = np.zeros(toxicity.BUCKETS)
+    full[used] = weights
+    said = np.array([1 / (1 + np.exp(-(full[row].sum() + bias))) for row in rows]) >= toxicity.THRESHOLD
+    assert {5_000, 5_001, 5_002, 5_003} <= set(used.tolist())
+    assert said[labels].mean() > 0.95 and said[~labels].mean() < 0.02
+
+
 def test_toxicity_of_odd_rows(spark):
     for labels in (labelled(spark, "toxic"), labelled(spark, "toxic").where("toxic = 1"), labelled(spark, "toxic").where("false")):
         rows = toxicity.scored_toxicity(odd_docs(spark), labels).collect()

@@ -2,7 +2,8 @@
 
 After Wang and Manning (2012). A document is the set of its character n-grams, hashed into buckets. The log-count ratio of
 a bucket says how much more often toxic examples have it than others; buckets are scaled by their ratios, and a logistic
-regression is fitted on the scaled features. Buckets with few examples or a ratio near zero are left out of the model.
+regression is fitted on the scaled features. Buckets with few examples of the label they speak for or a ratio near zero are left
+out of the model.
 
 The model is fitted in one task on a bounded sample of labelled rows and is one row; scoring reads every row once, whole texts,
 and shuffles nothing.
@@ -24,9 +25,9 @@ ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
 # Labelled documents that the model is fitted on, at most.
 SAMPLE = 8_000
-# Share of the examples that must have a bucket, and examples at least.
-LEAST_SHARE = 0.005
+# Examples that must have a bucket, and those of the label that it speaks for; the same for any sample, so rare words count in large ones.
 LEAST_DOCUMENTS = 4
+LEAST_OWN = 3
 LEAST_RATIO = 1.2
 SMOOTHING = 0.5
 PENALTY = 0.001
@@ -56,11 +57,11 @@ def fit_scaled_logistic(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.
     positive, negative = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row, label in zip(rows, labels):
         (positive if label else negative)[row] += 1
-    counted = positive + negative
     p, q = positive + SMOOTHING, negative + SMOOTHING
     # Shares of the documents of a class; with few of one class the prior, not the ratio, carries the difference.
     ratios = np.log(p / (labels.sum() + 1)) - np.log(q / (len(labels) - labels.sum() + 1))
-    used = np.flatnonzero((counted >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(labels))) & (np.abs(ratios) >= LEAST_RATIO))
+    often = (positive + negative >= LEAST_DOCUMENTS) & (np.where(ratios > 0, positive, negative) >= LEAST_OWN)
+    used = np.flatnonzero(often & (np.abs(ratios) >= LEAST_RATIO))
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     if not len(used) or labels.min(initial=1) == labels.max(initial=0):
         return used[:0], np.zeros(0), float(np.log(share / (1 - share)))
