@@ -125,3 +125,27 @@ def test_odd_pages(spark):
     assert main_texts(pages.where("false")).count() == 0
     # Without a page that marks its article nothing can be learned, and nothing is returned.
     assert {r["text"] for r in main_texts(pages.where("page_id >= 40")).collect()} == {""}
+
+
+def test_pages_that_mark_no_article(spark):
+    draw = random.Random(11)
+
+    def word():
+        return "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(3, 9)))
+
+    def sentence():
+        return " ".join(word() for _ in range(draw.randint(9, 16))).capitalize() + ", " + word() + "."
+
+    pages, wanted = [], {}
+    for number in range(60):
+        body = [" ".join(sentence() for _ in range(4)) for _ in range(5)]
+        menu = "<ul class=menu>" + "".join(f"<li><a href=/{i}>{word()}</a></li>" for i in range(6)) + "</ul>"
+        inside = "".join(f"<p>{b}</p>" for b in body)
+        inside = f"<div class=content>{inside}</div>" if number % 2 else f"<table><tr><td class=story>{inside}</td></tr></table>"
+        pages.append((number, f"u{number}", f"<html><body>{menu}{inside}<div class=footer>Copyright {word()}</div></body></html>"))
+        wanted[number] = body
+    one = (99, "u99", f"<html><body><article\n class=x><p>{sentence() * 3}</p></article><div class=footer>Copyright</div></body></html>")
+    for extra in ([], [one]):
+        got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(pages + extra, "page_id long, url string, html string")).collect()}
+        found = [b in got[n].split("\n\n") for n, body in wanted.items() for b in body]
+        assert sum(found) / len(found) > 0.9 and sum("Copyright" in got[n] for n in wanted) < 6

@@ -8,6 +8,7 @@ runs of text picked are the blocks of the result.
 No page comes labelled. The model learns from a bounded sample of the pages themselves: where a page marks its article, its text and
 the text around it are known, and they are laid out anew in varied page structures (`page_layouts`), so that the trees see main
 text and menus, notices, adverts, forms, sidebars and comments in other surroundings than those of the sample.
+Where too few pages mark their article, others lend their long runs of prose to such layouts, whose labels are known as they are made.
 
 Fitting is one task on the bounded sample and yields one row. Extraction reads every page once, whole, and shuffles nothing.
 """
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame, functions as F
 from treeweave.llm.boosting import BoostedTrees
 from treeweave.llm.page_layouts import layouts
 from treeweave.llm.page_tree import FEATURES, TEXT, PageTree, node_features
-from treeweave.llm.support import bounded_sample, decoded, fresh, utf8
+from treeweave.llm.support import bounded_sample, decoded, fresh, stored, utf8
 from treeweave.session import ship_package
 
 # Pages that the model learns from, at most, and layouts made of each.
 SAMPLE = 240
 LAYOUTS = 5
+# Least size of a run of text that may stand for main text where a page marks none.
+PROSE_CHARS, PROSE_WORDS = 80, 12
 TREES = 60
 DEPTH = 5
 LEAST_CHANCE = 1e-4
@@ -122,16 +125,42 @@ def marked(html: str) -> PageTree | None:
     return tree if good else None
 
 
+def guessed(html: str) -> PageTree | None:
+    """The tree of a page whose long runs of prose, and blocks beside them, may stand for main text; None without any."""
+    tree = PageTree(html)
+    apart = [False] * len(tree.parent)
+    for node in range(1, len(apart)):
+        apart[node] = tree.tag[node] in ("nav", "aside", "footer", "header", "form") or apart[tree.parent[node]]
+    prose = [
+        # Scripts without spaces show as prose by their marks.
+        not out and len(t) >= PROSE_CHARS and linked <= 0.3 * len(t) and (len(t.split()) >= PROSE_WORDS or sum(map(t.count, "。，、！？")) >= 3)
+        for out, t, linked in zip(apart, tree.text, tree.link_chars)
+    ]
+    around = {tree.parent[tree.parent[n]] for n, long in enumerate(prose) if long} - {-1}
+    tree.truth = [
+        long or bool(t) and not out and tree.tag[over] in ("p", "h1", "h2", "h3", "blockquote") and tree.parent[over] in around
+        for long, t, out, over in zip(prose, tree.text, apart, tree.parent)
+    ]
+    return tree if any(prose) else None
+
+
 def learn(pages: list[str]) -> TextModel | None:
-    """A model from pages that mark their article, and from layouts of their text."""
-    known = [tree for tree in map(marked, pages) if tree is not None]
-    if not known:
+    """A model from pages that mark their article, and from layouts of their text and of the prose of other pages."""
+    known, lent = [], []
+    for page in pages:
+        tree = marked(page)
+        if tree is not None:
+            known.append(tree)
+        elif (tree := guessed(page)) is not None:
+            lent.append(tree)
+    if not known and not lent:
         return None
     stock = [
         ([(tree.tag[tree.parent[n]], tree.text[n]) for n in range(len(tree.parent)) if tree.text[n] and tree.truth[n]],
          [tree.text[n] for n in range(len(tree.parent)) if tree.text[n] and not tree.truth[n]])
-        for tree in known
+        for tree in known + lent
     ]
+    # What is main text in the other pages themselves is not known.
     trees = list(known)
     draw = random.Random(10)
     for number in range(len(stock)):
@@ -146,34 +175,55 @@ def learn(pages: list[str]) -> TextModel | None:
 
 
 def fit_text_model(pages: DataFrame, size: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> TextModel | None:
-    """The model of at most `size` pages, those with the smallest id hashes; None if none of them marks its article."""
-    spark = pages.sparkSession
-    ship_package(spark)
-    known = pages.where(F.col(id_col).isNotNull() & F.col(html_col).rlike("(?i)<(article|main)[ >]"))
-    chosen = bounded_sample(known.select(F.col(id_col).alias("id")), size, "id").distinct()
+    """The model of at most `size` pages, those with the smallest id hashes; None if no page holds an article or prose.
+
+    Pages that mark their article come first. Only where the sample has fewer than `size` of them is every page parsed to find others.
+    """
+    ship_package(pages.sparkSession)
+    present = pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull())
+    narrow = present.select(F.col(id_col).alias("id"), utf8(F.col(html_col)).alias("bytes"))
+    tagged = present.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s/>]")).select(F.col(id_col).alias("id"))
+    model, learned = fitted_text_model(narrow, bounded_sample(tagged.distinct(), size, "id"))
+    if learned >= size:
+        return model
+
+    @F.pandas_udf("int")
+    def kind(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for htmls in batches:
+            yield pd.Series([0 if marked(h) else 1 if guessed(h) else 2 for h in map(decoded, htmls)], dtype="int32")
+
+    usable = stored(narrow.select("id", kind("bytes").alias("kind")), "kinds").where("kind < 2")
+    usable = usable.groupBy("id").agg(F.min("kind").alias("kind"))
+    return fitted_text_model(narrow, usable.orderBy("kind", F.xxhash64("id"), "id").limit(size).select("id"))[0]
+
+
+def fitted_text_model(narrow: DataFrame, chosen: DataFrame) -> tuple[TextModel | None, int]:
+    """The model of the pages (`id`, `bytes`) that are `chosen` (`id`), and how many of these mark their article."""
     # One page per id, of the bounded sample only.
-    sample = pages.select(F.col(id_col).alias("id"), utf8(F.col(html_col)).alias("bytes")).join(F.broadcast(chosen), "id")
+    sample = narrow.join(F.broadcast(chosen), "id")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.dropna().sort_values(["id", "bytes"]).drop_duplicates("id")
-        model = learn([decoded(b) for b in group["bytes"]])
+        texts = [decoded(b) for b in group["bytes"]]
+        model = learn(texts)
         if model is None:
-            return pd.DataFrame({c: [] for c in ("names", "odds", "cuts", "features", "bins", "leaves", "base")})
+            return pd.DataFrame({c: [] for c in ("names", "odds", "cuts", "features", "bins", "leaves", "base", "learned")})
         t = model.trees
         return pd.DataFrame({
             "names": [list(model.odds)], "odds": [list(model.odds.values())], "cuts": [t.cuts.ravel()],
             "features": [t.features.ravel()], "bins": [t.bins.ravel()], "leaves": [t.leaves.ravel()], "base": [t.base],
+            "learned": [sum(marked(text) is not None for text in texts)],
         })
 
-    kinds = "names array<string>, odds array<double>, cuts array<double>, features array<long>, bins array<long>, leaves array<double>, base double"
+    kinds = "names array<string>, odds array<double>, cuts array<double>, features array<long>, bins array<long>, leaves array<double>, base double, learned int"
     row = sample.groupBy(F.lit(0).alias("all")).applyInPandas(fit, kinds).first()
     if row is None:
-        return None
+        return None, 0
     trees = BoostedTrees(
         np.array(row["cuts"]).reshape(FEATURES, -1), np.array(row["features"]).reshape(TREES, -1), np.array(row["bins"]).reshape(TREES, -1),
         np.array(row["leaves"]).reshape(TREES, -1), row["base"],
     )
-    return TextModel(dict(zip(row["names"], row["odds"])), trees)
+    return TextModel(dict(zip(row["names"], row["odds"])), trees), row["learned"]
 
 
 def with_main_text(pages: DataFrame, model: TextModel | None, html_col: str = "html", result: str = "main_text") -> DataFrame:
