@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeweave.llm import sql
+from treeweave.llm.chat import chat_parts, chat_verdicts, read_back
 from treeweave.llm.contamination import benchmark_hits
 from treeweave.llm.html_text import main_texts
 from treeweave.llm.language import predicted_languages
@@ -71,11 +72,38 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    names = planted.columns
+    rows = table(spark, sf_dir, "conversations").select(*names).unionByName(planted)
+    # Digests are of whole conversations: dealt out by conversation, their parts are made and joined without another shuffle.
+    parts = chat_parts(rows.repartition("conv_id"))
+    said = read_back(parts).select(
+        "conv_id", "part", "chars", F.size("turns").alias("n"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+        F.array_join("learned", "").alias("learned"),
+    )
+    whole = said.groupBy("conv_id").agg(
+        F.sum("n").cast("long").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+        F.sort_array(F.collect_list(F.struct("part", "turns", "learned"))).alias("parts"),
+    )
+    learned = F.array_join(F.transform("parts", lambda p: p["learned"]), "")
+    digests = whole.select(
+        "conv_id", "n_turns", F.sha2(F.array_join(F.transform("parts", lambda p: p["turns"]), "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+    verdicts = chat_verdicts(rows).select(F.col("conv_id").alias("conv"), "valid", "complete", "bad_turn")
+    return digests.join(verdicts, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_language, op2_near_duplicates, op3_source_mix, op4_jump_shards, op5_benchmark_hits, op6_toxicity, op7_quality_rules,
-        op8_quality_model, op9_repeated_passages, op10_main_text,
+        op8_quality_model, op9_repeated_passages, op10_main_text, op13_chat_format,
     )
 }
 # No SQL says what a trained model says; tests hold those against brute force and held-out labels.
@@ -85,4 +113,5 @@ ORACLES: dict[str, str] = {
     "op4_jump_shards": sql.JUMP_SHARDS,
     "op5_benchmark_hits": sql.BENCHMARK_HITS,
     "op9_repeated_passages": sql.REPEATED_PASSAGES,
+    "op13_chat_format": sql.CHAT_FORMAT,
 }

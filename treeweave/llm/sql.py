@@ -112,3 +112,29 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce
   sha256(coalesce(text, '')) AS kept_sha256
 FROM worded LEFT JOIN kept USING (n)
 """
+
+CHAT_FORMAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+placed AS (
+  SELECT *, row_number() OVER t AS place, coalesce(lag(role) OVER t, '') AS before
+  FROM rows WINDOW t AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text))),
+marked AS (
+  SELECT *,
+    len(text) + len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '</s>|\[/?(SYS|INST|TEXT)\]|\[(OUT|ROLE)\]')) AS chars,
+    len(role) + len(regexp_extract_all(role, '\\')) + len(regexp_extract_all(role, '</s>|\[/?(SYS|INST|TEXT)\]|\[(OUT|ROLE)\]')) AS name_chars,
+    NOT CASE role WHEN 'system' THEN place = 1
+      WHEN 'user' THEN place = 1 OR before IN ('assistant', 'system')
+      WHEN 'assistant' THEN before = 'user' ELSE false END AS wrong
+  FROM placed),
+grouped AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS learned,
+    sum(chars + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE name_chars + 19 END) AS formatted_chars,
+    min(place) FILTER (WHERE wrong) AS bad_turn, arg_max(role, place) AS last_role
+  FROM marked GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(len(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars, bad_turn IS NULL AS valid, bad_turn IS NULL AND last_role = 'assistant' AS complete, bad_turn
+FROM grouped
+"""
