@@ -10,7 +10,7 @@ import duckdb
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
-TABLES = ("documents", "events")
+TABLES = ("documents", "events", "conversations", "benchmark", "labels", "pages")
 
 
 def check_engine(sf_dir: str) -> duckdb.DuckDBPyConnection:
