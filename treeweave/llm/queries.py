@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treeweave.llm import sql
 from treeweave.llm.chat import chat_parts, chat_verdicts, read_back
@@ -14,6 +15,7 @@ from treeweave.llm.language import predicted_languages
 from treeweave.llm.mixing import mix_plan
 from treeweave.llm.near_duplicates import near_duplicates
 from treeweave.llm.passages import repeated_passages
+from treeweave.llm.periodic import periodic_runs
 from treeweave.llm.quality_model import scored_quality
 from treeweave.llm.quality_rules import fit_rules, held_out, judged_quality
 from treeweave.llm.sharding import shard_index
@@ -72,6 +74,45 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def _with_planted_runs(checksums: pd.Series, texts: pd.Series) -> pd.Series:
+    """Texts of rows with a checksum divisible by 10 repeat their words from some place on; place and period follow from the checksum."""
+
+    def planted(h: int, text: bytes | None) -> bytes | None:
+        words = text.split() if text else []
+        if h % 10 or not words:
+            return text
+        rest = int(h) // 10
+        start = rest % len(words)
+        period = 1 + (len(words) - start) // (3 + rest % 8)
+        return b" ".join(words[:start] + [words[start + i % period] for i in range(len(words) - start)])
+
+    return pd.Series([planted(h, t) for h, t in zip(checksums, texts)], dtype=object)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # A row without an id has no checksum and stays as it is.
+    checksum = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    plant = F.pandas_udf(_with_planted_runs, "binary")
+    found = periodic_runs(docs.select("doc_id", plant(checksum, F.col("text").cast("binary")).alias("text")))
+
+    def higher_first(a: Column, b: Column) -> Column:
+        # length / period compared without a division.
+        left, right = a["length"] * b["period"], b["length"] * a["period"]
+        key = F.when(left > right, -1).when(left < right, 1)
+        for name in ("start", "period"):
+            key = key.when(a[name] < b[name], -1).when(a[name] > b[name], 1)
+        return key.otherwise(0)
+
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.get(F.array_sort("runs", higher_first), F.lit(0))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -103,7 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_language, op2_near_duplicates, op3_source_mix, op4_jump_shards, op5_benchmark_hits, op6_toxicity, op7_quality_rules,
-        op8_quality_model, op9_repeated_passages, op10_main_text, op13_chat_format,
+        op8_quality_model, op9_repeated_passages, op10_main_text, op12_periodic_runs, op13_chat_format,
     )
 }
 # No SQL says what a trained model says; tests hold those against brute force and held-out labels.
@@ -113,5 +154,6 @@ ORACLES: dict[str, str] = {
     "op4_jump_shards": sql.JUMP_SHARDS,
     "op5_benchmark_hits": sql.BENCHMARK_HITS,
     "op9_repeated_passages": sql.REPEATED_PASSAGES,
+    "op12_periodic_runs": sql.PERIODIC_RUNS,
     "op13_chat_format": sql.CHAT_FORMAT,
 }

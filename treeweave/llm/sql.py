@@ -138,3 +138,41 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(len(learned) AS BIG
   CAST(formatted_chars AS BIGINT) AS formatted_chars, bad_turn IS NULL AS valid, bad_turn IS NULL AND last_role = 'assistant' AS complete, bad_turn
 FROM grouped
 """
+
+PERIODIC_RUNS = r"""
+WITH crc_step AS (
+  SELECT list(list_reduce([CAST(n AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY n) AS steps FROM range(256) r(n)),
+worded AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, h: xor(c // 256, steps[xor(c % 256, h) + 1]))) AS h
+  FROM documents, crc_step),
+cut AS (
+  SELECT *, len(words) AS size, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) ELSE len(words) END AS a FROM worded),
+stepped AS (SELECT *, 1 + (size - a) // (3 + (h // 10) % 8) AS p FROM cut),
+each AS (
+  SELECT n, size, i, words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] AS word
+  FROM (SELECT *, unnest(range(size)) AS i FROM stepped) t),
+equal AS (
+  SELECT x.n, x.i, y.i - x.i AS q FROM each x JOIN each y ON x.n = y.n AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.size),
+islands AS (
+  SELECT n, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY n, q ORDER BY i) AS island FROM equal) t
+  GROUP BY n, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (
+  SELECT * FROM islands x WHERE NOT EXISTS (
+    SELECT 1 FROM islands y WHERE y.n = x.n AND y.q < x.q AND x.q % y.q = 0 AND y.start <= x.start AND y.start + y.length >= x.start + x.length)),
+told AS (
+  SELECT n, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM runs GROUP BY n),
+best AS (
+  SELECT x.* FROM runs x WHERE NOT EXISTS (
+    SELECT 1 FROM runs y WHERE y.n = x.n AND (y.length * x.q > x.length * y.q
+      OR y.length * x.q = x.length * y.q AND (y.start < x.start OR y.start = x.start AND y.q < x.q)))),
+gone AS (SELECT DISTINCT n, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (SELECT n, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (n, i) GROUP BY n)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, CAST(1000 * length // q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM worded LEFT JOIN told USING (n) LEFT JOIN best USING (n) LEFT JOIN kept USING (n)
+"""
