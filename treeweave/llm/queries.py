@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treeweave.llm import sql
 from treeweave.llm.chat import chat_parts, chat_verdicts, read_back
+from treeweave.llm.collocations import collocations
 from treeweave.llm.contamination import benchmark_hits
 from treeweave.llm.html_text import main_texts
 from treeweave.llm.language import predicted_languages
@@ -74,6 +75,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def _with_planted_runs(checksums: pd.Series, texts: pd.Series) -> pd.Series:
     """Texts of rows with a checksum divisible by 10 repeat their words from some place on; place and period follow from the checksum."""
 
@@ -144,7 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_language, op2_near_duplicates, op3_source_mix, op4_jump_shards, op5_benchmark_hits, op6_toxicity, op7_quality_rules,
-        op8_quality_model, op9_repeated_passages, op10_main_text, op12_periodic_runs, op13_chat_format,
+        op8_quality_model, op9_repeated_passages, op10_main_text, op11_collocations, op12_periodic_runs, op13_chat_format,
     )
 }
 # No SQL says what a trained model says; tests hold those against brute force and held-out labels.
@@ -154,6 +159,7 @@ ORACLES: dict[str, str] = {
     "op4_jump_shards": sql.JUMP_SHARDS,
     "op5_benchmark_hits": sql.BENCHMARK_HITS,
     "op9_repeated_passages": sql.REPEATED_PASSAGES,
+    "op11_collocations": sql.COLLOCATIONS,
     "op12_periodic_runs": sql.PERIODIC_RUNS,
     "op13_chat_format": sql.CHAT_FORMAT,
 }

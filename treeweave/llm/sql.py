@@ -176,3 +176,31 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, CAST(1
   sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
 FROM worded LEFT JOIN told USING (n) LEFT JOIN best USING (n) LEFT JOIN kept USING (n)
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+    FROM documents) t),
+grams AS (
+  SELECT lang, array_to_string(words[s:s + size - 1], ' ') AS phrase, size, count(*) AS f
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS s FROM pieces, range(1, 5) r(size)) t GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS words FROM grams WHERE f >= 30),
+cuts AS (
+  SELECT lang, phrase, size, f AS a, words, k, array_to_string(words[:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM often WHERE size > 1) t),
+scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = head JOIN often y ON y.lang = c.lang AND y.phrase = tail),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(words[s:s + part - 1], ' ') AS phrase, max(f) AS around
+  FROM (SELECT *, unnest(range(1, size - part + 2)) AS s FROM often, range(2, 4) r(part) WHERE size > part) t GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM lowest b LEFT JOIN inside USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score, CAST(k AS INTEGER) AS k FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
