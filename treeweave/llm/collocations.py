@@ -9,9 +9,10 @@ the one before:
 3. merge-join: the relation meets itself on place and place + 1; two neighbouring groups of k words, which share all but one
    word, are an occurrence of a group of k + 1 words.
 
-Every relation is written to the shared folder before the next length. It is kept in shards of some megabytes of text, one row each, so
-the merge-join runs where a shard is and no occurrence is ever shuffled by group: what crosses the network is one row per shard and
-group. A word that all documents share is one row per shard. Groups are known by number and told apart by their two parts, never by a hash.
+Every relation is written to the shared folder before the next length. It is kept in shards of some megabytes of text, one row each with
+compressed columns, so the merge-join runs where a shard is and no occurrence is ever shuffled by group: what crosses the network is one
+row per shard and group, once. A group that all documents share is one row per shard. Frequent words have numbers, and longer groups are
+told apart by the numbers of their words, never by a hash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from treeweave.llm.support import UPPER, stored, utf8
 from treeweave.operators.ordering import with_running
@@ -37,7 +39,7 @@ SHARD_BYTES = 8 << 20
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _LOWER = bytes.maketrans(_BREAKS + UPPER.encode(), b"." * len(_BREAKS) + UPPER.lower().encode())
-_COLUMNS = "gaps array<int>, items array<int>"
+_COLUMNS = "gaps binary, items binary"
 
 
 class _Shard:
@@ -64,7 +66,7 @@ class _Shard:
         places = np.flatnonzero(row >= 0)
         items = row[places]
         return pd.DataFrame({
-            "gaps": [_gaps(places)], "items": [items], "lang": [self.langs], "word": [self.words],
+            **_packed(places, items), "lang": [self.langs], "word": [self.words],
             "counts": [np.bincount(items, minlength=len(self.words))],
         })
 
@@ -83,9 +85,20 @@ class _Numbers(dict):
         return number
 
 
-def _gaps(places: np.ndarray) -> np.ndarray:
-    """Places as distances from the one before: mostly 1, so they take little room."""
-    return np.diff(places, prepend=-1).astype(np.int32)
+def _packed(places: np.ndarray, items: np.ndarray) -> dict[str, list[bytes]]:
+    """A sorted relation as two compressed columns; places are distances from the one before, mostly 1, and take little room."""
+    packer = zstandard.ZstdCompressor()
+    return {
+        "gaps": [packer.compress(np.diff(places, prepend=-1).astype(np.int32).tobytes())],
+        "items": [packer.compress(items.astype(np.int32).tobytes())],
+    }
+
+
+def _unpacked(gaps: bytes, items: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and groups of a relation."""
+    opener = zstandard.ZstdDecompressor()
+    places = np.cumsum(np.frombuffer(opener.decompress(gaps), np.int32), dtype=np.int64) - 1
+    return places, np.frombuffer(opener.decompress(items), np.int32)
 
 
 def _word_relation(docs: DataFrame, shard_bytes: int) -> DataFrame:
@@ -106,40 +119,50 @@ def _word_relation(docs: DataFrame, shard_bytes: int) -> DataFrame:
     return made.select(F.monotonically_increasing_id().alias("shard"), "*")
 
 
-def _frequent(groups: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
-    """`keys`, `f` and a `number` of groups that occur `least` times or more; written, so that numbers stay."""
-    counted = groups.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return stored(counted.withColumn("number", F.monotonically_increasing_id()), label)
+def _words(size: int, first: int = 1) -> list[str]:
+    """Columns with the numbers of the words of a group."""
+    return [f"w{place}" for place in range(first, first + size)]
 
 
-def _longer(relation: DataFrame, known: DataFrame) -> DataFrame:
-    """The next relation from one by shard and the frequent groups of each shard (`shard`, `local`, `number`).
+def _longer(relation: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """The relation of groups of `size` words from the one before it and the frequent groups of each shard.
 
-    Its groups are described by `left` and `right`, the numbers of their two parts, and `counts`.
+    `known` has `shard` and `local`, the number of a group in its shard, and for words `w1`. Groups are described by `w1`, `w2`, ... and `counts`.
     """
-    lists = known.groupBy("shard").agg(F.collect_list(F.struct("local", "number")).alias("known"))
-    joined = relation.select("shard", "gaps", "items").join(lists, "shard").select(
-        "shard", "gaps", "items", F.col("known.local").alias("local"), F.col("known.number").alias("number")
-    )
+    words = _words(size - 1)
+    if size == 2:
+        lists = known.groupBy("shard").agg(F.collect_list(F.struct("local", "w1")).alias("known")).select(
+            "shard", F.col("known.local").alias("local"), F.col("known.w1").alias("w1")
+        )
+        joined = relation.select("shard", "gaps", "items").join(lists, "shard")
+    else:
+        lists = known.groupBy("shard").agg(F.collect_list("local").alias("local"))
+        joined = relation.select("shard", "gaps", "items", *words).join(lists, "shard")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, gaps, items, local, number in batch.itertuples(index=False, name=None):
-                places, items = np.cumsum(gaps, dtype=np.int64) - 1, np.asarray(items)
-                numbers = np.full(max(int(items.max()), int(np.max(local))) + 1, -1, np.int64)
-                numbers[local] = number
-                kept = numbers[items] >= 0
+            for row in batch.itertuples(index=False):
+                places, items = _unpacked(row.gaps, row.items)
+                local = np.asarray(row.local)
+                frequent = np.zeros(max(int(items.max()), int(local.max())) + 1, bool)
+                frequent[local] = True
+                columns = [np.asarray(getattr(row, w), np.int64) for w in words]
+                if size == 2:
+                    numbers = np.zeros(len(frequent), np.int64)
+                    numbers[local] = columns[0]
+                    columns = [numbers]
+                kept = frequent[items]
                 places, items = places[kept], items[kept]
                 at = np.flatnonzero(places[1:] == places[:-1] + 1)
                 pairs, groups, counts = np.unique(
                     (items[at].astype(np.int64) << 32) | items[at + 1], return_inverse=True, return_counts=True
                 )
-                yield pd.DataFrame({
-                    "shard": [shard], "gaps": [_gaps(places[at])], "items": [groups.astype(np.int32)],
-                    "left": [numbers[pairs >> 32]], "right": [numbers[pairs & 0xFFFFFFFF]], "counts": [counts],
-                })
+                left, right = pairs >> 32, pairs & 0xFFFFFFFF
+                described = {w: [c[left]] for w, c in zip(words, columns)} | {f"w{size}": [columns[-1][right]]}
+                yield pd.DataFrame({"shard": [row.shard], **_packed(places[at], groups), **described, "counts": [counts]})
 
-    return joined.mapInPandas(extend, f"shard long, {_COLUMNS}, left array<long>, right array<long>, counts array<long>")
+    numbers = ", ".join(f"{w} array<long>" for w in _words(size))
+    return joined.mapInPandas(extend, f"shard long, {_COLUMNS}, {numbers}, counts array<long>")
 
 
 def _groups(relation: DataFrame, names: list[str]) -> DataFrame:
@@ -149,12 +172,13 @@ def _groups(relation: DataFrame, names: list[str]) -> DataFrame:
     return each.select("shard", "local", *[F.col(f"group.{c}").alias(c) for c in names], F.col("group.counts").alias("n"))
 
 
-def _described(longer: DataFrame, parts: DataFrame) -> DataFrame:
-    """Groups of one word more with `lang`, `phrase`, `last` word, and `heads` and `tails`: counts of their first and last 1, 2, ... words."""
-    left = parts.select(F.col("number").alias("left"), "lang", "phrase", "heads")
-    right = parts.select(F.col("number").alias("right"), "last", "tails")
-    return longer.join(left, "left").join(right, "right").select(
-        "number", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", F.col("f").alias("a"),
+def _described(frequent: DataFrame, parts: DataFrame, size: int) -> DataFrame:
+    """Groups (`w1`, ..., `f`) with `lang`, `phrase`, `last` word, and `heads` and `tails`: counts of their first and last 1, 2, ... words."""
+    shorter = _words(size - 1)
+    left = parts.select(*shorter, "lang", "phrase", "heads")
+    right = parts.select(*[F.col(w).alias(to) for w, to in zip(shorter, _words(size - 1, 2))], "last", "tails")
+    return frequent.join(left, shorter).join(right, _words(size - 1, 2)).select(
+        *_words(size), "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", F.col("f").alias("a"),
         F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"),
     )
 
@@ -196,34 +220,41 @@ def collocations(
     ship_package(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), utf8(F.col(text_col)).alias("bytes"))
     relation = stored(_word_relation(texts.where("octet_length(bytes) > 0"), shard_bytes), "occurrences1")
-    keys, found = ["lang", "word"], []
-    groups = _groups(relation, keys)
+    groups = _groups(relation, ["lang", "word"])
     totals = groups.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = _frequent(groups, keys, least, "frequent1")
-    parts = frequent.select(
-        "number", "lang", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), F.col("f").alias("a"),
-        F.array("f").alias("heads"), F.array("f").alias("tails"),
+    words = groups.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    # Numbers hold because they are written.
+    words = stored(words.withColumn("w1", F.monotonically_increasing_id()), "words")
+    known = groups.join(words, ["lang", "word"]).select("shard", "local", "w1")
+    word = F.col("word").cast("string")
+    parts = words.select(
+        "w1", "lang", word.alias("phrase"), word.alias("last"), F.col("f").alias("a"), F.array("f").alias("heads"), F.array("f").alias("tails")
     )
+    found: list[DataFrame] = []
     for size in range(2, longest + 1):
-        known = groups.join(frequent.select(*keys, "number"), keys).select("shard", "local", "number")
-        relation = stored(_longer(relation, known), f"occurrences{size}")
-        keys = ["left", "right"]
+        keys = _words(size)
+        relation = stored(_longer(relation, known, size), f"occurrences{size}")
         groups = _groups(relation, keys)
-        frequent = _frequent(groups, keys, least, f"frequent{size}")
-        if size > 2:
+        if size < longest:
+            # One shuffle counts the groups and finds those of each shard that are frequent; a group has a row per shard that holds it.
+            counted = groups.withColumn("f", F.sum("n").over(W.partitionBy(*keys))).where(F.col("f") >= least)
+            known = stored(counted.drop("n"), f"known{size}")
+            frequent = known.select(*keys, "f").distinct()
+        else:
+            frequent = groups.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        parts = stored(_described(frequent, parts, size), f"phrases{size}")
+        if found:
             # Within a longer phrase of any length is within one of one word more, which occurs at least as often.
-            around = frequent.select(F.col("left").alias("number"), "f").union(frequent.select("right", "f"))
-            around = around.groupBy("number").agg(F.max("f").alias("around"))
-            found[-1] = found[-1].join(around, "number", "left").where(
-                f"around IS NULL OR 100 * around < {absorbed} * a"
-            ).drop("around")
-        parts = stored(_described(frequent, parts), f"phrases{size}")
+            shorter = _words(size - 1)
+            inside = [parts.select(*[F.col(f"w{n + shift}").alias(f"w{n}") for n in range(1, size)], "a") for shift in (0, 1)]
+            around = inside[0].union(inside[1]).groupBy(*shorter).agg(F.max("a").alias("around"))
+            found[-1] = found[-1].join(around, shorter, "left").where(f"around IS NULL OR 100 * around < {absorbed} * a")
         found.append(parts.withColumn("cut", _lowest_cut(size, scale)))
+    found = [f.select("lang", "phrase", "a", "cut.*") for f in found]
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    narrow = every.select("lang", "phrase", "a", "cut.*")
-    ranked = with_running(narrow, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], number="rank")
+    ranked = with_running(every, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], number="rank")
     return ranked.where(F.col("rank") <= top).join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "k"
     )
