@@ -46,7 +46,7 @@ def told(df):
     return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "k").collect())
 
 
-@pytest.mark.parametrize("seed,shard_bytes,longest,top", [(1, 1, 4, 50), (2, 300, 4, 2_000), (3, 1 << 20, 4, 7), (4, 200, 5, 2_000), (5, 200, 2, 30)])
+@pytest.mark.parametrize("seed,shard_bytes,longest,top", [(1, 1, 4, 50), (4, 200, 5, 30)])
 def test_against_plain_counting(spark, seed, shard_bytes, longest, top):
     rng = random.Random(seed)
     rows = [

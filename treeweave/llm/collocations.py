@@ -10,9 +10,9 @@ the one before:
    word, are an occurrence of a group of k + 1 words.
 
 Every relation is written to the shared folder before the next length. It is kept in shards of some megabytes of text, one row each with
-compressed columns, so the merge-join runs where a shard is and no occurrence is ever shuffled by group: what crosses the network is one
-row per shard and group, once. A group that all documents share is one row per shard. Frequent words have numbers, and longer groups are
-told apart by the numbers of their words, never by a hash.
+compressed columns, bucketed by shard, so the merge-join runs where a shard is and no occurrence is ever shuffled: what crosses the
+network is one row per shard and group. A group that all documents share is one row per shard. Frequent words have numbers, and longer
+groups are told apart by the numbers of their words, never by a hash.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from treeweave.llm.support import UPPER, stored, utf8
+from treeweave.llm.support import UPPER, stored, stored_by, utf8
 from treeweave.operators.ordering import with_running
 from treeweave.session import ship_package
 
@@ -172,6 +172,15 @@ def _groups(relation: DataFrame, names: list[str]) -> DataFrame:
     return each.select("shard", "local", *[F.col(f"group.{c}").alias(c) for c in names], F.col("group.counts").alias("n"))
 
 
+def _known(groups: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
+    """The rows of groups that occur `least` times or more in all shards together, with that sum as `f` in place of `n`.
+
+    One shuffle counts the groups and tells every shard which of its groups are frequent; a group has a row per shard that holds it.
+    """
+    counted = groups.withColumn("f", F.sum("n").over(W.partitionBy(*keys)))
+    return stored(counted.where(F.col("f") >= least).drop("n"), label)
+
+
 def _described(frequent: DataFrame, parts: DataFrame, size: int) -> DataFrame:
     """Groups (`w1`, ..., `f`) with `lang`, `phrase`, `last` word, and `heads` and `tails`: counts of their first and last 1, 2, ... words."""
     shorter = _words(size - 1)
@@ -219,26 +228,22 @@ def collocations(
     """
     ship_package(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), utf8(F.col(text_col)).alias("bytes"))
-    relation = stored(_word_relation(texts.where("octet_length(bytes) > 0"), shard_bytes), "occurrences1")
-    groups = _groups(relation, ["lang", "word"])
-    totals = groups.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = groups.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    # Numbers hold because they are written.
-    words = stored(words.withColumn("w1", F.monotonically_increasing_id()), "words")
-    known = groups.join(words, ["lang", "word"]).select("shard", "local", "w1")
+    relation = stored_by(_word_relation(texts.where("octet_length(bytes) > 0"), shard_bytes), "occurrences1", "shard")
+    totals = _groups(relation, ["lang"]).groupBy("lang").agg(F.sum("n").alias("n"))
+    # A word has the least number of its rows; these come from a written table in order, so they hold if a task is run again.
+    rows = _groups(relation, ["lang", "word"]).withColumn("row", F.monotonically_increasing_id())
+    known = _known(rows.withColumn("w1", F.min("row").over(W.partitionBy("lang", "word"))).drop("row"), ["lang", "word"], least, "words")
     word = F.col("word").cast("string")
-    parts = words.select(
+    parts = known.select("w1", "lang", "word", "f").distinct().select(
         "w1", "lang", word.alias("phrase"), word.alias("last"), F.col("f").alias("a"), F.array("f").alias("heads"), F.array("f").alias("tails")
     )
     found: list[DataFrame] = []
     for size in range(2, longest + 1):
         keys = _words(size)
-        relation = stored(_longer(relation, known, size), f"occurrences{size}")
+        relation = stored_by(_longer(relation, known, size), f"occurrences{size}", "shard")
         groups = _groups(relation, keys)
         if size < longest:
-            # One shuffle counts the groups and finds those of each shard that are frequent; a group has a row per shard that holds it.
-            counted = groups.withColumn("f", F.sum("n").over(W.partitionBy(*keys))).where(F.col("f") >= least)
-            known = stored(counted.drop("n"), f"known{size}")
+            known = _known(groups, keys, least, f"known{size}")
             frequent = known.select(*keys, "f").distinct()
         else:
             frequent = groups.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)

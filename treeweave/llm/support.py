@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -48,6 +49,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def stored_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As `stored`, in as many buckets of `key` as shuffles have partitions: a join or grouping on `key` leaves these rows where they are."""
+    spark = df.sparkSession
+    folder = new_folder(spark, label)
+    name = pathlib.PurePosixPath(folder).name.replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", folder).format("parquet").saveAsTable(name)
+    rows = spark.table(name)
+    # Only the name goes: the files lie in the shared folder, and `rows` knows them and their buckets.
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
 def bounded_sample(rows: DataFrame, size: int, id_col: str) -> DataFrame:
     """At most `size` rows, the same in every run: those whose ids have the smallest hashes. Meant for narrow rows."""
     rank = fresh(rows.columns, "_rank")
