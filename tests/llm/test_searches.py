@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -98,12 +99,53 @@ def test_near_copies_of_odd_rows(spark):
     docs = odd_docs(spark)
     left = without_near_duplicates(docs)
     assert left.columns == docs.columns
-    ids = [r["doc_id"] for r in left.collect()]
-    roots = {c for d, _, c, _ in brute_near(rows, 80) if d is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(roots) and ids.count(None) == 2
+    check_one_row_per_group(rows, [tuple(r) for r in left.select("doc_id", "text").collect()], 80)
     assert without_near_duplicates(empty_docs(spark)).count() == 0
 
 
+def check_one_row_per_group(rows, left, percent):
+    """Of each group of linked rows exactly one is left, one with the smallest id; rows without words are all left."""
+    groups = {}
+    for (key, size, root, _), (doc, text) in zip(
+        sorted(brute_near([(n, text) for n, (_, text) in enumerate(rows)], percent)), rows
+    ):
+        groups.setdefault(root if size else ("wordless", key), []).append((doc, text))
+    rest = Counter(left)
+    for group in groups.values():
+        lowest = min((doc is None, doc or 0) for doc, _ in group)
+        found = [r for r in set(group) if rest[r] and (r[0] is None, r[0] or 0) == lowest]
+        assert found
+        rest[found[0]] -= 1
+    assert not +rest
+
+
+def test_ids_that_repeat_with_texts_linked_elsewhere(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (3, a), (3, b), (8, b), (3, None), (9, "alone in the world")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(docs, percent=80)
+    assert ranked(got.collect()) == brute_near(rows, 80)
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(1, 1), (3, 1), (8, 1), (9, 9)}
+    left = ranked(without_near_duplicates(docs).collect())
+    assert left == ranked([(1, a), (3, b), (3, None), (9, "alone in the world")])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_ids_with_repeats_and_nulls(spark, seed):
+    draw = random.Random(seed)
+    rows = []
+    for group in range(40):
+        base = [f"g{group}w{i}" for i in range(draw.choice([3, 30, 60]))]
+        for _ in range(draw.choice([1, 2, 6])):
+            words = list(base)
+            for _ in range(draw.choice([0, 0, 1])):
+                words[draw.randrange(len(words))] = f"edit{draw.randrange(10**6)}"
+            rows.append((draw.choice([None, *range(60)]), draw.choice([" ".join(words)] * 9 + [None])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert ranked(near_duplicates(docs, percent=80).collect()) == brute_near(rows, 80)
+    check_one_row_per_group(rows, [tuple(r) for r in without_near_duplicates(docs).collect()], 80)
+
+
 def test_components_of_chains_and_stars(spark):
     draw = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(draw.randrange(500, 600), draw.randrange(500, 600)) for _ in range(70)]

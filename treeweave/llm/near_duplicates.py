@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from treeweave.llm.support import fresh, stored, utf8
 from treeweave.session import pin, ship_package
@@ -271,8 +271,13 @@ def compared_clusters(clusters: DataFrame, docs: DataFrame, shingle: int, percen
     return clusters.join(docs, "id").groupBy("cluster").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, sketches: DataFrame, shingle: int, percent: int, trees: int) -> DataFrame:
-    """`id`, `component` for every representative that has a link; `docs` and `sketches` hold representatives."""
+def near_duplicate_components(
+    docs: DataFrame, sketches: DataFrame, shingle: int, percent: int, trees: int, same: DataFrame
+) -> DataFrame:
+    """`id`, `component` for every representative that has a link; `docs` and `sketches` hold representatives.
+
+    `same` has links (`a`, `b`) that are known without a comparison.
+    """
     least = least_agreement(percent)
     rows = sketches.select("id", "sketch", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
     rows = rows.select(F.xxhash64(F.lit("tree"), "tree").alias("node"), "id", "sketch")
@@ -325,7 +330,7 @@ def near_duplicate_components(docs: DataFrame, sketches: DataFrame, shingle: int
     groups = groups.join(once, "node", "left_semi").withColumnRenamed("node", "group").join(sketches.select("id", "sketch"), "id")
     clusters = candidate_clusters(groups, least).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     more = compared_clusters(clusters, docs, shingle, percent, least)
-    return components(links.union(more))
+    return components(links.union(more).union(same))
 
 
 def near_duplicates(
@@ -341,7 +346,7 @@ def near_duplicates(
     Two documents are linked if their sets of `shingle`-word shingles (A-Z lower-cased, words parted by ASCII white space)
     have 100 * intersection >= `percent` * union. A text of fewer words is one shingle. Null texts and texts without words
     have no shingle and are linked with nothing. Ids are whole numbers. Rows that repeat an id are one document with
-    several sets: a link of any counts for the id, and every row comes back, kept or not like its id. Rows with a null id
+    several sets: a link of any counts for all of them, and every row comes back, kept or not like its id. Rows with a null id
     are no documents: they come back with a null component, not kept. Other columns are not read. An empty table gives none.
     """
     ship_package(docs.sparkSession)
@@ -351,29 +356,36 @@ def near_duplicates(
     # Equal sets have equal sketches, so any of a class will do.
     known = every.where("set_key IS NOT NULL AND id IS NOT NULL")
     classes = stored(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    found = near_duplicate_components(narrow, classes.select(F.col("rep").alias("id"), "sketch"), shingle, percent, trees)
-    # Ids that are one document with several sets join the classes of these sets.
+    classed = members.join(classes.select("set_key", "rep"), "set_key", "left")
+    # The sets of one id belong together: the classes they fall into are linked.
+    sets = classed.where("id IS NOT NULL AND rep IS NOT NULL").select("id", "rep")
+    several = sets.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
+    same = pin(sets.join(several, "id").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
+    found = near_duplicate_components(narrow, classes.select(F.col("rep").alias("id"), "sketch"), shingle, percent, trees, same)
+    # A row without words goes with the other rows of its id.
+    wordless = classed.where("rep IS NULL AND id IS NOT NULL").select("id").distinct()
+    own = sets.join(wordless, "id", "left_semi").groupBy("id").agg(F.min("rep").alias("own"))
+    classed = classed.join(own, "id", "left").withColumn("rep", F.coalesce("rep", "own"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return (
-        members.join(classes.select("set_key", "rep"), "set_key", "left")
-        .join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        classed.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
         .select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, with their columns, whose id is the smallest of its component; one row per id.
+    """The rows of `docs`, with their columns: one of each group of linked texts, whatever the ids.
 
-    Of rows that repeat an id the one whose text has the smallest hash stays. Rows with a null id are in no component: they
-    stay, once per text. Texts without words are linked with nothing and stay.
+    Rows count as documents of their own, so no text is lost because its id is there with another text, and rows without an id
+    are compared like all others. The row with the smallest id stays, null ids last; of several the one whose text has the
+    smallest hash. Texts without words are linked with nothing and all stay. An empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    key, text_hash, turn = (fresh(docs.columns, f"_{c}") for c in ("key", "text_hash", "turn"))
-    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    keyed = docs.withColumns({key: F.col(id_col).cast("long"), text_hash: F.xxhash64(F.col(text_col))})
-    among = W.partitionBy(key, F.when(F.col(key).isNull(), F.col(text_hash))).orderBy(text_hash)
-    return (
-        keyed.join(gone, key, "left_anti").withColumn(turn, F.row_number().over(among)).where(F.col(turn) == 1)
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    key, text_hash = fresh(docs.columns, "_key"), fresh(docs.columns, "_text_hash")
+    # Written, so that a row keeps its number.
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed, id_col=key, text_col=text_col, **options).select(F.col("doc_id").alias(key), "component_id")
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), text_hash, key)
+    order = keyed.select(key, id_col, F.xxhash64(F.col(text_col)).alias(text_hash)).join(found, key)
+    staying = order.groupBy("component_id").agg(F.min_by(key, rank).alias(key)).select(key)
+    return keyed.join(staying, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
