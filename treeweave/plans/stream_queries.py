@@ -88,6 +88,24 @@ def stream_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.withColumn("repo_url", F.concat(F.lit("https://"), "repo_url"))
 
 
+@query("stream_tree", with_views("SELECT repo_url, path, block FROM blocks", KEPT))
+def stream_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracked files dropped into a tree in two goes, each followed by a run of the same stream on the tree."""
+    short = F.regexp_replace("repo_url", "^https://", "")
+    files = with_content(load(spark, sf_dir, "tracked")).withColumn("repo_url", short)
+    root, own = new_folder(spark, "tree"), new_folder(spark, "stream-tree")
+    first = F.pmod(F.xxhash64("repo_url", "path"), F.lit(2)) == 0
+    for part in (first, ~first):
+        write_worktree(files.where(part), root)
+        arrived = streams.stream_tree(spark, root, f"{own}/listings", STANDARD, repo_depth=3)
+        (
+            arrived.writeStream.format("parquet").option("path", f"{own}/rows").option("checkpointLocation", f"{own}/progress")
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+    blocks = spark.read.schema("repo_url string, path string, block string").parquet(f"{own}/rows")
+    return blocks.withColumn("repo_url", F.concat(F.lit("https://"), "repo_url"))
+
+
 @query("stream_messages", with_views("SELECT repo_url, 'File' AS type, path, block AS content FROM blocks", KEPT))
 def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages, read back."""

@@ -22,6 +22,8 @@ def build_session(app: str = "treeweave", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # File contents go to Python in batches of bounded size, however large the files are.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:

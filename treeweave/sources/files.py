@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, LongType
 
 from treeweave.operators.content import is_binary
 from treeweave.session import pin, ship_package
@@ -19,7 +20,8 @@ INDEX_VERSION = "2.0.0"
 BUCKETS = 64
 
 
-def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+@lru_cache(maxsize=64)
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of an address and the path in it; addresses without a scheme are local paths."""
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[5:]
@@ -29,37 +31,69 @@ def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), uri) if "://" not in uri else fs.FileSystem.from_uri(uri)
 
 
+def folder_entries(root: str, folder: str) -> Iterator[tuple[str, int | None, int]]:
+    """(path below `root`, size, time of change in ns) of folders and regular files in a folder; the size of a folder is null.
+
+    Links are neither: they are left out wherever they point, so a tree has no loops and nothing outside of it is read.
+    """
+    system, base = file_system(root)
+    top = base.rstrip("/")
+    here = f"{top}/{folder}".rstrip("/") or "/"
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(here) as entries:
+            for entry in entries:
+                path = entry.path[len(top):].lstrip("/")
+                if entry.is_dir(follow_symlinks=False):
+                    yield path, None, 0
+                elif entry.is_file(follow_symlinks=False):
+                    about = entry.stat(follow_symlinks=False)
+                    yield path, about.st_size, about.st_mtime_ns
+        return
+    for entry in system.get_file_info(fs.FileSelector(here)):
+        path = entry.path[len(top):].lstrip("/")
+        if entry.type == fs.FileType.Directory:
+            yield path, None, 0
+        elif entry.type == fs.FileType.File:
+            yield path, entry.size, entry.mtime_ns or 0
+
+
 def _listed(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entries of folders (`root`, `folder`): (`root`, `folder`, `size`), the size null for a folder."""
     for page in pages:
         for root, folder in zip(page["root"], page["folder"]):
-            system, base = _file_system(root)
-            top = base.rstrip("/")
-            entries = system.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/") or "/"))
-            rows = [
-                (root, e.path[len(top):].lstrip("/"), None if e.type == fs.FileType.Directory else e.size)
-                for e in entries if e.type in (fs.FileType.Directory, fs.FileType.File)
-            ]
+            rows = [(root, path, size) for path, size, _ in folder_entries(root, folder)]
             yield pd.DataFrame(rows, columns=["root", "folder", "size"]).astype({"size": "Int64"})
 
 
+def content_of(root: str, path: str) -> bytes:
+    system, top = file_system(root)
+    with system.open_input_stream(f"{top.rstrip('/')}/{path}") as stream:
+        return stream.read()
+
+
 @F.pandas_udf(BinaryType())
 def read_file(root: pd.Series, path: pd.Series) -> pd.Series:
-    """Contents of files below their roots."""
-    out = []
+    """Contents of files below their roots; null where the path is null."""
+    return pd.Series([None if p is None else content_of(r, p) for r, p in zip(root, path)], dtype=object)
+
+
+@F.pandas_udf(LongType())
+def file_size(root: pd.Series, path: pd.Series) -> pd.Series:
+    """Sizes of files below their roots, without opening them; null where there is no regular file."""
+    sizes = []
     for base, name in zip(root, path):
-        system, top = _file_system(base)
-        with system.open_input_stream(f"{top.rstrip('/')}/{name}") as stream:
-            out.append(stream.read())
-    return pd.Series(out, dtype=object)
+        system, top = file_system(base)
+        about = system.get_file_info(f"{top.rstrip('/')}/{name}")
+        sizes.append(about.size if about.type == fs.FileType.File else None)
+    return pd.Series(sizes, dtype="Int64")
 
 
 def scan_worktree(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     """Regular files below `root` with sizes and paths relative to their repository, whatever their names begin with.
 
     The first `repo_depth` folders below `root` name the repository; files above that depth belong to the repository of the folders
-    there are. Folders are listed by tasks, one round per level of the tree. `content` is read only where it is used, and
-    filters on the other columns come before the reading.
+    there are. Folders are listed by tasks, one round per level of the tree; links are not followed. `content` is read only where it
+    is used, and filters on the other columns, `size` too, come before the reading.
     """
     ship_package(spark)
     listing = "root string, folder string, size long"
@@ -89,7 +123,7 @@ def write_worktree(files: DataFrame, root: str) -> int:
 
     def write(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page in pages:
-            system, top = _file_system(root)
+            system, top = file_system(root)
             for repo, path, content in zip(page["repo_url"], page["path"], page["content"]):
                 name = "/".join(x for x in (top.rstrip("/"), repo, path) if x)
                 system.create_dir(name.rsplit("/", 1)[0], recursive=True)

@@ -15,7 +15,8 @@ from treeweave.operators.catalog import EXPIRE_SECONDS, FRESH_SECONDS
 from treeweave.operators.filters import IngestOptions, taken
 from treeweave.operators.render import block_of, texts_of
 from treeweave.operators.usage import ingested
-from treeweave.sources.files import read_file
+from treeweave.sources.files import file_size, read_file
+from treeweave.sources.tree import TreeSource, register_tree
 
 
 def ingest_files(files: DataFrame, options: IngestOptions) -> DataFrame:
@@ -34,12 +35,28 @@ def stream_ingest(spark: SparkSession, folder: str, schema: str, options: Ingest
 def stream_paths(paths: DataFrame, options: IngestOptions) -> DataFrame:
     """Blocks of files named by arriving rows (root, repo_url, path): each is read by the task that holds its row.
 
-    Unlike a file source on the tree itself, this takes names that begin with a dot or an underscore.
+    Unlike a file source on the tree itself, this takes names that begin with a dot or an underscore. Sizes are looked up first, and files
+    above the limit are never opened.
     """
     name = F.concat_ws("/", F.when(F.col("repo_url") != "", F.col("repo_url")), "path")
-    known = paths.withColumn("git_status", F.lit("tracked")).where(taken(options))
-    read = known.withColumn("content", read_file("root", name)).withColumn("size", F.octet_length("content").cast("long"))
-    return ingest_files(read, options)
+    known = paths.withColumn("git_status", F.lit("tracked")).where(taken(options)).withColumn("size", file_size("root", name))
+    small = F.when(F.col("size") <= options.max_file_size, name)
+    return ingest_files(known.withColumn("content", read_file("root", small)), options)
+
+
+def stream_tree(
+    spark: SparkSession, root: str, listings: str, options: IngestOptions, repo_depth: int = 1
+) -> DataFrame:
+    """Blocks of the files that arrive in a directory tree, or change in it; see `sources.tree.TreeSource`.
+
+    `listings` is a folder that belongs to the query, like its checkpoint. Files above the size limit are never opened.
+    """
+    register_tree(spark)
+    arrived = (
+        spark.readStream.format(TreeSource.name()).option("listings", listings).option("repoDepth", repo_depth)
+        .option("maxSize", options.max_file_size).load(root)
+    )
+    return ingest_files(arrived.withColumn("git_status", F.lit("tracked")), options)
 
 
 def stream_messages(blocks: DataFrame, errors: DataFrame | None = None) -> DataFrame:
