@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from treeweave.functions.linediff import common_count, common_pairs, hunks, split_lines
 from treeweave.operators import history, snapshots
+from treeweave.operators.graph import CommitGraph, commit_graph
 
 
 def lcs(a, b):
@@ -192,6 +193,40 @@ def test_deep_history(spark):
     assert history.merge_bases(table, commits, parents).first().merge_base == "m02500"
 
 
+def test_merge_bases_read_nothing_behind_the_meeting_point(spark, tmp_path):
+    """A history of many merges far behind the fork: its edges may as well be gone."""
+    edges, times = {"m000": []}, {"m000": 0}
+    for i in range(1, 120):
+        edges[f"m{i:03}"] = [f"m{i - 1:03}", f"s{i:03}"]
+        edges[f"s{i:03}"] = [f"m{max(i - 3, 0):03}"]
+        times[f"m{i:03}"], times[f"s{i:03}"] = i * 100_000, i * 100_000 - 50_000
+    edges |= {"f0": ["m110"], "f1": ["f0", "m111"]}
+    times |= {"f0": 11_000_050, "f1": 11_100_050}
+    commits, parents = graph(spark, edges, times)
+    pairs = [("m119", "f1"), ("f1", "m112"), ("f0", "m119")]
+    table = spark.createDataFrame([("r", a, b) for a, b in pairs], "repo_url string, base_sha string, head_sha string")
+    commit_graph(commits, parents).write(str(tmp_path / "g"))
+    whole = CommitGraph.read(spark, str(tmp_path / "g"))
+    late = CommitGraph(whole.nodes, whole.sides.where("generation > 9000000"))
+    assert late.sides.count() < whole.sides.count() / 3
+    for stored in (whole, late):
+        got = {(r.base_sha, r.head_sha): r.merge_base for r in history.merge_bases(table, commits, parents, stored).collect()}
+        assert got == {("m119", "f1"): "m111", ("f1", "m112"): "m111", ("f0", "m119"): "m110"}
+
+
+def test_generations_where_clocks_disagree(spark):
+    rng = random.Random(4)
+    edges = {f"c{i:02}": rng.sample([f"c{j:02}" for j in range(max(0, i - 6), i)], min(i, rng.choice([1, 1, 2]))) for i in range(1, 40)}
+    commits, parents = graph(spark, edges, {f"c{i:02}": rng.choice([5, 5, 100, rng.randrange(200)]) for i in range(40)})
+    made = commit_graph(commits.where("sha <> 'c07'"), parents)
+    generation = {r.sha: r.generation for r in made.nodes.collect()}
+    assert len(generation) == 40 and all(generation[c] > generation[p] for c, ps in edges.items() for p in ps)
+    line = {}
+    for r in made.nodes.collect():
+        line.setdefault(r.chain, []).append((r.place, r.generation))
+    assert all([p for p, _ in sorted(v)] == list(range(len(v))) and sorted(g for _, g in v) == [g for _, g in sorted(v)] for v in line.values())
+
+
 def test_references(spark):
     commits, _ = graph(spark, {"abcdef1234": ["abcdef9999"], "1234567aaa": []})
     refs = spark.createDataFrame(

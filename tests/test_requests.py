@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from treeweave.operators import requests as req
+from treeweave.operators import catalog, requests as req
 
 HUB, LAB = "https://github.com/o/r", "https://gitlab.com/"
 ADDRESSES = [
@@ -110,3 +110,10 @@ def test_dispatch(spark):
         ("github", "Repository", None), ("github", "Compare", "a...b/c"), ("github", "Compare", "a..b"), ("git_url", None, None),
         ("github", "Repository", None), ("local", None, None), ("local", None, None), ("local", None, None),
     ]
+
+
+def test_purge_of_all_and_of_named_entries(spark):
+    entries = spark.createDataFrame([("a", "u1"), ("b", "u2")], "cache_key string, url string")
+    assert catalog.purge_entries(entries).collect() == [] and catalog.purge_entries(entries).columns == entries.columns
+    left = catalog.purge_entries(entries, spark.createDataFrame([("a",)], "cache_key string"))
+    assert [tuple(r) for r in left.collect()] == [("b", "u2")]

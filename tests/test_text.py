@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from treeweave.functions import text as T
 from treeweave.functions.keys import blob_id
-from treeweave.functions.licenses import LICENSES, license_tag
+from treeweave.functions.licenses import license_tag
 from treeweave.operators import content, render
 from treeweave.operators.filters import IngestOptions
 from treeweave.operators.stats import repo_summary
@@ -63,24 +63,57 @@ def test_blob_id(spark):
     assert one(spark, blob_id(F.lit(bytearray(b"")))) == "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
 
 
+# The tags of licences.
+MIT = "[mit license - https://opensource.org/licenses/MIT]"
+APACHE = "[apache license 2.0 - https://www.apache.org/licenses/LICENSE-2.0]"
+GPL3 = "[gnu gpl v3 - https://www.gnu.org/licenses/gpl-3.0.html]"
+GPL2 = "[gnu gpl v2 - https://www.gnu.org/licenses/gpl-2.0.html]"
+BSD3 = "[bsd 3-clause license - https://opensource.org/licenses/BSD-3-Clause]"
+BSD2 = "[bsd 2-clause license - https://opensource.org/licenses/BSD-2-Clause]"
+ISC = "[isc license - https://opensource.org/licenses/ISC]"
+MOZILLA = "[mozilla public license 2.0 - https://www.mozilla.org/MPL/2.0/]"
+LGPL = "[gnu lgpl - https://www.gnu.org/licenses/lgpl.html]"
+AGPL = "[gnu agpl - https://www.gnu.org/licenses/agpl.html]"
+UNLICENSE = "[unlicense - public domain - https://unlicense.org/]"
+COMMONS = "[creative commons license - see repository for details]"
+
+
 def test_licenses(spark):
-    tag = {label.split("[")[1].split(" -")[0]: label for label, _ in LICENSES}
+    bsd = "Redistribution and use in source and binary forms"
     cases = [
-        ("LICENSE", "MIT License\nPermission is hereby granted, free of charge", "mit license"),
-        ("LICENSE", "without restriction ... above copyright notice", "mit license"),
-        ("COPYING", "GNU General Public License Version 3", "gnu gpl v3"),
-        ("COPYING", "GNU General Public License\nversion 2", "gnu gpl v2"),
-        ("licence.txt", "Apache License Version 2.0", "apache license 2.0"),
-        ("LICENSE", "Redistribution and use in source and binary forms. Neither the name of", "bsd 3-clause license"),
-        ("LICENSE", "Redistribution and use in source and binary forms.", "bsd 2-clause license"),
-        ("LICENSE", "GNU Lesser General Public License", "gnu lgpl"),
-        ("LICENSE", "GNU Lesser General Public License, see GNU General Public License version 3", "gnu gpl v3"),
-        ("src/license/mod.rs", "creative commons", "creative commons license"),
+        ("LICENSE", "MIT License\nPermission is hereby granted, free of charge", MIT),
+        ("LICENSE", "Permission is hereby granted, free of charge", None),
+        ("LICENSE", "MIT License", None),
+        ("LICENSE", "without restriction ... above copyright notice", MIT),
+        ("LICENSE", "without restriction", None),
+        ("LICENSE", "above copyright notice", None),
+        ("licence.txt", "Apache License Version 2.0", APACHE),
+        ("licence.txt", "Apache License", None),
+        ("COPYING", "GNU General Public License Version 3", GPL3),
+        ("COPYING", "GNU General Public License\nversion 2", GPL2),
+        ("COPYING", "GNU General Public License", None),
+        ("COPYING", "version 3, version 2, version 2.0", None),
+        ("LICENSE", bsd + ". Neither the name of", BSD3),
+        ("LICENSE", bsd + ".", BSD2),
+        ("LICENSE", "Neither the name of", None),
+        ("LICENSE", "ISC License", ISC),
+        ("LICENSE", "Permission to use, copy, modify and/or sell copies", ISC),
+        ("LICENSE", "Permission to use, copy, modify", None),
+        ("LICENSE", "and/or sell copies", None),
+        ("LICENSE", "Mozilla Public License, version 2.0", MOZILLA),
+        ("LICENSE", "Mozilla Public License", None),
+        ("LICENSE", "GNU Lesser General Public License", LGPL),
+        ("LICENSE", "GNU Lesser General Public License, see GNU General Public License version 3", GPL3),
+        ("LICENSE", "GNU Affero General Public License", AGPL),
+        ("LICENSE", "This is free and unencumbered software released into the public domain", UNLICENSE),
+        ("src/license/mod.rs", "creative commons", COMMONS),
+        ("docs/Copying.md", "Creative Commons", COMMONS),
         ("README.md", "MIT License Permission is hereby granted, free of charge", None),
         ("LICENSE", "my own", None),
     ]
-    for path, text, want in cases:
-        assert one(spark, license_tag(F.lit(path), F.lit(text))) == (tag[want] if want else None), (path, text)
+    rows = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(cases)], "i int, path string, text string")
+    got = {r.i: r.tag for r in rows.select("i", license_tag(F.col("path"), F.col("text")).alias("tag")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
 
 
 def test_decode_modes(spark):

@@ -11,6 +11,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from treeweave.operators.graph import CommitGraph, commit_graph, graph_merge_bases
 from treeweave.operators.snapshots import changed_paths, patches_of, with_blob_id
 from treeweave.session import pin
 
@@ -75,105 +76,16 @@ def branch_heads(wanted: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
-def _jumps(parents: DataFrame, rounds: int) -> list[DataFrame]:
-    """First-parent steps of 1, 2, 4, ... commits, each table joined from the one before.
-
-    Every second one is written, so that plans stay small however long the history.
-    """
-    step = parents.where(F.col("parent_ord") == 0).select("repo_url", "sha", F.col("parent_sha").alias("to_sha"))
-    steps = [step]
-    for level in range(1, rounds):
-        onward = step.select("repo_url", F.col("sha").alias("to_sha"), F.col("to_sha").alias("_next"))
-        step = step.join(onward, ["repo_url", "to_sha"]).select("repo_url", "sha", F.col("_next").alias("to_sha"))
-        step = pin(step) if level % 2 == 0 else step
-        steps.append(step)
-    return steps
-
-
-def jump_tables(commits: DataFrame) -> int:
-    """How many doublings cover the longest history."""
-    longest = commits.groupBy("repo_url").count().agg(F.max("count")).first()[0] or 1
-    return max(1, int(longest - 1).bit_length())
-
-
-def reachable(
-    starts: DataFrame,
-    parents: DataFrame,
-    keys: list[str],
-    steps: list[DataFrame],
-    known: DataFrame | None = None,
-    single_start: bool = False,
-) -> DataFrame:
-    """Commits reachable from `starts` (keys, sha), themselves included.
-
-    First-parent chains are followed by doubling, so rounds grow with the logarithm of the history, plus one outer
-    round per level of merges within merges. `known` is a set closed under parents (keys of its own, joined by the
-    columns it shares with `starts`) that the walk does not enter. `single_start` tells that each key has one start.
-    """
-
-    def outside(df: DataFrame) -> DataFrame:
-        if known is None:
-            return df
-        return df.join(known, [c for c in known.columns if c in df.columns], "left_anti")
-
-    columns = [*keys, "sha"]
-    sides = parents.where(F.col("parent_ord") > 0).select("repo_url", "sha", F.col("parent_sha").alias("to_sha"))
-    frontier = outside(starts.select(*columns).distinct())
-    seen = None
-    while True:
-        layer = frontier
-        for step in steps:
-            both = F.explode(F.array_compact(F.array("sha", "to_sha"))).alias("sha")
-            layer = outside(layer.join(step, ["repo_url", "sha"], "left").select(*keys, both))
-            if seen is not None or not single_start:
-                # Two starts on one chain reach the same commits; a single start reaches each distance once.
-                layer = layer.distinct()
-        fresh = pin(layer if seen is None else layer.join(seen, columns, "left_anti"))
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        frontier = outside(
-            fresh.join(sides, ["repo_url", "sha"]).select(*keys, F.col("to_sha").alias("sha")).distinct()
-        ).join(seen, columns, "left_anti")
-        frontier = pin(frontier)
-        if frontier.isEmpty():
-            return seen
-
-
-def merge_bases(pairs: DataFrame, commits: DataFrame, parents: DataFrame) -> DataFrame:
+def merge_bases(pairs: DataFrame, commits: DataFrame, parents: DataFrame, graph: CommitGraph | None = None) -> DataFrame:
     """(repo_url, base_sha, head_sha) with `merge_base`, the best common ancestor, NULL if there is none.
 
-    A common ancestor is best if no other one descends from it; of several, the newest, then the largest sha.
-    Ancestors of the base side are found once per distinct base; a head is followed only until it meets them.
+    A common ancestor is best if no other one descends from it; of several, the newest, then the largest sha. Where the graph of
+    the history is stored (`graph.commit_graph`), only its part above the meeting points is read; else it is made of the repositories asked for.
     """
-    asked = pin(pairs.select("repo_url", "base_sha", "head_sha").distinct())
-    repos = asked.select("repo_url").distinct()
-    edges = pin(parents.join(repos, "repo_url", "left_semi"))
-    times = commits.join(repos, "repo_url", "left_semi").select("repo_url", "sha", "committed_at")
-    steps = _jumps(edges, jump_tables(times))
-
-    bases = asked.select("repo_url", "base_sha").distinct()
-    old = reachable(bases.withColumn("sha", F.col("base_sha")), edges, ["repo_url", "base_sha"], steps, single_start=True)
-    pair = ["repo_url", "base_sha", "head_sha"]
-    starts = asked.withColumn("sha", F.col("head_sha"))
-    own = reachable(starts, edges, pair, steps, known=old, single_start=True)
-
-    touched = own.join(edges, ["repo_url", "sha"]).select(*pair, F.col("parent_sha").alias("sha"))
-    met = pin(
-        touched.unionByName(starts.select(*pair, "sha"))
-        .distinct()
-        .join(old, ["repo_url", "base_sha", "sha"], "left_semi")
-    )
-    several = met.groupBy(*pair).count().where(F.col("count") > 1).select(*pair)
-    doubtful = pin(met.join(several, pair, "left_semi"))
-    best = met
-    if not doubtful.isEmpty():
-        above = doubtful.join(edges, ["repo_url", "sha"]).select(*pair, F.col("parent_sha").alias("sha"))
-        best = met.join(reachable(above, edges, pair, steps), [*pair, "sha"], "left_anti")
-    chosen = (
-        best.join(times, ["repo_url", "sha"], "left")
-        .groupBy(*pair)
-        .agg(F.max(F.struct("committed_at", "sha")).getField("sha").alias("merge_base"))
-    )
-    return asked.join(chosen, pair, "left")
+    if graph is None:
+        repos = pairs.select("repo_url").distinct()
+        graph = commit_graph(commits.join(repos, "repo_url", "left_semi"), parents.join(repos, "repo_url", "left_semi"))
+    return graph_merge_bases(pairs, graph)
 
 
 def base_commits(heads: DataFrame, refs: DataFrame, commits: DataFrame, parents: DataFrame) -> DataFrame:

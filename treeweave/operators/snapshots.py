@@ -9,6 +9,7 @@ from pyspark.sql.types import LongType
 from treeweave.functions import text as T
 from treeweave.functions.keys import blob_id
 from treeweave.functions.linediff import common_count, hunks, split_lines
+from treeweave.session import kept
 
 # Fixed value: the id that stands for "no blob" in patch headers.
 NO_BLOB = "0000000"
@@ -40,12 +41,16 @@ def snapshot_diff(base: DataFrame, head: DataFrame, by: list[str] | None = None)
 def changed_files(base: DataFrame, head: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Differing paths with both contents, which join in by key.
 
-    Where trees come with stored blob ids (see `write_snapshot`), finding the differing paths reads no content.
+    Paths that differ are found first, on keys and blob ids alone, and only their contents go on to a join. Where trees come with stored
+    blob ids (see `write_snapshot`), finding them reads no content.
     """
     by = by or ["repo_url"]
-    changed = snapshot_diff(base, head, by)
-    old = base.select(*by, "path", F.col("content").alias("old_content"))
-    new = head.select(*by, "path", F.col("content").alias("new_content"))
+    changed = kept(snapshot_diff(base, head, by), "changed")
+    paths = changed.select(*by, "path")
+    old, new = (
+        tree.join(paths, [*by, "path"], "left_semi").select(*by, "path", F.col("content").alias(name))
+        for tree, name in ((base, "old_content"), (head, "new_content"))
+    )
     return changed.join(old, [*by, "path"], "left").join(new, [*by, "path"], "left")
 
 

@@ -223,16 +223,19 @@ def diff_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.with_diff_key(load(spark, sf_dir, "diff_requests")).select("request_id", "diff_key")
 
 
+FIRST_ITEM = "min({'t': ts_sec, 'r': request_id, 'url': url, 'branch': branch, 'preset': preset, 'path': path})"
+
+
 @query(
     "work_list",
     with_views(
-        f"SELECT {KEY_SQL} AS request_key, count(*) AS requests, min(ts_sec) AS first_seen, (min({{'t': ts_sec, 'r': request_id, 'v': url}})).v AS url "
-        "FROM normal GROUP BY 1",
+        "SELECT request_key, requests, first_seen, item.url AS url, item.branch AS branch, item.preset AS preset, item.path AS path FROM "
+        f"(SELECT {KEY_SQL} AS request_key, count(*) AS requests, min(ts_sec) AS first_seen, {FIRST_ITEM} AS item FROM normal GROUP BY 1) t",
         NORMAL,
     ),
 )
 def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return req.work_list(_normal(spark, sf_dir)).select("request_key", "requests", "first_seen", "url")
+    return req.work_list(_normal(spark, sf_dir))
 
 
 @query(
@@ -359,20 +362,19 @@ def diff_catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     "upsert_entries",
     with_views(
         """
-SELECT n.cache_key, commit_hash, size_bytes, created_at, greatest(last_accessed, coalesce(last_ts, last_accessed)) AS last_accessed,
+SELECT n.cache_key, url, branch, commit_hash, size_bytes, created_at, last_validated, greatest(last_accessed, coalesce(last_ts, last_accessed)) AS last_accessed,
   access_count + coalesce(uses, 0) AS access_count
 FROM (SELECT * FROM catalog c WHERE cache_key NOT IN (SELECT cache_key FROM catalog_new) UNION ALL SELECT * FROM catalog_new) n
 LEFT JOIN (SELECT cache_key, count(*) AS uses, max(ts_sec) AS last_ts FROM access_log GROUP BY cache_key) a ON a.cache_key = n.cache_key"""
     ),
 )
 def upsert_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = catalog.upsert_entries(*load(spark, sf_dir, "catalog", "catalog_new", "access_log"))
-    return merged.select("cache_key", "commit_hash", "size_bytes", "created_at", "last_accessed", "access_count")
+    return catalog.upsert_entries(*load(spark, sf_dir, "catalog", "catalog_new", "access_log"))
 
 
-@query("purge_entries", with_views("SELECT cache_key, url FROM catalog WHERE cache_key NOT IN (SELECT cache_key FROM purge_keys)"))
+@query("purge_entries", with_views("SELECT * FROM catalog WHERE cache_key NOT IN (SELECT cache_key FROM purge_keys)"))
 def purge_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.purge_entries(*load(spark, sf_dir, "catalog", "purge_keys")).select("cache_key", "url")
+    return catalog.purge_entries(*load(spark, sf_dir, "catalog", "purge_keys"))
 
 
 INGESTED = "NOT cache_hit AND NOT is_error"

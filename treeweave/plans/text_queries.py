@@ -48,17 +48,23 @@ def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_files(sized)[0].drop("commit_sha")
 
 
-@query(
-    "decode_content",
-    with_views(
-        f"""
-SELECT path, 'direct' AS mode, CASE WHEN doc_id % 7 = 1 THEN '[binary file]' END AS placeholder,
-  CAST(CASE doc_id % 7 WHEN 1 THEN 13 WHEN 0 THEN strlen(text) + 1 WHEN 2 THEN strlen(text) + 1 ELSE strlen(text) END AS BIGINT) AS bytes
+DECODED = {
+    "decoded": f"""
+SELECT path, 'direct' AS mode, CASE doc_id % 7 WHEN 1 THEN '[binary file]' WHEN 0 THEN text || chr(0) WHEN 2 THEN chr(0) || text ELSE text END AS shown
 FROM repo_files
 UNION ALL
-SELECT path, 'indexed' AS mode, CASE WHEN {HAS_NUL} THEN '[binary file]' WHEN doc_id % 7 = 1 THEN '[error reading file]' END AS placeholder,
-  CAST(CASE WHEN {HAS_NUL} THEN 13 WHEN doc_id % 7 = 1 THEN 20 WHEN doc_id % 7 = 0 THEN strlen(text) + 1 ELSE strlen(text) END AS BIGINT) AS bytes
+SELECT path, 'indexed', CASE WHEN {HAS_NUL} THEN '[binary file]' WHEN doc_id % 7 = 1 THEN '[error reading file]'
+  WHEN doc_id % 7 = 0 THEN text || chr(0) ELSE text END
 FROM repo_files"""
+}
+
+
+@query(
+    "decode_content",
+    with_views(
+        "SELECT path, mode, CASE WHEN shown IN ('[binary file]', '[error reading file]') THEN shown END AS placeholder, "
+        "CAST(strlen(shown) AS BIGINT) AS bytes, md5(shown) AS digest FROM decoded",
+        DECODED,
     ),
 )
 def decode_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +74,7 @@ def decode_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].unionByName(both[1]).select(
         "path", "mode",
         F.when(text.isin("[binary file]", "[error reading file]"), text).alias("placeholder"),
-        F.octet_length("text").cast("bigint").alias("bytes"),
+        F.octet_length("text").cast("bigint").alias("bytes"), F.md5("text").alias("digest"),
     )
 
 

@@ -75,3 +75,10 @@ def pin(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """`df` written to the shared folder and read again: as `pin`, but worked out once, and later plans know how large it is."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
