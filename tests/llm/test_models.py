@@ -1,9 +1,10 @@
 """Language, toxicity, rules and quality model: plain re-computation, held-out accuracy, odd tables."""
 
+import math
 import pathlib
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,15 @@ def test_languages_of_held_out_documents(spark):
     assert (rows[rows.held_out].lang == rows[rows.held_out].lang_pred).mean() > 0.98
 
 
+def test_languages_learn_from_one_text_of_an_id_and_no_more_than_asked(spark):
+    rows = [(i, f"{'der hund und' if i % 2 else 'the dog and'} {i}", "de" if i % 2 else "en") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, few = language.language_prototypes(docs, F.lit(True), per_language=20, dimensions=64)
+    assert names == ["de", "en"] and np.allclose(np.linalg.norm(few, axis=1), 1)
+    again = language.language_prototypes(docs.union(docs).repartition(5), F.lit(True), per_language=20, dimensions=64)[1]
+    assert np.allclose(few, again)
+
+
 def test_languages_of_odd_rows(spark):
     got = {r["doc_id"]: r for r in language.predicted_languages(odd_docs(spark)).collect()}
     assert got[4]["lang_pred"] == got[5]["lang_pred"] == got[14]["lang_pred"] == "und" and got[4]["score"] == 0
@@ -102,7 +112,8 @@ def test_toxic_words_of_a_rare_label_count():
     rows = [np.unique(draw.integers(100, 5_000, 60)) for _ in labels]
     for number in np.flatnonzero(labels):
         rows[number] = np.append(rows[number], 5_000 + number // 100 % 4)
-    used, weights, bias = toxicity.fit_scaled_logistic(rows, labels.astype(float))
+    truth = labels.astype(float)
+    used, weights, bias = toxicity.fit_scaled_logistic(rows, truth, toxicity.chosen_support(rows, truth))
     full = np.zeros(toxicity.BUCKETS)
     full[used] = weights
     said = np.array([1 / (1 + np.exp(-(full[row].sum() + bias))) for row in rows]) >= toxicity.THRESHOLD
@@ -110,6 +121,82 @@ def test_toxic_words_of_a_rare_label_count():
     assert said[labels].mean() > 0.95 and said[~labels].mean() < 0.02
 
 
+def plain_buckets(text):
+    """Buckets of all n-grams, one letter at a time."""
+    text, buckets = f" {text.lower()} ", set()
+    for order in toxicity.ORDERS:
+        for begin in range(len(text) - order + 1):
+            total = order * 0x9E3779B1 & 0xFFFFFFFF
+            for char in text[begin:begin + order]:
+                total = (total ^ ord(char)) * 0x85EBCA6B & 0xFFFFFFFF
+                total ^= total >> 15
+            buckets.add(total % toxicity.BUCKETS)
+    return buckets
+
+
+def plain_model(texts, labels, support):
+    """Dictionaries of ratios and weights; the same steps, one bucket at a time."""
+    rows = [plain_buckets(t) for t in texts]
+    have = defaultdict(lambda: [0, 0])
+    for row, label in zip(rows, labels):
+        for bucket in row:
+            have[bucket][label] += 1
+    size = [labels.count(0), labels.count(1)]
+    ratios = {}
+    for bucket, (bad, good) in have.items():
+        ratio = math.log((good + 0.5) / (size[1] + 1)) - math.log((bad + 0.5) / (size[0] + 1))
+        if (good if ratio > 0 else bad) >= support and abs(ratio) >= toxicity.LEAST_RATIO:
+            ratios[bucket] = ratio
+    share = (size[1] + 0.5) / (len(labels) + 1)
+    values = dict.fromkeys(ratios, 0.0) | {"bias": math.log(share / (1 - share))}
+    first, second = dict.fromkeys(values, 0.0), dict.fromkeys(values, 0.0)
+    kept = [[b for b in row if b in ratios] for row in rows]
+    for step in range(1, toxicity.STEPS + 1):
+        slopes = {b: toxicity.PENALTY * values[b] for b in ratios} | {"bias": 0.0}
+        for row, label in zip(kept, labels):
+            margin = values["bias"] + sum(values[b] * ratios[b] for b in row)
+            wrong = (1 / (1 + math.exp(-margin)) - label) / len(labels)
+            slopes["bias"] += wrong
+            for bucket in row:
+                slopes[bucket] += wrong * ratios[bucket]
+        for name, slope in slopes.items():
+            first[name] = 0.9 * first[name] + 0.1 * slope
+            second[name] = 0.99 * second[name] + 0.01 * slope * slope
+            values[name] -= 0.02 * (first[name] / (1 - 0.9 ** step)) / (math.sqrt(second[name] / (1 - 0.99 ** step)) + 1e-8)
+    return lambda text: 1 / (1 + math.exp(-values["bias"] - sum(values[b] * ratios[b] for b in plain_buckets(text) if b in ratios)))
+
+
+def test_toxicity_scores_are_those_of_a_plain_classifier(spark):
+    draw = random.Random(8)
+    good, bad = ["Quiet", "house", "river", "écrit"], ["scum", "IDIOT", "river", "日本"]
+    rows = [(i, " ".join(draw.choices(bad if i % 3 == 0 else good, k=6)), int(i % 3 == 0)) for i in range(45)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    # An id that is there again with a text later by bytes is one example.
+    model = toxicity.fit_toxicity(docs.select("doc_id", "text").union(docs.select("doc_id", F.lit("\U0010FFFF"))), docs, F.lit(True), supports=(3,))
+    score = plain_model([t for _, t, _ in rows], [label for *_, label in rows], 3)
+    cases = [(i, t) for i, t, _ in rows] + [(90, ""), (91, None), (92, "a scum by the river"), (93, "house " * 3_000)]
+    for row in toxicity.with_toxicity(spark.createDataFrame(cases, "doc_id long, text string"), model).collect():
+        assert row["toxicity"] == pytest.approx(score(row["text"] or ""), abs=2e-4)
+
+
+def test_support_is_chosen_by_folds_of_the_examples():
+    draw = random.Random(9)
+    texts = [" ".join(draw.choices(["abc", "bcd", "cde", "xyz" if i % 3 else "uvw"], k=4)) for i in range(24)]
+    labels = [int(i % 3 == 0) if i % 5 else i % 2 for i in range(24)]
+    losses = {}
+    for support in (1, 2, 4):
+        total = 0.0
+        for fold in range(3):
+            inside = [i for i in range(24) if i % 3 != fold]
+            score = plain_model([texts[i] for i in inside], [labels[i] for i in inside], support)
+            total -= sum(math.log(score(texts[i]) if labels[i] else 1 - score(texts[i])) for i in range(24) if i % 3 == fold)
+        losses[support] = total / 24
+    rows = [np.array(sorted(plain_buckets(t))) for t in texts]
+    truth = np.array(labels, float)
+    assert all(toxicity.fold_loss(rows, truth, s) == pytest.approx(loss, abs=1e-4) for s, loss in losses.items())
+    assert toxicity.chosen_support(rows, truth, (1, 2, 4)) == min(losses, key=losses.get)
+
+
 def test_toxicity_of_odd_rows(spark):
     for labels in (labelled(spark, "toxic"), labelled(spark, "toxic").where("toxic = 1"), labelled(spark, "toxic").where("false")):
         rows = toxicity.scored_toxicity(odd_docs(spark), labels).collect()
@@ -205,6 +292,60 @@ def test_slopes_of_the_attention_model():
             assert slope.reshape(-1)[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
+def plain_score(model, bag):
+    """One passage after another through encoder, gate and attention, then the weighted sum."""
+    v, encoded, energies = model.values, [], []
+    for passage in bag.astype(float):
+        x = [min(max((s - m) / d, -6), 6) for s, m, d in zip(passage, v["mean"], v["spread"])]
+        h = [math.tanh(sum(x[i] * v["encode"][i, j] for i in range(len(x))) + v["encode_bias"][j]) for j in range(quality_model.ENCODED)]
+        energy = 0.0
+        for k in range(quality_model.ATTENTION):
+            turn = math.tanh(sum(h[j] * v["turn"][j, k] for j in range(len(h))))
+            gate = 1 / (1 + math.exp(-sum(h[j] * v["gate"][j, k] for j in range(len(h)))))
+            energy += turn * gate * v["attend"][k]
+        encoded.append(h)
+        energies.append(energy)
+    weights = [math.exp(e) for e in energies]
+    whole = [sum(w * h[j] for w, h in zip(weights, encoded)) / sum(weights) for j in range(quality_model.ENCODED)]
+    return 1 / (1 + math.exp(-sum(z * s for z, s in zip(whole, v["score"])) - v["bias"][0]))
+
+
+def test_quality_scores_are_those_of_a_plain_network(spark):
+    draw = random.Random(5)
+    words = ["the", "old", "house", "###", "42", "Écrit", "日本", "x|y"]
+    rows = [(i, " ".join(draw.choices(words[: 4 + i % 5], k=draw.choice([3, 70, 700]))), i % 2) for i in range(24)]
+    rows += [(24, None, 0), (25, "", 1), (26, " ".join(draw.choices(words, k=64 * 90)), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality_model.fit_quality(docs, docs, F.lit(True))
+    for row in quality_model.with_quality(docs, model).collect():
+        assert row["quality_score"] == pytest.approx(plain_score(model, quality_model.passage_statistics(row["text"] or "")), abs=1e-6)
+
+
+def test_slopes_of_a_step_are_those_of_all_its_passages(monkeypatch):
+    draw = np.random.default_rng(2)
+    bags = [draw.normal(size=(n, quality_model.STATISTICS)).astype(np.float32) for n in (1, 300, 2, 90, 1, 1, 7)]
+    labels = np.array([1.0, 0, 1, 1, 0, 1, 0])
+    model = quality_model.AttentionModel.begin(np.concatenate(bags), 0.5)
+    starts = np.cumsum([0, *(len(b) for b in bags[:-1])])
+    whole = model.slopes(np.concatenate(bags).astype(float), starts, labels)
+    monkeypatch.setattr(quality_model, "PART_PASSAGES", 64)
+    parts = model.step_slopes(bags, labels)
+    assert all(np.allclose(parts[n], whole[n]) for n in whole)
+
+
+def test_the_last_passage_of_a_long_text_is_learned_from(spark):
+    """Texts of 200 passages that differ in one passage only, anywhere in them."""
+    draw = random.Random(3)
+    rows = []
+    for i in range(120):
+        passages = [" ".join(draw.choices(["stone", "water", "light"], k=64)) for _ in range(200)]
+        passages[draw.randrange(200)] = " ".join(["###" if i % 2 else "stone"] * 64)
+        rows.append((i, " ".join(passages), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    said = quality_model.with_quality(docs, quality_model.fit_quality(docs, docs, F.lit(True))).collect()
+    assert sum((r["quality_score"] > 0.5) == (r["quality"] == 1) for r in said) > 114
+
+
 def test_passages():
     words = [f"w{i}" for i in range(150)]
     stats = quality_model.passage_statistics(" ".join(words))

@@ -8,7 +8,7 @@ runs of text picked are the blocks of the result.
 No page comes labelled. The model learns from a bounded sample of the pages themselves: where a page marks its article, its text and
 the text around it are known, and they are laid out anew in varied page structures (`page_layouts`), so that the trees see main
 text and menus, notices, adverts, forms, sidebars and comments in other surroundings than those of the sample.
-Where too few pages mark their article, others lend their long runs of prose to such layouts, whose labels are known as they are made.
+Pages that mark none lend their long runs of prose to such layouts, whose labels are known as they are made. Both kinds are always sampled.
 
 Fitting is one task on the bounded sample and yields one row. Extraction reads every page once, whole, and shuffles nothing.
 """
@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame, functions as F
 from treeweave.llm.boosting import BoostedTrees
 from treeweave.llm.page_layouts import layouts
 from treeweave.llm.page_tree import FEATURES, TEXT, PageTree, node_features
-from treeweave.llm.support import bounded_sample, decoded, fresh, stored, utf8
+from treeweave.llm.support import bounded_sample, decoded, fresh, one_text, utf8
 from treeweave.session import ship_package
 
-# Pages that the model learns from, at most, and layouts made of each.
+# Pages of each kind, with and without a marked article, that the model learns from, at most, and layouts made of each.
 SAMPLE = 240
 LAYOUTS = 5
 # Least size of a run of text that may stand for main text where a page marks none.
 PROSE_CHARS, PROSE_WORDS = 80, 12
+# Markup that may hold such a run: scripts and styles rarely go so long without these characters.
+PROSE_RUN = rf"[^<>{{}};=]{{{PROSE_CHARS},}}"
 TREES = 60
 DEPTH = 5
 LEAST_CHANCE = 1e-4
@@ -175,55 +177,40 @@ def learn(pages: list[str]) -> TextModel | None:
 
 
 def fit_text_model(pages: DataFrame, size: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> TextModel | None:
-    """The model of at most `size` pages, those with the smallest id hashes; None if no page holds an article or prose.
+    """The model of at most `size` pages that have an element for their article and as many others that may hold prose.
 
-    Pages that mark their article come first. Only where the sample has fewer than `size` of them is every page parsed to find others.
+    Of both kinds those with the smallest id hashes are taken, whatever the number of the other kind. A page without id or markup
+    teaches nothing, an id counts once. None if no page holds an article or prose.
     """
     ship_package(pages.sparkSession)
     present = pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull())
+    tagged = F.col(html_col).rlike(r"(?i)<(article|main)[\s/>]")
+    chosen = [
+        bounded_sample(present.where(kind).select(F.col(id_col).alias("id")).distinct(), size, "id")
+        for kind in (tagged, ~tagged & F.col(html_col).rlike(PROSE_RUN))
+    ]
     narrow = present.select(F.col(id_col).alias("id"), utf8(F.col(html_col)).alias("bytes"))
-    tagged = present.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s/>]")).select(F.col(id_col).alias("id"))
-    model, learned = fitted_text_model(narrow, bounded_sample(tagged.distinct(), size, "id"))
-    if learned >= size:
-        return model
-
-    @F.pandas_udf("int")
-    def kind(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for htmls in batches:
-            yield pd.Series([0 if marked(h) else 1 if guessed(h) else 2 for h in map(decoded, htmls)], dtype="int32")
-
-    usable = stored(narrow.select("id", kind("bytes").alias("kind")), "kinds").where("kind < 2")
-    usable = usable.groupBy("id").agg(F.min("kind").alias("kind"))
-    return fitted_text_model(narrow, usable.orderBy("kind", F.xxhash64("id"), "id").limit(size).select("id"))[0]
-
-
-def fitted_text_model(narrow: DataFrame, chosen: DataFrame) -> tuple[TextModel | None, int]:
-    """The model of the pages (`id`, `bytes`) that are `chosen` (`id`), and how many of these mark their article."""
-    # One page per id, of the bounded sample only.
-    sample = narrow.join(F.broadcast(chosen), "id")
+    sample = one_text(narrow.join(F.broadcast(chosen[0].union(chosen[1]).distinct()), "id"), "id")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.dropna().sort_values(["id", "bytes"]).drop_duplicates("id")
-        texts = [decoded(b) for b in group["bytes"]]
-        model = learn(texts)
+        model = learn([decoded(b) for b in group.sort_values("id")["bytes"]])
         if model is None:
-            return pd.DataFrame({c: [] for c in ("names", "odds", "cuts", "features", "bins", "leaves", "base", "learned")})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("names", "odds", "cuts", "features", "bins", "leaves", "base")})
         t = model.trees
         return pd.DataFrame({
             "names": [list(model.odds)], "odds": [list(model.odds.values())], "cuts": [t.cuts.ravel()],
             "features": [t.features.ravel()], "bins": [t.bins.ravel()], "leaves": [t.leaves.ravel()], "base": [t.base],
-            "learned": [sum(marked(text) is not None for text in texts)],
         })
 
-    kinds = "names array<string>, odds array<double>, cuts array<double>, features array<long>, bins array<long>, leaves array<double>, base double, learned int"
+    kinds = "names array<string>, odds array<double>, cuts array<double>, features array<long>, bins array<long>, leaves array<double>, base double"
     row = sample.groupBy(F.lit(0).alias("all")).applyInPandas(fit, kinds).first()
     if row is None:
-        return None, 0
+        return None
     trees = BoostedTrees(
         np.array(row["cuts"]).reshape(FEATURES, -1), np.array(row["features"]).reshape(TREES, -1), np.array(row["bins"]).reshape(TREES, -1),
         np.array(row["leaves"]).reshape(TREES, -1), row["base"],
     )
-    return TextModel(dict(zip(row["names"], row["odds"])), trees), row["learned"]
+    return TextModel(dict(zip(row["names"], row["odds"])), trees)
 
 
 def with_main_text(pages: DataFrame, model: TextModel | None, html_col: str = "html", result: str = "main_text") -> DataFrame:

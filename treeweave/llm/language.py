@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from treeweave.llm.support import code_points, decoded, fold, fresh, utf8
+from treeweave.llm.support import code_points, decoded, fold, fresh, one_text, utf8
 from treeweave.session import ship_package
 
 DIMENSIONS = 1024
@@ -30,6 +30,8 @@ SHARED_LETTERS = 37
 SYMBOLS = 1 + len(OWN_LETTERS) + SHARED_LETTERS
 # Documents per language that the prototypes are learned from.
 SAMPLE_PER_LANGUAGE = 1_000
+# Ids are ranked by a hash below this number.
+RANKS = 1 << 40
 # Letters counted in one matrix product, about; a longer text is counted on its own, as a whole.
 BATCH_LETTERS = 400_000
 UNKNOWN = "und"
@@ -109,14 +111,21 @@ def language_prototypes(
 ) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes, from at most `per_language` rows each for which `learn` holds.
 
-    The rows of a language with the smallest id hashes are taken; the ranks are cut off before the shuffle. Every text counts
-    with length one, so long ones do not outweigh the rest. What reaches the driver is one vector per language.
+    The ids of a language with the smallest hashes are taken, one text of each. Languages are counted first, so that only hashes
+    below a bound that holds twice the wanted number are ranked; the ranks, bounded in number, are broadcast to the texts. Every
+    text counts with length one, so long ones do not outweigh the rest. What reaches the driver is one vector per language.
+    Rows without language, text or id teach nothing; without any row there is no language.
     """
     ship_package(docs.sparkSession)
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ranked = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("rank"))
+    known = docs.where(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    narrow = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(RANKS)).alias("rank"))
+    sizes = {r["lang"]: r["ids"] for r in narrow.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids")).collect()}
+    if not sizes:
+        return [], np.zeros((0, dimensions))
+    bounds = {lang: RANKS * 2 * per_language // max(ids, 2 * per_language) for lang, ids in sizes.items()}
+    bound = F.element_at(F.create_map(*(F.lit(v) for pair in sorted(bounds.items()) for v in pair)), F.col("lang"))
     turn = F.row_number().over(W.partitionBy("lang").orderBy("rank", "id"))
-    chosen = ranked.withColumn("turn", turn).where(F.col("turn") <= per_language).select("id", "lang").distinct()
+    chosen = narrow.where(F.col("rank") < bound).distinct().withColumn("turn", turn).where(F.col("turn") <= per_language).select("id", "lang")
     texts = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), utf8(F.col(text_col)).alias("bytes"))
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +136,7 @@ def language_prototypes(
                 yield pd.DataFrame({"lang": lang, "place": np.arange(dimensions), "value": vectors[rows].sum(axis=0)})
 
     sums = (
-        texts.join(chosen, ["id", "lang"]).select("lang", "bytes").mapInPandas(bundle, "lang string, place int, value double")
+        one_text(texts.join(F.broadcast(chosen), ["id", "lang"]), "id", "lang").select("lang", "bytes").mapInPandas(bundle, "lang string, place int, value double")
         .groupBy("lang", "place").agg(F.sum("value").alias("value"))
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("parts"))
     )
@@ -142,7 +151,8 @@ def with_language(
     """`docs` with a struct column `result`: `lang` and `score`, the cosine with its prototype, not below 0.
 
     A null or empty text and one without letters have language `und` and score 0; so has every text if no language was learned.
-    Of equal cosines the first language by name counts. Rows are judged one by one. A column named `result` is replaced.
+    Of equal cosines the first language by name counts. Very long texts are counted whole. Rows are judged one by one; an empty
+    table stays empty. A column named `result` is replaced.
     """
     ship_package(docs.sparkSession)
     names, prototypes = model
@@ -172,7 +182,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predicted_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """`doc_id`, `held_out`, `lang_pred`, `score` of every row; learned from the rows that are not held out."""
+    """`doc_id`, `held_out`, `lang_pred`, `score` of every row; learned from the rows that are not held out.
+
+    Repeated rows are each returned; a null id is not held out and teaches nothing; an empty table gives none. Texts as in `with_language`.
+    """
     model = language_prototypes(docs, ~held_out(F.col(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col)
     result = fresh(docs.columns, "_language")
     return with_language(docs, model, text_col, result).select(

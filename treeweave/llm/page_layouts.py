@@ -141,11 +141,12 @@ class Layout:
 
 
 def layouts(draw: Random, stock: Stock, number: int, count: int) -> list[str]:
-    """`count` pages around the main text of the page `number`, with other text and prose of the stock around it."""
+    """`count` pages around the main text of the page `number`, whole or a drawn run of it, with other text and prose of the stock around it."""
     paragraphs, other = stock[number]
     pages = []
     for _ in range(count):
         lent = stock[draw.randrange(len(stock))]
-        most = draw.choice([3, 12, 40])
-        pages.append(Layout(draw, paragraphs[:most], other + lent[1], [t for _, t in lent[0]]).page())
+        size = min(draw.choice([3, 12, len(paragraphs)]), len(paragraphs))
+        start = draw.randint(0, len(paragraphs) - size)
+        pages.append(Layout(draw, paragraphs[start:start + size], other + lent[1], [t for _, t in lent[0]]).page())
     return pages

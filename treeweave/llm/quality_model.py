@@ -4,8 +4,9 @@ After Ilse, Tomczak and Welling (2018). A document is a bag of passages and only
 the statistics of each passage to a vector; gated attention gives every passage a weight; the weighted sum of the vectors is scored.
 Encoder, attention and classifier are trained together from document labels.
 
-The network is trained in one task on a bounded sample of labelled rows and is a few hundred numbers. Scoring encodes every passage
-of every text, one row at a time, and shuffles nothing.
+The network is trained in one task on a bounded sample of labelled rows and is a few hundred numbers. All passages of the sampled
+texts count; their statistics are made where the texts are, so texts never come together in a task. Scoring encodes every
+passage of every text, one row at a time, and shuffles nothing but the sample.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from treeweave.session import ship_package
 
 # Labelled documents that the network is trained on, at most.
 SAMPLE = 6_000
-# Passages of one document used in training, spread over it; scoring uses all.
-TRAINING_PASSAGES = 64
 PASSAGE_WORDS = 64
 ENCODED = 16
 ATTENTION = 8
-STEPS = 400
+# Times that all bags are trained on, bags of one step, and passages held at a time: a step adds up the slopes of its parts.
+ROUNDS = 40
+STEP_BAGS = 256
+PART_PASSAGES = 20_000
 RATE = 0.02
 PENALTY = 1e-4
 THRESHOLD = 0.3
@@ -105,7 +107,7 @@ class AttentionModel:
         random = np.random.default_rng(2018)
         values = {n: random.normal(0, 1 / np.sqrt(s[0]), s) for n, s in cls.SHAPES.items()}
         values |= {"encode_bias": np.zeros(ENCODED), "bias": np.array([np.log(share / (1 - share))])}
-        values |= {"mean": passages.mean(axis=0), "spread": passages.std(axis=0) + 0.05}
+        values |= {"mean": passages.mean(axis=0, dtype=np.float64), "spread": passages.std(axis=0, dtype=np.float64) + 0.05}
         return cls(values)
 
     @classmethod
@@ -148,12 +150,29 @@ class AttentionModel:
             "score": z.T @ dm, "bias": np.array([dm.sum()]),
         }
 
-    def train(self, passages: np.ndarray, starts: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> None:
+    def step_slopes(self, bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Slopes over some bags, added up over parts of them, so that what is held does not grow with long bags beside others."""
+        ends = np.cumsum([len(b) for b in bags])
+        total = {n: np.zeros(self.SHAPES[n]) for n in self.TRAINED}
+        for part in np.split(np.arange(len(bags)), np.flatnonzero(np.diff(ends // PART_PASSAGES)) + 1):
+            sizes = [len(bags[i]) for i in part]
+            passages = np.concatenate([bags[i] for i in part]).astype(np.float64)
+            for name, slope in self.slopes(passages, np.cumsum([0, *sizes[:-1]]), labels[part]).items():
+                total[name] += slope * (len(part) / len(bags))
+        return total
+
+    def train(self, bags: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> None:
+        """Steps over all bags in drawn order, with slopes averaged and rates falling; the same for the same bags."""
         first = {n: 0.0 for n in self.TRAINED}
         second = {n: 0.0 for n in self.TRAINED}
-        for step in range(1, steps + 1):
-            rate = RATE * (1 - (step - 1) / steps)
-            for name, slope in self.slopes(passages, starts, labels).items():
+        draw = np.random.default_rng(2018)
+        per_round = -(-len(bags) // STEP_BAGS)
+        for step in range(1, rounds * per_round + 1):
+            if (step - 1) % per_round == 0:
+                turns = np.array_split(draw.permutation(len(bags)), per_round)
+            rate = RATE * (1 - (step - 1) / (rounds * per_round))
+            chosen = turns[(step - 1) % per_round]
+            for name, slope in self.step_slopes([bags[i] for i in chosen], labels[chosen]).items():
                 slope = slope + (PENALTY * self.values[name] if name != "bias" else 0)
                 first[name] = 0.9 * first[name] + 0.1 * slope
                 second[name] = 0.99 * second[name] + 0.01 * slope * slope
@@ -169,31 +188,30 @@ def fit_quality(
     ship_package(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, learn, size, id_col, text_col)
 
+    @F.pandas_udf("binary")
+    def statistics(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: passage_statistics(decoded(text)).tobytes())
+
     def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "bytes"])
+        group = group.sort_values("id")
         truth = group["label"].to_numpy(np.float64)
         if len(truth) == 0 or truth.min() == truth.max():
             return pd.DataFrame({"flat": pd.Series([], dtype=object)})
-        bags = []
-        for text in group["bytes"]:
-            bag = passage_statistics(decoded(text))
-            spread = np.unique(np.linspace(0, len(bag) - 1, min(len(bag), TRAINING_PASSAGES)).astype(int))
-            bags.append(bag[spread])
-        passages = np.concatenate(bags).astype(np.float64)
-        starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
-        model = AttentionModel.begin(passages, truth.mean())
-        model.train(passages, starts, truth)
+        bags = [np.frombuffer(b, np.float32).reshape(-1, STATISTICS) for b in group["bag"]]
+        model = AttentionModel.begin(np.concatenate(bags), truth.mean())
+        model.train(bags, truth)
         return pd.DataFrame({"flat": [model.packed()]})
 
-    fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(train, "flat array<double>").first()
+    bags = sample.select("id", "label", statistics("bytes").alias("bag"))
+    fitted = bags.groupBy(F.lit(0).alias("all")).applyInPandas(train, "flat array<double>").first()
     return AttentionModel.unpacked(fitted["flat"]) if fitted else None
 
 
 def with_quality(docs: DataFrame, model: AttentionModel | None, text_col: str = "text", result: str = "quality_score") -> DataFrame:
     """`docs` with a double column `result` from 0 to 1, higher for texts more likely good; one half without a model.
 
-    A null text and one without words are a bag of one blank passage. Rows are judged one by one, so equal texts agree.
-    A column named `result` is replaced.
+    A null text and one without words are a bag of one blank passage; of a very long text all passages count. Rows are judged
+    one by one, so equal texts agree; an empty table stays empty. A column named `result` is replaced.
     """
     if model is None:
         return docs.withColumn(result, F.lit(0.5))
@@ -219,7 +237,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def scored_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id`, `held_out`, `score`, `predicted` of every row; learned from the labelled rows that are not held out."""
+    """`doc_id`, `held_out`, `score`, `predicted` of every row; learned from the labelled rows that are not held out.
+
+    Repeated rows are each returned; a null id is not held out and teaches nothing; an empty table gives none. Texts as in `with_quality`.
+    """
     model = fit_quality(docs, labels, ~held_out(F.col(id_col)), id_col=id_col, text_col=text_col)
     result = fresh(docs.columns, "_quality")
     return with_quality(docs, model, text_col, result).select(

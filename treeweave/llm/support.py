@@ -73,15 +73,20 @@ def labelled_sample(
 ) -> DataFrame:
     """`id`, `bytes`, `label` of at most `size` labelled rows for which `learn`, a condition on the id, holds.
 
-    Rows without id or label are no examples; an id with several labels takes the greatest, so repeated labels count once.
-    Only the sample, bounded by `size` narrow rows, is broadcast.
+    Rows without id or label are no examples; an id with several labels takes the greatest, and one with several texts the
+    first of these by bytes, so repeated rows count once. Only the sample, bounded by `size` narrow rows, is broadcast.
     """
     chosen = (
         labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     )
     texts = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("bytes"))
-    return texts.join(F.broadcast(bounded_sample(chosen, size, "id")), "id")
+    return one_text(texts.join(F.broadcast(bounded_sample(chosen, size, "id")), "id"), "id", "label")
+
+
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row (`keys`, `bytes`) per key, however many repeat it: the first text by bytes; tasks reduce before the shuffle."""
+    return rows.groupBy(*keys).agg(F.min("bytes").alias("bytes"))
 
 
 def decoded(text: bytes | None) -> str:

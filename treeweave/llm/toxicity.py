@@ -3,7 +3,7 @@
 After Wang and Manning (2012). A document is the set of its character n-grams, hashed into buckets. The log-count ratio of
 a bucket says how much more often toxic examples have it than others; buckets are scaled by their ratios, and a logistic
 regression is fitted on the scaled features. Buckets with few examples of the label they speak for or a ratio near zero are left
-out of the model.
+out of the model; how many examples are few is chosen by folds within the examples.
 
 The model is fitted in one task on a bounded sample of labelled rows and is one row; scoring reads every row once, whole texts,
 and shuffles nothing.
@@ -25,9 +25,10 @@ ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
 # Labelled documents that the model is fitted on, at most.
 SAMPLE = 8_000
-# Examples that must have a bucket, and those of the label that it speaks for; the same for any sample, so rare words count in large ones.
-LEAST_DOCUMENTS = 4
-LEAST_OWN = 3
+# Examples of the label that a bucket speaks for which must have it: that of these with the least log loss over folds of the examples
+# counts. None grows with the sample, so rare words count in large ones.
+SUPPORTS = (1, 2, 3, 5, 8)
+FOLDS = 3
 LEAST_RATIO = 1.2
 SMOOTHING = 0.5
 PENALTY = 0.001
@@ -52,7 +53,27 @@ def gram_buckets(text: str) -> Iterator[np.ndarray]:
                 yield total % np.uint32(BUCKETS)
 
 
-def fit_scaled_logistic(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def fold_loss(rows: list[np.ndarray], labels: np.ndarray, support: int) -> float:
+    """Mean log loss of examples under models fitted on the other folds."""
+    fold_of, losses = np.arange(len(rows)) % FOLDS, []
+    for fold in range(FOLDS):
+        inside = np.flatnonzero(fold_of != fold)
+        model = ToxicityModel(*fit_scaled_logistic([rows[i] for i in inside], labels[inside], support))
+        table = model.table()
+        for i in np.flatnonzero(fold_of == fold):
+            margin = table[rows[i]].sum(dtype=np.float64) + model.bias
+            losses.append(np.logaddexp(0, -margin if labels[i] else margin))
+    return float(np.mean(losses))
+
+
+def chosen_support(rows: list[np.ndarray], labels: np.ndarray, supports: tuple[int, ...] = SUPPORTS) -> int:
+    """The support with the least loss over folds; the smallest of equals."""
+    if len(supports) == 1 or len(rows) < FOLDS or labels.min() == labels.max():
+        return supports[0]
+    return min(supports, key=lambda support: fold_loss(rows, labels, support))
+
+
+def fit_scaled_logistic(rows: list[np.ndarray], labels: np.ndarray, support: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets, their weights (ratio included) and the intercept from documents' bucket sets."""
     positive, negative = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row, label in zip(rows, labels):
@@ -60,7 +81,7 @@ def fit_scaled_logistic(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.
     p, q = positive + SMOOTHING, negative + SMOOTHING
     # Shares of the documents of a class; with few of one class the prior, not the ratio, carries the difference.
     ratios = np.log(p / (labels.sum() + 1)) - np.log(q / (len(labels) - labels.sum() + 1))
-    often = (positive + negative >= LEAST_DOCUMENTS) & (np.where(ratios > 0, positive, negative) >= LEAST_OWN)
+    often = np.where(ratios > 0, positive, negative) >= support
     used = np.flatnonzero(often & (np.abs(ratios) >= LEAST_RATIO))
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     if not len(used) or labels.min(initial=1) == labels.max(initial=0):
@@ -101,19 +122,23 @@ class ToxicityModel:
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE,
-    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", supports: tuple[int, ...] = SUPPORTS,
 ) -> ToxicityModel:
-    """The model of at most `size` labelled rows; without examples of both labels it scores their share, one half for none."""
+    """The model of at most `size` labelled rows; without examples of both labels it scores their share, one half for none.
+
+    Which of `supports` is used is chosen within these rows.
+    """
     ship_package(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, learn, size, id_col, text_col)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "bytes"])
+        group = group.sort_values("id")
         rows = [
             np.unique(np.concatenate([np.unique(b) for b in gram_buckets(decoded(text))] or [np.empty(0, np.uint32)]))
             for text in group["bytes"]
         ]
-        used, weights, bias = fit_scaled_logistic(rows, group["label"].to_numpy(np.float64))
+        truth = group["label"].to_numpy(np.float64)
+        used, weights, bias = fit_scaled_logistic(rows, truth, chosen_support(rows, truth, supports))
         return pd.DataFrame({"buckets": [used], "weights": [weights], "bias": [bias]})
 
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "buckets array<long>, weights array<double>, bias double").first()
@@ -125,7 +150,8 @@ def fit_toxicity(
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", result: str = "toxicity") -> DataFrame:
     """`docs` with a double column `result` from 0 to 1, higher for texts more likely toxic.
 
-    A null text scores like an empty one. Rows are judged one by one, so equal texts agree. A column named `result` is replaced.
+    A null text scores like an empty one, a very long one is read whole, in parts. Rows are judged one by one, so equal texts
+    agree; an empty table stays empty. A column named `result` is replaced.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.buckets, model.weights.astype(np.float32), model.bias))
@@ -150,7 +176,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def scored_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id`, `held_out`, `score`, `predicted` of every row; learned from the labelled rows that are not held out."""
+    """`doc_id`, `held_out`, `score`, `predicted` of every row; learned from the labelled rows that are not held out.
+
+    Repeated rows are each returned; a null id is not held out and teaches nothing; an empty table gives none. Texts as in `with_toxicity`.
+    """
     model = fit_toxicity(docs, labels, ~held_out(F.col(id_col)), id_col=id_col, text_col=text_col)
     result = fresh(docs.columns, "_toxicity")
     return with_toxicity(docs, model, text_col, result).select(
