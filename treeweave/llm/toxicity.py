@@ -27,7 +27,7 @@ BUCKETS = 1 << 20
 SAMPLE = 8_000
 # Examples of the label that a bucket speaks for which must have it: that of these with the least log loss over folds of the examples
 # counts. None grows with the sample, so rare words count in large ones.
-SUPPORTS = (1, 2, 3, 5, 8)
+SUPPORTS = (2, 3, 5)
 FOLDS = 3
 LEAST_RATIO = 1.2
 SMOOTHING = 0.5
