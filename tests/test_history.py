@@ -261,3 +261,40 @@ def test_pull_request_report(spark):
     assert text["r", 7, 1].endswith("@@ -1 +1,2 @@\n 1\n+3\n")
     assert text["q", 7, -1].startswith("Could not find any base branch") and text["r", 8, -1].startswith("Failed to find PR ref")
     assert len(rows) == 4
+
+
+def test_reports_from_stored_contents(spark, tmp_path):
+    """Each content is stored once; where it lies in buckets by blob id, fetching it shuffles the wanted ids alone."""
+    trees = spark.createDataFrame(
+        [("r", c, f"same{i}", bytearray(b"x\n")) for c in "abp" for i in range(20)]
+        + [("r", "a", "f", bytearray(b"1\n")), ("r", "b", "f", bytearray(b"2\n")), ("r", "p", "f", bytearray(b"1\n3\n")), ("r", "p", "g", None)]
+        + [("s", "a", "h", bytearray(b"1\n")), ("s", "b", "h", bytearray(b"x\n"))],
+        "repo_url string, commit_sha string, path string, content binary",
+    )
+    files = snapshots.with_blob_id(trees)
+    contents = snapshots.write_contents(files, "contents_of_reports", str(tmp_path / "contents"))
+    try:
+        assert sorted(bytes(r.content) for r in contents.collect()) == [b"1\n", b"1\n3\n", b"2\n", b"x\n"]
+        pairs = spark.createDataFrame(
+            [(r, a, b, a, b) for r in "rs" for a, b in (("a", "b"), ("a", "p"), ("b", "a"))] + [("r", "a", "zz", "a", None)],
+            "repo_url string, base string, head string, base_sha string, head_sha string",
+        )
+        whole = history.compare_report(pairs, trees).collect()
+        stored = history.compare_report(pairs, files.drop("content"), contents=contents).collect()
+        assert sorted(map(repr, stored)) == sorted(map(repr, whole)) and any("+3" in r.text for r in stored)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            wanted = files.where("path = 'f'").select("blob_id")
+            found = snapshots.fetched(contents, wanted)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert found.count() == 3
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        lines = plan[: plan.index("== Initial Plan ==")].splitlines() if "== Initial Plan ==" in plan else plan.splitlines()
+        scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "contents_of_reports" in line)
+        depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-*()0123456789"))
+        above = [line for line in lines[:scan] if len(line) - len(line.lstrip(" :+-*()0123456789")) < depth]
+        assert above and not any("Exchange" in line for line in above), plan
+    finally:
+        spark.sql("DROP TABLE contents_of_reports")

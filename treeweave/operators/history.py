@@ -1,7 +1,8 @@
 """Commit graphs, references and reports over them.
 
 Tables: `commits(repo_url, sha, author, summary, committed_at)`, `parents(repo_url, sha, parent_ord, parent_sha)`,
-`refs(repo_url, ref_name, target_sha)`, `trees(repo_url, commit_sha, path, content[, blob_id])`.
+`refs(repo_url, ref_name, target_sha)`, `trees(repo_url, commit_sha, path, content[, blob_id])`. Reports may be given `contents`
+(blob_id, content), see `snapshots.write_contents`; trees then need blob ids and no contents.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treeweave.operators.graph import CommitGraph, commit_graph, graph_merge_bases
-from treeweave.operators.snapshots import changed_paths, patches_of, with_blob_id
-from treeweave.session import pin
+from treeweave.operators.snapshots import changed_paths, fetched, patches_of, with_blob_id
+from treeweave.session import kept, pin
 
 # Where a reference name is looked up, in this order; then the base branches.
 # A commit id prefix is tried before the last place.
@@ -136,7 +137,8 @@ def _count_lines() -> list[Column]:
 
 
 def _report(
-    pairs: DataFrame, trees: DataFrame, title: list[Column], keys: list[str], context: int, failed: DataFrame | None = None
+    pairs: DataFrame, trees: DataFrame, title: list[Column], keys: list[str], context: int, failed: DataFrame | None = None,
+    contents: DataFrame | None = None,
 ) -> DataFrame:
     """Report rows (keys, section, path, text): the title with its counts, then one patch per file, section -1 for errors.
 
@@ -151,13 +153,16 @@ def _report(
     changed = pair_changes(pairs, blobs).join(pairs.select(*PAIR, "context").distinct(), PAIR)
     changes = pin(changed)
     edit = ["repo_url", "path", "status", "old_blob", "new_blob"]
-    # One place per blob is enough to fetch its content from.
     wanted = changes.select("repo_url", F.explode(F.array_compact(F.array("old_blob", "new_blob"))).alias("blob_id")).distinct()
-    places = blobs.join(wanted, ["repo_url", "blob_id"]).groupBy("repo_url", "blob_id").agg(
-        F.min(F.struct("commit_sha", "path")).alias("at")
-    )
-    stored = trees.select("repo_url", "commit_sha", "path", "content")
-    contents = stored.join(places.select("repo_url", "blob_id", "at.*"), ["repo_url", "commit_sha", "path"]).select("repo_url", "blob_id", "content")
+    if contents is not None:
+        contents = kept(fetched(contents, wanted), "blobs")
+    else:
+        # One place per blob is enough to fetch its content from.
+        places = blobs.join(wanted, ["repo_url", "blob_id"]).groupBy("repo_url", "blob_id").agg(
+            F.min(F.struct("commit_sha", "path")).alias("at")
+        )
+        stored = trees.select("repo_url", "commit_sha", "path", "content")
+        contents = stored.join(places.select("repo_url", "blob_id", "at.*"), ["repo_url", "commit_sha", "path"]).select("repo_url", "blob_id", "content")
     patches = pin(patches_of(changes.select(*edit, "context").distinct(), contents))
     matched = changes.join(
         patches.select(*[F.col(c).alias(f"_{c}") for c in [*edit, "context"]], "patch", "insertions", "deletions"),
@@ -181,7 +186,7 @@ def _report(
     )
 
 
-def compare_report(pairs: DataFrame, trees: DataFrame, context: int = 3) -> DataFrame:
+def compare_report(pairs: DataFrame, trees: DataFrame, context: int = 3, contents: DataFrame | None = None) -> DataFrame:
     """Pairs (repo_url, base, head, base_sha, head_sha[, context]), names and resolved commits, to report rows.
 
     A name that is not resolved, the base first, gives an error row.
@@ -189,7 +194,7 @@ def compare_report(pairs: DataFrame, trees: DataFrame, context: int = 3) -> Data
     title = [F.lit("# Comparing "), F.col("base"), F.lit(" to "), F.col("head"), F.lit("\n\n")]
     missing = F.when(F.col("base_sha").isNull(), F.col("base")).when(F.col("head_sha").isNull(), F.col("head"))
     failed = pairs.where(missing.isNotNull()).withColumn("text", F.concat(F.lit("Failed to resolve reference: "), missing))
-    return _report(pairs.where(missing.isNull()), trees, title, ["repo_url", "base", "head"], context, failed)
+    return _report(pairs.where(missing.isNull()), trees, title, ["repo_url", "base", "head"], context, failed, contents)
 
 
 def commit_pairs(shas: DataFrame, commits: DataFrame, parents: DataFrame) -> DataFrame:
@@ -214,7 +219,9 @@ def commit_pairs(shas: DataFrame, commits: DataFrame, parents: DataFrame) -> Dat
     )
 
 
-def commit_report(shas: DataFrame, commits: DataFrame, parents: DataFrame, trees: DataFrame, context: int = 3) -> DataFrame:
+def commit_report(
+    shas: DataFrame, commits: DataFrame, parents: DataFrame, trees: DataFrame, context: int = 3, contents: DataFrame | None = None
+) -> DataFrame:
     """Commits (repo_url, sha[, context]) to report rows; `sha` is the full id, or as asked where there is none."""
     title = [
         F.lit("# Commit "), F.col("sha"), F.lit("\n\n"),
@@ -223,12 +230,12 @@ def commit_report(shas: DataFrame, commits: DataFrame, parents: DataFrame, trees
     ]
     pairs = commit_pairs(shas, commits, parents)
     failed = pairs.where("head_sha IS NULL").withColumn("text", F.concat(F.lit("Failed to find commit: "), "name"))
-    return _report(pairs.where("head_sha IS NOT NULL"), trees, title, ["repo_url", "sha"], context, failed)
+    return _report(pairs.where("head_sha IS NOT NULL"), trees, title, ["repo_url", "sha"], context, failed, contents)
 
 
 def _request_report(
     numbers: DataFrame, refs: DataFrame, commits: DataFrame, parents: DataFrame, trees: DataFrame, context: int,
-    place: str, name: str, short: str,
+    place: str, name: str, short: str, contents: DataFrame | None,
 ) -> DataFrame:
     own = ["context"] if "context" in numbers.columns else []
     wanted = numbers.select(
@@ -249,17 +256,19 @@ def _request_report(
         "repo_url", "number",
         F.coalesce("error", F.lit(f"Failed to find {'MR' if short == '!' else 'PR'} ref after fetch")).alias("text"),
     )
-    return _report(good, trees, title, ["repo_url", "number"], context, failed)
+    return _report(good, trees, title, ["repo_url", "number"], context, failed, contents)
 
 
 def pull_request_report(
-    numbers: DataFrame, refs: DataFrame, commits: DataFrame, parents: DataFrame, trees: DataFrame, context: int = 3
+    numbers: DataFrame, refs: DataFrame, commits: DataFrame, parents: DataFrame, trees: DataFrame, context: int = 3,
+    contents: DataFrame | None = None,
 ) -> DataFrame:
     """(repo_url, number) to report rows; section -1 holds the error of a request that cannot be reported."""
-    return _request_report(numbers, refs, commits, parents, trees, context, "pull", "Pull Request", "#")
+    return _request_report(numbers, refs, commits, parents, trees, context, "pull", "Pull Request", "#", contents)
 
 
 def merge_request_report(
-    numbers: DataFrame, refs: DataFrame, commits: DataFrame, parents: DataFrame, trees: DataFrame, context: int = 3
+    numbers: DataFrame, refs: DataFrame, commits: DataFrame, parents: DataFrame, trees: DataFrame, context: int = 3,
+    contents: DataFrame | None = None,
 ) -> DataFrame:
-    return _request_report(numbers, refs, commits, parents, trees, context, "merge-requests", "Merge Request", "!")
+    return _request_report(numbers, refs, commits, parents, trees, context, "merge-requests", "Merge Request", "!", contents)

@@ -54,11 +54,32 @@ def changed_files(base: DataFrame, head: DataFrame, by: list[str] | None = None)
     return changed.join(old, [*by, "path"], "left").join(new, [*by, "path"], "left")
 
 
+def write_contents(files: DataFrame, table: str, path: str | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Store each distinct content once, as a table (blob_id, content) bucketed by blob id, and return it.
+
+    Copies go before the shuffle, task by task, so a file that a third of all trees hold is a row per task. There are as many buckets as
+    shuffles have partitions: what is grouped by blob id is written where it is. A null content has no blob. The table lies
+    at `path`, or in the warehouse.
+    """
+    spark = files.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blobs = with_blob_id(files).where(F.col("content").isNotNull()).select("blob_id", "content").dropDuplicates(["blob_id"])
+    writer = blobs.write.bucketBy(buckets, "blob_id").mode(mode).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return spark.table(table)
+
+
+def fetched(contents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `contents` (blob_id, content) whose blob is `wanted`. Where contents are bucketed by blob id only `wanted` is shuffled."""
+    return contents.select("blob_id", "content").join(wanted.select("blob_id").distinct().hint("shuffle_hash"), "blob_id", "left_semi")
+
+
 def patches_of(changes: DataFrame, contents: DataFrame) -> DataFrame:
-    """Patches of distinct changes (repo_url, path, status, old_blob, new_blob, context), from contents by blob id."""
-    old = contents.select("repo_url", F.col("blob_id").alias("old_blob"), F.col("content").alias("old_content"))
-    new = contents.select("repo_url", F.col("blob_id").alias("new_blob"), F.col("content").alias("new_content"))
-    return file_patches(changes.join(old, ["repo_url", "old_blob"], "left").join(new, ["repo_url", "new_blob"], "left"))
+    """Patches of distinct changes (repo_url, path, status, old_blob, new_blob, context), from contents by blob id, of all repositories or each."""
+    by = ["repo_url"] if "repo_url" in contents.columns else []
+    old = contents.select(*by, F.col("blob_id").alias("old_blob"), F.col("content").alias("old_content"))
+    new = contents.select(*by, F.col("blob_id").alias("new_blob"), F.col("content").alias("new_content"))
+    return file_patches(changes.join(old, [*by, "old_blob"], "left").join(new, [*by, "new_blob"], "left"))
 
 
 def _nul_inside(content: Column) -> Column:

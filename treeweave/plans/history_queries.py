@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pathlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treeweave.operators import history, snapshots
 from treeweave.plans.file_queries import with_content
 from treeweave.plans.registry import query
 from treeweave.plans.views import load, with_views
+from treeweave.session import kept, new_folder
 
 LINE_LIST = (
     "list_filter(list_transform(string_split({0}, chr(10)), lambda x, i: CASE WHEN i < length({0}) - length(replace({0}, chr(10), '')) + 1 "
@@ -266,20 +269,30 @@ def report_sql(pairs: str, keys: list[str], title: str, before: dict[str, str],
     return with_views(sql, views, recursive)
 
 
-@query(
-    "compare_report",
-    report_sql(
-        "resolved_pairs", ["repo_url", "base", "head"], "'# Comparing ' || base || ' to ' || head || chr(10) || chr(10)",
-        {"resolved_pairs": "SELECT * FROM named_pairs WHERE base_sha IS NOT NULL AND head_sha IS NOT NULL"},
-        failed="UNION ALL SELECT repo_url, base, head, -1, '', 'Failed to resolve reference: ' || CASE WHEN base_sha IS NULL THEN base ELSE head END "
-        "FROM named_pairs WHERE base_sha IS NULL OR head_sha IS NULL",
-    ),
+COMPARE_SQL = report_sql(
+    "resolved_pairs", ["repo_url", "base", "head"], "'# Comparing ' || base || ' to ' || head || chr(10) || chr(10)",
+    {"resolved_pairs": "SELECT * FROM named_pairs WHERE base_sha IS NOT NULL AND head_sha IS NOT NULL"},
+    failed="UNION ALL SELECT repo_url, base, head, -1, '', 'Failed to resolve reference: ' || CASE WHEN base_sha IS NULL THEN base ELSE head END "
+    "FROM named_pairs WHERE base_sha IS NULL OR head_sha IS NULL",
 )
+
+
+@query("compare_report", COMPARE_SQL)
 def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, trees = load(spark, sf_dir, "named_pairs", "trees")
     return history.compare_report(pairs, with_content(trees))
 
 
+@query("compare_report_stored", COMPARE_SQL)
+def compare_report_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from trees of blob ids and a table of contents by blob id."""
+    pairs, trees = load(spark, sf_dir, "named_pairs", "trees")
+    files = snapshots.with_blob_id(with_content(trees))
+    folder = new_folder(spark, "contents")
+    contents = snapshots.write_contents(files, pathlib.PurePosixPath(folder).name.replace("-", "_"), folder)
+    return history.compare_report(pairs, kept(files.drop("content"), "trees"), contents=contents)
+
+
 @query(
     "commit_report",
     report_sql(
