@@ -4,12 +4,13 @@ import random
 import re
 import shutil
 import subprocess
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from treeweave.functions.linediff import common_count, common_pairs, hunks, split_lines
+from treeweave.functions.linediff import _few_edits, _halved, common_count, common_pairs, hunks, split_lines
 from treeweave.operators import history, snapshots
 from treeweave.operators.graph import CommitGraph, commit_graph
 
@@ -298,3 +299,25 @@ def test_reports_from_stored_contents(spark, tmp_path):
         assert above and not any("Exchange" in line for line in above), plan
     finally:
         spark.sql("DROP TABLE contents_of_reports")
+
+
+def test_changes_in_every_second_line_are_quick():
+    old = [b"line %d\n" % i for i in range(60_000)]
+    new = [line if i % 2 else b"new %d\n" % i for i, line in enumerate(old)]
+    started = time.perf_counter()
+    pairs = common_pairs(old, new)
+    assert time.perf_counter() - started < 0.5
+    assert pairs == [(i, i) for i in range(1, 60_000, 2)] and common_count(old, new) == 30_000
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 50])
+def test_few_edits_and_halving_find_as_much(most):
+    rng = random.Random(most)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(20))] for _ in range(2))
+        few, many = _few_edits(a, b, most), _halved(a, b)
+        edits = len(a) + len(b) - 2 * len(many)
+        assert (few is None) == (edits > most)
+        for pairs in [many] if few is None else [few, many]:
+            assert len(pairs) == len(many) and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from treeweave.functions.globs import glob_match, include_match, included_by_any, matches_any
+from treeweave.functions.globs import any_glob, any_include, glob_match, include_match, included_by_any, matches_any
 from treeweave.operators import filters, rules
 from treeweave.operators.filters import IngestOptions
 
@@ -140,3 +140,23 @@ def test_status_and_duplicates(spark):
 def test_spelled_options():
     combos = itertools.product([None, "minimal"], [True, False])
     assert [len(rules.effective_patterns(["x"], p, d)) for p, d in combos] == [260, 1, 120, 120]
+
+
+LISTS = [["*"], ["/*"], [""], ["*.rs"], ["src/"], ["src"], ["src/*", "*.py"], ["*.tar.gz"], ["a*b"], ["*/x*"], ["docs/a.md"], ["*.x/"], ["*."], ["é*"], ["s*c"]]
+PATHS = ["src/a.rs", "src", "srcs/b.py", "a.tar.gz", "ab", "axb", "docs/a.md", "docs/a.md/z", "x", "n/ab", "v.x/y", "", "k.", "ému", "deep/src/é.py", "src/"]
+
+
+def test_lists_of_requests_meet_each_path_once(spark):
+    """Hits by index against pattern by pattern; lists that several specifications have are one list with one hit per path."""
+    from treeweave.operators.filters import list_hits, pattern_lists
+
+    specs = spark.createDataFrame([(f"i{n}", ps, f"e{n}", ps) for n, ps in enumerate(LISTS)] * 3 + [(None, [], None, None)],
+                                  "include_id string, include array<string>, exclude_id string, exclude array<string>")
+    lists = pattern_lists(specs)
+    assert lists.count() == 2 * len(LISTS)
+    pairs = lists.select("list_id").crossJoin(spark.createDataFrame([(p,) for p in PATHS] + [(None,)], "path string"))
+    got = sorted((r.list_id, r.path) for r in list_hits(pairs, lists).collect())
+    path = F.col("path")
+    plain = specs.where("include_id IS NOT NULL").distinct().crossJoin(spark.createDataFrame([(p,) for p in PATHS], "path string"))
+    rows = plain.select("include_id", "exclude_id", "path", any_include(F.col("include"), path).alias("i"), any_glob(F.col("exclude"), path).alias("e")).collect()
+    assert got == sorted([(r.include_id, r.path) for r in rows if r.i] + [(r.exclude_id, r.path) for r in rows if r.e])

@@ -9,15 +9,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treeweave.functions.globs import (
-    any_glob,
-    any_include,
     extension,
+    file_name,
     first_component,
     glob_match,
+    include_match,
     included_by_any,
     matches_any,
 )
 from treeweave.operators.rules import PRESETS, dropped_under, effective_patterns, preset_name
+from treeweave.session import kept
 
 MAX_FILE_SIZE = 1024 * 1024
 # Default limit of a request.
@@ -58,39 +59,25 @@ def exclude_by_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.join(matched_paths(files, rules.select("pattern").distinct()), "path", "left_anti")
 
 
-def matched_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct paths that any pattern matches, for rule tables of any size.
-
-    Each pattern is filed under a text that its matches must have at a certain place, the paths under what they have there, and
-    equal texts meet in a hash join and are then compared in full. A pattern that names an extension or a first part meets paths
-    by their last extension or first part, one text each; the rest meets beginnings and endings of the lengths that such patterns
-    have. What reaches the driver is these lengths, and whether a pattern matches every path.
-    """
-    pattern, path = F.col("pattern"), F.col("path")
+def filed_under(pattern: Column) -> Column:
+    """Struct (place, text): what every match of a pattern has at its `first` part, as its `extension`, at its `begin` or its `end`."""
     star = F.instr(pattern, "*")
     several = F.length(pattern) - F.length(F.replace(pattern, F.lit("*"), F.lit(""))) > 1
     suffix, folder = pattern.startswith("*."), pattern.endswith("/*")
     literal = ~suffix & ~folder & ((star == 0) | several)
     at_end = suffix | ((star == 1) & ~folder & ~several)
+    plain = F.substring(pattern, 3, 1 << 30)
+    by_extension = suffix & ~plain.contains(".") & ~plain.contains("/")
     text = (
-        F.when(literal, pattern).when(at_end, F.substring(pattern, 2, 1 << 30))
+        F.when(by_extension, plain).when(literal, pattern).when(at_end, F.substring(pattern, 2, 1 << 30))
         .when(folder, F.substring(pattern, F.lit(1), F.length(pattern) - 2)).otherwise(F.substring(pattern, F.lit(1), star - 1))
     )
-    plain = F.substring(pattern, 3, 1 << 30)
-    filed = rules.select("pattern", literal.alias("literal"), at_end.alias("at_end"), text.alias("text")).withColumn(
-        "place",
-        F.when(suffix & ~plain.contains(".") & ~plain.contains("/"), "extension")
-        .when(F.col("literal") & ~F.col("text").contains("/"), "first").when(F.col("at_end"), "end").otherwise("begin"),
-    ).withColumn("text", F.when(F.col("place") == "extension", plain).otherwise(F.col("text")))
-    length = F.length("text")
-    facts = filed.agg(
-        *[F.sort_array(F.collect_set(F.when(F.col("place") == p, length))).alias(p) for p in ("begin", "end")],
-        F.max(pattern == "*").alias("every"), F.max(pattern == "/*").alias("nonempty"),
-    ).first()
-    paths = files.select("path").where(path.isNotNull()).distinct()
-    if facts["every"]:
-        return paths
-    beginnings, endings = (F.array(*[F.lit(n) for n in facts[p] if n]).cast("array<int>") for p in ("begin", "end"))
+    place = F.when(by_extension, "extension").when(literal & ~pattern.contains("/"), "first").when(at_end, "end").otherwise("begin")
+    return F.struct(place.alias("place"), text.alias("text"))
+
+
+def lookups(path: Column, beginnings: Column, endings: Column) -> Column:
+    """All (place, text) under which a pattern that matches `path` may be filed, for beginnings and endings of these lengths."""
 
     def at(place: str, lengths: Column, cut) -> Column:
         fitting = F.filter(lengths, lambda n: n <= F.length(path))
@@ -100,10 +87,31 @@ def matched_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
         F.struct(F.lit("first").alias("place"), first_component(path).alias("text")),
         F.struct(F.lit("extension").alias("place"), F.when(path.contains("."), extension(path)).alias("text")),
     )
-    looked_up = F.concat(
+    return F.concat(
         named, at("begin", beginnings, lambda n: F.substring(path, F.lit(1), n)),
         at("end", endings, lambda n: F.substring(path, F.length(path) - n + 1, n)),
     )
+
+
+def matched_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct paths that any pattern matches, for rule tables of any size.
+
+    Each pattern is filed under a text that its matches must have at a certain place, the paths under what they have there, and
+    equal texts meet in a hash join and are then compared in full. A pattern that names an extension or a first part meets paths
+    by their last extension or first part, one text each; the rest meets beginnings and endings of the lengths that such patterns
+    have. What reaches the driver is these lengths, and whether a pattern matches every path.
+    """
+    pattern, path = F.col("pattern"), F.col("path")
+    filed = rules.select("pattern", filed_under(pattern).alias("at")).select("pattern", "at.*")
+    facts = filed.agg(
+        *[F.sort_array(F.collect_set(F.when(F.col("place") == p, F.length("text")))).alias(p) for p in ("begin", "end")],
+        F.max(pattern == "*").alias("every"), F.max(pattern == "/*").alias("nonempty"),
+    ).first()
+    paths = files.select("path").where(path.isNotNull()).distinct()
+    if facts["every"]:
+        return paths
+    beginnings, endings = (F.array(*[F.lit(n) for n in facts[p] if n]).cast("array<int>") for p in ("begin", "end"))
+    looked_up = lookups(path, beginnings, endings)
     found = (
         paths.select("path", F.inline(looked_up))
         .join(filed, ["place", "text"])
@@ -205,14 +213,68 @@ def work_specs(requests: DataFrame) -> DataFrame:
     return requests.withColumn("spec_key", F.sha2(F.to_json(spec), 256))
 
 
+def _list_rules(patterns: Column, including: bool) -> Column:
+    """Patterns of a list as array of (pattern, subject, place, text); `subject` says whether path or file name has to match."""
+
+    def rule(p: Column) -> Column:
+        at = filed_under(p)
+        place, text, subject = at["place"], at["text"], F.lit("path")
+        if including:
+            folder = p.endswith("/")
+            place = F.when(folder, "begin").otherwise(place)
+            text = F.when(folder, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(text)
+            subject = F.when(p.contains("/"), "path").otherwise("name")
+        return F.struct(p.alias("pattern"), subject.alias("subject"), place.alias("place"), text.alias("text"))
+
+    return F.transform(F.array_distinct(patterns), rule)
+
+
+def pattern_lists(specs: DataFrame) -> DataFrame:
+    """Distinct lists of patterns of `specs` (include_id, include, exclude_id, exclude): (list_id, including, rules)."""
+    each = [
+        specs.select(F.col(f"{kind}_id").alias("list_id"), F.lit(kind == "include").alias("including"), _list_rules(F.col(kind), kind == "include").alias("rules"))
+        for kind in ("include", "exclude")
+    ]
+    return each[0].unionByName(each[1]).where(F.col("list_id").isNotNull()).dropDuplicates(["list_id"])
+
+
+def list_hits(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Those of the distinct `pairs` (list_id, path) where a pattern of the list matches the path.
+
+    Patterns are filed under a text that their matches have at a certain place, paths are looked up there, and only equal texts of one
+    list meet. The lengths of beginnings and endings are those of the list; nothing reaches the driver. No pattern matches a null path.
+    """
+    path, name = F.col("path"), file_name(F.col("path"))
+    lengths = lambda place: F.array_distinct(
+        F.transform(F.filter("rules", lambda r: r["place"] == place), lambda r: F.length(r["text"]))
+    ).alias(place)
+    facts = lists.select("list_id", "including", lengths("begin"), lengths("end"))
+    rules = lists.select("list_id", "including", F.inline("rules"))
+    looked_up = lambda subject, text: F.transform(
+        lookups(text, F.col("begin"), F.col("end")), lambda at: F.struct(F.lit(subject).alias("subject"), at["place"].alias("place"), at["text"].alias("text"))
+    )
+    places = F.when(F.col("including"), F.concat(looked_up("path", path), looked_up("name", name))).otherwise(looked_up("path", path))
+    pattern = F.col("pattern")
+    return (
+        pairs.where(path.isNotNull()).join(facts, "list_id").select("list_id", "path", F.inline(places))
+        .join(rules, ["list_id", "subject", "place", "text"])
+        .where(F.when(F.col("including"), include_match(pattern, path)).otherwise(glob_match(pattern, path)))
+        .select("list_id", "path").distinct()
+    )
+
+
 def filter_for_requests(files: DataFrame, requests: DataFrame) -> DataFrame:
     """Files kept for each distinct specification: (spec_key, repo_url, path, size).
 
     Equal requests are merged first, so work grows with distinct specifications and not with requests. What the presets drop is
     found once per file, before files meet specifications. Files with a `branch` meet requests for that branch, null with null.
+    Lists of patterns that several specifications have are one list, each path meets it once (`list_hits`), and
+    specifications take the result by the id of the list.
     """
+    list_id = lambda kind: F.when(F.size(kind) > 0, F.sha2(F.to_json(F.struct(kind)), 256)).alias(f"{kind}_id")
     specs = work_specs(requests).select(
-        "spec_key", F.col("repo_url").alias("_repo"), F.col("branch").alias("_branch"), "preset", "path_prefix", "max_size", "include", "exclude"
+        "spec_key", F.col("repo_url").alias("_repo"), F.col("branch").alias("_branch"), "preset", "path_prefix", "max_size",
+        "include", "exclude", list_id("include"), list_id("exclude"),
     ).dropDuplicates(["spec_key"])
     path = F.col("path")
     dropped = F.struct(*[dropped_under(name, path).alias(name) for name in PRESETS])
@@ -222,14 +284,22 @@ def filter_for_requests(files: DataFrame, requests: DataFrame) -> DataFrame:
     )
     under_preset = reduce(lambda rest, name: F.when(F.col("preset") == name, F.col("dropped")[name]).otherwise(rest), PRESETS, F.lit(False))
     folder = F.when(F.col("path_prefix").endswith("/"), F.col("path_prefix")).otherwise(F.concat("path_prefix", F.lit("/")))
-    wanted = F.coalesce(F.size("include"), F.lit(0)) == 0
     same_branch = F.col("branch").eqNullSafe(F.col("_branch")) if "branch" in files.columns else F.lit(True)
-    return (
-        listed.join(specs, (F.col("repo_url") == F.col("_repo")) & same_branch)
+    met = kept(
+        listed.join(specs.drop("include", "exclude"), (F.col("repo_url") == F.col("_repo")) & same_branch)
         .where(~under_preset & (F.col("size") <= F.col("max_size")))
         .where(F.coalesce(path.startswith(folder), F.lit(True)))
-        .where(~F.coalesce(any_glob(F.col("exclude"), path), F.lit(False)))
-        .where(wanted | F.coalesce(any_include(F.col("include"), path), F.lit(False)))
+        .select("spec_key", "repo_url", "path", "size", "include_id", "exclude_id"),
+        "met",
+    )
+    pairs = met.select("path", F.explode(F.array_compact(F.array("include_id", "exclude_id"))).alias("list_id")).distinct()
+    hits = list_hits(pairs, pattern_lists(specs))
+    excluded = hits.select(F.col("list_id").alias("exclude_id"), "path")
+    included = hits.select(F.col("list_id").alias("include_id"), "path", F.lit(True).alias("_in"))
+    return (
+        met.join(excluded, ["exclude_id", "path"], "left_anti")
+        .join(included, ["include_id", "path"], "left")
+        .where(F.col("include_id").isNull() | F.col("_in"))
         .select("spec_key", "repo_url", "path", "size")
     )
 
