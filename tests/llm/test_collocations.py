@@ -46,8 +46,8 @@ def told(df):
     return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "k").collect())
 
 
-@pytest.mark.parametrize("seed,shard_bytes,longest,top", [(1, 1, 4, 50), (4, 200, 5, 30)])
-def test_against_plain_counting(spark, seed, shard_bytes, longest, top):
+@pytest.mark.parametrize("seed,shard_bytes,longest,top,bucket_groups,merged", [(1, 1, 4, 50, 9, 5), (4, 200, 5, 30, 10_000, 4_096), (7, 200, 3, 30, 1, 2)])
+def test_against_plain_counting(spark, seed, shard_bytes, longest, top, bucket_groups, merged):
     rng = random.Random(seed)
     rows = [
         ("".join(rng.choice(PARTS) + rng.choice([" ", " ", "\t", ""]) for _ in range(rng.randrange(60))), rng.choice(["en", "de", None, "und"]))
@@ -55,7 +55,8 @@ def test_against_plain_counting(spark, seed, shard_bytes, longest, top):
     ] + [("a a a a a a a", "en"), ("new york city . new york city new york city", "de"), (None, "en"), ("", None)]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
     want = by_hand(rows, 3, longest, top)
-    assert want and told(collocations(df, least=3, longest=longest, top=top, shard_bytes=shard_bytes)) == want
+    made = collocations(df, least=3, longest=longest, top=top, shard_bytes=shard_bytes, bucket_groups=bucket_groups, merged_shards=merged)
+    assert want and told(made) == want
 
 
 def test_odd_and_empty_tables(spark):

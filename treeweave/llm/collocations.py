@@ -11,18 +11,19 @@ the one before:
 
 Every relation is written to the shared folder before the next length. It is kept in shards of some megabytes of text, one row each with
 compressed columns, bucketed by shard, so the merge-join runs where a shard is and no occurrence is ever shuffled: what crosses the
-network is one row per shard and group. A group that all documents share is one row per shard. Frequent words have numbers, and longer
+network is one row per shard and bucket of groups, compressed. A group that all documents share is sent once per shard. Frequent words have numbers, and longer
 groups are told apart by the numbers of their words, never by a hash.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from treeweave.llm.support import UPPER, stored, stored_by, utf8
 from treeweave.operators.ordering import with_running
@@ -36,6 +37,11 @@ ABSORBED = 80
 SCALE = 2_000_000
 # Bytes of text of one shard.
 SHARD_BYTES = 8 << 20
+# Rows of groups, one per shard and group, of one bucket on average, and shards that one task merges at most.
+BUCKET_GROUPS = 250_000
+MERGED_SHARDS = 4_096
+# Columns that describe a word.
+WORD = ["lang", "word"]
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _LOWER = bytes.maketrans(_BREAKS + UPPER.encode(), b"." * len(_BREAKS) + UPPER.lower().encode())
@@ -124,63 +130,164 @@ def _words(size: int, first: int = 1) -> list[str]:
     return [f"w{place}" for place in range(first, first + size)]
 
 
-def _longer(relation: DataFrame, known: DataFrame, size: int) -> DataFrame:
-    """The relation of groups of `size` words from the one before it and the frequent groups of each shard.
+def _keys(row: tuple, names: list[str]) -> list[bytes] | np.ndarray:
+    """Keys of the groups of a shard, in order of their number: words with their language as bytes without line feeds, or columns of numbers."""
+    if names != WORD:
+        return np.array([getattr(row, w) for w in names], np.int64)
+    tags = {lang: b" " + lang.encode().hex().encode() for lang in set(row.lang)}
+    return [word + tags[lang] for word, lang in zip(row.word, row.lang)]
 
-    `known` has `shard` and `local`, the number of a group in its shard, and for words `w1`. Groups are described by `w1`, `w2`, ... and `counts`.
+
+def _dealt(keys: list[bytes] | np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Bucket and numbers of the groups that fall into it, for each bucket that has any."""
+    if isinstance(keys, list):
+        drawn = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % buckets
+    else:
+        mixed = np.zeros(keys.shape[1], np.uint64)
+        for column in keys.astype(np.uint64):
+            mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+        drawn = (mixed % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(drawn, kind="stable")
+    found, first = np.unique(drawn[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, first[1:]) if len(found) else [])
+
+
+def _sent(frame: pd.DataFrame, names: list[str]) -> dict[str, bytes]:
+    """Keys and counts of some groups, compressed."""
+    packer = zstandard.ZstdCompressor()
+    if names == WORD:
+        data = b"\n".join(frame["key"])
+    else:
+        numbers = frame[names].to_numpy(np.int64).T
+        data = numbers.astype(np.int32 if numbers.max(initial=0) < 1 << 31 else np.int64).tobytes()
+    return {"keys": packer.compress(data), "n": packer.compress(frame["n"].to_numpy(np.int64).tobytes())}
+
+
+def _received(keys: bytes, n: bytes, names: list[str]) -> pd.DataFrame:
+    """What `_sent` has packed."""
+    opener = zstandard.ZstdDecompressor()
+    counts, data = np.frombuffer(opener.decompress(n), np.int64), opener.decompress(keys)
+    if names == WORD:
+        return pd.DataFrame({"key": data.split(b"\n"), "n": counts})
+    kind = np.int32 if len(data) == 4 * len(names) * len(counts) else np.int64
+    columns = np.frombuffer(data, kind).reshape(len(names), -1).astype(np.int64)
+    return pd.DataFrame(dict(zip(names, columns))).assign(n=counts)
+
+
+def _summed(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """Groups of one bucket with their counts summed, in order of their keys."""
+    by = ["key"] if names == WORD else names
+    every = pd.concat([_received(k, n, names) for k, n in zip(rows["keys"], rows["n"])])
+    return every.groupby(by, sort=True, as_index=False)["n"].sum()
+
+
+class _Counts:
+    """Groups of a relation counted over all shards, and the way back to the shards.
+
+    Groups are dealt into buckets by hash. A shard sends one row per bucket, with the keys and counts of its groups compressed; where
+    there are more shards than one task should merge, some shards are merged first. Each shard is told which of its groups are
+    frequent by one bit each, in the order in which it sent them.
     """
-    words = _words(size - 1)
-    if size == 2:
-        lists = known.groupBy("shard").agg(F.collect_list(F.struct("local", "w1")).alias("known")).select(
-            "shard", F.col("known.local").alias("local"), F.col("known.w1").alias("w1")
+
+    def __init__(self, relation: DataFrame, names: list[str], least: int, label: str, bucket_groups: int, merged_shards: int):
+        groups, shards = relation.agg(F.sum(F.size("counts")), F.count(F.lit(1))).first()
+        self.names, self.relation = names, relation.select("shard", *names, "counts")
+        self.buckets = buckets = 1 + (groups or 0) // bucket_groups
+        self.parts = 1 + shards // merged_shards
+        rows = self._rows()
+        if self.parts > 1:
+
+            def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+                return pd.DataFrame([{"bucket": key[0], **_sent(_summed(rows, names), names)}])
+
+            rows = rows.groupBy("bucket", "part").applyInPandas(merge, "bucket long, keys binary, n binary")
+
+        def often(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            summed = _summed(rows, names)
+            frequent = summed[summed["n"] >= least].rename(columns={"n": "f"}).reset_index(drop=True)
+            # Numbers of words differ between buckets and are small, and a task that runs again gives the same ones.
+            return (frequent.assign(w1=frequent.index * buckets + key[0]) if names == WORD else frequent).assign(bucket=key[0])
+
+        keys = "key binary, w1 long" if names == WORD else ", ".join(f"{w} long" for w in names)
+        self.frequent = stored(rows.groupBy("bucket").applyInPandas(often, f"bucket long, {keys}, f long"), label)
+
+    def _rows(self) -> DataFrame:
+        """(bucket, part, shard, keys, n), one row per shard and bucket."""
+        names, buckets, parts = self.names, self.buckets, self.parts
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    keys, counts = _keys(row, names), np.asarray(row.counts)
+                    rows = []
+                    for bucket, at in _dealt(keys, buckets):
+                        frame = pd.DataFrame({"key": [keys[i] for i in at]} if names == WORD else dict(zip(names, keys[:, at])))
+                        rows.append({"bucket": bucket, "part": row.shard % parts, "shard": row.shard, **_sent(frame.assign(n=counts[at]), names)})
+                    if rows:
+                        yield pd.DataFrame(rows)
+
+        return self.relation.mapInPandas(send, "bucket long, part long, shard long, keys binary, n binary")
+
+    def told(self) -> DataFrame:
+        """(shard, told): per bucket of the shard a bit per group, and for words the numbers of the frequent ones."""
+        names = self.names
+        by, number = (["key"], "w1") if names == WORD else (names, "f")
+
+        def tell(key: tuple, rows: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
+            packer, told = zstandard.ZstdCompressor(), []
+            for shard, keys, n in zip(rows["shard"], rows["keys"], rows["n"]):
+                met = _received(keys, n, names)[by].merge(frequent[[*by, number]], on=by, how="left")[number]
+                bits = met.notna().to_numpy()
+                numbers = met[bits].to_numpy(np.int64) if names == WORD else np.zeros(0, np.int64)
+                told.append({"shard": shard, "bucket": key[0], "bits": np.packbits(bits).tobytes(), "numbers": packer.compress(numbers.tobytes())})
+            return pd.DataFrame(told, columns=["shard", "bucket", "bits", "numbers"])
+
+        frequent = self.frequent.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))))
+        answers = self._rows().groupBy("bucket", "part").cogroup(frequent.groupBy("bucket", "part")).applyInPandas(
+            tell, "shard long, bucket long, bits binary, numbers binary"
         )
-        joined = relation.select("shard", "gaps", "items").join(lists, "shard")
-    else:
-        lists = known.groupBy("shard").agg(F.collect_list("local").alias("local"))
-        joined = relation.select("shard", "gaps", "items", *words).join(lists, "shard")
+        return answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits", "numbers")).alias("told"))
+
+
+def _answers(row: tuple, names: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which groups of a shard are frequent, and for words their numbers."""
+    keys, told, opener = _keys(row, names), {t["bucket"]: t for t in row.told}, zstandard.ZstdDecompressor()
+    size = len(keys) if names == WORD else keys.shape[1]
+    frequent, numbers = np.zeros(size, bool), np.zeros(size, np.int64)
+    for bucket, at in _dealt(keys, buckets):
+        bits = np.unpackbits(np.frombuffer(told[bucket]["bits"], np.uint8), count=len(at)).astype(bool)
+        frequent[at] = bits
+        if names == WORD:
+            numbers[at[bits]] = np.frombuffer(opener.decompress(told[bucket]["numbers"]), np.int64)
+    return frequent, numbers
+
+
+def _longer(relation: DataFrame, counts: _Counts, size: int) -> DataFrame:
+    """The relation of groups of `size` words from the one before it and its counts; groups are described by `w1`, `w2`, ... and `counts`."""
+    names, buckets = counts.names, counts.buckets
+    joined = relation.select("shard", "gaps", "items", *names).join(counts.told(), "shard")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 places, items = _unpacked(row.gaps, row.items)
-                local = np.asarray(row.local)
-                frequent = np.zeros(max(int(items.max()), int(local.max())) + 1, bool)
-                frequent[local] = True
-                columns = [np.asarray(getattr(row, w), np.int64) for w in words]
-                if size == 2:
-                    numbers = np.zeros(len(frequent), np.int64)
-                    numbers[local] = columns[0]
-                    columns = [numbers]
+                frequent, numbers = _answers(row, names, buckets)
+                columns = [numbers] if names == WORD else list(_keys(row, names))
                 kept = frequent[items]
                 places, items = places[kept], items[kept]
                 at = np.flatnonzero(places[1:] == places[:-1] + 1)
-                pairs, groups, counts = np.unique(
+                pairs, groups, n = np.unique(
                     (items[at].astype(np.int64) << 32) | items[at + 1], return_inverse=True, return_counts=True
                 )
                 left, right = pairs >> 32, pairs & 0xFFFFFFFF
-                described = {w: [c[left]] for w, c in zip(words, columns)} | {f"w{size}": [columns[-1][right]]}
-                yield pd.DataFrame({"shard": [row.shard], **_packed(places[at], groups), **described, "counts": [counts]})
+                described = {w: [c[left]] for w, c in zip(_words(size - 1), columns)} | {f"w{size}": [columns[-1][right]]}
+                yield pd.DataFrame({"shard": [row.shard], **_packed(places[at], groups), **described, "counts": [n]})
 
     numbers = ", ".join(f"{w} array<long>" for w in _words(size))
     return joined.mapInPandas(extend, f"shard long, {_COLUMNS}, {numbers}, counts array<long>")
 
 
-def _groups(relation: DataFrame, names: list[str]) -> DataFrame:
-    """One row per shard and group: `shard`, `local`, `names`, `n`."""
-    zipped = F.arrays_zip(*[F.col(c).alias(c) for c in [*names, "counts"]])
-    each = relation.select("shard", F.posexplode(zipped).alias("local", "group"))
-    return each.select("shard", "local", *[F.col(f"group.{c}").alias(c) for c in names], F.col("group.counts").alias("n"))
-
-
-def _known(groups: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
-    """The rows of groups that occur `least` times or more in all shards together, with that sum as `f` in place of `n`.
-
-    One shuffle counts the groups and tells every shard which of its groups are frequent; a group has a row per shard that holds it.
-    """
-    counted = groups.withColumn("f", F.sum("n").over(W.partitionBy(*keys)))
-    return stored(counted.where(F.col("f") >= least).drop("n"), label)
-
-
 def _described(frequent: DataFrame, parts: DataFrame, size: int) -> DataFrame:
     """Groups (`w1`, ..., `f`) with `lang`, `phrase`, `last` word, and `heads` and `tails`: counts of their first and last 1, 2, ... words."""
     shorter = _words(size - 1)
@@ -213,6 +320,8 @@ def collocations(
     absorbed: int = ABSORBED,
     scale: int = SCALE,
     shard_bytes: int = SHARD_BYTES,
+    bucket_groups: int = BUCKET_GROUPS,
+    merged_shards: int = MERGED_SHARDS,
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
@@ -229,25 +338,21 @@ def collocations(
     ship_package(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), utf8(F.col(text_col)).alias("bytes"))
     relation = stored_by(_word_relation(texts.where("octet_length(bytes) > 0"), shard_bytes), "occurrences1", "shard")
-    totals = _groups(relation, ["lang"]).groupBy("lang").agg(F.sum("n").alias("n"))
-    # A word has the least number of its rows; these come from a written table in order, so they hold if a task is run again.
-    rows = _groups(relation, ["lang", "word"]).withColumn("row", F.monotonically_increasing_id())
-    known = _known(rows.withColumn("w1", F.min("row").over(W.partitionBy("lang", "word"))).drop("row"), ["lang", "word"], least, "words")
-    word = F.col("word").cast("string")
-    parts = known.select("w1", "lang", "word", "f").distinct().select(
-        "w1", "lang", word.alias("phrase"), word.alias("last"), F.col("f").alias("a"), F.array("f").alias("heads"), F.array("f").alias("tails")
+    per_lang = F.explode(F.arrays_zip("lang", "counts")).alias("word")
+    totals = relation.select(per_lang).groupBy(F.col("word.lang").alias("lang")).agg(F.sum("word.counts").alias("n"))
+    counts = _Counts(relation, WORD, least, "words", bucket_groups, merged_shards)
+    word = F.substring_index(F.decode("key", "ISO-8859-1"), " ", 1)
+    lang = F.unhex(F.substring_index(F.decode("key", "ISO-8859-1"), " ", -1)).cast("string")
+    phrase = F.encode(word, "ISO-8859-1").cast("string")
+    parts = counts.frequent.select(
+        "w1", lang.alias("lang"), phrase.alias("phrase"), phrase.alias("last"), F.col("f").alias("a"), F.array("f").alias("heads"), F.array("f").alias("tails")
     )
     found: list[DataFrame] = []
     for size in range(2, longest + 1):
         keys = _words(size)
-        relation = stored_by(_longer(relation, known, size), f"occurrences{size}", "shard")
-        groups = _groups(relation, keys)
-        if size < longest:
-            known = _known(groups, keys, least, f"known{size}")
-            frequent = known.select(*keys, "f").distinct()
-        else:
-            frequent = groups.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        parts = stored(_described(frequent, parts, size), f"phrases{size}")
+        relation = stored_by(_longer(relation, counts, size), f"occurrences{size}", "shard")
+        counts = _Counts(relation, keys, least, f"known{size}", bucket_groups, merged_shards)
+        parts = stored(_described(counts.frequent.select(*keys, "f"), parts, size), f"phrases{size}")
         if found:
             # Within a longer phrase of any length is within one of one word more, which occurs at least as often.
             shorter = _words(size - 1)
