@@ -45,7 +45,7 @@ WORD = ["lang", "word"]
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _LOWER = bytes.maketrans(_BREAKS + UPPER.encode(), b"." * len(_BREAKS) + UPPER.lower().encode())
-_COLUMNS = "gaps binary, items binary"
+_COLUMNS = "gaps binary, items binary, keys binary, n binary, groups long"
 
 
 class _Shard:
@@ -71,9 +71,13 @@ class _Shard:
         row = np.concatenate(self.parts)
         places = np.flatnonzero(row >= 0)
         items = row[places]
+        counts = np.bincount(items, minlength=len(self.words))
+        tags = {lang: b" " + lang.encode().hex().encode() for lang in self.numbers}
+        words = pd.DataFrame({"key": [word + tags[lang] for word, lang in zip(self.words, self.langs)], "n": counts})
+        totals = words["n"].groupby(np.array(self.langs, object)).sum()
         return pd.DataFrame({
-            **_packed(places, items), "lang": [self.langs], "word": [self.words],
-            "counts": [np.bincount(items, minlength=len(self.words))],
+            **_packed(places, items), **{c: [v] for c, v in _sent(words, WORD).items()}, "groups": len(words),
+            "langs": [totals.index.tolist()], "totals": [totals.to_numpy(np.int64)],
         })
 
 
@@ -108,7 +112,7 @@ def _unpacked(gaps: bytes, items: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_relation(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """R1 by shard, with `lang`, `word` and `counts` of its groups in order of their number."""
+    """R1 by shard, with keys and counts of its `groups` in order of their number, and the words of each language."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = _Shard()
@@ -121,7 +125,7 @@ def _word_relation(docs: DataFrame, shard_bytes: int) -> DataFrame:
         if shard.parts:
             yield shard.row()
 
-    made = docs.mapInPandas(cut, f"{_COLUMNS}, lang array<string>, word array<binary>, counts array<long>")
+    made = docs.mapInPandas(cut, f"{_COLUMNS}, langs array<string>, totals array<long>")
     return made.select(F.monotonically_increasing_id().alias("shard"), "*")
 
 
@@ -130,22 +134,14 @@ def _words(size: int, first: int = 1) -> list[str]:
     return [f"w{place}" for place in range(first, first + size)]
 
 
-def _keys(row: tuple, names: list[str]) -> list[bytes] | np.ndarray:
-    """Keys of the groups of a shard, in order of their number: words with their language as bytes without line feeds, or columns of numbers."""
-    if names != WORD:
-        return np.array([getattr(row, w) for w in names], np.int64)
-    tags = {lang: b" " + lang.encode().hex().encode() for lang in set(row.lang)}
-    return [word + tags[lang] for word, lang in zip(row.word, row.lang)]
-
-
-def _dealt(keys: list[bytes] | np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+def _dealt(groups: pd.DataFrame, names: list[str], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Bucket and numbers of the groups that fall into it, for each bucket that has any."""
-    if isinstance(keys, list):
-        drawn = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % buckets
+    if names == WORD:
+        drawn = np.fromiter(map(zlib.crc32, groups["key"]), np.int64, len(groups)) % buckets
     else:
-        mixed = np.zeros(keys.shape[1], np.uint64)
-        for column in keys.astype(np.uint64):
-            mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = np.zeros(len(groups), np.uint64)
+        for name in names:
+            mixed = (mixed ^ groups[name].to_numpy().astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(32)
         drawn = (mixed % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(drawn, kind="stable")
@@ -153,26 +149,34 @@ def _dealt(keys: list[bytes] | np.ndarray, buckets: int) -> Iterator[tuple[int,
     yield from zip(found.tolist(), np.split(order, first[1:]) if len(found) else [])
 
 
+def _shrunk(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, in 32 bits where these do; the first byte tells."""
+    numbers = numbers.astype(np.int32 if numbers.max(initial=0) < 1 << 31 else np.int64)
+    return zstandard.ZstdCompressor().compress(bytes([numbers.itemsize]) + numbers.tobytes())
+
+
+def _grown(data: bytes) -> np.ndarray:
+    """What `_shrunk` has compressed."""
+    data = zstandard.ZstdDecompressor().decompress(data)
+    return np.frombuffer(data, np.int32 if data[0] == 4 else np.int64, offset=1).astype(np.int64)
+
+
 def _sent(frame: pd.DataFrame, names: list[str]) -> dict[str, bytes]:
-    """Keys and counts of some groups, compressed."""
-    packer = zstandard.ZstdCompressor()
+    """Keys and counts of some groups, compressed. The key of a word is the word, a blank and its language in hexadecimal digits."""
     if names == WORD:
-        data = b"\n".join(frame["key"])
+        keys = zstandard.ZstdCompressor().compress(b"\n".join(frame["key"]))
     else:
-        numbers = frame[names].to_numpy(np.int64).T
-        data = numbers.astype(np.int32 if numbers.max(initial=0) < 1 << 31 else np.int64).tobytes()
-    return {"keys": packer.compress(data), "n": packer.compress(frame["n"].to_numpy(np.int64).tobytes())}
+        keys = _shrunk(frame[names].to_numpy(np.int64).T)
+    return {"keys": keys, "n": _shrunk(frame["n"].to_numpy(np.int64))}
 
 
 def _received(keys: bytes, n: bytes, names: list[str]) -> pd.DataFrame:
     """What `_sent` has packed."""
-    opener = zstandard.ZstdDecompressor()
-    counts, data = np.frombuffer(opener.decompress(n), np.int64), opener.decompress(keys)
+    counts = _grown(n)
     if names == WORD:
-        return pd.DataFrame({"key": data.split(b"\n"), "n": counts})
-    kind = np.int32 if len(data) == 4 * len(names) * len(counts) else np.int64
-    columns = np.frombuffer(data, kind).reshape(len(names), -1).astype(np.int64)
-    return pd.DataFrame(dict(zip(names, columns))).assign(n=counts)
+        words = zstandard.ZstdDecompressor().decompress(keys).split(b"\n")
+        return pd.DataFrame({"key": words if len(counts) else [], "n": counts})
+    return pd.DataFrame(dict(zip(names, _grown(keys).reshape(len(names), -1)))).assign(n=counts)
 
 
 def _summed(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
@@ -191,8 +195,8 @@ class _Counts:
     """
 
     def __init__(self, relation: DataFrame, names: list[str], least: int, label: str, bucket_groups: int, merged_shards: int):
-        groups, shards = relation.agg(F.sum(F.size("counts")), F.count(F.lit(1))).first()
-        self.names, self.relation = names, relation.select("shard", *names, "counts")
+        groups, shards = relation.agg(F.sum("groups"), F.count(F.lit(1))).first()
+        self.names, self.relation = names, relation.select("shard", "keys", "n")
         self.buckets = buckets = 1 + (groups or 0) // bucket_groups
         self.parts = 1 + shards // merged_shards
         rows = self._rows()
@@ -219,11 +223,11 @@ class _Counts:
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    keys, counts = _keys(row, names), np.asarray(row.counts)
-                    rows = []
-                    for bucket, at in _dealt(keys, buckets):
-                        frame = pd.DataFrame({"key": [keys[i] for i in at]} if names == WORD else dict(zip(names, keys[:, at])))
-                        rows.append({"bucket": bucket, "part": row.shard % parts, "shard": row.shard, **_sent(frame.assign(n=counts[at]), names)})
+                    groups = _received(row.keys, row.n, names)
+                    rows = [
+                        {"bucket": bucket, "part": row.shard % parts, "shard": row.shard, **_sent(groups.take(at), names)}
+                        for bucket, at in _dealt(groups, names, buckets)
+                    ]
                     if rows:
                         yield pd.DataFrame(rows)
 
@@ -235,12 +239,12 @@ class _Counts:
         by, number = (["key"], "w1") if names == WORD else (names, "f")
 
         def tell(key: tuple, rows: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
-            packer, told = zstandard.ZstdCompressor(), []
+            told = []
             for shard, keys, n in zip(rows["shard"], rows["keys"], rows["n"]):
                 met = _received(keys, n, names)[by].merge(frequent[[*by, number]], on=by, how="left")[number]
                 bits = met.notna().to_numpy()
                 numbers = met[bits].to_numpy(np.int64) if names == WORD else np.zeros(0, np.int64)
-                told.append({"shard": shard, "bucket": key[0], "bits": np.packbits(bits).tobytes(), "numbers": packer.compress(numbers.tobytes())})
+                told.append({"shard": shard, "bucket": key[0], "bits": np.packbits(bits).tobytes(), "numbers": _shrunk(numbers)})
             return pd.DataFrame(told, columns=["shard", "bucket", "bits", "numbers"])
 
         frequent = self.frequent.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))))
@@ -250,30 +254,31 @@ class _Counts:
         return answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits", "numbers")).alias("told"))
 
 
-def _answers(row: tuple, names: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _answers(groups: pd.DataFrame, told: list[dict], names: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Which groups of a shard are frequent, and for words their numbers."""
-    keys, told, opener = _keys(row, names), {t["bucket"]: t for t in row.told}, zstandard.ZstdDecompressor()
-    size = len(keys) if names == WORD else keys.shape[1]
-    frequent, numbers = np.zeros(size, bool), np.zeros(size, np.int64)
-    for bucket, at in _dealt(keys, buckets):
-        bits = np.unpackbits(np.frombuffer(told[bucket]["bits"], np.uint8), count=len(at)).astype(bool)
+    of_bucket = {t["bucket"]: t for t in told}
+    frequent, numbers = np.zeros(len(groups), bool), np.zeros(len(groups), np.int64)
+    for bucket, at in _dealt(groups, names, buckets):
+        answer = of_bucket[bucket]
+        bits = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=len(at)).astype(bool)
         frequent[at] = bits
         if names == WORD:
-            numbers[at[bits]] = np.frombuffer(opener.decompress(told[bucket]["numbers"]), np.int64)
+            numbers[at[bits]] = _grown(answer["numbers"])
     return frequent, numbers
 
 
 def _longer(relation: DataFrame, counts: _Counts, size: int) -> DataFrame:
-    """The relation of groups of `size` words from the one before it and its counts; groups are described by `w1`, `w2`, ... and `counts`."""
+    """The relation of groups of `size` words from the one before it and its counts; the numbers of their words are their keys."""
     names, buckets = counts.names, counts.buckets
-    joined = relation.select("shard", "gaps", "items", *names).join(counts.told(), "shard")
+    joined = relation.select("shard", "gaps", "items", "keys", "n").join(counts.told(), "shard")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 places, items = _unpacked(row.gaps, row.items)
-                frequent, numbers = _answers(row, names, buckets)
-                columns = [numbers] if names == WORD else list(_keys(row, names))
+                known = _received(row.keys, row.n, names)
+                frequent, numbers = _answers(known, row.told, names, buckets)
+                columns = [numbers] if names == WORD else [known[w].to_numpy() for w in names]
                 kept = frequent[items]
                 places, items = places[kept], items[kept]
                 at = np.flatnonzero(places[1:] == places[:-1] + 1)
@@ -281,11 +286,11 @@ def _longer(relation: DataFrame, counts: _Counts, size: int) -> DataFrame:
                     (items[at].astype(np.int64) << 32) | items[at + 1], return_inverse=True, return_counts=True
                 )
                 left, right = pairs >> 32, pairs & 0xFFFFFFFF
-                described = {w: [c[left]] for w, c in zip(_words(size - 1), columns)} | {f"w{size}": [columns[-1][right]]}
-                yield pd.DataFrame({"shard": [row.shard], **_packed(places[at], groups), **described, "counts": [n]})
+                found = dict(zip(_words(size), [c[left] for c in columns] + [columns[-1][right]]))
+                sent = _sent(pd.DataFrame(found).assign(n=n), _words(size))
+                yield pd.DataFrame([{"shard": row.shard, **{c: v[0] for c, v in _packed(places[at], groups).items()}, **sent, "groups": len(n)}])
 
-    numbers = ", ".join(f"{w} array<long>" for w in _words(size))
-    return joined.mapInPandas(extend, f"shard long, {_COLUMNS}, {numbers}, counts array<long>")
+    return joined.mapInPandas(extend, f"shard long, {_COLUMNS}")
 
 
 def _described(frequent: DataFrame, parts: DataFrame, size: int) -> DataFrame:
@@ -338,8 +343,8 @@ def collocations(
     ship_package(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), utf8(F.col(text_col)).alias("bytes"))
     relation = stored_by(_word_relation(texts.where("octet_length(bytes) > 0"), shard_bytes), "occurrences1", "shard")
-    per_lang = F.explode(F.arrays_zip("lang", "counts")).alias("word")
-    totals = relation.select(per_lang).groupBy(F.col("word.lang").alias("lang")).agg(F.sum("word.counts").alias("n"))
+    per_lang = F.explode(F.arrays_zip("langs", "totals")).alias("word")
+    totals = relation.select(per_lang).groupBy(F.col("word.langs").alias("lang")).agg(F.sum("word.totals").alias("n"))
     counts = _Counts(relation, WORD, least, "words", bucket_groups, merged_shards)
     word = F.substring_index(F.decode("key", "ISO-8859-1"), " ", 1)
     lang = F.unhex(F.substring_index(F.decode("key", "ISO-8859-1"), " ", -1)).cast("string")
