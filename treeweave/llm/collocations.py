@@ -135,30 +135,34 @@ def _words(size: int, first: int = 1) -> list[str]:
 
 
 def _dealt(groups: pd.DataFrame, names: list[str], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Bucket and numbers of the groups that fall into it, for each bucket that has any."""
+    """Bucket and numbers of the groups that fall into it, by their first word, for each bucket that has any."""
     if names == WORD:
         drawn = np.fromiter(map(zlib.crc32, groups["key"]), np.int64, len(groups)) % buckets
+        order = np.argsort(drawn, kind="stable")
     else:
         mixed = np.zeros(len(groups), np.uint64)
         for name in names:
             mixed = (mixed ^ groups[name].to_numpy().astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(32)
         drawn = (mixed % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(drawn, kind="stable")
+        first_word = np.argsort(groups["w1"].to_numpy(), kind="stable")
+        order = first_word[np.argsort(drawn[first_word], kind="stable")]
     found, first = np.unique(drawn[order], return_index=True)
     yield from zip(found.tolist(), np.split(order, first[1:]) if len(found) else [])
 
 
 def _shrunk(numbers: np.ndarray) -> bytes:
-    """Numbers compressed, in 32 bits where these do; the first byte tells."""
-    numbers = numbers.astype(np.int32 if numbers.max(initial=0) < 1 << 31 else np.int64)
-    return zstandard.ZstdCompressor().compress(bytes([numbers.itemsize]) + numbers.tobytes())
+    """Numbers compressed, in 32 bits where these do: the first byte tells. Bytes of one weight lie together, so high ones take no room."""
+    numbers = numbers.astype(np.int32 if np.abs(numbers).max(initial=0) < 1 << 31 else np.int64).ravel()
+    weights = numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor().compress(bytes([numbers.itemsize]) + weights)
 
 
 def _grown(data: bytes) -> np.ndarray:
     """What `_shrunk` has compressed."""
     data = zstandard.ZstdDecompressor().decompress(data)
-    return np.frombuffer(data, np.int32 if data[0] == 4 else np.int64, offset=1).astype(np.int64)
+    weights = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1).T
+    return np.ascontiguousarray(weights).view(np.int32 if data[0] == 4 else np.int64).ravel().astype(np.int64)
 
 
 def _sent(frame: pd.DataFrame, names: list[str]) -> dict[str, bytes]:
@@ -166,7 +170,10 @@ def _sent(frame: pd.DataFrame, names: list[str]) -> dict[str, bytes]:
     if names == WORD:
         keys = zstandard.ZstdCompressor().compress(b"\n".join(frame["key"]))
     else:
-        keys = _shrunk(frame[names].to_numpy(np.int64).T)
+        # The first words come in runs or in order: their distances are small.
+        columns = frame[names].to_numpy(np.int64).T.copy()
+        columns[0] = np.diff(columns[0], prepend=0)
+        keys = _shrunk(columns)
     return {"keys": keys, "n": _shrunk(frame["n"].to_numpy(np.int64))}
 
 
@@ -176,7 +183,9 @@ def _received(keys: bytes, n: bytes, names: list[str]) -> pd.DataFrame:
     if names == WORD:
         words = zstandard.ZstdDecompressor().decompress(keys).split(b"\n")
         return pd.DataFrame({"key": words if len(counts) else [], "n": counts})
-    return pd.DataFrame(dict(zip(names, _grown(keys).reshape(len(names), -1)))).assign(n=counts)
+    columns = _grown(keys).reshape(len(names), -1)
+    columns[0] = np.cumsum(columns[0])
+    return pd.DataFrame(dict(zip(names, columns))).assign(n=counts)
 
 
 def _summed(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
@@ -209,9 +218,12 @@ class _Counts:
 
         def often(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             summed = _summed(rows, names)
-            frequent = summed[summed["n"] >= least].rename(columns={"n": "f"}).reset_index(drop=True)
-            # Numbers of words differ between buckets and are small, and a task that runs again gives the same ones.
-            return (frequent.assign(w1=frequent.index * buckets + key[0]) if names == WORD else frequent).assign(bucket=key[0])
+            frequent = summed[summed["n"] >= least].rename(columns={"n": "f"})
+            if names == WORD:
+                # Frequent words have small numbers. Numbers differ between buckets, and a task that runs again gives the same ones.
+                frequent = frequent.sort_values("f", ascending=False, kind="stable").reset_index(drop=True)
+                frequent["w1"] = frequent.index * buckets + key[0]
+            return frequent.assign(bucket=key[0])
 
         keys = "key binary, w1 long" if names == WORD else ", ".join(f"{w} long" for w in names)
         self.frequent = stored(rows.groupBy("bucket").applyInPandas(often, f"bucket long, {keys}, f long"), label)
