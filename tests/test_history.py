@@ -321,3 +321,39 @@ def test_few_edits_and_halving_find_as_much(most):
         for pairs in [many] if few is None else [few, many]:
             assert len(pairs) == len(many) and all(a[i] == b[j] for i, j in pairs)
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_equal_folders_are_not_opened(spark):
+    """One change among 1,000 folders: the rows of all other folders, and their files, can be taken away."""
+    paths = [f"d{i % 10}/e{i // 10 % 10}/f{i // 100}/x{j}" for i in range(1000) for j in range(2)] + ["top", "d1/mid"]
+    old = spark.createDataFrame([("r", p, f"b{n}") for n, p in enumerate(paths)], "repo_url string, path string, blob_id string")
+    hit = "d3/e4/f7/x1"
+    new = old.withColumn("blob_id", F.when(F.col("path") == hit, "changed").otherwise(F.col("blob_id")))
+    folders = [snapshots.folder_digests(tree).cache() for tree in (old, new)]
+    assert folders[0].count() == 1 + 10 + 100 + 1000
+    differ = sorted(r.folder for r in snapshots.changed_folders(*folders).collect())
+    assert differ == ["", "d3", "d3/e4", "d3/e4/f7"]
+    # Siblings of the path stay, as their digests are compared; nothing below them is read, and no file of theirs.
+    read = F.coalesce(F.col("parent").isin(differ), F.lit(True))
+    poorer = [folders[0].where(read), folders[1].where(read)]
+    assert poorer[0].count() == 1 + 3 * 10
+    beside = F.col("path").rlike("^(top|d3/e4/f7/x.)$")
+    got = snapshots.snapshot_diff_by_folders(old.where(beside), new.where(beside), *poorer).collect()
+    assert [(r.path, r.status, r.new_blob) for r in got] == [(hit, "modified", "changed")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_folders_and_whole_trees_differ_alike(spark, seed):
+    rng = random.Random(seed)
+    parts = ["a", "b", "é", "", "a b"]
+
+    def tree():
+        rows = {(rng.choice("rs"), "/".join(rng.choice(parts) for _ in range(rng.randrange(1, 5)))): f"b{rng.randrange(3)}" for _ in range(60)}
+        return spark.createDataFrame([(*k, v) for k, v in rows.items()], "repo_url string, path string, blob_id string")
+
+    trees = [tree(), tree()]
+    told = lambda df: sorted(map(str, df.select("repo_url", "path", "status", "old_blob", "new_blob").collect()))
+    want = told(snapshots.snapshot_diff(*trees))
+    assert want and told(snapshots.snapshot_diff_by_folders(*trees, *[snapshots.folder_digests(t) for t in trees])) == want
+    empty = trees[0].limit(0)
+    assert told(snapshots.snapshot_diff_by_folders(empty, empty, *[snapshots.folder_digests(empty)] * 2)) == []

@@ -38,6 +38,60 @@ def snapshot_diff(base: DataFrame, head: DataFrame, by: list[str] | None = None)
     return changed_paths(with_blob_id(base), with_blob_id(head), by or ["repo_url"])
 
 
+def folder_digests(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Digest of every folder of every tree: (by, folder, parent, level, files, d0..d3); the root is folder "" of level 0, its parent is null.
+
+    A folder's digest sums, in four lanes of 60 bits each, the SHA-256 sums of the paths and blob ids of all files below it, so folders are equal
+    where their files are, and partial sums are taken before the shuffle: a folder of any size is a few rows per task. Digests are
+    made once per snapshot and stored (`kept`, or a table partitioned by level); where files carry stored blob ids, no content is read.
+    """
+    by = by or ["repo_url"]
+    parts = F.split("path", "/")
+    # Folders above a file, the root included.
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder")))
+    digest = F.sha2(F.to_json(F.struct("path", "blob_id")), 256)
+    lanes = [F.conv(F.substring(digest, 1 + 15 * n, 15), 16, 10).cast("decimal(38, 0)").alias(f"d{n}") for n in range(4)]
+    placed = with_blob_id(files).where(F.col("path").isNotNull()).select(*by, F.inline(above), *lanes)
+    parent = F.when(F.col("folder").contains("/"), F.regexp_replace("folder", r"/[^/]*\z", "")).when(F.col("level") > 0, "")
+    return placed.groupBy(*by, "level", "folder").agg(
+        F.count(F.lit(1)).alias("files"), *[F.sum(f"d{n}").cast("decimal(38, 0)").alias(f"d{n}") for n in range(4)]
+    ).select(*by, "folder", parent.alias("parent"), "level", "files", *[f"d{n}" for n in range(4)])
+
+
+def changed_folders(base: DataFrame, head: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Folders (by, folder) that differ between two trees, from their digests, compared level by level.
+
+    Only folders whose parent differs are compared, so what is below two equal folders is never read. A round per level of the
+    deepest difference; the driver sees whether a level has any.
+    """
+    by = by or ["repo_url"]
+    key, sums = [*by, "folder"], ["files", "d0", "d1", "d2", "d3"]
+    found, level = None, 0
+    while True:
+        sides = []
+        for tree, side in ((base, "old"), (head, "new")):
+            rows = tree.where(F.col("level") == level)
+            if found is not None:
+                rows = rows.join(last.select(*by, F.col("folder").alias("parent")), [*by, "parent"], "left_semi")
+            sides.append(rows.select(*key, F.struct(*sums).alias(side)))
+        last = kept(sides[0].join(sides[1], key, "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select(*key), f"level{level}")
+        if last.isEmpty():
+            return last if found is None else found
+        found, level = last if found is None else found.union(last), level + 1
+
+
+def snapshot_diff_by_folders(
+    base: DataFrame, head: DataFrame, base_folders: DataFrame, head_folders: DataFrame, by: list[str] | None = None
+) -> DataFrame:
+    """As `snapshot_diff`, from trees and their stored `folder_digests`: only files that lie directly in folders that differ are compared."""
+    by = by or ["repo_url"]
+    folders = changed_folders(base_folders, head_folders, by)
+    name_size = F.length(F.substring_index("path", "/", -1))
+    folder = F.when(F.col("path").contains("/"), F.substring("path", F.lit(1), F.length("path") - name_size - 1)).otherwise("")
+    near = [tree.withColumn("folder", folder).join(folders, [*by, "folder"], "left_semi").drop("folder") for tree in (base, head)]
+    return snapshot_diff(*near, by)
+
+
 def changed_files(base: DataFrame, head: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Differing paths with both contents, which join in by key.
 

@@ -56,6 +56,18 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot_diff(*_base_head(spark, sf_dir))
 
 
+@query(
+    "snapshot_diff_by_folders",
+    with_views(
+        f"SELECT repo_url, path, {blob_sql('old_text')} AS old_blob, {blob_sql('new_text')} AS new_blob, status FROM changes", BASE_HEAD
+    ),
+)
+def snapshot_diff_by_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = [snapshots.with_blob_id(tree).select("repo_url", "path", "blob_id") for tree in _base_head(spark, sf_dir)]
+    folders = [kept(snapshots.folder_digests(tree), "folders") for tree in trees]
+    return snapshots.snapshot_diff_by_folders(*trees, *folders)
+
+
 @query("blob_id", with_views(f"SELECT repo_url, path, {blob_sql('text')} AS blob_id FROM repo_files"))
 def blob_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.with_blob_id(with_content(load(spark, sf_dir, "repo_files"))).select("repo_url", "path", "blob_id")
