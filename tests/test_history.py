@@ -1,5 +1,6 @@
 """Line differences, patches, commit graphs."""
 
+import pathlib
 import random
 import re
 import shutil
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from treeweave.functions.linediff import _few_edits, _halved, common_count, common_pairs, hunks, split_lines
 from treeweave.operators import history, snapshots
 from treeweave.operators.graph import CommitGraph, commit_graph
+from treeweave.session import shared_dir
 
 
 def lcs(a, b):
@@ -357,3 +359,39 @@ def test_folders_and_whole_trees_differ_alike(spark, seed):
     assert want and told(snapshots.snapshot_diff_by_folders(*trees, *[snapshots.folder_digests(t) for t in trees])) == want
     empty = trees[0].limit(0)
     assert told(snapshots.snapshot_diff_by_folders(empty, empty, *[snapshots.folder_digests(empty)] * 2)) == []
+
+
+def versions_and_pairs(spark, versions=40):
+    """Versions of a long file, one after the other put in front by a line, and pairs that have them whole, changed and several times."""
+    draw = random.Random(5)
+    lines = [f"{draw.getrandbits(256):064x}\n" for _ in range(300)]
+    text = lambda n: bytearray("".join([f"line {n}\n", *lines[n:]]).encode())
+    trees = spark.createDataFrame(
+        [("r", f"c{n:02d}", "a/f", text(n)) for n in range(versions)] + [("r", "c00", "g", bytearray(b"x\n")), ("r", "c01", "n", None)],
+        "repo_url string, commit_sha string, path string, content binary",
+    )
+    asked = [("", f"c{n:02d}") for n in range(versions)] + [(f"c{n:02d}", f"c{n + 1:02d}") for n in range(versions - 1)] + [("c00", "c01")]
+    pairs = spark.createDataFrame([("r", a, b, a, b) for a, b in asked], "repo_url string, base string, head string, base_sha string, head_sha string")
+    return trees, pairs, sum(300 * 65 for a, _ in asked if not a)
+
+
+def test_reports_write_less_than_their_texts(spark):
+    """Versions of a file are compressed side by side, so what a report writes on the way is a small part of its texts."""
+    trees, pairs, size = versions_and_pairs(spark)
+    folder = pathlib.Path(shared_dir(spark))
+    written = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = written()
+    report = history.compare_report(pairs, trees)
+    assert report.where("section = 1").agg(F.sum(F.length("text"))).first()[0] > 0.9 * size
+    assert written() - before < size / 4
+
+
+def test_reports_of_files_and_changes_with_many_rows(spark, monkeypatch):
+    """Files in parts, changes in several lists, and files looked up one by one or taken with all that is stored give the same reports."""
+    trees, pairs, _ = versions_and_pairs(spark, 12)
+    found = []
+    for group, few in ((1_000, 20_000), (1_000, 0), (1, 0), (1, 20_000)):
+        monkeypatch.setattr(history, "GROUP", group)
+        monkeypatch.setattr(history, "FEW", few)
+        found.append(sorted(map(repr, history.compare_report(pairs.unionByName(pairs.limit(5)), trees).collect())))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) > 40

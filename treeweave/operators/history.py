@@ -10,10 +10,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from treeweave.operators.graph import CommitGraph, commit_graph, graph_merge_bases
-from treeweave.operators.snapshots import changed_paths, fetched, patches_of, with_blob_id
+from treeweave.operators.snapshots import changed_paths, file_patches, with_blob_id, with_stored_contents
 from treeweave.session import kept, pin
 
 # Where a reference name is looked up, in this order; then the base branches.
@@ -118,14 +118,93 @@ def base_commits(heads: DataFrame, refs: DataFrame, commits: DataFrame, parents:
 PAIR = ["repo_url", "base_sha", "head_sha"]
 
 
+# Rows that a list of one change, or a part of one file, holds before it is split.
+GROUP = 1_000
+# The files of up to so many lots are looked up in the trees; for more, all that is stored is taken, each version once.
+FEW = 20_000
+EDIT = ["repo_url", "path", "status", "old_blob", "new_blob", "context"]
+
+
 def pair_changes(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Changed paths with blob ids per distinct pair of commits; the base '' stands for the empty tree."""
-    asked = pairs.select(*PAIR).distinct()
+    """Changed paths with blob ids of pairs of commits (pair, repo_url, base_sha, head_sha, context), which go by their number `pair`."""
 
     def side(column: str) -> DataFrame:
-        return blobs.withColumnRenamed("commit_sha", column).join(asked, ["repo_url", column])
+        asked = pairs.select("pair", "context", "repo_url", F.col(column).alias("commit_sha"))
+        return blobs.join(asked, ["repo_url", "commit_sha"]).drop("commit_sha")
+
+    return changed_paths(side("base_sha"), side("head_sha"), ["pair", "context", "repo_url"])
+
+
+def _long(named: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`named` with, in column `name`, how many times `GROUP` rows its rows with the same keys are. Counted by hashes: a chance meeting of two only splits more."""
+    key = F.xxhash64(*keys)
+    counts = named.groupBy(key.alias("_key")).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias(name)).where(F.col(name) > 1)
+    found = named.withColumn("_key", key).join(kept(counts, name), "_key", "left").drop("_key")
+    return found.withColumn(name, F.coalesce(name, F.lit(1)))
 
-    return changed_paths(side("base_sha"), side("head_sha"), PAIR)
+
+def _copies(blobs: DataFrame) -> DataFrame | None:
+    """(repo_url, blob_id, n) of blobs whose first place is stored more than once, if there are any."""
+    place = ["repo_url", "commit_sha", "path", "blob_id"]
+    if blobs.groupBy(F.xxhash64(*place)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return None
+    places = blobs.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    copies = places.groupBy("repo_url", "blob_id").agg(F.min(F.struct("commit_sha", "path", "n")).getField("n").alias("n"))
+    return kept(copies.where("n > 1"), "copies")
+
+
+def _lots(named: DataFrame, copies: DataFrame | None) -> DataFrame:
+    """Distinct changes of `named` (EDIT, pair, lead, names), each with the list `asked` of the rows that have it.
+
+    Lists hold about `GROUP` rows, so a change that many pairs have is several lots; files with many rows are dealt in several parts.
+    """
+    dealt = _long(_long(named, EDIT, "lists"), ["repo_url", "path"], "parts").withColumn("list", F.pmod("pair", "lists")).withColumn(
+        "part", F.pmod(F.xxhash64("status", "old_blob", "new_blob", "context", "list"), "parts")
+    )
+    lots = dealt.groupBy(*EDIT, "part", "list").agg(F.collect_list(F.struct("pair", "lead", "names")).alias("asked")).drop("list")
+    if copies is not None:
+        # A file that is stored more than once counts as often as at the first of its places.
+        for side in ("old", "new"):
+            lots = lots.join(copies.select("repo_url", F.col("blob_id").alias(f"{side}_blob"), F.col("n").alias(side)), ["repo_url", f"{side}_blob"], "left")
+        times = (F.coalesce("old", F.lit(1)) * F.coalesce("new", F.lit(1))).cast("int")
+        lots = lots.withColumn("asked", F.flatten(F.array_repeat("asked", times))).drop("old", "new")
+    return kept(lots.withColumn("lot", F.monotonically_increasing_id()), "lots", "zstd")
+
+
+def _with_contents(lots: DataFrame, trees: DataFrame, blobs: DataFrame) -> DataFrame:
+    """`lots` with `old_content` and `new_content` from the trees.
+
+    Contents and the lots that need them meet by file, in one shuffle: the versions of a file travel side by side, where they compress well,
+    and both sides of a change come to the same place. A window hands each content on to the lots that need it.
+    """
+    file = ["repo_url", "path", "part"]
+    about = F.struct(*[c for c in lots.columns if c not in file])
+    needs = lots.select(*file, "lot", about.alias("about"), F.explode(F.array_compact(F.array(*[
+        F.when(F.col(f"{side}_blob").isNotNull(), F.struct(F.lit(side).alias("side"), F.col(f"{side}_blob").alias("blob_id"))) for side in ("old", "new")
+    ]))).alias("need")).select(*file, "need.*", "lot", F.when(
+        (F.col("need.side") == "new") | F.col("about.new_blob").isNull(), F.col("about")
+    ).alias("about"))
+    stored = trees.where("path IS NOT NULL").select("repo_url", "commit_sha", "path", "content", *[c for c in trees.columns if c == "blob_id"])
+    if lots.count() <= FEW:
+        wanted = needs.select("repo_url", "path", "blob_id").distinct()
+        places = blobs.join(wanted, ["repo_url", "path", "blob_id"]).groupBy("repo_url", "path", "blob_id").agg(F.min("commit_sha").alias("commit_sha"))
+        stored = stored.join(kept(places.select("repo_url", "commit_sha", "path"), "places"), ["repo_url", "commit_sha", "path"])
+    versions = with_blob_id(stored).where("blob_id IS NOT NULL").select("repo_url", "path", "blob_id", "content").dropDuplicates(["repo_url", "path", "blob_id"])
+    # Parts other than the first are there for files with many rows only: their contents go where they are needed, all others to part 0.
+    spread = kept(lots.where("part > 0").select("repo_url", "path").distinct(), "files")
+    if spread.isEmpty():
+        versions = versions.withColumn("part", F.lit(0).cast("long"))
+    else:
+        places = needs.join(spread, ["repo_url", "path"], "left_semi").select(*file, "blob_id").distinct()
+        versions = versions.join(kept(places, "places"), ["repo_url", "path", "blob_id"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    both = needs.unionByName(versions, True)
+    order = F.col("lot").isNotNull()
+    before = W.partitionBy(*file, "blob_id").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = both.repartition(*file).withColumn("content", F.first("content", ignorenulls=True).over(before)).where(order)
+    content = lambda side: F.max(F.when(F.col("side") == side, F.col("content"))).alias(f"{side}_content")
+    return met.groupBy(*file, "lot").agg(F.first("about", ignorenulls=True).alias("about"), content("old"), content("new")).select(
+        "path", "about.*", "old_content", "new_content"
+    )
 
 
 def _count_lines() -> list[Column]:
@@ -147,38 +226,32 @@ def _report(
     compared once per distinct change, whatever number of pairs has it.
     """
     pairs = pairs if "context" in pairs.columns else pairs.withColumn("context", F.lit(context))
-    pairs = pin(pairs.withColumn("context", F.coalesce("context", F.lit(context))))
-    ends = pairs.select("repo_url", F.explode(F.array("base_sha", "head_sha")).alias("commit_sha")).distinct()
-    blobs = pin(with_blob_id(trees.join(ends, ["repo_url", "commit_sha"], "left_semi")).select("repo_url", "commit_sha", "path", "blob_id"))
-    changed = pair_changes(pairs, blobs).join(pairs.select(*PAIR, "context").distinct(), PAIR)
-    changes = pin(changed)
-    edit = ["repo_url", "path", "status", "old_blob", "new_blob"]
-    wanted = changes.select("repo_url", F.explode(F.array_compact(F.array("old_blob", "new_blob"))).alias("blob_id")).distinct()
-    if contents is not None:
-        contents = kept(fetched(contents, wanted), "blobs")
-    else:
-        # One place per blob is enough to fetch its content from.
-        places = blobs.join(wanted, ["repo_url", "blob_id"]).groupBy("repo_url", "blob_id").agg(
-            F.min(F.struct("commit_sha", "path")).alias("at")
-        )
-        stored = trees.select("repo_url", "commit_sha", "path", "content")
-        contents = stored.join(places.select("repo_url", "blob_id", "at.*"), ["repo_url", "commit_sha", "path"]).select("repo_url", "blob_id", "content")
-    patches = pin(patches_of(changes.select(*edit, "context").distinct(), contents))
-    matched = changes.join(
-        patches.select(*[F.col(c).alias(f"_{c}") for c in [*edit, "context"]], "patch", "insertions", "deletions"),
-        reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*edit, "context"]]),
-    ).select(*PAIR, "context", "path", "patch", "insertions", "deletions")
+    pairs = pin(pairs.withColumn("context", F.coalesce("context", F.lit(context))).withColumn("row", F.monotonically_increasing_id()))
     pair = [*PAIR, "context"]
-    counts = matched.groupBy(*pair).agg(
+    # Distinct pairs go by the number of one of their rows, which leads.
+    asked = kept(pairs.groupBy(*pair).agg(F.min("row").alias("pair")), "pairs")
+    rows = kept(pairs.select("row", *dict.fromkeys([*keys, *pair])).join(asked, pair).select(
+        "pair", (F.col("row") == F.col("pair")).alias("lead"), F.struct(*keys).alias("names")
+    ), "rows")
+    ends = asked.select("repo_url", F.explode(F.array("base_sha", "head_sha")).alias("commit_sha")).distinct()
+    # Joined, not filtered: ids are worked out before the join, so contents are not shuffled for it.
+    blobs = kept(with_blob_id(trees).select("repo_url", "commit_sha", "path", "blob_id").join(ends, ["repo_url", "commit_sha"]), "blobs")
+    named = kept(pair_changes(asked, blobs).join(rows, "pair"), "changes", "zstd")
+    lots = _lots(named, _copies(blobs) if contents is None else None)
+    changes = _with_contents(lots, trees, blobs) if contents is None else with_stored_contents(lots, contents)
+    patches = kept(file_patches(changes).select("path", "asked", "patch", "insertions", "deletions"), "patches", "zstd")
+    each = patches.select("insertions", "deletions", F.inline("asked"))
+    counts = each.where("lead").groupBy("pair").agg(
         F.count(F.lit(1)).alias("files_changed"),
         F.sum("insertions").alias("insertions"),
         F.sum("deletions").alias("deletions"),
     )
-    titles = pairs.join(counts, pair, "left").fillna(0, ["files_changed", "insertions", "deletions"]).select(
+    counted = asked.join(counts, "pair").drop("pair")
+    titles = pairs.join(counted, pair, "left").fillna(0, ["files_changed", "insertions", "deletions"]).select(
         *keys, F.lit(0).alias("section"), F.lit("").alias("path"), F.concat(*title, *_count_lines()).alias("text")
     )
-    texts = matched.join(pairs.select(*dict.fromkeys([*keys, *pair])), pair).select(
-        *keys, F.lit(1).alias("section"), "path", F.col("patch").alias("text")
+    texts = patches.select("path", "patch", F.inline("asked")).select(
+        "names.*", F.lit(1).alias("section"), "path", F.col("patch").alias("text")
     )
     report = titles.unionByName(texts)
     return report if failed is None else report.unionByName(

@@ -128,12 +128,21 @@ def fetched(contents: DataFrame, wanted: DataFrame) -> DataFrame:
     return contents.select("blob_id", "content").join(wanted.select("blob_id").distinct().hint("shuffle_hash"), "blob_id", "left_semi")
 
 
-def patches_of(changes: DataFrame, contents: DataFrame) -> DataFrame:
-    """Patches of distinct changes (repo_url, path, status, old_blob, new_blob, context), from contents by blob id, of all repositories or each."""
-    by = ["repo_url"] if "repo_url" in contents.columns else []
-    old = contents.select(*by, F.col("blob_id").alias("old_blob"), F.col("content").alias("old_content"))
-    new = contents.select(*by, F.col("blob_id").alias("new_blob"), F.col("content").alias("new_content"))
-    return file_patches(changes.join(old, [*by, "old_blob"], "left").join(new, [*by, "new_blob"], "left"))
+def with_stored_contents(changes: DataFrame, contents: DataFrame) -> DataFrame:
+    """Changes (status, old_blob, new_blob, ...) with `old_content` and `new_content` from contents by blob id.
+
+    Where contents are bucketed by blob id they stay in place; only the old contents of modified files are shuffled, to the new ones.
+    """
+
+    def side(changes: DataFrame, blob: str, name: str) -> DataFrame:
+        found = fetched(contents, changes.select(F.col(blob).alias("blob_id")).where("blob_id IS NOT NULL"))
+        return changes.join(found.select(F.col("blob_id").alias(blob), F.col("content").alias(name)), blob, "left")
+
+    none = F.lit(None).cast("binary")
+    modified = side(side(changes.where("status = 'modified'"), "old_blob", "old_content"), "new_blob", "new_content")
+    added = side(changes.where("status = 'added'").withColumn("old_content", none), "new_blob", "new_content")
+    deleted = side(changes.where("status = 'deleted'"), "old_blob", "old_content").withColumn("new_content", none)
+    return modified.unionByName(added).unionByName(deleted)
 
 
 def _nul_inside(content: Column) -> Column:

@@ -77,8 +77,8 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
+def kept(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """`df` written to the shared folder and read again: as `pin`, but worked out once, and later plans know how large it is."""
     folder = new_folder(df.sparkSession, label)
-    df.write.parquet(folder)
+    df.write.option("compression", compression).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
