@@ -120,7 +120,7 @@ PAIR = ["repo_url", "base_sha", "head_sha"]
 
 # Rows that a list of one change, or a part of one file, holds before it is split.
 GROUP = 1_000
-# The files of up to so many lots are looked up in the trees; for more, all that is stored is taken, each version once.
+# What up to so many pairs or lots need is looked up in the trees; for more, all that is stored is taken, each version of a file once.
 FEW = 20_000
 EDIT = ["repo_url", "path", "status", "old_blob", "new_blob", "context"]
 
@@ -143,12 +143,12 @@ def _long(named: DataFrame, keys: list[str], name: str) -> DataFrame:
     return found.withColumn(name, F.coalesce(name, F.lit(1)))
 
 
-def _copies(blobs: DataFrame) -> DataFrame | None:
-    """(repo_url, blob_id, n) of blobs whose first place is stored more than once, if there are any."""
+def _copies(blobs: DataFrame, ends: DataFrame) -> DataFrame | None:
+    """(repo_url, blob_id, n) of blobs whose first place in the commits `ends` is stored more than once, if there are any."""
     place = ["repo_url", "commit_sha", "path", "blob_id"]
     if blobs.groupBy(F.xxhash64(*place)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return None
-    places = blobs.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    places = blobs.join(ends, ["repo_url", "commit_sha"], "left_semi").groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
     copies = places.groupBy("repo_url", "blob_id").agg(F.min(F.struct("commit_sha", "path", "n")).getField("n").alias("n"))
     return kept(copies.where("n > 1"), "copies")
 
@@ -233,11 +233,14 @@ def _report(
     rows = kept(pairs.select("row", *dict.fromkeys([*keys, *pair])).join(asked, pair).select(
         "pair", (F.col("row") == F.col("pair")).alias("lead"), F.struct(*keys).alias("names")
     ), "rows")
+    blobs = with_blob_id(trees).select("repo_url", "commit_sha", "path", "blob_id")
     ends = asked.select("repo_url", F.explode(F.array("base_sha", "head_sha")).alias("commit_sha")).distinct()
-    # Joined, not filtered: ids are worked out before the join, so contents are not shuffled for it.
-    blobs = kept(with_blob_id(trees).select("repo_url", "commit_sha", "path", "blob_id").join(ends, ["repo_url", "commit_sha"]), "blobs")
+    if asked.count() <= FEW:
+        # Joined, not filtered: a filter would go below the ids, where contents would be shuffled for it.
+        blobs = blobs.join(ends, ["repo_url", "commit_sha"])
+    blobs = kept(blobs, "blobs")
     named = kept(pair_changes(asked, blobs).join(rows, "pair"), "changes", "zstd")
-    lots = _lots(named, _copies(blobs) if contents is None else None)
+    lots = _lots(named, _copies(blobs, ends) if contents is None else None)
     changes = _with_contents(lots, trees, blobs) if contents is None else with_stored_contents(lots, contents)
     patches = kept(file_patches(changes).select("path", "asked", "patch", "insertions", "deletions"), "patches", "zstd")
     each = patches.select("insertions", "deletions", F.inline("asked"))
@@ -301,7 +304,7 @@ def commit_report(
         F.coalesce(F.concat(F.lit("Message: "), "summary", F.lit("\n")), F.lit("")),
         F.coalesce(F.concat(F.lit("Author: "), "author", F.lit("\n")), F.lit("")), F.lit("\n"),
     ]
-    pairs = commit_pairs(shas, commits, parents)
+    pairs = pin(commit_pairs(shas, commits, parents))
     failed = pairs.where("head_sha IS NULL").withColumn("text", F.concat(F.lit("Failed to find commit: "), "name"))
     return _report(pairs.where("head_sha IS NOT NULL"), trees, title, ["repo_url", "sha"], context, failed, contents)
 

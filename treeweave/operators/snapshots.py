@@ -118,7 +118,7 @@ def write_contents(files: DataFrame, table: str, path: str | None = None, mode:
     spark = files.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = with_blob_id(files).where(F.col("content").isNotNull()).select("blob_id", "content").dropDuplicates(["blob_id"])
-    writer = blobs.write.bucketBy(buckets, "blob_id").mode(mode).format("parquet")
+    writer = blobs.write.bucketBy(buckets, "blob_id").mode(mode).format("parquet").option("compression", "zstd")
     (writer.option("path", path) if path else writer).saveAsTable(table)
     return spark.table(table)
 
