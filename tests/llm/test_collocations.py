@@ -1,14 +1,17 @@
 """Phrases by SETM against plain counting."""
 
+import pathlib
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from odd import base_rows, empty_docs, lower_ascii, odd_docs
 from pyspark.sql import functions as F
 
-from treeweave.llm.collocations import _lowest_cut, collocations
+from treeweave.llm.collocations import WORD, _Counts, _grouped, _lowest_cut, collocations
+from treeweave.session import shared_dir
 
 PARTS = ["a", "b", "c", "B", "dé", "x\x1cy", "the", "of", ".", ",", ";", "\n", "\x0b", "\t", "  ", "!?", "\r\n", "\x85"]
 
@@ -77,3 +80,26 @@ def test_words_of_pieces_and_documents_do_not_meet(spark):
     df = spark.createDataFrame([("x y", "en"), ("x, y", "en"), ("x", "en"), ("y", "en")] * 30, "text string, lang string").coalesce(1)
     assert [(r["phrase"], r["a"]) for r in collocations(df).select("phrase", "a").collect()] == [("x y", 30)]
     assert collocations(df.withColumn("lang", F.lit(None).cast("string"))).first()["lang"] == "und"
+
+
+def test_groups_are_sent_once_and_not_written_with_their_places(spark, monkeypatch):
+    sent, rows_of = [], _Counts._rows
+    monkeypatch.setattr(_Counts, "_rows", lambda counts: sent.append(counts.names) or rows_of(counts))
+    rng = random.Random(5)
+    rows = [(" ".join(f"w{int(500 * rng.random() ** 2)}" for _ in range(300)), "en") for _ in range(200)]
+    folder = pathlib.Path(shared_dir(spark)) / spark.sparkContext.applicationId
+    before = set(folder.glob("*"))
+    assert told(collocations(spark.createDataFrame(rows, "text string, lang string").coalesce(2), least=3, top=100)) == by_hand(rows, 3, 4, 100)
+    assert sent == [WORD, ["w1", "w2"], ["w1", "w2", "w3"], ["w1", "w2", "w3", "w4"]]
+    size = {label: sum(f.stat().st_size for d in set(folder.glob(f"{label}-*")) - before for f in d.rglob("*.parquet")) for label in ("occurrences1", "occurrences3")}
+    assert 0 < size["occurrences3"] < size["occurrences1"] / 4
+
+
+@pytest.mark.parametrize("below", [2, 7, 1 << 22, 1 << 31])
+def test_groups_of_numbers_of_any_size(below):
+    rng = random.Random(below)
+    values = [rng.randrange(below) for _ in range(3)]
+    rows = [tuple(rng.choice(values) for _ in range(4)) for _ in range(300)]
+    row, of, n = _grouped([np.array(c) for c in zip(*rows)], below)
+    assert [rows[row[g]] for g in of] == rows
+    assert {rows[at]: count for at, count in zip(row, n.tolist())} == Counter(rows)

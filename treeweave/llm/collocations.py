@@ -7,18 +7,20 @@ the one before:
 1. group-count: occurrences are counted where they lie, and these counts are summed by group;
 2. semi-join: groups that are frequent go back to the relations, occurrences of all others leave them;
 3. merge-join: the relation meets itself on place and place + 1; two neighbouring groups of k words, which share all but one
-   word, are an occurrence of a group of k + 1 words.
+   word, are an occurrence of a group of k + 1 words. Its words are those of R1 at its place and the k after it.
 
-Every relation is written to the shared folder before the next length. It is kept in shards of some megabytes of text, one row each with
-compressed columns, bucketed by shard, so the merge-join runs where a shard is and no occurrence is ever shuffled: what crosses the
-network is one row per shard and bucket of groups, compressed. A group that all documents share is sent once per shard. Frequent words have numbers, and longer
-groups are told apart by the numbers of their words, never by a hash.
+R1 is kept in shards of some megabytes of text, one row each with compressed columns, bucketed by shard, and so are the numbers of its
+words. Of a longer relation only the places are written, one bit per place of R1, as its groups are found again by a merge-join with R1.
+Joins run where a shard is and no occurrence is ever shuffled: what crosses the network is one row per shard and bucket of groups,
+compressed, once per length, and a bit per group on the way back. A group that all documents share is sent once per shard. Frequent words
+have numbers, and longer groups are told apart by the numbers of their words, never by a hash.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -38,14 +40,13 @@ SCALE = 2_000_000
 # Bytes of text of one shard.
 SHARD_BYTES = 8 << 20
 # Rows of groups, one per shard and group, of one bucket on average, and shards that one task merges at most.
-BUCKET_GROUPS = 250_000
-MERGED_SHARDS = 4_096
+BUCKET_GROUPS = 1_000_000
+MERGED_SHARDS = 16_384
 # Columns that describe a word.
 WORD = ["lang", "word"]
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _LOWER = bytes.maketrans(_BREAKS + UPPER.encode(), b"." * len(_BREAKS) + UPPER.lower().encode())
-_COLUMNS = "gaps binary, items binary, keys binary, n binary, groups long"
 
 
 class _Shard:
@@ -125,7 +126,8 @@ def _word_relation(docs: DataFrame, shard_bytes: int) -> DataFrame:
         if shard.parts:
             yield shard.row()
 
-    made = docs.mapInPandas(cut, f"{_COLUMNS}, langs array<string>, totals array<long>")
+    columns = "gaps binary, items binary, keys binary, n binary, groups long, langs array<string>, totals array<long>"
+    made = docs.mapInPandas(cut, columns)
     return made.select(F.monotonically_increasing_id().alias("shard"), "*")
 
 
@@ -145,8 +147,7 @@ def _dealt(groups: pd.DataFrame, names: list[str], buckets: int) -> Iterator[tup
             mixed = (mixed ^ groups[name].to_numpy().astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(32)
         drawn = (mixed % np.uint64(buckets)).astype(np.int64)
-        first_word = np.argsort(groups["w1"].to_numpy(), kind="stable")
-        order = first_word[np.argsort(drawn[first_word], kind="stable")]
+        order = np.lexsort((groups["w1"].to_numpy(), drawn))
     found, first = np.unique(drawn[order], return_index=True)
     yield from zip(found.tolist(), np.split(order, first[1:]) if len(found) else [])
 
@@ -177,65 +178,102 @@ def _sent(frame: pd.DataFrame, names: list[str]) -> dict[str, bytes]:
     return {"keys": keys, "n": _shrunk(frame["n"].to_numpy(np.int64))}
 
 
-def _received(keys: bytes, n: bytes, names: list[str]) -> pd.DataFrame:
-    """What `_sent` has packed."""
+def _received(keys: bytes, n: bytes, names: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns of the keys of what `_sent` has packed, and the counts."""
     counts = _grown(n)
     if names == WORD:
         words = zstandard.ZstdDecompressor().decompress(keys).split(b"\n")
-        return pd.DataFrame({"key": words if len(counts) else [], "n": counts})
+        return [np.fromiter(words if len(counts) else [], object, len(counts))], counts
     columns = _grown(keys).reshape(len(names), -1)
     columns[0] = np.cumsum(columns[0])
-    return pd.DataFrame(dict(zip(names, columns))).assign(n=counts)
+    return list(columns), counts
 
 
-def _summed(rows: pd.DataFrame, names: list[str]) -> pd.DataFrame:
-    """Groups of one bucket with their counts summed, in order of their keys."""
-    by = ["key"] if names == WORD else names
-    every = pd.concat([_received(k, n, names) for k, n in zip(rows["keys"], rows["n"])])
-    return every.groupby(by, sort=True, as_index=False)["n"].sum()
+def _summed(rows: pd.DataFrame, names: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Groups of one bucket with their counts summed, in order of their keys; which of them each one received is; where rows end."""
+    received = [_received(k, n, names) for k, n in zip(rows["keys"], rows["n"])]
+    ends = np.cumsum([len(n) for _, n in received])
+    n = np.concatenate([n for _, n in received])
+    columns = [np.concatenate(column) for column in zip(*[keys for keys, _ in received])]
+    del received
+    if names == WORD:
+        # Words are sorted once each, not once per shard.
+        each = {key: at for at, key in enumerate(sorted(set(columns[0])))}
+        of = np.fromiter(map(each.__getitem__, columns[0]), np.int64, len(n))
+        keys = {"key": list(each)}
+    else:
+        order = np.lexsort(columns[::-1])
+        columns = [column[order] for column in columns]
+        new = np.ones(len(n), bool)
+        new[1:] = np.any([column[1:] != column[:-1] for column in columns], axis=0)
+        of = np.empty(len(n), np.int64)
+        of[order] = np.cumsum(new) - 1
+        keys = {name: column[new] for name, column in zip(names, columns)}
+    summed = pd.DataFrame(keys)
+    sums = np.zeros(len(summed), np.int64)
+    np.add.at(sums, of, n)
+    return summed.assign(n=sums), of, ends
 
 
 class _Counts:
     """Groups of a relation counted over all shards, and the way back to the shards.
 
-    Groups are dealt into buckets by hash. A shard sends one row per bucket, with the keys and counts of its groups compressed; where
-    there are more shards than one task should merge, some shards are merged first. Each shard is told which of its groups are
-    frequent by one bit each, in the order in which it sent them.
+    `groups` tells for a row of the relation its groups, always in the same order; `rows` and `shards` are the number of rows of
+    groups, or a bound of it, and of shards. Groups are dealt into buckets by hash. A shard sends one row per bucket, with the keys and
+    counts of its groups compressed, and each shard is told which of its groups are frequent by one bit each, in the order in which it
+    sent them, by the task that counts the bucket. Where there are more shards than one task should merge, some shards are merged
+    first, and groups are sent once more for the answers.
     """
 
-    def __init__(self, relation: DataFrame, names: list[str], least: int, label: str, bucket_groups: int, merged_shards: int):
-        groups, shards = relation.agg(F.sum("groups"), F.count(F.lit(1))).first()
-        self.names, self.relation = names, relation.select("shard", "keys", "n")
-        self.buckets = buckets = 1 + (groups or 0) // bucket_groups
+    def __init__(
+        self, relation: DataFrame, groups: Callable[..., pd.DataFrame], names: list[str], rows: int, shards: int, least: int, label: str,
+        bucket_groups: int, merged_shards: int,
+    ):
+        self.names, self.relation, self.groups = names, relation, groups
+        self.buckets = buckets = 1 + rows // bucket_groups
         self.parts = 1 + shards // merged_shards
-        rows = self._rows()
+        sent = self._rows()
         if self.parts > 1:
 
             def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-                return pd.DataFrame([{"bucket": key[0], **_sent(_summed(rows, names), names)}])
+                return pd.DataFrame([{"bucket": key[0], "shard": -1, **_sent(_summed(rows, names)[0], names)}])
 
-            rows = rows.groupBy("bucket", "part").applyInPandas(merge, "bucket long, keys binary, n binary")
+            sent = sent.groupBy("bucket", "part").applyInPandas(merge, "bucket long, shard long, keys binary, n binary")
+        keys = ["key", "w1"] if names == WORD else names
 
         def often(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            summed = _summed(rows, names)
-            frequent = summed[summed["n"] >= least].rename(columns={"n": "f"})
+            summed, of, ends = _summed(rows, names)
+            often = summed["n"].to_numpy() >= least
+            frequent = summed[often].rename(columns={"n": "f"})
+            number = np.zeros(len(summed), np.int64)
             if names == WORD:
                 # Frequent words have small numbers. Numbers differ between buckets, and a task that runs again gives the same ones.
-                frequent = frequent.sort_values("f", ascending=False, kind="stable").reset_index(drop=True)
-                frequent["w1"] = frequent.index * buckets + key[0]
-            return frequent.assign(bucket=key[0])
-
-        keys = "key binary, w1 long" if names == WORD else ", ".join(f"{w} long" for w in names)
-        self.frequent = stored(rows.groupBy("bucket").applyInPandas(often, f"bucket long, {keys}, f long"), label)
+                frequent = frequent.sort_values("f", ascending=False, kind="stable")
+                frequent["w1"] = np.arange(len(frequent)) * buckets + key[0]
+                number[frequent.index] = frequent["w1"]
+            told = []
+            for shard, at in zip(rows["shard"], np.split(of, ends[:-1])):
+                if shard >= 0:
+                    bits = often[at]
+                    numbers = number[at[bits]] if names == WORD else np.zeros(0, np.int64)
+                    told.append({"shard": shard, "bits": np.packbits(bits).tobytes(), "numbers": _shrunk(numbers)})
+            answers = pd.DataFrame(told, columns=["shard", "bits", "numbers"], dtype=object).assign(**{c: None if c == "key" else 0 for c in keys}, f=0)
+            every = pd.concat([frequent.assign(shard=-1, bits=None, numbers=None), answers]) if told else frequent.assign(shard=-1, bits=None, numbers=None)
+            return every.assign(bucket=key[0])
+
+        columns = ", ".join(f"{c} {'binary' if c == 'key' else 'long'}" for c in keys)
+        made = stored(sent.groupBy("bucket").applyInPandas(often, f"bucket long, {columns}, f long, shard long, bits binary, numbers binary"), label)
+        # Rows of a shard are answers, the others frequent groups.
+        self.frequent, self.answers = made.where("shard < 0").select("bucket", *keys, "f"), made.where("shard >= 0")
 
     def _rows(self) -> DataFrame:
         """(bucket, part, shard, keys, n), one row per shard and bucket."""
-        names, buckets, parts = self.names, self.buckets, self.parts
+        names, buckets, parts, groups_of = self.names, self.buckets, self.parts, self.groups
 
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    groups = _received(row.keys, row.n, names)
+                    groups = groups_of(row)
                     rows = [
                         {"bucket": bucket, "part": row.shard % parts, "shard": row.shard, **_sent(groups.take(at), names)}
                         for bucket, at in _dealt(groups, names, buckets)
@@ -247,29 +285,30 @@ class _Counts:
 
     def told(self) -> DataFrame:
         """(shard, told): per bucket of the shard a bit per group, and for words the numbers of the frequent ones."""
-        names = self.names
+        names, answers = self.names, self.answers
         by, number = (["key"], "w1") if names == WORD else (names, "f")
 
         def tell(key: tuple, rows: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
             told = []
             for shard, keys, n in zip(rows["shard"], rows["keys"], rows["n"]):
-                met = _received(keys, n, names)[by].merge(frequent[[*by, number]], on=by, how="left")[number]
+                met = pd.DataFrame(dict(zip(by, _received(keys, n, names)[0]))).merge(frequent[[*by, number]], on=by, how="left")[number]
                 bits = met.notna().to_numpy()
                 numbers = met[bits].to_numpy(np.int64) if names == WORD else np.zeros(0, np.int64)
                 told.append({"shard": shard, "bucket": key[0], "bits": np.packbits(bits).tobytes(), "numbers": _shrunk(numbers)})
             return pd.DataFrame(told, columns=["shard", "bucket", "bits", "numbers"])
 
-        frequent = self.frequent.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))))
-        answers = self._rows().groupBy("bucket", "part").cogroup(frequent.groupBy("bucket", "part")).applyInPandas(
-            tell, "shard long, bucket long, bits binary, numbers binary"
-        )
+        if self.parts > 1:
+            frequent = self.frequent.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))))
+            answers = self._rows().groupBy("bucket", "part").cogroup(frequent.groupBy("bucket", "part")).applyInPandas(
+                tell, "shard long, bucket long, bits binary, numbers binary"
+            )
         return answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits", "numbers")).alias("told"))
 
 
 def _answers(groups: pd.DataFrame, told: list[dict], names: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Which groups of a shard are frequent, and for words their numbers."""
     of_bucket = {t["bucket"]: t for t in told}
-    frequent, numbers = np.zeros(len(groups), bool), np.zeros(len(groups), np.int64)
+    frequent, numbers = np.zeros(len(groups), bool), np.full(len(groups), -1)
     for bucket, at in _dealt(groups, names, buckets):
         answer = of_bucket[bucket]
         bits = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=len(at)).astype(bool)
@@ -279,30 +318,89 @@ def _answers(groups: pd.DataFrame, told: list[dict], names: list[str], buckets:
     return frequent, numbers
 
 
+def _known_words(row: tuple) -> pd.DataFrame:
+    """Words of a shard of R1 with their counts."""
+    (key,), n = _received(row.keys, row.n, WORD)
+    return pd.DataFrame({"key": key, "n": n})
+
+
+def _frequent_words(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of frequent words in a shard, these words as the shard numbers them, and the numbers that the words of the shard have."""
+    places, items = _unpacked(row.gaps, row.items)
+    numbers = _grown(row.numbers)
+    kept = numbers[items] >= 0
+    return places[kept], items[kept], numbers
+
+
+def _neighbours(places: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+    """Merge-join of a relation with itself: which of its rows, all or those `kept`, have one at the next place."""
+    at = np.arange(len(places)) if kept is None else kept
+    return at[:-1][places[at[1:]] == places[at[:-1]] + 1]
+
+
+def _grouped(columns: list[np.ndarray], below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal numbers, which are less than `below`: one row of each group, the group of each row, and the sizes of the groups."""
+    bits = max(1, (below - 1).bit_length())
+    keys, used = columns[0].astype(np.int64), bits
+    for column in columns[1:]:
+        if used + bits > 63:
+            keys = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+            used = len(keys).bit_length()
+        keys, used = (keys << bits) | column, used + bits
+    found, of, n = np.unique(keys, return_inverse=True, return_counts=True)
+    row = np.zeros(len(found), np.int64)
+    row[of] = np.arange(len(of))
+    return row, of, n
+
+
+def _met(row: tuple, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+    """Places of the frequent words of a shard; those rows at which an occurrence of `size` words starts; their groups, and these."""
+    places, items, numbers = _frequent_words(row)
+    if size == 2:
+        at = _neighbours(places)
+    else:
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(row.starts), np.uint8), count=len(places)))
+    columns = [items[at + shift] for shift in range(size)]
+    one, of, n = _grouped(columns, len(numbers))
+    found = {name: numbers[column[one]] for name, column in zip(_words(size), columns)}
+    return places, at, of, pd.DataFrame(found).assign(n=n)
+
+
+def _groups(row: tuple, size: int) -> pd.DataFrame:
+    """Groups of `size` words of a shard with their counts."""
+    return _met(row, size)[-1]
+
+
+def _numbered(relation: DataFrame, counts: _Counts) -> DataFrame:
+    """(shard, numbers, rows): the numbers of the words of a shard, -1 for those that are not frequent, and its pairs of frequent words."""
+    buckets = counts.buckets
+    joined = relation.select("shard", "gaps", "items", "keys", "n").join(counts.told(), "shard")
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                frequent, numbers = _answers(_known_words(row), row.told, WORD, buckets)
+                places, items = _unpacked(row.gaps, row.items)
+                yield pd.DataFrame([{"shard": row.shard, "numbers": _shrunk(numbers), "rows": len(_neighbours(places[frequent[items]]))}])
+
+    return joined.mapInPandas(number, "shard long, numbers binary, rows long")
+
+
 def _longer(relation: DataFrame, counts: _Counts, size: int) -> DataFrame:
-    """The relation of groups of `size` words from the one before it and its counts; the numbers of their words are their keys."""
+    """(shard, starts, rows): where groups of `size` words start, a bit per frequent word, from the relation before it and its counts."""
     names, buckets = counts.names, counts.buckets
-    joined = relation.select("shard", "gaps", "items", "keys", "n").join(counts.told(), "shard")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                places, items = _unpacked(row.gaps, row.items)
-                known = _received(row.keys, row.n, names)
-                frequent, numbers = _answers(known, row.told, names, buckets)
-                columns = [numbers] if names == WORD else [known[w].to_numpy() for w in names]
-                kept = frequent[items]
-                places, items = places[kept], items[kept]
-                at = np.flatnonzero(places[1:] == places[:-1] + 1)
-                pairs, groups, n = np.unique(
-                    (items[at].astype(np.int64) << 32) | items[at + 1], return_inverse=True, return_counts=True
-                )
-                left, right = pairs >> 32, pairs & 0xFFFFFFFF
-                found = dict(zip(_words(size), [c[left] for c in columns] + [columns[-1][right]]))
-                sent = _sent(pd.DataFrame(found).assign(n=n), _words(size))
-                yield pd.DataFrame([{"shard": row.shard, **{c: v[0] for c, v in _packed(places[at], groups).items()}, **sent, "groups": len(n)}])
-
-    return joined.mapInPandas(extend, f"shard long, {_COLUMNS}")
+                places, at, of, groups = _met(row, size - 1)
+                frequent, _ = _answers(groups, row.told, names, buckets)
+                at = _neighbours(places, at[frequent[of]])
+                starts = np.zeros(len(places), bool)
+                starts[at] = True
+                yield pd.DataFrame([{"shard": row.shard, "starts": zstandard.ZstdCompressor().compress(np.packbits(starts).tobytes()), "rows": len(at)}])
+
+    return relation.join(counts.told(), "shard").mapInPandas(extend, "shard long, starts binary, rows long")
 
 
 def _described(frequent: DataFrame, parts: DataFrame, size: int) -> DataFrame:
@@ -354,10 +452,11 @@ def collocations(
     """
     ship_package(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), utf8(F.col(text_col)).alias("bytes"))
-    relation = stored_by(_word_relation(texts.where("octet_length(bytes) > 0"), shard_bytes), "occurrences1", "shard")
+    words = stored_by(_word_relation(texts.where("octet_length(bytes) > 0"), shard_bytes), "occurrences1", "shard")
     per_lang = F.explode(F.arrays_zip("langs", "totals")).alias("word")
-    totals = relation.select(per_lang).groupBy(F.col("word.langs").alias("lang")).agg(F.sum("word.totals").alias("n"))
-    counts = _Counts(relation, WORD, least, "words", bucket_groups, merged_shards)
+    totals = words.select(per_lang).groupBy(F.col("word.langs").alias("lang")).agg(F.sum("word.totals").alias("n"))
+    rows, shards = words.agg(F.coalesce(F.sum("groups"), F.lit(0)), F.count(F.lit(1))).first()
+    counts = _Counts(words.select("shard", "keys", "n"), _known_words, WORD, rows, shards, least, "words", bucket_groups, merged_shards)
     word = F.substring_index(F.decode("key", "ISO-8859-1"), " ", 1)
     lang = F.unhex(F.substring_index(F.decode("key", "ISO-8859-1"), " ", -1)).cast("string")
     phrase = F.encode(word, "ISO-8859-1").cast("string")
@@ -367,8 +466,15 @@ def collocations(
     found: list[DataFrame] = []
     for size in range(2, longest + 1):
         keys = _words(size)
-        relation = stored_by(_longer(relation, counts, size), f"occurrences{size}", "shard")
-        counts = _Counts(relation, keys, least, f"known{size}", bucket_groups, merged_shards)
+        if size == 2:
+            places = stored_by(_numbered(words, counts), "numbers", "shard")
+            numbered = relation = words.select("shard", "gaps", "items").join(places.select("shard", "numbers"), "shard")
+        else:
+            places = stored_by(_longer(relation, counts, size), f"occurrences{size}", "shard")
+            relation = numbered.join(places.select("shard", "starts"), "shard")
+        # No shard has more groups than occurrences.
+        rows = places.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        counts = _Counts(relation, partial(_groups, size=size), keys, rows, shards, least, f"known{size}", bucket_groups, merged_shards)
         parts = stored(_described(counts.frequent.select(*keys, "f"), parts, size), f"phrases{size}")
         if found:
             # Within a longer phrase of any length is within one of one word more, which occurs at least as often.
