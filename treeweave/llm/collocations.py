@@ -19,6 +19,7 @@ have numbers, and longer groups are told apart by the numbers of their words, ne
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -191,16 +192,22 @@ def _received(keys: bytes, n: bytes, names: list[str]) -> tuple[list[np.ndarray]
 
 def _summed(rows: pd.DataFrame, names: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     """Groups of one bucket with their counts summed, in order of their keys; which of them each one received is; where rows end."""
-    received = [_received(k, n, names) for k, n in zip(rows["keys"], rows["n"])]
-    ends = np.cumsum([len(n) for _, n in received])
-    n = np.concatenate([n for _, n in received])
-    columns = [np.concatenate(column) for column in zip(*[keys for keys, _ in received])]
-    del received
     if names == WORD:
-        # Words are sorted once each, not once per shard.
-        each = {key: at for at, key in enumerate(sorted(set(columns[0])))}
-        of = np.fromiter(map(each.__getitem__, columns[0]), np.int64, len(n))
-        keys = {"key": list(each)}
+        # Words are held once each, not once per shard.
+        each: dict[bytes, int] = defaultdict()
+        each.default_factory = each.__len__
+    columns, counts = [], []
+    for keys, n in zip(rows["keys"], rows["n"]):
+        received, n = _received(keys, n, names)
+        columns.append([np.fromiter(map(each.__getitem__, received[0]), np.int64, len(n))] if names == WORD else received)
+        counts.append(n)
+    ends, n = np.cumsum([len(c) for c in counts]), np.concatenate(counts)
+    columns = [np.concatenate(column) for column in zip(*columns)]
+    if names == WORD:
+        found = sorted(each)
+        rank = np.empty(len(found), np.int64)
+        rank[[each[key] for key in found]] = np.arange(len(found))
+        of, keys = rank[columns[0]], {"key": found}
     else:
         order = np.lexsort(columns[::-1])
         columns = [column[order] for column in columns]
@@ -255,11 +262,11 @@ class _Counts:
             for shard, at in zip(rows["shard"], np.split(of, ends[:-1])):
                 if shard >= 0:
                     bits = often[at]
-                    numbers = number[at[bits]] if names == WORD else np.zeros(0, np.int64)
-                    told.append({"shard": shard, "bits": np.packbits(bits).tobytes(), "numbers": _shrunk(numbers)})
+                    numbers = _shrunk(number[at[bits]]) if names == WORD else None
+                    told.append({"shard": shard, "bits": np.packbits(bits).tobytes(), "numbers": numbers})
             answers = pd.DataFrame(told, columns=["shard", "bits", "numbers"], dtype=object).assign(**{c: None if c == "key" else 0 for c in keys}, f=0)
-            every = pd.concat([frequent.assign(shard=-1, bits=None, numbers=None), answers]) if told else frequent.assign(shard=-1, bits=None, numbers=None)
-            return every.assign(bucket=key[0])
+            frequent = frequent.assign(shard=-1, bits=None, numbers=None)
+            return (pd.concat([frequent, answers]) if told else frequent).assign(bucket=key[0])
 
         columns = ", ".join(f"{c} {'binary' if c == 'key' else 'long'}" for c in keys)
         made = stored(sent.groupBy("bucket").applyInPandas(often, f"bucket long, {columns}, f long, shard long, bits binary, numbers binary"), label)
@@ -293,8 +300,8 @@ class _Counts:
             for shard, keys, n in zip(rows["shard"], rows["keys"], rows["n"]):
                 met = pd.DataFrame(dict(zip(by, _received(keys, n, names)[0]))).merge(frequent[[*by, number]], on=by, how="left")[number]
                 bits = met.notna().to_numpy()
-                numbers = met[bits].to_numpy(np.int64) if names == WORD else np.zeros(0, np.int64)
-                told.append({"shard": shard, "bucket": key[0], "bits": np.packbits(bits).tobytes(), "numbers": _shrunk(numbers)})
+                numbers = _shrunk(met[bits].to_numpy(np.int64)) if names == WORD else None
+                told.append({"shard": shard, "bucket": key[0], "bits": np.packbits(bits).tobytes(), "numbers": numbers})
             return pd.DataFrame(told, columns=["shard", "bucket", "bits", "numbers"])
 
         if self.parts > 1:
@@ -318,6 +325,11 @@ def _answers(groups: pd.DataFrame, told: list[dict], names: list[str], buckets:
     return frequent, numbers
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows that a join by shard holds a bucket of at a time: the texts of the shards are neither sorted for it, nor `rows` sent through the driver."""
+    return rows.hint("shuffle_hash")
+
+
 def _known_words(row: tuple) -> pd.DataFrame:
     """Words of a shard of R1 with their counts."""
     (key,), n = _received(row.keys, row.n, WORD)
@@ -374,7 +386,7 @@ def _groups(row: tuple, size: int) -> pd.DataFrame:
 def _numbered(relation: DataFrame, counts: _Counts) -> DataFrame:
     """(shard, numbers, rows): the numbers of the words of a shard, -1 for those that are not frequent, and its pairs of frequent words."""
     buckets = counts.buckets
-    joined = relation.select("shard", "gaps", "items", "keys", "n").join(counts.told(), "shard")
+    joined = relation.select("shard", "gaps", "items", "keys", "n").join(_small(counts.told()), "shard")
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -400,7 +412,7 @@ def _longer(relation: DataFrame, counts: _Counts, size: int) -> DataFrame:
                 starts[at] = True
                 yield pd.DataFrame([{"shard": row.shard, "starts": zstandard.ZstdCompressor().compress(np.packbits(starts).tobytes()), "rows": len(at)}])
 
-    return relation.join(counts.told(), "shard").mapInPandas(extend, "shard long, starts binary, rows long")
+    return relation.join(_small(counts.told()), "shard").mapInPandas(extend, "shard long, starts binary, rows long")
 
 
 def _described(frequent: DataFrame, parts: DataFrame, size: int) -> DataFrame:
@@ -468,10 +480,10 @@ def collocations(
         keys = _words(size)
         if size == 2:
             places = stored_by(_numbered(words, counts), "numbers", "shard")
-            numbered = relation = words.select("shard", "gaps", "items").join(places.select("shard", "numbers"), "shard")
+            numbered = relation = words.select("shard", "gaps", "items").join(_small(places.select("shard", "numbers")), "shard")
         else:
             places = stored_by(_longer(relation, counts, size), f"occurrences{size}", "shard")
-            relation = numbered.join(places.select("shard", "starts"), "shard")
+            relation = numbered.join(_small(places.select("shard", "starts")), "shard")
         # No shard has more groups than occurrences.
         rows = places.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
         counts = _Counts(relation, partial(_groups, size=size), keys, rows, shards, least, f"known{size}", bucket_groups, merged_shards)
