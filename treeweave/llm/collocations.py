@@ -420,7 +420,8 @@ def _described(frequent: DataFrame, parts: DataFrame, size: int) -> DataFrame:
     shorter = _words(size - 1)
     left = parts.select(*shorter, "lang", "phrase", "heads")
     right = parts.select(*[F.col(w).alias(to) for w, to in zip(shorter, _words(size - 1, 2))], "last", "tails")
-    return frequent.join(left, shorter).join(right, _words(size - 1, 2)).select(
+    # Sorted and merged: frequent groups become more with the input and do not pass through the driver.
+    return frequent.join(left.hint("merge"), shorter).join(right.hint("merge"), _words(size - 1, 2)).select(
         *_words(size), "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", F.col("f").alias("a"),
         F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"),
     )
@@ -493,7 +494,7 @@ def collocations(
             shorter = _words(size - 1)
             inside = [parts.select(*[F.col(f"w{n + shift}").alias(f"w{n}") for n in range(1, size)], "a") for shift in (0, 1)]
             around = inside[0].union(inside[1]).groupBy(*shorter).agg(F.max("a").alias("around"))
-            found[-1] = found[-1].join(around, shorter, "left").where(f"around IS NULL OR 100 * around < {absorbed} * a")
+            found[-1] = found[-1].join(around.hint("merge"), shorter, "left").where(f"around IS NULL OR 100 * around < {absorbed} * a")
         found.append(parts.withColumn("cut", _lowest_cut(size, scale)))
     found = [f.select("lang", "phrase", "a", "cut.*") for f in found]
     every = found[0]
